@@ -5,18 +5,22 @@ representative scores best against it (first group on ties) if the score reaches
 the threshold, else it founds a group; a joining item dated strictly earlier
 becomes the representative.
 
-That reads sequentially, but item *i*'s choice depends only on choices of items
-before it, so the assignment is the one fixed point of "choose again given
-everybody's last choice".  The fixed point is found in distributed rounds:
-
-* a guess chains items with equal or near-equal wording (bounded windows),
-* a choice table says over which interval of positions each representative is
-  current; only *current* representatives are compared with an item, so a group
-  of a million copies costs a million comparisons, not their square,
-* blocking keys that provably cover every pair that can reach the threshold
-  limit the comparisons; hot keys are split into salted parts,
-* rounds repeat until no choice changes.  The guess affects the number of rounds,
-  never the result, and nothing is capped, sampled or gathered into one task.
+That reads sequentially, but item *i*'s choice depends only on the choices of
+items before it, so the assignment is the one fixed point of "choose again given
+everybody's choice".  It is computed from scored pairs:
+
+* blocking keys provably cover every pair that can reach the threshold;
+* keys of few items give all their pairs at once.  For a hot key an item is only
+  compared with representatives that are *current* at its position, so a million
+  copies cost a million comparisons, not their square.  Hot keys are salted;
+* who is current comes from the last assignment - at first a guess that chains
+  items of equal or near-equal wording within bounded windows.  When an
+  assignment makes other representatives current, their pairs are added and the
+  pairs solved again, until no pair is missing.  The guess decides how many
+  rounds that takes, never the result;
+* the pairs fall into connected components.  Components of bounded size are
+  walked in order inside a task; larger ones are solved by repeated distributed
+  choice.  Nothing is capped, sampled or gathered whole.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from signalloom.session import written
 
 ROWS_PER_SALT = 50_000
 GUESS_WINDOW = 65_536
+HOT_KEY = 512
+COMPONENT_PAIRS = 200_000
 
 
 @dataclass
@@ -107,8 +113,8 @@ def _rare_prefix(tokens: Column, total: Column, least: float, n_items: int) -> C
     return F.slice(tokens, 1, F.aggregate(tokens, state, take, lambda s: s["n"]))
 
 
-def blocking_keys(features: DataFrame, threshold: float, n_items: int, title_floor: float | None = None) -> DataFrame:
-    """``(pos, ts, key, timed, salts)``: pairs that can reach the threshold share a key.
+def blocking_keys(features: DataFrame, threshold: float, n_items: int, title_floor: float | None = None, hot: int = HOT_KEY) -> DataFrame:
+    """``(pos, ts, key, timed, salts, hot)``: pairs that can reach the threshold share a key.
 
     Structure multiplies content by at most 2.4, so content >= threshold / 2.4.
     Without a shared phrase that needs title similarity >= ``title_floor`` or a
@@ -145,35 +151,33 @@ def blocking_keys(features: DataFrame, threshold: float, n_items: int, title_flo
     )
     size = rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
     salts = F.ceil(F.col("_n") / ROWS_PER_SALT).cast("int")
-    return rows.join(size, "key").select("pos", "ts", "key", "timed", salts.alias("salts"))
+    return rows.join(size, "key").select(
+        "pos", "ts", "key", "timed", salts.alias("salts"), (F.col("_n") > hot).alias("hot")
+    )
 
 
 def _first_guess(features: DataFrame) -> DataFrame:
-    """Chain each item to the one before it with the same wording.
+    """Chain each item to the latest one before it that looks alike: it agrees in
+    the smallest token hash under one of four seeds.
 
     Windows are cut every ``GUESS_WINDOW`` positions, so their size is bounded.
     """
+    tokens = F.array_union("title_tokens", "desc_tokens")
+    seeds = range(4)
     bare = features.select(
         "pos", F.unix_micros("published_at").alias("ts"),
-        F.xxhash64("title_tokens", "desc_tokens", "phrases").alias("same"),
-        F.slice(
-            F.sort_array(F.transform(F.array_union("title_tokens", "desc_tokens"), lambda t: F.xxhash64(t))), 1, 3
-        ).alias("_low"),
-        (F.size("title_tokens") + F.size("desc_tokens") > 0).alias("_any"),
         F.floor(F.col("pos") / GUESS_WINDOW).alias("_slice"),
-    ).withColumn("near", F.xxhash64("_low"))
-
-    def previous(column: str, key: str) -> Column:
-        return F.lag(column).over(Window.partitionBy(key, "_slice").orderBy("pos"))
-
-    chained = bare.withColumns({"_p": previous("pos", "same"), "_t": previous("ts", "same")}).withColumns(
-        {"_q": previous("pos", "near"), "_u": previous("ts", "near")}
-    )
-    return chained.select(
-        "pos", "ts",
-        F.when(F.col("_any"), F.coalesce("_p", "_q")).alias("choice"),
-        F.when(F.col("_any"), F.when(F.col("_p").isNotNull(), F.col("_t")).otherwise(F.col("_u"))).alias("choice_ts"),
+        *[
+            F.array_min(F.transform(tokens, lambda t, k=k: F.xxhash64(F.lit(k), t))).alias(f"_h{k}")
+            for k in seeds
+        ],
     )
+    for k in seeds:
+        alike = Window.partitionBy(f"_h{k}", "_slice").orderBy("pos")
+        before = F.lag(F.struct("pos", "ts")).over(alike)
+        bare = bare.withColumn(f"_p{k}", F.when(F.col(f"_h{k}").isNotNull(), before))
+    latest = F.greatest(*[F.col(f"_p{k}") for k in seeds])
+    return bare.select("pos", "ts", latest["pos"].alias("choice"), latest["ts"].alias("choice_ts"))
 
 
 def _representatives(state: DataFrame) -> DataFrame:
@@ -185,7 +189,20 @@ def _representatives(state: DataFrame) -> DataFrame:
     return reps.join(until, "pos", "left")
 
 
-def _candidates(keys: DataFrame, reps: DataFrame) -> DataFrame:
+def _near(timed: Column, a: Column, b: Column) -> Column:
+    return ~timed | (F.abs(a - b) <= 72 * 3_600_000_000)
+
+
+def _cold_pairs(keys: DataFrame) -> DataFrame:
+    """All distinct ``(i, j)`` with ``i > j`` that share a key of few items."""
+    cold = keys.where("not hot").select("pos", "ts", "key", "timed")
+    left = cold.select("key", "timed", F.col("pos").alias("i"), F.col("ts").alias("i_ts"))
+    right = cold.select("key", F.col("pos").alias("j"), F.col("ts").alias("j_ts"))
+    near = _near(F.col("timed"), F.col("i_ts"), F.col("j_ts"))
+    return left.join(right, "key").where((F.col("i") > F.col("j")) & near).select("i", "j").distinct()
+
+
+def _current_pairs(keys: DataFrame, reps: DataFrame) -> DataFrame:
     """Distinct ``(i, j)``: representative ``j`` is current at ``i`` and they share a key.
 
     A finite interval lies on at most two cells of a grid whose width is the next
@@ -214,7 +231,7 @@ def _candidates(keys: DataFrame, reps: DataFrame) -> DataFrame:
         .select(F.col("pos").alias("i"), F.col("ts").alias("i_ts"), "timed", "key", "grid", "cell",
                 F.pmod(F.xxhash64("pos"), F.col("salts")).cast("int").alias("salt"))
     )
-    near = ~F.col("timed") | (F.abs(F.col("i_ts") - F.col("j_ts")) <= 72 * 3_600_000_000)
+    near = _near(F.col("timed"), F.col("i_ts"), F.col("j_ts"))
     current = (F.col("i") > F.col("j")) & (F.col("until").isNull() | (F.col("i") <= F.col("until")))
     return left.join(right, ["key", "grid", "cell", "salt"]).where(near & current).select("i", "j").distinct()
 
@@ -235,31 +252,117 @@ def _founders(state: DataFrame) -> DataFrame:
             return chain
 
 
-def _choose(state: DataFrame, keys: DataFrame, features: DataFrame, threshold: float, n_items: int) -> DataFrame:
-    wide = F.struct(*[c for c in features.columns if c != "pos"])
-    side = features.select("pos", wide.alias("f"))
-    pairs = (
-        _candidates(keys, _representatives(state))
-        .join(side.select(F.col("pos").alias("i"), F.col("f").alias("x")), "i")
-        .join(side.select(F.col("pos").alias("j"), F.col("f").alias("y")), "j")
+def _scored(pairs: DataFrame, features: DataFrame, threshold: float, n_items: int) -> DataFrame:
+    """``(i, j, score, i_ts, j_ts)`` of the pairs that reach the threshold."""
+    side = features.select("pos", F.struct(*[c for c in features.columns if c != "pos"]).alias("f"))
+    both = pairs.join(side.select(F.col("pos").alias("i"), F.col("f").alias("x")), "i").join(
+        side.select(F.col("pos").alias("j"), F.col("f").alias("y")), "j"
+    )
+    return pair_score(both, n_items).where(F.col("score") >= threshold).select(
+        "i", "j", "score",
+        F.unix_micros("x.published_at").alias("i_ts"), F.unix_micros("y.published_at").alias("j_ts"),
+    )
+
+
+def _components(pairs: DataFrame) -> DataFrame:
+    """``(pos, component)``: smallest position reachable over the pairs."""
+    ends = written(
+        pairs.select(F.inline(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")),
+                                      F.struct(F.col("j").alias("a"), F.col("i").alias("b"))))),
+        "ends",
+    )
+    labels = written(
+        ends.groupBy(F.col("a").alias("pos")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels"
     )
-    scored = pair_score(pairs, n_items).where(F.col("score") >= threshold).select(
-        "i", "j", "score", F.unix_micros("y.published_at").alias("j_ts")
+    while True:
+        named = labels.select(F.col("pos").alias("b"), F.col("component").alias("_c"))
+        lowest = ends.join(named, "b").groupBy(F.col("a").alias("pos")).agg(F.min("_c").alias("_m"))
+        met = labels.join(lowest, "pos").select(
+            "pos", F.col("component").alias("_old"), F.least("component", "_m").alias("component")
+        )
+        ahead = labels.select(F.col("pos").alias("component"), F.col("component").alias("_c"))
+        moved = written(
+            met.join(ahead, "component").select(
+                "pos", F.least("component", "_c").alias("component"), (F.least("component", "_c") != F.col("_old")).alias("_moved")
+            ),
+            "labels",
+        )
+        labels = moved.select("pos", "component")
+        if not moved.where("_moved").limit(1).count():
+            return labels
+
+
+def _walker():
+    """The component walk as a closure, so that workers need not import this module."""
+
+    def walk(pairs):
+        """Choices inside one component, in position order (pandas in and out)."""
+        import pandas as pd
+
+        current: dict[int, int] = {}  # representative -> founder of its group
+        visited = set(pairs["i"])
+        for j in set(pairs["j"]) - visited:
+            current[j] = j
+        rows = []
+        for i, near in pairs.sort_values("i").groupby("i", sort=False):
+            open_ = [(s, -current[j], j, t) for s, j, t in zip(near["score"], near["j"], near["j_ts"]) if j in current]
+            if not open_:
+                current[i] = i
+                continue
+            _, founder, j, j_ts = max(open_)
+            rows.append((i, j, j_ts))
+            if near["i_ts"].iloc[0] < j_ts:
+                del current[j]
+                current[i] = -founder
+        return pd.DataFrame(rows, columns=["i", "choice", "choice_ts"]).astype("int64")
+
+    return walk
+
+
+def _solve(state: DataFrame, pairs: DataFrame, component_pairs: int, max_rounds: int) -> DataFrame:
+    """The assignment that follows from ``pairs``."""
+    component = _components(pairs)
+    held = pairs.join(component.withColumnRenamed("pos", "i"), "i")
+    sizes = held.groupBy("component").agg(F.count("*").alias("_n"))
+    sized = written(held.join(sizes, "component"), "sized")
+    small = sized.where(F.col("_n") <= component_pairs).select("component", "i", "j", "score", "i_ts", "j_ts")
+    chosen = small.groupBy("component").applyInPandas(
+        _walker(), "i bigint, choice bigint, choice_ts bigint"
     )
-    scored = written(scored, "scored")
+    bare = state.select("pos", "ts")
+    solved = written(bare.join(chosen.withColumnRenamed("i", "pos"), "pos", "left"), "state")
+    large = sized.where(F.col("_n") > component_pairs).select("i", "j", "score", "j_ts")
+    if not large.limit(1).count():
+        return solved
+    inside = written(large.select(F.col("i").alias("pos")).union(large.select("j")).distinct(), "inside")
+    rest = solved.join(inside, "pos", "left_anti")
+    part = written(state.join(inside, "pos", "left_semi"), "state")
+    for _ in range(max_rounds):
+        new = written(_choose_again(part, large), "state")
+        old = part.select("pos", F.col("choice").alias("_old"))
+        changed = new.join(old, "pos").where(~F.col("choice").eqNullSafe(F.col("_old"))).limit(1).count()
+        part = new
+        if not changed:
+            return written(rest.unionByName(part), "state")
+    raise RuntimeError(f"choices did not settle in {max_rounds} rounds")
+
+
+def _choose_again(state: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Everybody's best current representative, given the last choices."""
+    reps = _representatives(state).withColumnRenamed("pos", "j")
+    still = F.col("until").isNull() | (F.col("i") <= F.col("until"))
+    offers = written(pairs.join(reps, "j").where(still), "offers")
     target = F.struct("j", "j_ts")
-    best = scored.groupBy("i").agg(
+    best = offers.groupBy("i").agg(
         F.max_by(target, F.struct("score", -F.col("j"))).alias("b"),
         F.max_by(F.col("j"), F.struct("score", "j")).alias("_last"),
     )
-    tied = best.where(F.col("b.j") != F.col("_last")).select("i")
-    if tied.limit(1).count():
+    if best.where(F.col("b.j") != F.col("_last")).limit(1).count():
         # equal scores: the group founded first wins
         founded = _founders(state).select(F.col("pos").alias("j"), "cluster")
-        resolved = scored.join(founded, "j").groupBy("i").agg(
+        best = offers.join(founded, "j").groupBy("i").agg(
             F.max_by(target, F.struct("score", -F.col("cluster"), -F.col("j"))).alias("b")
         )
-        best = resolved
     return state.select("pos", "ts").join(
         best.select(F.col("i").alias("pos"), F.col("b.j").alias("choice"), F.col("b.j_ts").alias("choice_ts")),
         "pos", "left",
@@ -274,7 +377,9 @@ def event_clusters(
     actions=V.ACTION_RULES,
     strong: str = V.STRONG_OBJECTS,
     title_floor: float | None = None,
-    max_rounds: int = 200,
+    hot_key: int = HOT_KEY,
+    component_pairs: int = COMPONENT_PAIRS,
+    max_rounds: int = 1000,
 ) -> Clustering:
     """Group ``items(title, desc, published_at, link, source_name, category, ...)``.
 
@@ -284,14 +389,20 @@ def event_clusters(
     placed = written(with_positions(items, *order), "items")
     n_items = placed.count()
     features = written(item_features(placed, entities, n_items, actions, strong), "features")
-    keys = written(blocking_keys(features, threshold, n_items, title_floor), "keys")
+    keys = written(blocking_keys(features, threshold, n_items, title_floor, hot_key), "keys")
     state = written(_first_guess(features), "state")
+    pairs = written(_scored(_cold_pairs(keys), features, threshold, n_items), "pairs")
+    any_hot = keys.where("hot").limit(1).count() > 0
     for rounds in range(1, max_rounds + 1):
-        new = written(_choose(state, keys, features, threshold, n_items), "state")
-        old = state.select("pos", F.col("choice").alias("_old"))
-        changed = new.join(old, "pos").where(~F.col("choice").eqNullSafe(F.col("_old"))).limit(1).count()
-        state = new
-        if not changed:
+        if any_hot:
+            current = _current_pairs(keys.where("hot"), _representatives(state))
+            unseen = current.join(pairs, ["i", "j"], "left_anti")
+            added = written(_scored(unseen, features, threshold, n_items), "added")
+            if rounds > 1 and not added.limit(1).count():
+                break
+            pairs = written(pairs.unionByName(added), "pairs")
+        state = _solve(state, pairs, component_pairs, max_rounds)
+        if not any_hot:
             break
     else:
         raise RuntimeError(f"grouping did not settle in {max_rounds} rounds")
