@@ -20,7 +20,7 @@ def compact_event(signals: DataFrame) -> DataFrame:
     return signals.select(*COMPACT_FIELDS)
 
 
-def merge_today(existing: DataFrame, fresh: DataFrame, key: str = "cluster_id") -> DataFrame:
+def merge_today(existing: DataFrame, fresh: DataFrame, key: str | list[str] = "cluster_id") -> DataFrame:
     """Fresh rows replace existing ones of the same key, new ones are added.
 
     ``max_by`` keeps one row per key with partial aggregation before the shuffle.
@@ -28,7 +28,8 @@ def merge_today(existing: DataFrame, fresh: DataFrame, key: str = "cluster_id")
     columns = existing.columns
     both = existing.withColumn("_fresh", F.lit(0)).unionByName(fresh.withColumn("_fresh", F.lit(1)))
     kept = F.max_by(F.struct(*columns), F.col("_fresh")).alias("_row")
-    return both.groupBy(key).agg(kept).select("_row.*")
+    keys = [key] if isinstance(key, str) else key
+    return both.groupBy(*keys).agg(kept).select("_row.*")
 
 
 def in_window(t: Column, start: Column, end: Column) -> Column:

@@ -10,24 +10,31 @@ from signalloom.operators.history import merge_today
 from signalloom.session import written
 
 
-def write_today(fresh: DataFrame, path: str, day: str, key: str = "cluster_id") -> None:
-    """Upsert one day's events and rewrite only that day's partition."""
+def upsert_days(fresh: DataFrame, path: str, key: str = "cluster_id") -> None:
+    """Upsert rows by ``(collected_on, key)``; only the days they touch are rewritten."""
     spark = fresh.sparkSession
-    today = fresh.withColumn("collected_on", F.lit(day).cast("date"))
+    held = written(fresh, "fresh")
     try:
-        existing = spark.read.schema(today.schema).parquet(path).where(F.col("collected_on") == F.lit(day).cast("date"))
+        stored = spark.read.schema(fresh.schema).parquet(path)
     except Exception as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
-        existing = spark.createDataFrame([], today.schema)
-    # the partition being replaced is also read, so the merge is written out first
-    merged = written(merge_today(existing, today, key), "today")
+        stored = spark.createDataFrame([], fresh.schema)
+    touched = held.select("collected_on").distinct()
+    existing = stored.join(touched, "collected_on", "left_semi").select(*fresh.columns)
+    # the partitions being replaced are also read, so the merge is written out first
+    merged = written(merge_today(existing, held, ["collected_on", key]), "merged")
     (
         merged.repartition("collected_on", F.pmod(F.xxhash64(key), F.lit(32)))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collected_on").parquet(path)
     )
 
 
+def write_today(fresh: DataFrame, path: str, day: str, key: str = "cluster_id") -> None:
+    """Upsert one day's events."""
+    upsert_days(fresh.withColumn("collected_on", F.lit(day).cast("date")), path, key)
+
+
 def expired_days(events: DataFrame, as_of, days: int = V.RETENTION_DAYS) -> DataFrame:
     """Day partitions outside the retention, for the table service to drop."""
     from signalloom.functions.dates import moment

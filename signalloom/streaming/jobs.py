@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom import fixed_values as V
+from signalloom.functions.dates import moment
 
 
 def stream_ingest(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -16,9 +17,10 @@ def stream_ingest(spark: SparkSession, path: str, schema, fmt: str = "parquet",
     return reader.load(path)
 
 
-def stream_late_drop(items: DataFrame, when: str, max_age_days: int = V.RETENTION_DAYS) -> DataFrame:
-    """Ignore what is older than the retention by event time."""
-    return items.withWatermark(when, f"{max_age_days} days")
+def stream_late_drop(items: DataFrame, when: str, max_age_days: int = V.RETENTION_DAYS, as_of=None) -> DataFrame:
+    """Ignore what is older than the retention at ``as_of`` (default: processing time)."""
+    now = F.current_timestamp() if as_of is None else moment(as_of)
+    return items.where(F.col(when) >= now - F.expr(f"INTERVAL {int(max_age_days)} DAYS"))
 
 
 def stream_dedupe(items: DataFrame, key: str, when: str, delay: str = "1 day") -> DataFrame:
@@ -41,17 +43,12 @@ def stream_range_counts(
 
 def stream_daily_upsert(items: DataFrame, path: str, key: str, when: str, checkpoint: str):
     """Last write per key and day: each batch rewrites only the days it touches."""
-    from signalloom.sources.tables import write_today
+    from signalloom.sources.tables import upsert_days
 
     def upsert(batch: DataFrame, _: int) -> None:
-        held = batch.persist()
-        try:
-            for row in held.select(F.to_date(when).cast("string").alias("day")).distinct().collect():
-                day = held.where(F.to_date(when) == F.lit(row["day"]).cast("date"))
-                last = day.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.col(when)).alias("_r")).select("_r.*")
-                write_today(last, path, row["day"], key)
-        finally:
-            held.unpersist()
+        last = F.max_by(F.struct(*batch.columns), F.col(when)).alias("_r")
+        daily = batch.groupBy(F.to_date(when).alias("collected_on"), key).agg(last)
+        upsert_days(daily.select("collected_on", "_r.*"), path, key)
 
     return items.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
