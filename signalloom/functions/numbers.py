@@ -40,7 +40,7 @@ def is_real_price(price: Column) -> Column:
 
 def fixed(value: Column, digits: int) -> Column:
     """Plain decimal text, without thousands separators."""
-    return F.format_string(f"%.{digits}f", value.cast("double"))
+    return F.format_string(f"%.{digits}f", round_half_up(value.cast("double"), digits))
 
 
 def format_rate(low: Column, high: Column) -> Column:

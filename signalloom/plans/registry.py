@@ -22,7 +22,7 @@ ITEMS = """items AS (
   SELECT doc_id, split_part(text, chr(10), 1) AS title, text AS descr,
     TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST((doc_id * 7919) % 720 AS BIGINT)) AS published_at,
     'doc/' || doc_id AS link, source AS source_name,
-    split_part(text, chr(10), 1) || ' ' || text AS both
+    split_part(text, chr(10), 1) || ' ' || text AS btxt
   FROM documents)"""
 COMMENTS = """comments AS (
   SELECT conv_id * 1000 + turn AS comment_id, conv_id, turn, role, text,
