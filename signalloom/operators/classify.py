@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from signalloom import fixed_values as V
 from signalloom.functions.numbers import clamp, round_half_up
-from signalloom.functions.text import find_nouns, headline_text, matches, name_phrases, pattern
+from signalloom.functions.text import add_once, find_nouns, headline_text, let, matches, name_phrases, pattern
 
 
 def first_match(text: Column, rules) -> Column:
@@ -42,20 +42,21 @@ def categorize(
     """Add ``category`` and ``cat_confidence`` (dominance over the runner-up)."""
     text = headline_text(F.col(title), F.col(desc))
     names = list(rules)
-    totals = df.withColumn("_totals", F.array(*[rule_total(text, rules[n]) for n in names]))
-    ranked = totals.withColumn("_ranked", F.sort_array("_totals", asc=False))
-    top = F.col("_ranked")[0]
-    second = F.col("_ranked")[1] if len(names) > 1 else F.lit(0.0)
-    winner = F.element_at(
-        F.array(*[F.lit(n) for n in names]), F.array_position("_totals", top).cast("int")
-    )
-    sure = round_half_up(clamp(top / (top + second + 1), 0.0, 1.0), 2)
-    return ranked.withColumns(
-        {
-            "category": F.when(top < minimum, F.lit(fallback)).otherwise(winner),
-            "cat_confidence": F.when(top < minimum, F.lit(fallback_confidence)).otherwise(sure),
-        }
-    ).drop("_totals", "_ranked")
+
+    def judged(totals: Column) -> Column:
+        ranked = F.sort_array(totals, asc=False)
+        top = ranked[0]
+        second = ranked[1] if len(names) > 1 else F.lit(0.0)
+        winner = F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position(totals, top).cast("int"))
+        sure = round_half_up(clamp(top / (top + second + 1), 0.0, 1.0), 2)
+        return F.struct(
+            F.when(top < minimum, F.lit(fallback)).otherwise(winner).alias("category"),
+            F.when(top < minimum, F.lit(fallback_confidence)).otherwise(sure).alias("cat_confidence"),
+        )
+
+    verdict = let(F.array(*[rule_total(text, rules[n]) for n in names]), judged)
+    once = add_once(df, {"_v": verdict})
+    return once.drop("category", "cat_confidence").select("*", "_v.*").drop("_v")
 
 
 def _lookup(key: Column, table: dict, default) -> Column:
@@ -196,13 +197,14 @@ def apply_integrity_caps(
     strong = (F.col("verification") == "official") | (F.coalesce(F.col("source_count"), F.lit(1)) >= 2)
     weak_general = F.col("category").isin(V.COMMENTARY_CATEGORIES) & ~F.coalesce(strong, F.lit(False))
     over = weak_general & (F.col("significance") > cap)
-    capped = df.withColumns(
+    capped = add_once(
+        df,
         {
             "_general": weak_general,
             "_over": over,
             "_soft": matches(text, job) | matches(text, speculative),
             "significance": F.when(over, F.lit(cap)).otherwise(F.col("significance")).cast("int"),
-        }
+        },
     ).withColumn("_raw", classify_impact(F.col("significance")))
     high = F.col("_raw") == "high"
     reason = (

@@ -255,7 +255,9 @@ def _founders(state: DataFrame) -> DataFrame:
 def _scored(pairs: DataFrame, features: DataFrame, threshold: float, n_items: int) -> DataFrame:
     """``(i, j, score, i_ts, j_ts)`` of the pairs that reach the threshold."""
     side = features.select("pos", F.struct(*[c for c in features.columns if c != "pos"]).alias("f"))
-    both = pairs.join(side.select(F.col("pos").alias("i"), F.col("f").alias("x")), "i").join(
+    # few bytes but much work per row, so the spread must not follow the size
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = pairs.repartition(parts, "i", "j").join(side.select(F.col("pos").alias("i"), F.col("f").alias("x")), "i").join(
         side.select(F.col("pos").alias("j"), F.col("f").alias("y")), "j"
     )
     return pair_score(both, n_items).where(F.col("score") >= threshold).select(

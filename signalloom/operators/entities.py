@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.functions.text import headline_text, literal_term_pattern, matches, normalize_title
+from signalloom.functions.text import add_once, headline_text, literal_term_pattern, matches, normalize_title
 
 
 def entity_pattern(terms) -> str:
@@ -36,7 +36,7 @@ def match_entities(df: DataFrame, entities, title: str = "title", desc: str = "d
     """Add ``entity_ids`` and ``max_importance`` (0 without a match)."""
     text = headline_text(F.col(title), F.col(desc))
     return (
-        df.withColumn("_hits", entity_hits(text, entities))
+        add_once(df, {"_hits": entity_hits(text, entities)})
         .withColumns(
             {
                 "entity_ids": F.transform("_hits", lambda h: h["id"]),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signalloom import fixed_values as V
 from signalloom.functions.dates import HOUR, moment, seconds_between
-from signalloom.functions.text import headline_text, truncate
+from signalloom.functions.text import add_once, headline_text, truncate
 from signalloom.operators.classify import (
     detect_lab, detect_license, infer_field, is_product_release, wave_family, why_it_matters,
 )
@@ -27,7 +27,7 @@ def section_routing(
         .when(F.col("category") == "research", F.lit("research"))
         .otherwise(F.lit("wire"))
     )
-    return stories.withColumn("lab", lab).withColumn("section", section)
+    return add_once(add_once(stories, {"lab": lab}), {"section": section})
 
 
 def releases_per_lab(routed: DataFrame, labs: DataFrame, k: int = 5, tie: str = "link") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from signalloom import fixed_values as V
 from signalloom.functions.dates import hours_between
 from signalloom.functions.numbers import clamp
-from signalloom.functions.text import headline_text, name_phrases, token_set
+from signalloom.functions.text import add_once, headline_text, let, name_phrases, token_set
 from signalloom.operators.classify import distinctive_objects, extract_action
 
 
@@ -27,7 +27,8 @@ def jaccard(a: Column, b: Column) -> Column:
     """Jaccard overlap of two sets, 0 when either is empty."""
     either_empty = (F.size(a) == 0) | (F.size(b) == 0)
     shared = F.size(F.array_intersect(a, b))
-    return F.when(either_empty, F.lit(0.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
+    ratio = let(shared, lambda s: s / (F.size(a) + F.size(b) - s))
+    return F.when(either_empty, F.lit(0.0)).otherwise(ratio)
 
 
 def overlap_coefficient(a: Column, b: Column) -> Column:
@@ -36,11 +37,13 @@ def overlap_coefficient(a: Column, b: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    return jaccard(token_set(a), token_set(b))
+    sets = F.struct(token_set(a).alias("a"), token_set(b).alias("b"))
+    return let(sets, lambda s: jaccard(s["a"], s["b"]))
 
 
 def phrase_overlap(a: Column, b: Column) -> Column:
-    return overlap_coefficient(name_phrases(a), name_phrases(b))
+    sets = F.struct(name_phrases(a).alias("a"), name_phrases(b).alias("b"))
+    return let(sets, lambda s: overlap_coefficient(s["a"], s["b"]))
 
 
 def token_weights(df: DataFrame, key: str, texts: dict[str, str], n_items: int) -> DataFrame:
@@ -77,8 +80,8 @@ def weighted_jaccard(a: Column, a_total: Column, b: Column, b_total: Column, n_i
     shared = F.aggregate(
         F.array_intersect(a, b), F.lit(0.0), lambda acc, e: acc + tagged_weight(e, n_items)
     )
-    score = F.try_divide(shared, a_total + b_total - shared)
-    return F.when((F.size(a) <= 0) | (F.size(b) <= 0), F.lit(0.0)).otherwise(F.coalesce(score, F.lit(0.0)))
+    score = let(shared, lambda s: F.coalesce(F.try_divide(s, a_total + b_total - s), F.lit(0.0)))
+    return F.when((F.size(a) <= 0) | (F.size(b) <= 0), F.lit(0.0)).otherwise(score)
 
 
 def event_relation(pairs: DataFrame, a: str = "a", b: str = "b", actions=V.ACTION_RULES, strong: str = V.STRONG_OBJECTS) -> DataFrame:
@@ -92,7 +95,7 @@ def event_relation(pairs: DataFrame, a: str = "a", b: str = "b", actions=V.ACTIO
             distinctive_objects(title, desc, strong).alias("objects"),
         )
 
-    prepared = pairs.withColumns({"_a": side(a), "_b": side(b)})
+    prepared = add_once(pairs, {"_a": side(a), "_b": side(b)})
     overlap = overlap_coefficient(F.col("_a.objects"), F.col("_b.objects"))
     both = F.col("_a.action").isNotNull() & F.col("_b.action").isNotNull()
     same = both & (F.col("_a.action") == F.col("_b.action"))
@@ -124,7 +127,8 @@ def pair_score(pairs: DataFrame, n_items: int, x: str = "x", y: str = "y", name:
     phrase = overlap_coefficient(f(x, "phrases"), f(y, "phrases"))
     both_act = f(x, "action").isNotNull() & f(y, "action").isNotNull()
     same_act = F.coalesce(both_act & (f(x, "action") == f(y, "action")), F.lit(False))
-    parts = pairs.withColumns(
+    parts = add_once(
+        pairs,
         {
             "_content": F.lit(0.5) * title + F.lit(0.3) * phrase + F.lit(0.2) * desc,
             "_objects": overlap_coefficient(f(x, "objects"), f(y, "objects")),
@@ -132,7 +136,7 @@ def pair_score(pairs: DataFrame, n_items: int, x: str = "x", y: str = "y", name:
             "_hours": hours_between(f(x, "published_at"), f(y, "published_at")),
             "_same": same_act,
             "_clash": both_act & ~same_act,
-        }
+        },
     )
     content, objects, entity = F.col("_content"), F.col("_objects"), F.col("_entity")
     forced = (F.col("_hours") <= 72) & ((F.col("_same") & (objects > 0)) | ((objects >= 0.5) & (entity > 0)))

@@ -361,12 +361,12 @@ SIGNALS = f"""{CATEGORISED}, sc AS (SELECT *, CAST(1 + doc_id % 3 AS BIGINT) AS
       WHEN soft AND significance >= 70 THEN 'job-or-speculative' END AS cap_reason, {FAMILY} AS family FROM cq)"""
 
 
-def signals(spark, d):
-    """Documents as scored signals, each its own story."""
+def scored(spark, d):
     base = E.match_entities(categorised(spark, d), L.ENTITIES).withColumns(
         {"source_count": (F.pmod("doc_id", F.lit(3)) + 1), "cluster": F.col("doc_id")}
     )
-    scored = base.withColumns(
+    return X.add_once(
+        base,
         {
             "significance": S.significance(
                 F.col("published_at"), F.col("source_count"), F.col("max_importance"), F.col("category"),
@@ -376,9 +376,13 @@ def signals(spark, d):
                 F.col("title"), F.col("desc"), F.col("category"), F.col("source_count"),
                 F.col("source_name").isin(L.OFFICIAL), L.HEDGING,
             ),
-        }
+        },
     )
-    capped = C.apply_integrity_caps(scored, job=L.JOB, speculative=L.SPECULATIVE)
+
+
+def signals(spark, d):
+    """Documents as scored signals, each its own story."""
+    capped = C.apply_integrity_caps(scored(spark, d), job=L.JOB, speculative=L.SPECULATIVE)
     return capped.withColumn("family", C.wave_family(F.col("category")))
 
 
@@ -387,10 +391,9 @@ def recency_score(spark, d):
     return T.items(spark, d).select("doc_id", round_half_up(S.recency_score(F.col("published_at"), L.AS_OF), 6).alias("recency"))
 
 
-@query("significance", f"WITH {SIGNALS} SELECT doc_id, raw AS significance FROM signals WHERE cap_reason IS NULL OR cap_reason <> 'single-source-general'")
+@query("significance", f"WITH {SIGNALS} SELECT doc_id, raw AS significance FROM signals")
 def significance(spark, d):
-    kept = signals(spark, d).where("cap_reason IS NULL OR cap_reason <> 'single-source-general'")
-    return kept.select("doc_id", "significance")
+    return scored(spark, d).select("doc_id", "significance")
 
 
 @query("classify_verification", f"WITH {SIGNALS} SELECT doc_id, verification FROM signals")

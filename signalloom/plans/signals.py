@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom import fixed_values as V
-from signalloom.functions.text import stable_id
+from signalloom.functions.text import add_once, stable_id
 from signalloom.operators.classify import (
     apply_integrity_caps, categorize, classify_verification, wave_family,
 )
@@ -40,7 +40,8 @@ def enrich(clustering: Clustering, entities, as_of, official=V.OFFICIAL_SOURCES)
         F.bool_or(F.col("source_name").isin(list(official))).alias("_official")
     )
     linked = match_entities(clustering.clusters.join(own, "cluster"), entities)
-    scored = linked.withColumns(
+    scored = add_once(
+        linked,
         {
             "significance": significance(
                 F.col("published_at"), F.col("source_count"), F.col("max_importance"), F.col("category"),
@@ -49,7 +50,7 @@ def enrich(clustering: Clustering, entities, as_of, official=V.OFFICIAL_SOURCES)
             "verification": classify_verification(
                 F.col("title"), F.col("desc"), F.col("category"), F.col("source_count"), F.col("_official")
             ),
-        }
+        },
     )
     return project_signal(apply_integrity_caps(scored))
 

@@ -49,11 +49,10 @@ def parse_price_bars(responses: DataFrame, body: str = "body", by: str = "ticker
     """Parallel arrays as bars; bars without a close drop out."""
     result = F.from_json(body, CHART_SCHEMA)["chart"]["result"][0]
     shaped = responses.select(by, result.alias("r")).select(by, "r.timestamp", F.col("r.indicators.quote")[0].alias("q"))
-    zipped = F.arrays_zip(
-        F.col("timestamp").alias("ts"),
-        *[F.col(f"q.{c}").alias(c) for c in ("open", "high", "low", "close", "volume")],
-    )
-    return shaped.select(by, F.inline(zipped)).where("close IS NOT NULL").select(
+    # a missing series zips as nulls
+    kinds = {"open": "double", "high": "double", "low": "double", "close": "double", "volume": "bigint"}
+    series = [F.coalesce(F.col(f"q.{c}"), F.array().cast(f"array<{t}>")).alias(c) for c, t in kinds.items()]
+    return shaped.select(by, F.col("timestamp").alias("ts"), *series).select(by, F.inline(F.arrays_zip("ts", *kinds))).where("close IS NOT NULL").select(
         by, F.to_date(F.timestamp_seconds("ts")).alias("date"), "open", "high", "low", "close", "volume"
     )
 
