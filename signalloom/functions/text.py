@@ -16,25 +16,51 @@ _SPACES = r"\s\x0B\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f
 SPACE = f"[{_SPACES}]"
 
 
-def _starts_with_word(rest: str) -> bool:
-    """Whether everything ``rest`` can match begins with a word character."""
-    if rest[:1].isalnum() or rest[:2] in (r"\w", r"\d"):
-        return rest[2:3] not in "?*" if rest[:1] == "\\" else rest[1:2] not in ("?", "*")
-    if not rest.startswith("("):
-        return False
+def _branches(rest: str) -> tuple[list[str], str]:
+    """Alternatives of the group ``rest`` opens with, and what follows the group."""
     depth, branch, branches = 0, "", []
     for k, c in enumerate(rest):
         depth += (c == "(") - (c == ")")
         if depth == 0:
-            if rest[k + 1 : k + 2] in ("?", "*"):
-                return False
-            break
+            return [b.removeprefix("?:") for b in [*branches, branch]], rest[k + 1 :]
         if c == "|" and depth == 1:
             branches.append(branch)
             branch = ""
         elif k:
             branch += c
-    return all(_starts_with_word(b.removeprefix("?:")) for b in [*branches, branch])
+    return [], ""
+
+
+def _starts_with_word(rest: str) -> bool:
+    """Whether everything ``rest`` can match begins with a word character."""
+    if rest[:2] in (r"\w", r"\d"):
+        return rest[2:3] not in ("?", "*")
+    if rest[:1].isalnum():
+        return rest[1:2] not in ("?", "*")
+    if not rest.startswith("("):
+        return False
+    branches, after = _branches(rest)
+    return after[:1] not in ("?", "*") and all(map(_starts_with_word, branches))
+
+
+def _leading_words(regex: str) -> list[str] | None:
+    """Lower-case literals one of which starts every match, if that can be told."""
+    regex = regex.removeprefix(r"\b")
+    if regex.startswith("("):
+        branches, after = _branches(regex)
+        parts = [_leading_words(b) for b in branches]
+        if after[:1] in ("?", "*") or "|" in after or not parts or None in parts:
+            return None
+        return [w for p in parts for w in p]
+    if "|" in regex and "(" not in regex:
+        parts = [_leading_words(b) for b in regex.split("|")]
+        return None if None in parts else [w for p in parts for w in p]
+    if re.search(r"\|(?![^(]*\))", regex):
+        return None  # an alternative outside any group
+    word = re.match(r"[A-Za-z0-9 ]*", regex).group(0)
+    if regex[len(word) : len(word) + 1] in ("?", "*", "{"):
+        word = word[:-1]
+    return [word.lower()] if len(word) > 1 else None
 
 
 def pattern(regex: str, ignore_case: bool = True) -> str:
@@ -52,7 +78,18 @@ def pattern(regex: str, ignore_case: bool = True) -> str:
 
 
 def matches(text: Column, regex: str, ignore_case: bool = True) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(pattern(regex, ignore_case))
+    """Whether the pattern occurs.  A plain substring search goes first where the
+    pattern has to start with one of a few words; it is many times cheaper."""
+    text = F.coalesce(text, F.lit(""))
+    found = text.rlike(pattern(regex, ignore_case))
+    words = _leading_words(regex) if ignore_case else None
+    if not words or len(set(words)) > 12:
+        return found
+    lower = F.lower(text)
+    possible = F.contains(lower, F.lit(words[0]))
+    for word in sorted(set(words[1:])):
+        possible = possible | F.contains(lower, F.lit(word))
+    return possible & found
 
 
 def headline_text(title: Column, desc: Column) -> Column:

@@ -31,8 +31,24 @@ def _newest_first() -> Window:
     return Window.partitionBy("ticker").orderBy(F.desc("date"))
 
 
-def _valid_closes(bars: DataFrame) -> DataFrame:
-    return bars.where(is_finite(F.col("close")) & (F.col("close") > 0))
+def _latest(bars: DataFrame, valid: Column, k: int) -> DataFrame:
+    """The newest ``k`` bars per ticker, valid ones first, as ``_rn`` and ``_ok``.
+
+    One pass: Spark keeps ``k`` rows per ticker and task before the shuffle, and
+    a ticker without valid bars still has a row.
+    """
+    newest = Window.partitionBy("ticker").orderBy(F.desc("_ok"), F.desc("date"))
+    return bars.withColumn("_ok", F.coalesce(valid, F.lit(False))).withColumn(
+        "_rn", F.row_number().over(newest)
+    ).where(F.col("_rn") <= k)
+
+
+def _nth(column: str, n: int) -> Column:
+    return F.max(F.when(F.col("_ok") & (F.col("_rn") == n), F.col(column)))
+
+
+def _has_close() -> Column:
+    return is_finite(F.col("close")) & (F.col("close") > 0)
 
 
 def daily_returns(bars: DataFrame) -> DataFrame:
@@ -56,12 +72,10 @@ def _differs(live: Column, close: Column) -> Column:
 
 def daily_change(bars: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """Change of the last valid close, or of a live price that moved since."""
-    ranked = _valid_closes(bars).withColumn("_rn", F.row_number().over(_newest_first())).where("_rn <= 2")
-    last = ranked.groupBy("ticker").agg(
-        F.max(F.when(F.col("_rn") == 1, F.col("close"))).alias("_c1"),
-        F.max(F.when(F.col("_rn") == 2, F.col("close"))).alias("_c2"),
+    last = _latest(bars, _has_close(), 2).groupBy("ticker").agg(
+        _nth("close", 1).alias("_c1"), _nth("close", 2).alias("_c2")
     )
-    priced = _live(live, bars.select("ticker").distinct().join(last, "ticker", "left"))
+    priced = _live(live, last)
     moved = _differs(F.col("_live"), F.col("_c1"))
     priced = priced.withColumns(
         {
@@ -80,14 +94,10 @@ def daily_change(bars: DataFrame, live: DataFrame | None = None) -> DataFrame:
 
 def period_change(bars: DataFrame, lookback: int, live: DataFrame | None = None) -> DataFrame:
     """Change against the valid close ``lookback`` bars earlier; null if too short."""
-    ranked = _valid_closes(bars).withColumn("_rn", F.row_number().over(_newest_first())).where(
-        F.col("_rn").isin(1, lookback + 1)
+    ends = _latest(bars, _has_close(), lookback + 1).groupBy("ticker").agg(
+        _nth("close", 1).alias("_c1"), _nth("close", lookback + 1).alias("_base")
     )
-    ends = ranked.groupBy("ticker").agg(
-        F.max(F.when(F.col("_rn") == 1, F.col("close"))).alias("_c1"),
-        F.max(F.when(F.col("_rn") == lookback + 1, F.col("close"))).alias("_base"),
-    )
-    priced = _live(live, bars.select("ticker").distinct().join(ends, "ticker", "left"))
+    priced = _live(live, ends)
     latest = F.when(_differs(F.col("_live"), F.col("_c1")), F.col("_live")).otherwise(F.col("_c1"))
     return priced.select(
         "ticker",
@@ -98,12 +108,9 @@ def period_change(bars: DataFrame, lookback: int, live: DataFrame | None = None)
 
 def relative_volume(bars: DataFrame, lookback: int = 20) -> DataFrame:
     """Latest positive volume against the mean of up to ``lookback`` before it."""
-    before = _by_date().rowsBetween(-lookback, -1)
-    valid = bars.where("volume > 0").withColumns(
-        {"_mean": F.avg("volume").over(before), "_rn": F.row_number().over(_newest_first())}
-    )
-    last = valid.where("_rn = 1").select("ticker", F.try_divide("volume", "_mean").alias("rel_volume"))
-    return bars.select("ticker").distinct().join(last, "ticker", "left")
+    kept = _latest(bars, F.col("volume") > 0, lookback + 1)
+    before = F.avg(F.when(F.col("_ok") & (F.col("_rn") > 1), F.col("volume")))
+    return kept.groupBy("ticker").agg(F.try_divide(_nth("volume", 1), before).alias("rel_volume"))
 
 
 def volume_average(bars: DataFrame, lookback: int = 20) -> DataFrame:

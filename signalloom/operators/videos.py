@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom import fixed_values as V
+from signalloom.functions.text import add_once, let
 
 
 def is_short(duration: Column, limit: int = V.MAX_SHORT_SECONDS) -> Column:
@@ -22,14 +23,18 @@ def _mentions(text: Column, words) -> Column:
 def is_relevant(title: Column, description: Column, context=V.VIDEO_CONTEXT_WORDS, off_topic=V.ZODIAC_WORDS) -> Column:
     """Context words keep a video; off-topic words drop it only without context."""
     text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit(""))))
-    return _mentions(text, context) | ~_mentions(text, off_topic)
+    return let(text, lambda t: _mentions(t, context) | ~_mentions(t, off_topic))
 
 
 def is_likely_english(title: Column, scripts=V.NON_LATIN_SCRIPTS) -> Column:
     """False only when letters of the other scripts outnumber Latin ones."""
-    text = F.coalesce(title, F.lit(""))
-    other = F.regexp_count(text, F.lit("[" + "".join(rf"\p{{Is{s}}}" for s in scripts) + "]"))
-    return (other == 0) | (F.regexp_count(text, F.lit(r"\p{IsLatin}")) >= other)
+    letters = F.lit("[" + "".join(rf"\p{{Is{s}}}" for s in scripts) + "]")
+
+    def judged(text: Column) -> Column:
+        other = F.regexp_count(text, letters)
+        return (other == 0) | (F.regexp_count(text, F.lit(r"\p{IsLatin}")) >= other)
+
+    return let(F.coalesce(title, F.lit("")), judged)
 
 
 def merge_details(videos: DataFrame, details: DataFrame) -> DataFrame:
@@ -40,7 +45,8 @@ def merge_details(videos: DataFrame, details: DataFrame) -> DataFrame:
 
 def top_videos(videos: DataFrame, details: DataFrame, k: int = 5, by: str = "model") -> DataFrame:
     """Relevant, English, long-form videos, the ``k`` most viewed per group."""
-    kept = videos.where(is_relevant(F.col("title"), F.col("description")) & is_likely_english(F.col("title")))
+    fit = is_relevant(F.col("title"), F.col("description")) & is_likely_english(F.col("title"))
+    kept = add_once(videos, {"_fit": fit}).where("_fit").drop("_fit")
     long_form = merge_details(kept, details).where(~is_short(F.col("duration_s")))
     w = Window.partitionBy(by).orderBy(F.desc_nulls_last("view_count"), "video_id")
     return long_form.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -193,7 +193,7 @@ VIDEOS = f"""vid AS (SELECT doc_id, 'v' || doc_id AS video_id, lang AS model, sp
 
 
 def _videos(spark, d):
-    return T.table(spark, d, "documents").select(
+    return T.spread(T.table(spark, d, "documents").select("doc_id", "lang", "text", "source")).select(
         F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("video_id"), F.col("lang").alias("model"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("source").alias("description"),
     )

@@ -25,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(instant_schema(spark.read.parquet(path).schema)).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly text work to all cores when a small input comes as few splits.
+
+    A large input has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def hours_after(key: str) -> F.Column:
     """A publication time inside January 2024, spread by the key."""
     return F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col(key) * 7919, F.lit(720)) * 3600)
@@ -32,7 +41,7 @@ def hours_after(key: str) -> F.Column:
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as news items: first line as title, the whole text as description."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
         "doc_id",
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.col("text").alias("desc"),
@@ -98,7 +107,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as comments of their thread."""
     key = F.col("conv_id") * 1000 + F.col("turn")
     return (
-        table(spark, sf_dir, "conversations")
+        spread(table(spark, sf_dir, "conversations"))
         .select(key.alias("comment_id"), "conv_id", "turn", "role", "text")
         .withColumn("published_at", hours_after("comment_id"))
     )
