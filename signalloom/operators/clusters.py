@@ -260,7 +260,7 @@ def _scored(pairs: DataFrame, features: DataFrame, threshold: float, n_items: in
     both = pairs.repartition(parts, "i", "j").join(side.select(F.col("pos").alias("i"), F.col("f").alias("x")), "i").join(
         side.select(F.col("pos").alias("j"), F.col("f").alias("y")), "j"
     )
-    return pair_score(both, n_items).where(F.col("score") >= threshold).select(
+    return pair_score(both, n_items, at_least=threshold).where(F.col("score") >= threshold).select(
         "i", "j", "score",
         F.unix_micros("x.published_at").alias("i_ts"), F.unix_micros("y.published_at").alias("j_ts"),
     )

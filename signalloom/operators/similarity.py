@@ -111,26 +111,35 @@ def event_relation(pairs: DataFrame, a: str = "a", b: str = "b", actions=V.ACTIO
     )
 
 
-def pair_score(pairs: DataFrame, n_items: int, x: str = "x", y: str = "y", name: str = "score") -> DataFrame:
+def pair_score(
+    pairs: DataFrame, n_items: int, x: str = "x", y: str = "y", name: str = "score", at_least: float | None = None
+) -> DataFrame:
     """Same-event score of two feature structs (see ``clusters.item_features``).
 
     Agreement in entity, time and category only amplifies shared wording; a
     clash of actions blocks a merge and a shared action on a shared object
     forces one.
+
+    With ``at_least``, descriptions are only compared where the score could still
+    reach it; other pairs get a score that is too low either way.
     """
 
     def f(side: str, field: str) -> Column:
         return F.col(f"{side}.{field}")
 
-    title = weighted_jaccard(f(x, "title_tokens"), f(x, "title_total"), f(y, "title_tokens"), f(y, "title_total"), n_items)
-    desc = weighted_jaccard(f(x, "desc_tokens"), f(x, "desc_total"), f(y, "desc_tokens"), f(y, "desc_total"), n_items)
-    phrase = overlap_coefficient(f(x, "phrases"), f(y, "phrases"))
+    def text_similarity(field: str) -> Column:
+        return weighted_jaccard(
+            f(x, f"{field}_tokens"), f(x, f"{field}_total"), f(y, f"{field}_tokens"), f(y, f"{field}_total"), n_items
+        )
+
     both_act = f(x, "action").isNotNull() & f(y, "action").isNotNull()
     same_act = F.coalesce(both_act & (f(x, "action") == f(y, "action")), F.lit(False))
-    parts = add_once(
+    one_category = F.coalesce(f(x, "category") == f(y, "category"), F.lit(False))
+    cheap = add_once(
         pairs,
         {
-            "_content": F.lit(0.5) * title + F.lit(0.3) * phrase + F.lit(0.2) * desc,
+            "_title": F.lit(0.5) * text_similarity("title")
+            + F.lit(0.3) * overlap_coefficient(f(x, "phrases"), f(y, "phrases")),
             "_objects": overlap_coefficient(f(x, "objects"), f(y, "objects")),
             "_entity": jaccard(f(x, "entity_ids"), f(y, "entity_ids")),
             "_hours": hours_between(f(x, "published_at"), f(y, "published_at")),
@@ -138,18 +147,30 @@ def pair_score(pairs: DataFrame, n_items: int, x: str = "x", y: str = "y", name:
             "_clash": both_act & ~same_act,
         },
     )
-    content, objects, entity = F.col("_content"), F.col("_objects"), F.col("_entity")
+    objects, entity = F.col("_objects"), F.col("_entity")
+    near = clamp(F.lit(1.0) - F.col("_hours") / 48.0, 0.0, 1.0)
+    structure = F.lit(0.4) * entity + F.lit(0.35) * near + F.lit(0.25) * one_category.cast("double")
     forced = (F.col("_hours") <= 72) & ((F.col("_same") & (objects > 0)) | ((objects >= 0.5) & (entity > 0)))
-    one_category = F.coalesce(f(x, "category") == f(y, "category"), F.lit(False))
-    structure = (
-        F.lit(0.4) * entity
-        + F.lit(0.35) * clamp(F.lit(1.0) - F.col("_hours") / 48.0, 0.0, 1.0)
-        + F.lit(0.25) * one_category.cast("double")
-    )
+
+    def amplified(content: Column) -> Column:
+        return content + F.col("_structure") * F.least(content, F.lit(0.5)) * 1.4
+
+    staged = add_once(cheap, {"_structure": structure, "_forced": forced})
+    desc = text_similarity("desc")
+    if at_least is not None:
+        # two sets overlap by no more than the lighter one's share of the heavier
+        totals = f(x, "desc_total"), f(y, "desc_total")
+        bound = F.coalesce(F.try_divide(F.least(*totals), F.greatest(*totals)), F.lit(0.0))
+        hopeful = amplified(F.col("_title") + F.lit(0.2) * bound) >= at_least * (1 - 1e-9)
+        desc = F.when(F.col("_forced") | hopeful, desc).otherwise(F.lit(0.0))
+    scored = add_once(staged, {"_content": F.col("_title") + F.lit(0.2) * desc})
+    content = F.col("_content")
     score = (
         F.when(F.col("_clash") & (objects < 0.6), F.least(content, F.lit(0.15)))
-        .when(forced, F.greatest(content, F.lit(0.55)))
+        .when(F.col("_forced"), F.greatest(content, F.lit(0.55)))
         .when(content < 0.02, content)
-        .otherwise(content + structure * F.least(content, F.lit(0.5)) * 1.4)
+        .otherwise(amplified(content))
+    )
+    return scored.withColumn(name, score).drop(
+        "_title", "_content", "_objects", "_entity", "_hours", "_same", "_clash", "_structure", "_forced"
     )
-    return parts.withColumn(name, score).drop("_content", "_objects", "_entity", "_hours", "_same", "_clash")
