@@ -275,12 +275,12 @@ def cumulative_share(spark, d):
     )
 
 
-@query("segment_at_pct", f"""WITH {SHARES} SELECT DISTINCT view, p_size AS point, item FROM seg JOIN (SELECT DISTINCT p_size FROM part) p ON p_size >= start AND p_size < "end\"""")
+@query("segment_at_pct", f"""WITH {SHARES}, pts AS (SELECT DISTINCT l_returnflag AS view, l_linenumber * 12 AS point FROM lineitem)
+  SELECT view, point, item FROM seg JOIN pts USING (view) WHERE point >= start AND point < "end\"""")
 def segment_at_pct(spark, d):
-    sizes = T.table(spark, d, "part").select(F.col("p_size").alias("point")).distinct()
-    views = _segments(spark, d)
-    points = views.select("view").distinct().join(sizes)  # a few views, fifty sizes
-    return R.segment_at_pct(views, points).select("view", "point", "item")
+    line = T.table(spark, d, "lineitem")
+    points = line.select(F.col("l_returnflag").alias("view"), (F.col("l_linenumber") * 12).alias("point")).distinct()
+    return R.segment_at_pct(_segments(spark, d), points).select("view", "point", "item")
 
 
 @query("scale_to_max", f"""WITH s AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL)

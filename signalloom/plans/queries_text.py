@@ -552,3 +552,63 @@ def build_signals(spark, d):
     lexicon = Lexicon(L.CATEGORIES, L.ACTIONS, L.STRONG, L.OFFICIAL)
     found, _ = build(T.items(spark, d), L.ENTITIES, L.AS_OF, lexicon)
     return found.select("cluster_id", "cluster", "title", "category", "family", "significance", "impact", "verification", "source_count")
+
+
+# ---- merged stories by a given grouping: documents of one length class ------
+STORIES = f"""{ITEMS}, st AS (SELECT *, length(descr) % 40 AS cluster, doc_id AS pos FROM items),
+  srcs AS (SELECT cluster, source_name AS link, min(pos) AS first_pos, arg_min(doc_id, pos) AS first_doc FROM st GROUP BY ALL)"""
+
+
+def _stories(spark, d):
+    return T.items(spark, d).withColumns(
+        {"cluster": F.pmod(F.length("desc"), F.lit(40)).cast("bigint"), "pos": F.col("doc_id"), "name": F.col("source_name")}
+    )
+
+
+def _sources(spark, d):
+    from signalloom.operators.clusters import cluster_sources as sources
+
+    marked = F.when(F.col("name").isin("src3", "src11"), F.lit("Lab (YouTube)")).otherwise(F.col("name"))
+    return sources(_stories(spark, d).withColumns({"link": F.col("name"), "source_name": marked}))
+
+
+@query("cluster_sources", f"WITH {STORIES} SELECT cluster, link, first_pos FROM srcs")
+def cluster_sources(spark, d):
+    return _sources(spark, d).select("cluster", "link", "first_pos")
+
+
+@query("source_counts", f"WITH {STORIES} SELECT cluster, count(*) AS source_count FROM srcs GROUP BY ALL")
+def source_counts(spark, d):
+    return _sources(spark, d).groupBy("cluster").agg(F.count("*").alias("source_count"))
+
+
+@query("video_attachment", f"""WITH {STORIES}, v AS (SELECT cluster, arg_min(link, first_pos) AS video FROM srcs WHERE link IN ('src3', 'src11') GROUP BY ALL)
+  SELECT doc_id, coalesce(video = source_name, false) AS is_video, CASE WHEN video IS NULL OR video = source_name THEN '' ELSE video END AS video_url
+  FROM st LEFT JOIN v USING (cluster)""")
+def video_attachment(spark, d):
+    stories = _stories(spark, d).withColumn("link", F.col("name"))
+    found = P.video_attachment(stories, _sources(spark, d))
+    return found.select("doc_id", "is_video", F.coalesce("video_url", F.lit("")).alias("video_url"))
+
+
+@query("exclude_commentary", f"WITH {CATEGORISED} SELECT doc_id, category FROM cat WHERE category NOT IN ('analysis', 'general')")
+def exclude_commentary(spark, d):
+    from signalloom import fixed_values as V
+
+    kept = categorised(spark, d).where(~F.col("category").isin(V.COMMENTARY_CATEGORIES))
+    return kept.select("doc_id", "category")
+
+
+@query("union_feeds", "SELECT lang, count(*) AS n FROM (SELECT lang FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT lang FROM documents WHERE doc_id % 3 = 0) GROUP BY ALL")
+def union_feeds(spark, d):
+    from signalloom.sources.readers import union_feeds as union
+
+    docs = T.table(spark, d, "documents").select("doc_id", "lang")
+    return union(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0")).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("token_union_intersect", _pair(f"SELECT doc_id, len(list_intersect(a, b)) AS shared, len(a) + len(b) - len(list_intersect(a, b)) AS united FROM (SELECT doc_id, {tokens('xt')} AS a, {tokens('yt')} AS b FROM p)").replace("{extra}", ""))
+def token_union_intersect(spark, d):
+    sets = X.add_once(_neighbours(spark, d), {"x": X.token_set(F.col("a.title")), "y": X.token_set(F.col("b.title"))})
+    return sets.select("doc_id", F.size(F.array_intersect("x", "y")).cast("bigint").alias("shared"),
+                       F.size(F.array_union("x", "y")).cast("bigint").alias("united"))

@@ -53,9 +53,12 @@ def stream_daily_upsert(items: DataFrame, path: str, key: str, when: str, checkp
     return items.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
 
-def stream_change_gate(versions: DataFrame, checkpoint: str, version: str, recompute):
-    """Call ``recompute(version)`` only when a batch brings a newer version."""
-    seen = {"last": None}
+def stream_change_gate(versions: DataFrame, checkpoint: str, version: str, recompute, last=None):
+    """Call ``recompute(version)`` only when a batch brings a newer version.
+
+    ``last`` is the version computed before, for a job that starts again.
+    """
+    seen = {"last": last}
 
     def gate(batch: DataFrame, _: int) -> None:
         newest = batch.agg(F.max(version).alias("v")).first()["v"]
