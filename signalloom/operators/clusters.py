@@ -34,7 +34,7 @@ from signalloom import fixed_values as V
 from signalloom.functions.text import headline_text, name_phrases, token_set
 from signalloom.operators.classify import distinctive_objects, extract_action
 from signalloom.operators.entities import match_entities
-from signalloom.operators.similarity import idf, pair_score, tagged_weight, token_weights
+from signalloom.operators.similarity import finish_score, hopeful_pairs, tagged_weight, token_weights
 from signalloom.session import written
 
 ROWS_PER_SALT = 50_000
@@ -122,7 +122,8 @@ def blocking_keys(features: DataFrame, threshold: float, n_items: int, title_flo
     object with a shared action or entity, within 72 hours (``timed`` keys).
     """
     content = threshold / 2.4
-    title_floor = content / 0.7 if title_floor is None else title_floor
+    # a low floor costs little on short titles and spares common words of descriptions
+    title_floor = content / 3 if title_floor is None else title_floor
     desc_floor = (content - 0.5 * title_floor) / 0.2
 
     def tag(kind: str, values: Column, timed: bool) -> Column:
@@ -254,16 +255,22 @@ def _founders(state: DataFrame) -> DataFrame:
 
 def _scored(pairs: DataFrame, features: DataFrame, threshold: float, n_items: int) -> DataFrame:
     """``(i, j, score, i_ts, j_ts)`` of the pairs that reach the threshold."""
-    side = features.select("pos", F.struct(*[c for c in features.columns if c != "pos"]).alias("f"))
+    def side(columns: list[str], end: str, name: str) -> DataFrame:
+        return features.select(F.col("pos").alias(end), F.struct(*columns).alias(name))
+
+    # Descriptions are by far the widest part: they only travel with the pairs that
+    # could still reach the threshold without them being compared.
+    narrow = [c for c in features.columns if c not in ("pos", "desc_tokens")]
     # few bytes but much work per row, so the spread must not follow the size
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = pairs.repartition(parts, "i", "j").join(side.select(F.col("pos").alias("i"), F.col("f").alias("x")), "i").join(
-        side.select(F.col("pos").alias("j"), F.col("f").alias("y")), "j"
-    )
-    return pair_score(both, n_items, at_least=threshold).where(F.col("score") >= threshold).select(
-        "i", "j", "score",
+    both = pairs.repartition(parts, "i", "j").join(side(narrow, "i", "x"), "i").join(side(narrow, "j", "y"), "j")
+    hopeful = hopeful_pairs(both, n_items, threshold).select(
+        "i", "j", "_pair",
         F.unix_micros("x.published_at").alias("i_ts"), F.unix_micros("y.published_at").alias("j_ts"),
     )
+    wide = ["desc_tokens", "desc_total"]
+    told = hopeful.join(side(wide, "i", "x"), "i").join(side(wide, "j", "y"), "j")
+    return finish_score(told, n_items).where(F.col("score") >= threshold).select("i", "j", "score", "i_ts", "j_ts")
 
 
 def _components(pairs: DataFrame) -> DataFrame:

@@ -111,34 +111,28 @@ def event_relation(pairs: DataFrame, a: str = "a", b: str = "b", actions=V.ACTIO
     )
 
 
-def pair_score(
-    pairs: DataFrame, n_items: int, x: str = "x", y: str = "y", name: str = "score", at_least: float | None = None
-) -> DataFrame:
-    """Same-event score of two feature structs (see ``clusters.item_features``).
+def _text_similarity(x: str, y: str, field: str, n_items: int) -> Column:
+    a, b = (F.col(f"{side}.{field}_tokens") for side in (x, y))
+    return weighted_jaccard(a, F.col(f"{x}.{field}_total"), b, F.col(f"{y}.{field}_total"), n_items)
 
-    Agreement in entity, time and category only amplifies shared wording; a
-    clash of actions blocks a merge and a shared action on a shared object
-    forces one.
 
-    With ``at_least``, descriptions are only compared where the score could still
-    reach it; other pairs get a score that is too low either way.
-    """
+def _amplified(content: Column) -> Column:
+    return content + F.col("_pair.structure") * F.least(content, F.lit(0.5)) * 1.4
+
+
+def _without_descriptions(pairs: DataFrame, n_items: int, x: str, y: str) -> DataFrame:
+    """Add ``_pair``: all of a pair's score that needs no description."""
 
     def f(side: str, field: str) -> Column:
         return F.col(f"{side}.{field}")
 
-    def text_similarity(field: str) -> Column:
-        return weighted_jaccard(
-            f(x, f"{field}_tokens"), f(x, f"{field}_total"), f(y, f"{field}_tokens"), f(y, f"{field}_total"), n_items
-        )
-
     both_act = f(x, "action").isNotNull() & f(y, "action").isNotNull()
     same_act = F.coalesce(both_act & (f(x, "action") == f(y, "action")), F.lit(False))
     one_category = F.coalesce(f(x, "category") == f(y, "category"), F.lit(False))
-    cheap = add_once(
+    basics = add_once(
         pairs,
         {
-            "_title": F.lit(0.5) * text_similarity("title")
+            "_title": F.lit(0.5) * _text_similarity(x, y, "title", n_items)
             + F.lit(0.3) * overlap_coefficient(f(x, "phrases"), f(y, "phrases")),
             "_objects": overlap_coefficient(f(x, "objects"), f(y, "objects")),
             "_entity": jaccard(f(x, "entity_ids"), f(y, "entity_ids")),
@@ -149,28 +143,46 @@ def pair_score(
     )
     objects, entity = F.col("_objects"), F.col("_entity")
     near = clamp(F.lit(1.0) - F.col("_hours") / 48.0, 0.0, 1.0)
-    structure = F.lit(0.4) * entity + F.lit(0.35) * near + F.lit(0.25) * one_category.cast("double")
-    forced = (F.col("_hours") <= 72) & ((F.col("_same") & (objects > 0)) | ((objects >= 0.5) & (entity > 0)))
-
-    def amplified(content: Column) -> Column:
-        return content + F.col("_structure") * F.least(content, F.lit(0.5)) * 1.4
-
-    staged = add_once(cheap, {"_structure": structure, "_forced": forced})
-    desc = text_similarity("desc")
-    if at_least is not None:
-        # two sets overlap by no more than the lighter one's share of the heavier
-        totals = f(x, "desc_total"), f(y, "desc_total")
-        bound = F.coalesce(F.try_divide(F.least(*totals), F.greatest(*totals)), F.lit(0.0))
-        hopeful = amplified(F.col("_title") + F.lit(0.2) * bound) >= at_least * (1 - 1e-9)
-        desc = F.when(F.col("_forced") | hopeful, desc).otherwise(F.lit(0.0))
-    scored = add_once(staged, {"_content": F.col("_title") + F.lit(0.2) * desc})
+    agreed = (F.col("_same") & (objects > 0)) | ((objects >= 0.5) & (entity > 0))
+    summary = F.struct(
+        F.col("_title").alias("title"),
+        (F.lit(0.4) * entity + F.lit(0.35) * near + F.lit(0.25) * one_category.cast("double")).alias("structure"),
+        (F.col("_clash") & (objects < 0.6)).alias("clash"),
+        ((F.col("_hours") <= 72) & agreed).alias("forced"),
+    )
+    return add_once(basics, {"_pair": summary}).drop("_title", "_objects", "_entity", "_hours", "_same", "_clash")
+
+
+def hopeful_pairs(pairs: DataFrame, n_items: int, at_least: float, x: str = "x", y: str = "y") -> DataFrame:
+    """Pairs whose score can reach ``at_least``; needs no ``desc_tokens`` yet.
+
+    Two sets overlap by no more than the lighter one's share of the heavier.
+    """
+    totals = F.col(f"{x}.desc_total"), F.col(f"{y}.desc_total")
+    bound = F.coalesce(F.try_divide(F.least(*totals), F.greatest(*totals)), F.lit(0.0))
+    best = _amplified(F.col("_pair.title") + F.lit(0.2) * bound)
+    possible = F.col("_pair.forced") | (best >= at_least * (1 - 1e-9))
+    return _without_descriptions(pairs, n_items, x, y).where(possible)
+
+
+def finish_score(pairs: DataFrame, n_items: int, x: str = "x", y: str = "y", name: str = "score") -> DataFrame:
+    """The score of pairs that carry ``_pair`` and both descriptions."""
     content = F.col("_content")
     score = (
-        F.when(F.col("_clash") & (objects < 0.6), F.least(content, F.lit(0.15)))
-        .when(F.col("_forced"), F.greatest(content, F.lit(0.55)))
+        F.when(F.col("_pair.clash"), F.least(content, F.lit(0.15)))
+        .when(F.col("_pair.forced"), F.greatest(content, F.lit(0.55)))
         .when(content < 0.02, content)
-        .otherwise(amplified(content))
-    )
-    return scored.withColumn(name, score).drop(
-        "_title", "_content", "_objects", "_entity", "_hours", "_same", "_clash", "_structure", "_forced"
+        .otherwise(_amplified(content))
     )
+    compared = F.col("_pair.title") + F.lit(0.2) * _text_similarity(x, y, "desc", n_items)
+    return add_once(pairs, {"_content": compared}).withColumn(name, score).drop("_content", "_pair")
+
+
+def pair_score(pairs: DataFrame, n_items: int, x: str = "x", y: str = "y", name: str = "score") -> DataFrame:
+    """Same-event score of two feature structs (see ``clusters.item_features``).
+
+    Agreement in entity, time and category only amplifies shared wording; a
+    clash of actions blocks a merge and a shared action on a shared object
+    forces one.
+    """
+    return finish_score(_without_descriptions(pairs, n_items, x, y), n_items, x, y, name)
