@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat_format, rule_ledger
+from signalloom.llm import chat_format, mixture, rule_ledger, sharding
 from signalloom.llm.common import table
 
 QUERIES: dict = {}
@@ -97,3 +97,92 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = given.unionByName(added).select("conv_id", "turn", "role", chat_format.text_parts(F.col("text")).alias("parts"))
     return chat_format.digests(chat_format.format_chat(turns))
+
+
+#: The tree of the mixture and its target weights; unlisted sources weigh the same.
+def levels() -> dict:
+    return {
+        "domain": F.when(F.contains(F.coalesce("text", F.lit("")), F.lit(" | ")), "table").otherwise("prose"),
+        "lang": F.col("lang"), "source": F.col("source"),
+    }
+
+
+WEIGHTS = {"domain": {"prose": 0.9, "table": 0.1}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 7
+
+
+def _weight_sql(level: str) -> str:
+    listed = WEIGHTS.get(level, {})
+    return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in listed.items()) + " ELSE 1.0 END" if listed else "CAST(1.0 AS DOUBLE)"
+
+
+def _mix_sql() -> str:
+    names = ["domain", "lang", "source"]
+    sql = f"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' ELSE 'prose' END AS domain,
+    coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len({_WORDS}) AS BIGINT) AS n_tokens
+  FROM documents),
+l AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS supply FROM d GROUP BY ALL),
+b0 AS (SELECT least(sum(supply * {MIX_EPOCHS}) * {MIX_SHARE} / {MIX_EPOCHS}, sum(supply * {MIX_EPOCHS})) AS budget FROM l)"""
+    for k, level in enumerate(names):
+        path, above = ", ".join(names[: k + 1]), ", ".join(names[:k])
+        family = f"PARTITION BY {above}" if above else ""
+        before = f"({family} ORDER BY capacity / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        sql += f""",
+c{k} AS (
+  SELECT *, {_weight_sql(level)} AS weight
+  FROM (SELECT {path}, CAST(sum(supply * {MIX_EPOCHS}) AS DOUBLE) AS capacity FROM l GROUP BY ALL)
+  {f"JOIN b{k} USING ({above})" if above else "CROSS JOIN b0"}),
+r{k} AS (
+  SELECT *, (budget - coalesce(sum(capacity) OVER {before}, 0))
+    / greatest(sum(weight) OVER ({family}) - coalesce(sum(weight) OVER {before}, 0), 1e-12) AS reach
+  FROM c{k} WHERE weight > 0 AND capacity > 0),
+b{k + 1} AS (
+  SELECT {path}, CASE WHEN capacity / weight <= reach THEN capacity ELSE greatest(water, 0) * weight END AS budget
+  FROM (SELECT *, max(CASE WHEN capacity / weight > reach THEN reach END) OVER ({family}) AS water FROM r{k}))"""
+    last = len(names)
+    return sql + f""",
+p AS (
+  SELECT l.*, CASE WHEN supply > 0 THEN floor(round(coalesce(budget, 0), 6)) ELSE 0 END AS got
+  FROM l LEFT JOIN b{last} USING (domain, lang, source)),
+q AS (
+  SELECT *, CASE WHEN supply > 0 THEN CAST(floor(got / supply) AS BIGINT) ELSE 0 END AS epochs FROM p),
+o AS (
+  SELECT d.*, epochs, got - epochs * supply AS rest,
+    CAST('0x' || substr(md5('{MIX_SEED}:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place
+  FROM d JOIN q USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, epochs + CASE
+    WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id) <= rest THEN 1 ELSE 0 END AS copies
+FROM o
+"""
+
+
+@query("op9_mixture", _mix_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), levels(), WEIGHTS, share=MIX_SHARE, epochs=MIX_EPOCHS, seed=MIX_SEED)
+
+
+SHARD_BYTES = 1 << 20
+SHARD_SQL = f"""
+WITH d AS (
+  SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h,
+    CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes
+  FROM documents),
+e AS (SELECT *, unnest(range(0, 61)) AS depth FROM d),
+s AS (SELECT depth, h >> (60 - depth) AS prefix, sum(n_bytes) AS bytes FROM e GROUP BY ALL),
+f AS (SELECT * FROM s WHERE bytes <= {SHARD_BYTES} OR depth = 60),
+m AS (
+  SELECT doc_id, e.h, n_bytes, min(struct_pack(depth := f.depth, prefix := f.prefix, bytes := f.bytes)) AS b
+  FROM e JOIN f ON f.depth = e.depth AND f.prefix = e.h >> (60 - e.depth) GROUP BY ALL)
+SELECT doc_id, n_bytes, CASE WHEN b.depth = 0 THEN '' ELSE right(bin(b.prefix + (1::BIGINT << b.depth)), b.depth) END AS shard,
+  CAST(b.bytes AS BIGINT) AS shard_bytes, b.bytes > {SHARD_BYTES} AS oversize
+FROM m
+"""
+
+
+@query("op10_extendible_sharding", SHARD_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    return sharding.assign(sizes, SHARD_BYTES).select("doc_id", "n_bytes", "shard", "shard_bytes", "oversize")
