@@ -114,9 +114,9 @@ def shingle_hashes(words: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.nd
     if len(short):
         whole = []
         for d in short:
-            h = np.uint64(counts[d]) * _ODD
-            for w in words[begins[d] : begins[d + 1]]:
-                h = mix(np.array([h + w * multiply[4]], np.uint64))[0]
-            whole.append(h)
+            h = np.array([counts[d]], np.uint64) * _ODD
+            for w in range(begins[d], begins[d + 1]):
+                h = mix(h + words[w : w + 1] * multiply[4])
+            whole.append(h[0])
         hashed, owner = np.concatenate([hashed, np.array(whole, np.uint64)]), np.concatenate([owner, short])
     return hashed, owner

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat_format, mixture, rule_ledger, sharding
+from signalloom.llm import chat_format, jaccard_join, mixture, rule_ledger, sharding
 from signalloom.llm.common import table
 
 QUERIES: dict = {}
@@ -186,3 +186,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return sharding.assign(sizes, SHARD_BYTES).select("doc_id", "n_bytes", "shard", "shard_bytes", "oversize")
+
+
+_SHINGLES = 4
+JACCARD_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + {_SHINGLES - 1}], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {_SHINGLES - 2}, CASE WHEN len(words) > 0 THEN 2 ELSE 1 END))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT u, v FROM o JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * o >= 85 * (x.n + y.n - o)),
+c AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT l.v, c.root FROM c JOIN l ON l.u = c.doc_id AND l.v > c.root)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(c.root) AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id) GROUP BY ALL
+"""
+
+
+@query("op6_jaccard_join", JACCARD_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"), _SHINGLES, 85)
