@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat_format, jaccard_join, mixture, rule_ledger, sharding
+from signalloom.llm import chat_format, html_extract, jaccard_join, mixture, rule_ledger, secret_scan, sharding
 from signalloom.llm.common import table
 
 QUERIES: dict = {}
@@ -209,3 +209,13 @@ FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id) GROUP BY ALL
 @query("op6_jaccard_join", JACCARD_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"), _SHINGLES, 85)
+
+
+@query("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op2_html_extract")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
