@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
+    """Slices of a batch with about ``limit`` bytes of text each (one row at least), so that work arrays stay small."""
+    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    start, n = 0, batch.num_rows
+    while start < n:
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts' UTF-8 bytes in a row and the n + 1 offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
