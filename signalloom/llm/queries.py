@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat_format, html_extract, jaccard_join, mixture, rule_ledger, secret_scan, sharding, tree_weighting
+from signalloom.llm import chat_format, decontaminate, html_extract, jaccard_join, mixture, rule_ledger, secret_scan, sharding, tree_weighting
 from signalloom.llm.common import table
 
 QUERIES: dict = {}
@@ -226,3 +226,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = tree_weighting.score(docs, ~tree_weighting.held_out(F.col("doc_id")))
     return out.withColumn("held_out", tree_weighting.held_out(F.col("doc_id"))).withColumn("bits_a_byte", -F.col("score") * F.log2(F.lit(10.0)) / F.greatest("n_bytes", F.lit(1)))
+
+
+@query("op3_latent_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
