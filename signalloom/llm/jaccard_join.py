@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import mix, shingle_hashes, text_bytes, word_hashes
+from signalloom.llm.common import chunks, mix, shingle_hashes, text_bytes, word_hashes
 from signalloom.llm.components import components
 from signalloom.session import written
 
@@ -84,7 +84,7 @@ def _document_sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
 
 def _describe(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole)):
             ns, nodes, keys, bits = [], [], [], []
             for u in _document_sets(batch, k):
                 ns.append(len(u))
@@ -103,22 +103,22 @@ def _describe(k: int, percent: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole)):
             found = [u.tobytes() for u in _document_sets(batch, k)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "shingles"])
 
     return run
 
 
-_POP = np.array([bin(i).count("1") for i in range(65536)], np.uint8)
-
-
-def _fold(rows: np.ndarray, words: int) -> np.ndarray:
-    """Shorter signatures of the same sets: parities of a bit's two halves add up."""
-    while rows.shape[1] > words:
-        half = rows.shape[1] // 2
-        rows = rows[:, :half] ^ rows[:, half:]
-    return rows
+def _folded(bits: list[bytes], words: int) -> np.ndarray:
+    """Signatures cut to ``words`` 64-bit words: in a shorter signature of the same set the parities of the halves add up."""
+    out = np.empty((len(bits), words), np.uint64)
+    for i, x in enumerate(bits):
+        row = np.frombuffer(x, np.uint64)
+        while len(row) > words:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out[i] = row
+    return out
 
 
 def _close(n: np.ndarray, bits: list[bytes], percent: int, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -128,12 +128,11 @@ def _close(n: np.ndarray, bits: list[bytes], percent: int, step: int = 256) -> I
         first = int(np.searchsorted(n, _needed(int(n[a]), percent)))
         for b in range(first, e, step):
             f = min(b + step, e)
-            words = min(len(x) for x in bits[b:f]) // 2
-            left = np.stack([_fold(np.frombuffer(x, np.uint16)[None], words)[0] for x in bits[a:e]])
-            right = np.stack([_fold(np.frombuffer(x, np.uint16)[None], words)[0] for x in bits[b:f]])
+            words = min(len(bits[a]), len(bits[b])) // 8
+            left, right = _folded(bits[a:e], words), _folded(bits[b:f], words)
             differ = np.zeros((e - a, f - b), np.int64)
             for w in range(words):
-                differ += _POP[left[:, w, None] ^ right[None, :, w]]
+                differ += np.bitwise_count(left[:, w, None] ^ right[None, :, w])
             total = n[a:e, None] + n[None, b:f]
             # overlap o >= t (total - o) and differing shingles = total - 2 o
             reach = (100 + percent) * differ <= (100 - percent) * total

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat_format, decontaminate, html_extract, jaccard_join, mixture, rule_ledger, secret_scan, sharding, tree_weighting
+from signalloom.llm import bwt_dedup, chat_format, decontaminate, html_extract, jaccard_join, mixture, rule_ledger, secret_scan, sharding, tree_weighting
 from signalloom.llm.common import table
 
 QUERIES: dict = {}
@@ -231,3 +231,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_latent_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_bwt_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.digests(table(spark, sf_dir, "documents"))
