@@ -2,25 +2,67 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as
 Parquet and read again as the next one's ``docs``.  All but the last return the
-columns of ``documents``.
+columns of ``documents``; the last adds each document's shard.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from signalloom.llm import rule_ledger
+from signalloom.llm import decontaminate, jaccard_join, mixture, rule_ledger, sharding
 from signalloom.llm.common import table
+from signalloom.llm.queries import SHARD_BYTES, WEIGHTS, levels
 from signalloom.session import written
 
+#: Near duplicates by word shingles: five words, similarity of 0.8 or more.
+WORDS, PERCENT = 5, 80
+#: The mixture reads each document once at most, and this part of all tokens.
+SHARE = 0.9
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     return rule_ledger.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least doc_id stays.
+
+    Rows that repeat a doc_id and its text leave one; rows without doc_id stay.
+    """
+    groups = jaccard_join.link(docs, WORDS, PERCENT)
+    others = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-near")
+    first = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    row = first.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("th"))
+    twice = row.where("doc_id IS NOT NULL").groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th")
+    twice = written(twice, "pipeline-twice")
+    single = row.join(twice, ["doc_id", "th"], "left_anti").select("row.*")
+    repeated = row.join(twice, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"]).select("row.*")
+    return single.unionByName(repeated)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The part of the documents that meets the target weights stays."""
+    return mixture.take(docs, levels(), WEIGHTS, share=SHARE, epochs=1)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document gets its shard."""
+    return sharding.assign(docs, SHARD_BYTES)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", shards),
 ]
 ORACLE_SQL = None  # retrieval by a factorisation is not SQL; tests compare with a brute-force version
 
