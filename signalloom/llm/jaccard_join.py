@@ -37,7 +37,8 @@ from signalloom.session import written
 
 _RANGES, _SMALL, _BLOCK, _NEAREST = 24, 100, 4096, 2
 _EDGES = (np.arange(_RANGES, dtype=np.float64) / _RANGES * 2.0**64).astype(np.uint64)
-_SETS = "doc_id {id}, n long, node long, keys array<long>, bits binary"
+_SETS = "doc_id {id}, n long, node long, keys array<long>, bits binary, fine binary"
+_COARSE_BITS, _FINE_BITS = 8, 32  # signature bits per shingle in which linked sets can differ
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -49,14 +50,14 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def signature_bits(n: int, percent: int) -> int:
-    """A power of two, eight times the shingles in which linked sets of this size can differ."""
+def signature_bits(n: int, percent: int, times: int) -> int:
+    """A power of two, ``times`` the shingles in which linked sets of this size can differ."""
     differ = max(1, 2 * n * (100 - percent) // (100 + percent))
-    return max(256, 1 << (8 * differ - 1).bit_length())
+    return max(256, 1 << (times * differ - 1).bit_length())
 
 
-def _signature(u: np.ndarray, percent: int) -> bytes:
-    bits = signature_bits(len(u), percent)
+def _signature(u: np.ndarray, percent: int, times: int) -> bytes:
+    bits = signature_bits(len(u), percent, times)
     odd = np.bincount((mix(u) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -85,17 +86,18 @@ def _document_sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
 def _describe(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in chunks(whole)):
-            ns, nodes, keys, bits = [], [], [], []
+            ns, nodes, keys, bits, fine = [], [], [], [], []
             for u in _document_sets(batch, k):
                 ns.append(len(u))
                 with np.errstate(over="ignore"):
                     node = mix(np.array([mix(u).sum() + np.uint64(len(u))], np.uint64)) if len(u) else None
                 nodes.append(int(_signed(node)[0]) if len(u) else None)
                 keys.append(_signed(_tile_keys(u, percent)) if len(u) else [])
-                bits.append(_signature(u, percent) if len(u) else b"")
+                bits.append(_signature(u, percent, _COARSE_BITS) if len(u) else b"")
+                fine.append(_signature(u, percent, _FINE_BITS) if len(u) else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                names=["doc_id", "n", "node", "keys", "bits"],
+                [batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())],
+                names=["doc_id", "n", "node", "keys", "bits", "fine"],
             )
 
     return run
@@ -145,7 +147,7 @@ def _close(n: np.ndarray, bits: list[bytes], percent: int, step: int = 256) -> I
 def _propose(percent: int, nearest: int | None):
     """Sorted tile rows to candidate pairs; ``nearest``: only so many earlier neighbours each."""
 
-    def tile(rows: dict) -> tuple[np.ndarray, np.ndarray]:
+    def tile(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((rows["node"], rows["n"]))
         n, node, comp, side = (rows[c][order] for c in ("n", "node", "comp", "side"))
         bits = [rows["bits"][i] for i in order]
@@ -154,14 +156,14 @@ def _propose(percent: int, nearest: int | None):
             apart = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
             out_i.append(i[apart]), out_j.append(j[apart]), out_d.append(d[apart])
         if not out_i:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
         i, j, d = map(np.concatenate, (out_i, out_j, out_d))
         if nearest is not None:
             best = np.lexsort((j, d, i))
-            i, j = i[best], j[best]
+            i, j, d = i[best], j[best], d[best]
             rank = np.arange(len(i)) - np.searchsorted(i, i)
-            i, j = i[rank < nearest], j[rank < nearest]
-        return node[i], node[j]
+            i, j, d = i[rank < nearest], j[rank < nearest], d[rank < nearest]
+        return node[i], node[j], d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -171,21 +173,21 @@ def _propose(percent: int, nearest: int | None):
             table = table.combine_chunks()
             part = table.column("tile").to_numpy()
             edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            us, vs = [], []
+            us, vs, ds = [], [], []
             columns = {c: table.column(c).to_numpy() for c in ("n", "node", "comp", "side")}
             bits = table.column("bits")
             for s, e in zip(edges, np.append(edges[1:], len(part))):
                 if e - s < 2:
                     continue
                 rows = {c: x[s:e] for c, x in columns.items()} | {"bits": bits.slice(s, e - s).to_pylist()}
-                for u, v in zip(*(x.tolist() for x in tile(rows))):
-                    pair = (min(u, v), max(u, v))
+                for u, v, d in zip(*(x.tolist() for x in tile(rows))):
+                    pair = (u, v) if nearest is not None or u < v else (v, u)
                     if pair not in seen:
                         seen.add(pair)
-                        us.append(pair[0]), vs.append(pair[1])
+                        us.append(pair[0]), vs.append(pair[1]), ds.append(d)
             if len(seen) > 1_000_000:  # only saves repeated proposals; they are made distinct later anyway
                 seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"]) if us else None
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (us, vs, ds)], names=["u", "v", "d"]) if us else None
 
         for batch in batches:
             if not batch.num_rows:
@@ -221,7 +223,28 @@ def _candidates(members: DataFrame, percent: int, nearest: int | None) -> DataFr
             F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
         )
     rows = placed.select("tile", "node", "n", "comp", "side", "bits").repartition("tile").sortWithinPartitions("tile")
-    return rows.mapInArrow(_propose(percent, nearest), "u long, v long").distinct()
+    found = rows.mapInArrow(_propose(percent, nearest), "u long, v long, d long")
+    if nearest is None:
+        return found.select("u", "v").distinct()
+    # of all its tiles' proposals a class keeps the nearest; at most ``nearest`` came out of each of its tiles
+    best = found.groupBy("u").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "v"))), 1, nearest).alias("best"))
+    return best.select("u", F.explode("best.v").alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _within(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the longer signatures still allow."""
+    side = lambda c: fine.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"f{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("nu", "nv", "fu", "fv"))):
+                words = min(len(x), len(y)) // 8
+                differ = int(np.bitwise_count(_folded([x], words) ^ _folded([y], words)).sum())
+                keep.append((100 + percent) * differ <= (100 - percent) * (a + b))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "nv", "fu", "fv").mapInArrow(run, "u long, v long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -258,15 +281,19 @@ def link(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     bits = own.select("node", "bits").dropDuplicates(["node"])
 
     near = written(shared.join(bits, "node").withColumn("comp", F.col("node")), "jaccard-members")
+    company = shared.select("node").distinct()
+    fine = written(described.select("node", "n", "fine").join(company, "node", "left_semi").dropDuplicates(["node"]), "jaccard-signatures")
     first = written(_candidates(near, percent, _NEAREST), "jaccard-nearest")
-    links = written(_verified(first, docs, classes, k, percent), "jaccard-links")
+    allowed = written(_within(first, fine, percent), "jaccard-allowed")
+    links = written(_verified(allowed, docs, classes, k, percent), "jaccard-links")
     found = written(components(links), "jaccard-components")
 
     comp = F.coalesce("component", "node").alias("comp")
     placed = near.drop("comp").join(found, "node", "left").select("key", "node", "n", "bits", comp)
     apart = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high")
     rest = _candidates(placed.join(apart.select("key", "size"), "key"), percent, None).join(first, ["u", "v"], "left_anti")
-    more = _verified(written(rest, "jaccard-rest"), docs, classes, k, percent)
+    rest = written(_within(written(rest, "jaccard-rest"), fine, percent), "jaccard-allowed")
+    more = _verified(rest, docs, classes, k, percent)
     final = written(components(links.union(more)), "jaccard-components")
 
     label = classes.join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
