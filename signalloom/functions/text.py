@@ -137,7 +137,8 @@ def _code_point(number: Column) -> Column:
 def _expand_references(text: Column, regex: str, base: int) -> Column:
     """Replace numeric character references found by ``regex`` in one pass."""
     def rebuilt(piece: Column, ref: Column) -> Column:
-        number = F.conv(F.when(F.length(ref) <= 8, ref), base, 10).cast("bigint")
+        digits = F.ltrim(ref, F.lit("0"))
+        number = F.conv(F.when(F.length(digits) <= 8, digits), base, 10).cast("bigint")
         original = F.concat(F.lit("&#x" if base == 16 else "&#"), ref, F.lit(";"))
         return F.concat(piece, F.coalesce(_code_point(number), original, F.lit("")))
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom import fixed_values as V
-from signalloom.functions.text import headline_text, name_phrases, token_set
+from signalloom.functions.text import headline_text, name_phrases
 from signalloom.operators.classify import distinctive_objects, extract_action
 from signalloom.operators.entities import match_entities
 from signalloom.operators.similarity import finish_score, hopeful_pairs, tagged_weight, token_weights
@@ -41,6 +41,7 @@ ROWS_PER_SALT = 50_000
 GUESS_WINDOW = 65_536
 HOT_KEY = 512
 COMPONENT_PAIRS = 200_000
+TIMED = 72 * 3_600_000_000  # microseconds within which a forced merge can happen
 
 
 @dataclass
@@ -191,16 +192,19 @@ def _representatives(state: DataFrame) -> DataFrame:
 
 
 def _near(timed: Column, a: Column, b: Column) -> Column:
-    return ~timed | (F.abs(a - b) <= 72 * 3_600_000_000)
+    return ~timed | (F.abs(a - b) <= TIMED)
 
 
 def _cold_pairs(keys: DataFrame) -> DataFrame:
     """All distinct ``(i, j)`` with ``i > j`` that share a key of few items."""
     cold = keys.where("not hot").select("pos", "ts", "key", "timed")
-    left = cold.select("key", "timed", F.col("pos").alias("i"), F.col("ts").alias("i_ts"))
-    right = cold.select("key", F.col("pos").alias("j"), F.col("ts").alias("j_ts"))
+    # timed keys meet in their own and the neighbouring cells of 72 hours only
+    cell = F.when(F.col("timed"), F.floor(F.col("ts") / TIMED)).otherwise(F.lit(0)).cast("bigint")
+    around = F.when(F.col("timed"), F.array(cell - 1, cell, cell + 1)).otherwise(F.array(cell))
+    left = cold.select("key", "timed", cell.alias("cell"), F.col("pos").alias("i"), F.col("ts").alias("i_ts"))
+    right = cold.select("key", F.explode(around).alias("cell"), F.col("pos").alias("j"), F.col("ts").alias("j_ts"))
     near = _near(F.col("timed"), F.col("i_ts"), F.col("j_ts"))
-    return left.join(right, "key").where((F.col("i") > F.col("j")) & near).select("i", "j").distinct()
+    return left.join(right, ["key", "cell"]).where((F.col("i") > F.col("j")) & near).select("i", "j").distinct()
 
 
 def _current_pairs(keys: DataFrame, reps: DataFrame) -> DataFrame:
@@ -328,7 +332,7 @@ def _walker():
     return walk
 
 
-def _solve(state: DataFrame, pairs: DataFrame, component_pairs: int, max_rounds: int) -> DataFrame:
+def _solve(state: DataFrame, pairs: DataFrame, component_pairs: int) -> DataFrame:
     """The assignment that follows from ``pairs``."""
     component = _components(pairs)
     held = pairs.join(component.withColumnRenamed("pos", "i"), "i")
@@ -346,14 +350,13 @@ def _solve(state: DataFrame, pairs: DataFrame, component_pairs: int, max_rounds:
     inside = written(large.select(F.col("i").alias("pos")).union(large.select("j")).distinct(), "inside")
     rest = solved.join(inside, "pos", "left_anti")
     part = written(state.join(inside, "pos", "left_semi"), "state")
-    for _ in range(max_rounds):
+    while True:  # each round settles at least the first open position
         new = written(_choose_again(part, large), "state")
         old = part.select("pos", F.col("choice").alias("_old"))
         changed = new.join(old, "pos").where(~F.col("choice").eqNullSafe(F.col("_old"))).limit(1).count()
         part = new
         if not changed:
             return written(rest.unionByName(part), "state")
-    raise RuntimeError(f"choices did not settle in {max_rounds} rounds")
 
 
 def _choose_again(state: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -388,7 +391,6 @@ def event_clusters(
     title_floor: float | None = None,
     hot_key: int = HOT_KEY,
     component_pairs: int = COMPONENT_PAIRS,
-    max_rounds: int = 1000,
 ) -> Clustering:
     """Group ``items(title, desc, published_at, link, source_name, category, ...)``.
 
@@ -402,7 +404,9 @@ def event_clusters(
     state = written(_first_guess(features), "state")
     pairs = written(_scored(_cold_pairs(keys), features, threshold, n_items), "pairs")
     any_hot = keys.where("hot").limit(1).count() > 0
-    for rounds in range(1, max_rounds + 1):
+    rounds = 0
+    while True:
+        rounds += 1
         if any_hot:
             current = _current_pairs(keys.where("hot"), _representatives(state))
             unseen = current.join(pairs, ["i", "j"], "left_anti")
@@ -410,11 +414,9 @@ def event_clusters(
             if rounds > 1 and not added.limit(1).count():
                 break
             pairs = written(pairs.unionByName(added), "pairs")
-        state = _solve(state, pairs, component_pairs, max_rounds)
+        state = _solve(state, pairs, component_pairs)
         if not any_hot:
             break
-    else:
-        raise RuntimeError(f"grouping did not settle in {max_rounds} rounds")
 
     assigned = written(placed.join(_founders(state), "pos"), "assigned")
     last = _representatives(state).where(F.col("until").isNull()).select("pos")

@@ -197,11 +197,16 @@ def unused(rows: DataFrame, used: DataFrame, key: str) -> DataFrame:
 def paginate(pages: DataFrame, by: list[str], max_pages: int = 3, page_size: int = 100) -> DataFrame:
     """Fetch totals per query from landed pages ``(query, page, nb_hits, page_hits)``.
 
-    Pages after a short one, after the total is reached, or beyond the page
-    limit do not count, as they would not have been requested.
+    Pages after a short one, after a missing one, after the reported total is
+    reached, or beyond the page limit do not count, as they would not have been
+    requested.  A query has at most ``max_pages`` pages, which bounds the window.
     """
-    kept = pages.where(F.col("page") < max_pages)
-    short = F.col("page_hits") < page_size
-    stop = kept.groupBy(*by).agg(F.min(F.when(short, F.col("page"))).alias("_stop"))
-    used = kept.join(stop, by).where(F.col("_stop").isNull() | (F.col("page") <= F.col("_stop")))
+    before = Window.partitionBy(*by).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    until = Window.partitionBy(*by).orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    fetched = F.sum("page_hits").over(until)
+    ends = (F.col("page_hits") < page_size) | (fetched >= F.max("nb_hits").over(until))
+    gap = F.col("page") != F.row_number().over(Window.partitionBy(*by).orderBy("page")) - 1
+    marked = pages.where(F.col("page") < max_pages).withColumn("_ends", ends).withColumn("_gap", gap)
+    stopped = F.coalesce(F.bool_or("_ends").over(before), F.lit(False)) | F.col("_gap")
+    used = marked.withColumn("_stopped", stopped).where(~F.col("_stopped"))
     return used.groupBy(*by).agg(F.max("nb_hits").alias("raw_hits"), F.sum("page_hits").alias("fetched_count"))

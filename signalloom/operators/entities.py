@@ -49,22 +49,26 @@ def match_entities(df: DataFrame, entities, title: str = "title", desc: str = "d
     )
 
 
-def link_terms(df: DataFrame, key: str, text: str, terms: DataFrame, max_words: int = 3) -> DataFrame:
+def link_terms(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """``(key, id)`` for each entity one of whose plain terms occurs in the text.
 
-    ``terms(id, term)`` may be large: texts become n-grams of up to ``max_words``
-    words and meet the terms in an equi-join; the optimizer broadcasts the
-    terms when they are small and splits skewed words otherwise.
+    ``terms(id, term)`` may be large: texts become n-grams of as many words as
+    the terms have (the sizes that occur are a one-row aggregate) and meet the
+    terms in an equi-join; the optimizer broadcasts the terms when they are small
+    and splits skewed words otherwise.  Words are compared after normalisation, so
+    "gpt 5" also finds "gpt-5": unlike :func:`match_entities`, which looks at the text.
     """
     words = F.split(normalize_title(F.col(text)), " ")
+    known = terms.select("id", normalize_title(F.col("term")).alias("_gram")).where("_gram <> ''").distinct()
+    sizes = known.agg(F.collect_set(F.size(F.split("_gram", " "))).alias("_sizes"))
     gram = "concat_ws(' ', slice(_w, p + 1, n))"
-    starts = f"sequence(0, size(_w) - n)"
+    starts = "sequence(0, size(_w) - n)"
     grams = F.expr(
-        f"array_distinct(flatten(transform(sequence(1, least({max_words}, size(_w))), "
+        "array_distinct(flatten(transform(filter(_sizes, n -> n <= size(_w)), "
         f"n -> transform({starts}, p -> {gram}))))"
     )
-    exploded = df.select(F.col(key), words.alias("_w")).select(key, F.explode(grams).alias("_gram"))
-    known = terms.select("id", normalize_title(F.col("term")).alias("_gram")).distinct()
+    wordy = df.select(F.col(key), words.alias("_w")).join(F.broadcast(sizes))
+    exploded = wordy.select(key, F.explode(grams).alias("_gram"))
     return exploded.join(known, "_gram").select(key, "id").distinct()
 
 

@@ -42,9 +42,10 @@ def staleness_filter(
     when: str = "published_at",
 ) -> DataFrame:
     """Drop old items, unless that leaves fewer than ``at_least``."""
-    fresh = items.where(seconds_between(moment(as_of), F.col(when)) <= max_age_days * DAY)
-    enough = fresh.limit(at_least).count() >= at_least
-    return fresh if enough else items
+    fresh = seconds_between(moment(as_of), F.col(when)) <= max_age_days * DAY
+    # one row, decided when the plan runs; a limit first, so that counting ends early
+    enough = items.where(fresh).limit(at_least).agg((F.count("*") >= at_least).alias("_enough"))
+    return items.join(F.broadcast(enough)).where(fresh | ~F.col("_enough")).drop("_enough")
 
 
 def prune_retention(events: DataFrame, as_of, days: int = V.RETENTION_DAYS, day: str = "collected_on") -> DataFrame:
@@ -151,6 +152,27 @@ def counts_as_map(counts: DataFrame, by: str, key: str, value: str = "n") -> Dat
     return counts.groupBy(by).agg(F.map_from_entries(entries).alias("counts"))
 
 
+def ranges_document(
+    events: DataFrame, entities: DataFrame, as_of, depth_hours: float, ranges: dict[str, int] = V.RANGE_HOURS,
+    ids: str = "entity_ids", when: str = "published_at", collected: str = "collected_on", k: int = 8,
+) -> DataFrame:
+    """The published document, one row per range: totals, entities, categories, the busiest, and the daily series.
+
+    Lists are as long as the dimension, the categories or the days; events are only counted.
+    """
+    per = entity_range(events, entities, as_of, depth_hours, ranges, ids, when)
+    listed = lambda *columns: F.sort_array(F.collect_list(F.struct(*columns)))
+    by_entity = per.groupBy("range").agg(listed("id", "n", "previous", "delta").alias("entities"))
+    by_category = category_range(events, as_of, ranges, when).groupBy("range").agg(listed("category", "n").alias("categories"))
+    top = top_entities(per, k).groupBy("range").agg(listed("rank", "id", "n", "delta").alias("top"))
+    daily = daily_category_counts(events, collected, when).agg(listed("date", "category", "n").alias("daily"))
+    whole = range_summary(events, as_of, depth_hours, ranges, when)
+    for part in (by_entity, by_category, top):
+        whole = whole.join(part, "range", "left")
+    depth = round_half_up(F.lit(float(depth_hours)) / 24, 1).alias("history_depth_days")
+    return whole.join(F.broadcast(daily)).withColumn("generated_at", moment(as_of)).select("*", depth)
+
+
 def activity_levels(activity: DataFrame, k: int = 4) -> DataFrame:
     """``norm`` of the busiest and whether an entity is among the ``k`` most active.
 

@@ -242,3 +242,20 @@ def market_values(quotes: DataFrame) -> DataFrame:
             "dollar_volume": F.col("volume") * F.col("price"),
         }
     )
+
+
+def stock_nodes(stocks: DataFrame, last_bar: DataFrame, live: DataFrame, key: str = "ticker") -> DataFrame:
+    """Curated stock rows with today's figures.
+
+    ``live(live_price, live_volume)`` comes first; a missing price stays unknown with the
+    market value, a missing volume falls back to the last bar's.  ``stocks`` has ``shares`` in
+    billions; a stock without shares has no market value.
+    """
+    joined = stocks.join(live, key, "left").join(last_bar.select(key, F.col("volume").alias("_bar_volume")), key, "left")
+    priced = joined.withColumns({"price": F.col("live_price"), "volume": F.coalesce("live_volume", "_bar_volume")})
+    return market_values(priced).drop("live_price", "live_volume", "_bar_volume")
+
+
+def compact_stocks(nodes: DataFrame, dropped: tuple[str, ...] = ("series", "ohlc")) -> DataFrame:
+    """The per-stock projection for the published document: everything but the series."""
+    return nodes.drop(*dropped)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom import fixed_values as V
@@ -109,6 +109,37 @@ def family_groups(signals: DataFrame, as_of, hours: int = 24, when: str = "publi
     )
 
 
+def ranked_families(signals: DataFrame, as_of, hours: int = 24, when: str = "published_at", tie: str = "id") -> DataFrame:
+    """:func:`family_groups` with ``rank``, the 1-based place inside the family.
+
+    Families are few and may be large, so places are not counted in one task each:
+    rows are first counted per family and significance, and only rows of equal
+    significance are numbered among themselves.
+    """
+    grouped = family_groups(signals, as_of, hours, when, tie).withColumn("_s", F.coalesce("significance", F.lit(0)))
+    sizes = grouped.groupBy("family", "_s").agg(F.count("*").alias("_n"))
+    above = Window.partitionBy("family").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("family", "_s", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
+    among = F.row_number().over(Window.partitionBy("family", "_s").orderBy(tie))
+    return grouped.join(offsets, ["family", "_s"]).withColumn("rank", (F.col("_above") + among).cast("int")).drop("_s", "_above")
+
+
+def latest_previews(signals: DataFrame, waves: DataFrame, ticker: int = 12, lead: int = 3, newest: int = 3, tie: str = "id") -> DataFrame:
+    """What a front page previews: ``(panel, rank, id)`` of the most significant
+    signals, the leading waves and the newest signals.  Three global limits."""
+    def panel(df: DataFrame, name: str, k: int, *order) -> DataFrame:
+        first = df.orderBy(*order).limit(k)  # k rows from here on
+        place = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order))
+        return first.select(F.lit(name).alias("panel"), place.alias("rank"), F.col(tie).alias("id"))
+
+    strong = [F.desc(F.coalesce("significance", F.lit(0))), F.col(tie)]
+    return (
+        panel(signals, "ticker", ticker, *strong)
+        .unionByName(panel(waves, "waves", lead, *strong))
+        .unionByName(panel(signals, "river", newest, F.col("published_at").desc_nulls_last(), F.col(tie)))
+    )
+
+
 def family_counts(grouped: DataFrame, families=V.FAMILIES) -> DataFrame:
     """All families, also the empty ones."""
     spark = grouped.sparkSession

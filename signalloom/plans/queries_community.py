@@ -158,12 +158,15 @@ def top_threads(spark, d):
 
 
 @query("paginate_sample", """WITH p AS (SELECT user_id AS query, CAST(date_part('day', ts) AS INTEGER) - 1 AS page, count(*) AS page_hits FROM events GROUP BY ALL),
-  k AS (SELECT *, page_hits + 50 - page AS nb_hits FROM p WHERE page < 20), s AS (SELECT query, min(page) FILTER (page_hits < 2) AS stop FROM k GROUP BY ALL)
-  SELECT query, max(nb_hits) AS raw_hits, CAST(sum(page_hits) AS BIGINT) AS fetched_count FROM k JOIN s USING (query) WHERE stop IS NULL OR page <= stop GROUP BY ALL""")
+  k AS (SELECT *, query % 90 + 20 AS nb_hits, page <> row_number() OVER (PARTITION BY query ORDER BY page) - 1 AS gap,
+    page_hits < 2 OR sum(page_hits) OVER (PARTITION BY query ORDER BY page) >= query % 90 + 20 AS ends FROM p WHERE page < 31),
+  u AS (SELECT *, coalesce(bool_or(ends) OVER (PARTITION BY query ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS stopped FROM k)
+  SELECT query, CAST(max(nb_hits) AS BIGINT) AS raw_hits, CAST(sum(page_hits) AS BIGINT) AS fetched_count FROM u WHERE NOT stopped AND NOT gap GROUP BY ALL""")
 def paginate_sample(spark, d):
+    """A page is a day of the month: users without an event on a day miss a page, quiet days are short, totals differ by user."""
     events = T.table(spark, d, "events")
     pages = events.groupBy(F.col("user_id").alias("query"), (F.dayofmonth("ts") - 1).alias("page")).agg(F.count("*").alias("page_hits"))
-    return K.paginate(pages.withColumn("nb_hits", F.col("page_hits") + 50 - F.col("page")), ["query"], 20, 2)
+    return K.paginate(pages.withColumn("nb_hits", F.col("query") % 90 + 20), ["query"], 31, 2)
 
 
 @query("interleave_sources", f"""WITH {COMMENTS}, r AS (SELECT conv_id, role, comment_id, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rank FROM comments)

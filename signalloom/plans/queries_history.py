@@ -73,11 +73,32 @@ def history_depth(spark, d):
     return H.history_depth(T.events(spark, d), AS_OF)
 
 
+def _stored_history(spark, d):
+    """The events as a stored history, written through the sink; its folder."""
+    import uuid
+
+    from signalloom.session import shared_folder
+    from signalloom.sources.tables import upsert_days
+
+    path = f"{shared_folder(spark)}/signalloom/history-{uuid.uuid4().hex}"
+    upsert_days(T.events(spark, d).select("id", "category", "published_at", "collected_on"), path, "id")
+    return path
+
+
 @query("read_history", f"WITH {EV} SELECT category, count(*) AS n FROM ev WHERE day >= DATE '2024-01-20' GROUP BY ALL")
 def read_history(spark, d):
-    return T.events(spark, d).where(F.col("collected_on") >= F.lit("2024-01-20").cast("date")).groupBy("category").agg(
-        F.count("*").alias("n")
-    )
+    from signalloom.sources.readers import read_history as read
+
+    return read(spark, _stored_history(spark, d), "2024-01-20").groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("drop_expired", f"WITH {EV} SELECT day AS collected_on, count(*) AS n FROM ev WHERE day >= DATE '2024-01-21' GROUP BY ALL")
+def drop_expired(spark, d):
+    from signalloom.sources.tables import drop_expired as drop
+
+    path = _stored_history(spark, d)
+    drop(spark, path, AS_OF, 10)
+    return spark.read.parquet(path).groupBy("collected_on").agg(F.count("*").alias("n"))
 
 
 @query("prune_retention", f"WITH {EV} SELECT day AS collected_on, count(*) AS n FROM ev WHERE day >= DATE '2024-01-21' GROUP BY ALL")
@@ -86,6 +107,69 @@ def prune_retention(spark, d):
     return kept.groupBy("collected_on").agg(F.count("*").alias("n"))
 
 
+@query("write_documents", """SELECT 'events' AS dataset, event_type AS name, count(*) AS n FROM events GROUP BY ALL
+  UNION ALL SELECT 'nations', n_name, 1 FROM nation""")
+def write_documents(spark, d):
+    import uuid
+
+    from signalloom.session import shared_folder
+    from signalloom.sources.tables import write_documents as write
+
+    folder = f"{shared_folder(spark)}/signalloom/documents-{uuid.uuid4().hex}"
+    events = T.events(spark, d).groupBy(F.col("category").alias("name")).agg(F.count("*").alias("n"))
+    nations = T.table(spark, d, "nation").select(F.col("n_name").alias("name"), F.lit(1).alias("n"))
+    write({"events": events, "nations": nations}, folder)
+    back = [spark.read.schema("name string, n bigint").json(f"{folder}/{x}").withColumn("dataset", F.lit(x)) for x in ("events", "nations")]
+    return back[0].unionByName(back[1]).select("dataset", "name", "n")
+
+
+@query("load_dims", """SELECT n_name AS id, n_nationkey % 4 AS layer, 10 * n_regionkey AS importance, lower(n_name) AS term, r_name AS dst
+  FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def load_dims(spark, d):
+    """Nations as entities and their regions as edges, landed as one document and loaded back."""
+    import uuid
+
+    from signalloom.session import shared_folder
+    from signalloom.sources import readers
+
+    path = f"{shared_folder(spark)}/signalloom/entities-{uuid.uuid4().hex}"
+    rows = T.table(spark, d, "nation").join(T.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    node = F.struct(F.col("n_name").alias("id"), (F.col("n_nationkey") % 4).cast("int").alias("layer"),
+                    (F.col("n_regionkey") * 10).cast("int").alias("importance"), F.array(F.lower("n_name")).alias("match"))
+    edge = F.struct(F.col("n_name").alias("from"), F.col("r_name").alias("to"), F.lit("in").alias("type"))
+    rows.agg(F.collect_list(node).alias("nodes"), F.collect_list(edge).alias("connections")).write.json(path)
+    nodes, edges = readers.load_entities(spark, path), readers.load_edges(spark, path)
+    return nodes.join(edges, F.col("id") == F.col("src")).select("id", "layer", "importance", F.element_at("match", 1).alias("term"), "dst")
+
+
+@query("days_ago", f"SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY")
+def days_ago(spark, d):
+    from signalloom.functions.dates import days_ago as ago
+
+    return T.events(spark, d).where(F.col("published_at") >= ago(10, AS_OF)).select("id")
+
+
+DOCUMENT = f"""{ENTITY_RANGE},
+  t AS (SELECT "range", id, n, row_number() OVER (PARTITION BY "range" ORDER BY n DESC, id) AS rank FROM per WHERE n > 0),
+  s AS (SELECT day, category, count(*) AS n FROM ev GROUP BY ALL)
+  SELECT r."range", (SELECT count(*) FROM ev WHERE age >= 0 AND age < hours) AS event_count, 720 >= 2 * hours AS previous_complete, 30.0::DOUBLE AS history_depth_days,
+    (SELECT string_agg(id || ':' || n || ':' || previous, ',' ORDER BY id) FROM per p WHERE p."range" = r."range") AS entities,
+    (SELECT string_agg(category || ':' || n, ',' ORDER BY category) FROM (SELECT category, count(*) AS n FROM ev WHERE age >= 0 AND age < hours GROUP BY ALL)) AS categories,
+    (SELECT string_agg(rank || ':' || id, ',' ORDER BY rank) FROM t WHERE t."range" = r."range" AND rank <= 8) AS top,
+    (SELECT string_agg(CAST(day AS VARCHAR) || ':' || category || ':' || n, ',' ORDER BY day, category) FROM s) AS daily
+  FROM ranges r"""
+
+
+@query("ranges_document", f"WITH {DOCUMENT}")
+def ranges_document(spark, d):
+    doc = H.ranges_document(T.events(spark, d), T.entity_groups(spark, d), AS_OF, 720)
+    told = lambda c, *fields: F.array_join(F.transform(c, lambda e: F.concat_ws(":", *[e[f].cast("string") for f in fields])), ",").alias(c)
+    return doc.select(
+        "range", "event_count", "previous_complete", "history_depth_days", told("entities", "id", "n", "previous"),
+        told("categories", "category", "n"), told("top", "rank", "id"), told("daily", "date", "category", "n"),
+    )
+
+
 def _last(events, kind):
     row = F.max_by(F.struct("cluster_id", "category", "id"), F.struct("published_at", "id")).alias("r")
     return events.where(F.col("category") == kind).groupBy("cluster_id").agg(row).select("r.*")
@@ -235,3 +319,23 @@ def stream_daily_upsert(spark, d):
     source = stream_ingest(spark, f"{d}/events*.parquet", schema).select("event_id", "user_id", "ts")
     upsert(source, f"{base}/out", "user_id", "ts", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out").select("collected_on", "user_id", "event_id")
+
+
+@query("stream_change_gate", "SELECT max(event_id) AS version FROM events")
+def stream_change_gate(spark, d):
+    """The gate runs twice over the landed events; the second run finds nothing newer."""
+    import uuid
+
+    from signalloom.session import shared_folder
+    from signalloom.streaming.jobs import last_version, stream_change_gate as gate, stream_ingest
+
+    base = f"{shared_folder(spark)}/signalloom/gate-{uuid.uuid4().hex}"
+    schema = T.table(spark, d, "events").schema
+    for run in ("first", "second"):
+        source = stream_ingest(spark, f"{d}/events*.parquet", schema)
+        checkpoint = f"{base}/{run}"
+        done = f"{base}/state"
+        job = gate(source, done, "event_id", lambda v: None).option("checkpointLocation", checkpoint)
+        job.trigger(availableNow=True).start().awaitTermination()
+    last_version(spark, done)
+    return spark.read.parquet(f"{done}-version").select("version")

@@ -135,6 +135,58 @@ def market_cap(spark, d):
     )
 
 
+STOCKS = f"""{BARS}, live AS (SELECT c_nationkey AS ord, avg(c_acctbal) AS live_price, CASE WHEN any_value(c_nationkey) % 3 > 0 THEN count(*) END AS live_volume
+    FROM customer WHERE c_nationkey % 5 <> 1 GROUP BY c_nationkey),
+  nodes AS (SELECT n_name AS ticker, {half_up("live_price", 6)} AS price, coalesce(live_volume, b.volume) AS volume,
+    {half_up("CASE WHEN n_nationkey % 4 <> 2 THEN n_nationkey + 1.0 END * 1e9 * live_price / 1e6", 1)} AS market_cap_m,
+    {half_up("coalesce(live_volume, b.volume) * live_price", 2)} AS dollar_volume
+    FROM nation LEFT JOIN live ON live.ord = n_nationkey LEFT JOIN (SELECT ticker, volume FROM ranked WHERE rn = 1) b ON b.ticker = n_name)"""
+
+
+def _stock_nodes(spark, d):
+    """Nations as stocks: some without shares, some without a live price or a live volume."""
+    number = F.col("ord")
+    stocks = T.tickers(spark, d).withColumn("shares", F.when(number % 4 != 2, (number + 1).cast("double")))
+    bars = T.bars(spark, d)
+    last = bars.groupBy("ticker").agg(F.max_by("volume", "date").alias("volume"))
+    quotes = T.table(spark, d, "customer").where("c_nationkey % 5 <> 1").groupBy(F.col("c_nationkey").alias("ord")).agg(
+        F.avg("c_acctbal").alias("live_price"), F.count("*").alias("_n")
+    ).select("ord", "live_price", F.when(F.col("ord") % 3 > 0, F.col("_n")).alias("live_volume"))
+    live = T.tickers(spark, d).join(quotes, "ord").select("ticker", "live_price", "live_volume")
+    series = bars.groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("date", "close"))).alias("series"))
+    return M.stock_nodes(stocks.drop("ord"), last, live).join(series, "ticker", "left")
+
+
+@query("stock_meta_join", f"WITH {STOCKS} SELECT * FROM nodes")
+def stock_meta_join(spark, d):
+    return _stock_nodes(spark, d).select(
+        "ticker", round_half_up(F.col("price"), 6).alias("price"), "volume",
+        round_half_up(F.col("market_cap") / 1e6, 1).alias("market_cap_m"), round_half_up(F.col("dollar_volume"), 2).alias("dollar_volume"),
+    )
+
+
+@query("signal_limit_fields", f"WITH {STOCKS} SELECT ticker, CASE WHEN t.k % 4 <> 2 THEN t.k + 1.0::DOUBLE END AS shares, volume FROM nodes JOIN (SELECT n_name, n_nationkey AS k FROM nation) t ON n_name = ticker")
+def signal_limit_fields(spark, d):
+    compact = M.compact_stocks(_stock_nodes(spark, d))
+    return compact.select(*[c for c in compact.columns if c not in ("price", "market_cap", "dollar_volume")])
+
+
+@query("listed_offers", """SELECT p_brand || '-' || p_partkey AS alias, CAST(p_size AS DOUBLE) / 100 AS price FROM part WHERE p_size / 100.0 > 0.15 AND p_size <> 50
+  UNION ALL SELECT p_brand || '-' || p_partkey, p_retailprice / 1000 FROM part WHERE p_retailprice / 1000 > 0.15 AND p_retailprice <> 500""")
+def listed_offers(spark, d):
+    """The second marketplace: landed JSON, two prices a type, placeholders dropped."""
+    from signalloom.sources.media import parse_listed_offers
+
+    part = T.table(spark, d, "part")
+    kind = F.struct(
+        F.concat_ws("-", "p_brand", F.col("p_partkey").cast("string")).alias("id"), (F.col("p_size").cast("double") / 100).alias("communityPrice"),
+        (F.col("p_retailprice") / 1000).alias("securePrice"),
+    )
+    body = F.to_json(F.struct(F.struct(F.array(kind).alias("gpuTypes")).alias("data"))).alias("body")
+    listed = parse_listed_offers(part.select(body))
+    return O.listed_prices(listed, "id", ["communityPrice", "securePrice"], "listed").select("alias", "price")
+
+
 # ---- offers -----------------------------------------------------------------
 OFFERS = """off AS (SELECT p_brand AS alias, l_extendedprice / coalesce(nullif(l_quantity, 0), 1) AS price, CAST(l_shipdate AS DATE) AS "date"
     FROM lineitem JOIN part ON l_partkey = p_partkey),

@@ -121,13 +121,16 @@ def dq_collections(spark, d):
     return Q.check_rows(near, "embeddings", F.col("vec_id"), [Q.non_empty_array("near", 2)])
 
 
-@query("dq_optional_dataset", "SELECT 'required_collection' AS rule, 'labels' AS dataset, 'score' AS row_key, 'missing' AS detail UNION ALL SELECT 'required_collection', 'labels', 'quality', 'int'")
+@query("dq_optional_dataset", """SELECT 'unique' AS rule, 'labels' AS dataset, source || '|' || toxic AS row_key, 'n=' || count(*) AS detail
+  FROM labels JOIN documents USING (doc_id) GROUP BY source, toxic HAVING count(*) > 1""")
 def dq_optional(spark, d):
+    """Rules over an optional dataset's rows: where it is absent they find nothing, where it is there they read it."""
     from signalloom.sources.readers import optional_source
 
-    absent = optional_source(spark, f"{d}/no_such_table.parquet", "doc_id bigint", "parquet")
-    labels = T.table(spark, d, "labels").unionByName(absent, allowMissingColumns=True)
-    return Q.required_columns(labels, "labels", {"doc_id": "bigint", "quality": "array", "score": "double"})
+    schema = T.table(spark, d, "labels").schema
+    labels = optional_source(spark, f"{d}/labels.parquet", schema, "parquet").unionByName(optional_source(spark, f"{d}/no_such_table.parquet", schema, "parquet"))
+    joined = labels.join(T.table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return Q.unique(joined, "labels", "source", "toxic")
 
 
 @query("dq_all_rules", " UNION ALL ".join([

@@ -88,7 +88,18 @@ def html_escape(spark, d):
     return T.table(spark, d, "pages").select("page_id", X.html_escape(F.col("html")).alias("html"))
 
 
-@query("excerpt")
+EXCERPT = f"""WITH {ITEMS}, t AS (SELECT doc_id, {{clean}} AS t FROM items),
+  f AS (SELECT doc_id, t, strpos(lower(t), 'thre') - 1 AS hit FROM t),
+  s AS (SELECT doc_id, t, CASE WHEN hit > 90 THEN hit - 62 ELSE 0 END AS start FROM f),
+  g AS (SELECT *, strpos(substr(t, start + 1, 180), ' ') - 1 AS gap FROM s),
+  h AS (SELECT *, CASE WHEN start > 0 AND gap > 0 AND gap < 25 THEN gap + 1 ELSE 0 END AS skip FROM g),
+  b AS (SELECT *, substr(t, start + 1 + skip, 180 - skip) AS head FROM h),
+  l AS (SELECT *, length(head) - strpos(reverse(head), ' ') AS gap_at FROM b)
+  SELECT doc_id, CASE WHEN length(t) <= 180 THEN t ELSE (CASE WHEN start > 0 THEN '…' ELSE '' END)
+    || rtrim(CASE WHEN strpos(head, ' ') > 0 AND gap_at > 108 THEN substr(head, 1, gap_at) ELSE head END) || '…' END AS excerpt FROM l"""
+
+
+@query("excerpt", EXCERPT.replace("{clean}", "trim(regexp_replace(regexp_replace(descr, '<[^>]+>', '', 'g'), '[\\s]+', ' ', 'g'))"))
 def excerpt(spark, d):
     return T.items(spark, d).select("doc_id", X.excerpt(F.col("desc"), 180, "thre").alias("excerpt"))
 
@@ -253,7 +264,7 @@ def link_terms(spark, d):
     first = T.table(spark, d, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("term"))
     terms = first.unionByName(spark.createDataFrame([("on the",), ("than",)], "term string")).distinct()
     items = T.items(spark, d).withColumn("btxt", both_texts())
-    return E.link_terms(items, "doc_id", "btxt", terms.select(F.lower("term").alias("id"), "term"), max_words=2)
+    return E.link_terms(items, "doc_id", "btxt", terms.select(F.lower("term").alias("id"), "term"))
 
 
 # ---- similarity of neighbouring documents -----------------------------------
@@ -501,17 +512,37 @@ def family_groups(spark, d):
     return P.family_groups(signals(spark, d), L.AS_OF, 240, tie="doc_id").select("family", "doc_id", "significance")
 
 
+@query("family_sorted", f"""WITH {SIGNALS} SELECT family, doc_id, CAST(row_number() OVER (PARTITION BY family ORDER BY significance DESC, doc_id) AS INTEGER) AS rank
+  FROM signals WHERE category NOT IN ('analysis', 'general') AND published_at BETWEEN {AS_OF} - INTERVAL 240 HOUR AND {AS_OF}""")
+def family_sorted(spark, d):
+    return P.ranked_families(signals(spark, d), L.AS_OF, 240, tie="doc_id").select("family", "doc_id", "rank")
+
+
+@query("latest_previews", f"""WITH {SIGNALS}, w AS (SELECT doc_id, significance FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY significance DESC, doc_id) AS rn
+    FROM signals WHERE category NOT IN ('analysis', 'general')) WHERE rn = 1),
+  a AS (SELECT 'ticker' AS panel, row_number() OVER (ORDER BY significance DESC, doc_id) AS rank, doc_id AS id FROM signals QUALIFY rank <= 12
+    UNION ALL SELECT 'waves', row_number() OVER (ORDER BY significance DESC, doc_id) AS rank, doc_id FROM w QUALIFY rank <= 3
+    UNION ALL SELECT 'river', row_number() OVER (ORDER BY published_at DESC, doc_id) AS rank, doc_id FROM signals QUALIFY rank <= 3)
+  SELECT panel, CAST(rank AS INTEGER) AS rank, id FROM a""")
+def latest_previews(spark, d):
+    live = signals(spark, d)
+    return P.latest_previews(live, P.top_wave_per_family(live), tie="doc_id")
+
+
 @query("family_counts", f"""WITH {SIGNALS}, g AS (SELECT family FROM signals WHERE category NOT IN ('analysis', 'general') AND published_at BETWEEN {AS_OF} - INTERVAL 24 HOUR AND {AS_OF})
   SELECT v.family, count(g.family) AS n FROM (VALUES ('product'), ('market'), ('research')) v(family) LEFT JOIN g ON g.family = v.family GROUP BY ALL""")
 def family_counts(spark, d):
     return P.family_counts(P.family_groups(signals(spark, d), L.AS_OF, 24, tie="doc_id"))
 
 
-@query("resolve_sources", f"""WITH {SIGNALS}, s AS (SELECT family, unnest(range(0, 400, 7)) AS doc_id, unnest(range(0, 58)) AS position FROM (SELECT DISTINCT family FROM signals))
+@query("resolve_sources", f"""WITH {SIGNALS}, s AS (SELECT source AS family, unnest([max(doc_id) + 1000000007, min(doc_id), max(doc_id)]) AS doc_id, unnest([0, 1, 2]) AS position FROM documents GROUP BY source)
   SELECT s.family, CAST(position AS INTEGER) AS position, doc_id, title FROM s JOIN (SELECT doc_id, title FROM signals) USING (doc_id)""")
 def resolve_sources(spark, d):
+    """Every source lists an id nobody has, its first document and its last."""
     live = signals(spark, d)
-    listed = live.select("family").distinct().withColumn("source_ids", F.sequence(F.lit(0), F.lit(399), F.lit(7)))
+    listed = T.table(spark, d, "documents").groupBy(F.col("source").alias("family")).agg(
+        F.array(F.max("doc_id") + 1000000007, F.min("doc_id"), F.max("doc_id")).alias("source_ids")
+    )
     found = P.resolve_sources(listed, live.select(F.col("doc_id").alias("id"), "title"))
     return found.select("family", "position", F.col("id").cast("bigint").alias("doc_id"), "title")
 

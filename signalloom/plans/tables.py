@@ -26,12 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give costly text work to all cores when a small input comes as few splits.
+    """For a local session that asks for it: give a small one-split file to all cores.
 
-    A large input has more splits than cores and is left as it is.
+    Anywhere else the input stays as it is read; raw texts are not shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.sparkSession.conf.get("signalloom.local.spread", "false") != "true":
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def hours_after(key: str) -> F.Column:

@@ -46,9 +46,9 @@ def parse_video_details(responses: DataFrame, body: str = "body") -> DataFrame:
 
 
 def parse_price_bars(responses: DataFrame, body: str = "body", by: str = "ticker") -> DataFrame:
-    """Parallel arrays as bars; bars without a close drop out."""
-    result = F.from_json(body, CHART_SCHEMA)["chart"]["result"][0]
-    shaped = responses.select(by, result.alias("r")).select(by, "r.timestamp", F.col("r.indicators.quote")[0].alias("q"))
+    """Parallel arrays as bars; bars without a close drop out, and a response without a result has none."""
+    result = F.get(F.from_json(body, CHART_SCHEMA)["chart"]["result"], F.lit(0))
+    shaped = responses.select(by, result.alias("r")).select(by, "r.timestamp", F.get("r.indicators.quote", F.lit(0)).alias("q"))
     # a missing series zips as nulls
     kinds = {"open": "double", "high": "double", "low": "double", "close": "double", "volume": "bigint"}
     series = [F.coalesce(F.col(f"q.{c}"), F.array().cast(f"array<{t}>")).alias(c) for c, t in kinds.items()]
@@ -58,7 +58,7 @@ def parse_price_bars(responses: DataFrame, body: str = "body", by: str = "ticker
 
 
 def parse_live_prices(responses: DataFrame, body: str = "body", by: str = "ticker") -> DataFrame:
-    meta = F.from_json(body, CHART_SCHEMA)["chart"]["result"][0]["meta"]
+    meta = F.get(F.from_json(body, CHART_SCHEMA)["chart"]["result"], F.lit(0))["meta"]
     return responses.select(by, meta["regularMarketPrice"].alias("live_price"), meta["regularMarketVolume"].alias("live_volume"))
 
 

@@ -19,11 +19,22 @@ def optional_source(spark: SparkSession, path: str, schema: T.StructType | str,
 
 
 def read_history(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    """Retained event partitions; unreadable files are skipped, old days pruned."""
+    """Retained event partitions; unreadable files are skipped (see :func:`skipped_files`), old days pruned."""
     events = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
     return events if since is None else events.where(F.col("collected_on") >= F.to_date(F.lit(since)))
 
 
+def skipped_files(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """``(file, length)`` of the stored files that :func:`read_history` got no row from."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    files = listed.select(F.col("path").alias("file"), "length", F.to_date(F.regexp_extract("path", "collected_on=([0-9-]+)", 1)).alias("_day"))
+    if since is not None:
+        files = files.where(F.col("_day") >= F.to_date(F.lit(since)))
+    name = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    read = read_history(spark, path, since).select(name(F.input_file_name()).alias("file")).distinct()
+    return files.select(name(F.col("file")).alias("file"), "length").join(read, "file", "left_anti")
+
+
 ENTITY_SCHEMA = (
     "id string, name string, version string, org string, layer int, importance int, "
     "match array<string>, why string, links array<struct<label:string,url:string>>"

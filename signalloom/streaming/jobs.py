@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from signalloom import fixed_values as V
 from signalloom.functions.dates import moment
@@ -53,17 +54,30 @@ def stream_daily_upsert(items: DataFrame, path: str, key: str, when: str, checkp
     return items.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
 
 
-def stream_change_gate(versions: DataFrame, checkpoint: str, version: str, recompute, last=None):
-    """Call ``recompute(version)`` only when a batch brings a newer version.
+def last_version(spark: SparkSession, checkpoint: str):
+    """The version a change gate computed last, from beside its checkpoint; None before the first."""
+    try:
+        stored = spark.read.parquet(f"{checkpoint}-version")
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return None
+    return stored.agg(F.max("version")).first()[0]
 
-    ``last`` is the version computed before, for a job that starts again.
+
+def stream_change_gate(versions: DataFrame, checkpoint: str, version: str, recompute):
+    """Call ``recompute(version)`` only when a batch brings a newer version than the last one computed.
+
+    The last version is appended beside the checkpoint after each computation, so a job
+    that starts again goes on from there; one that stops in between computes once more.
     """
-    seen = {"last": last}
 
     def gate(batch: DataFrame, _: int) -> None:
-        newest = batch.agg(F.max(version).alias("v")).first()["v"]
-        if newest is not None and (seen["last"] is None or newest > seen["last"]):
-            seen["last"] = newest
-            recompute(newest)
+        spark = batch.sparkSession
+        newest = batch.agg(F.max(version).alias("version"))
+        row, last = newest.first(), last_version(spark, checkpoint)
+        if row["version"] is not None and (last is None or row["version"] > last):
+            recompute(row["version"])
+            newest.write.mode("append").parquet(f"{checkpoint}-version")
 
     return versions.writeStream.foreachBatch(gate).option("checkpointLocation", checkpoint)
