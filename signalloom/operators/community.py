@@ -61,18 +61,32 @@ def model_totals(sources: DataFrame, by: str = "model", limited_below: int = V.L
     ).withColumn("limited", F.col("discussions") < limited_below)
 
 
+def theme_weights(rows: DataFrame, by: str = "model", topics: str = "topics") -> DataFrame:
+    """One row per model: its themes' specificities as a map.
+
+    Rows are counted by their list of topics first (a few lists per model), so one pass
+    over the texts gives theme counts and totals.
+    """
+    patterns = rows.groupBy(by, F.col(topics).alias("_topics")).agg(F.count("*").alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy(by)).alias("_total")  # a few rows per model
+    summed = patterns.select(by, total, "_n", "_topics")
+    counts = summed.select(by, "_total", "_n", F.explode_outer("_topics").alias("theme")).groupBy(by, "_total", "theme").agg(F.sum("_n").alias("n"))
+    entry = F.struct("theme", theme_specificity(F.col("n"), F.col("_total")).alias("w"))
+    return counts.where("theme IS NOT NULL").groupBy(by).agg(F.map_from_entries(F.collect_list(entry)).alias("_weights"))
+
+
+def _mean_weight(topics: str) -> Column:
+    weights = F.transform(topics, lambda t: F.element_at("_weights", t))
+    return F.aggregate(weights, F.lit(0.0), lambda a, w: a + w) / F.size(topics)
+
+
 def theme_specificities(rows: DataFrame, key: list[str], by: str = "model", topics: str = "topics") -> DataFrame:
-    """Mean specificity of each row's themes.
+    """Mean specificity of each row's themes; rows without any drop out.
 
-    Theme counts are a tiny table (models x topics) that is joined back.
+    The weights are one small map per model that is joined to the rows; rows are not
+    exploded and not shuffled.
     """
-    counts = theme_counts(rows, by, topics)
-    totals = rows.groupBy(by).agg(F.count("*").alias("_total"))
-    weights = counts.join(totals, by).select(
-        by, "theme", theme_specificity(F.col("n"), F.col("_total")).alias("_spec")
-    )
-    exploded = rows.select(*key, by, F.explode(topics).alias("theme"))
-    return exploded.join(weights, [by, "theme"]).groupBy(*key, by).agg(F.avg("_spec").alias("specificity"))
+    return rows.where(F.size(topics) > 0).join(theme_weights(rows, by, topics), by).select(*key, by, _mean_weight(topics).alias("specificity"))
 
 
 def score_comments(
@@ -81,10 +95,11 @@ def score_comments(
 ) -> DataFrame:
     """Relevance of validated comments that carry a topic.
 
-    Needs ``match_confidence`` and ``topics``; counts cover all validated rows.
+    Needs ``match_confidence`` and ``topics``; counts cover all validated rows.  Texts are
+    matched twice: for the weights and for the rows.
     """
-    spec = theme_specificities(validated, [key], by)
-    return validated.where(F.size("topics") > 0).join(spec, [key, by]).withColumn(
+    told = validated.where(F.size("topics") > 0).join(theme_weights(validated, by), by)
+    return told.withColumn("specificity", _mean_weight("topics")).drop("_weights").withColumn(
         "relevance",
         comment_relevance(
             F.col("match_confidence"), F.col("specificity"), comment_completeness(F.col(text)),

@@ -65,14 +65,14 @@ def snapshot_history(history: DataFrame, today: DataFrame, keep: int = 30) -> Da
 def asof_snapshot(history: DataFrame, days: int = 7) -> DataFrame:
     """Per product the latest snapshot and the one to compare it with: the newest
     at least ``days`` older, else the oldest."""
-    last = history.groupBy("product").agg(
-        F.max("date").alias("latest_date"), F.max_by("mid", "date").alias("latest_mid"), F.count("*").alias("points")
-    )
+    # one exchange: a product's daily snapshots (bounded by the calendar) meet once, for the window and the aggregate
+    whole = Window.partitionBy("product")
+    dated = history.withColumn("latest_date", F.max("date").over(whole))
     old_enough = F.col("date") <= F.date_sub("latest_date", days)
-    at = history.join(last, "product").groupBy("product", "latest_date", "latest_mid", "points")
     point = F.struct(F.col("date"), F.col("mid"))
-    return at.agg(
-        F.coalesce(F.max(F.when(old_enough, point)), F.min(point)).alias("_cmp")
+    return dated.groupBy("product").agg(
+        F.first("latest_date").alias("latest_date"), F.max_by("mid", "date").alias("latest_mid"), F.count("*").alias("points"),
+        F.coalesce(F.max(F.when(old_enough, point)), F.min(point)).alias("_cmp"),
     ).select("product", "latest_date", "latest_mid", "points",
              F.col("_cmp.date").alias("compare_date"), F.col("_cmp.mid").alias("compare_mid"))
 

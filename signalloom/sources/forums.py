@@ -44,13 +44,13 @@ def parse_forum(responses: DataFrame, since: Column | None = None, body: str = "
         ),
         since,
     )
-    slugs = raw.where("id IS NOT NULL AND slug <> ''").select(*carry, F.col("id").alias("topic_id"), "slug").dropDuplicates(
-        [*carry, "topic_id"]
-    )
+    # a post's topic stands in the same response: its slug is looked up in the row, the last one listed
+    named = F.filter("j.topics", lambda t: t["slug"] != "")
+    slug = F.try_element_at(F.filter("_named", lambda t: t["id"] == F.col("topic_id")), F.lit(-1))["slug"]
     posts = _since(
-        parsed.select(*carry, F.inline("j.posts")).where("id IS NOT NULL AND blurb <> ''")
+        parsed.select(*carry, named.alias("_named"), F.inline("j.posts")).where("id IS NOT NULL AND blurb <> ''")
         .withColumnRenamed("id", "post_id")
-        .join(slugs, [*carry, "topic_id"], "left")
+        .withColumn("slug", slug)
         .select(
             *carry, "post_id", F.coalesce(F.nullif("username", F.lit("")), F.lit("member")).alias("username"), "blurb",
             parse_instant(F.col("created_at")).alias("created_at"), "topic_id",
