@@ -9,11 +9,11 @@ where only some windows may be repeated.
 
 Those contexts, in bounded lots, are cut into shards; each shard's suffixes are sorted on their
 own into a Burrows-Wheeler transform.  The transforms are merged by interleave refinement: an
-array says from which shard each row of the merged transform comes, and one stable sort by
-the preceding symbol refines it from the order by k symbols to that by k + 1.  Block
-borders that appear at step k are common prefixes of k - 1 symbols; blocks that are still
-whole after ``length`` steps are the repeated intervals.  No suffix of the whole is sorted
-again.  Where one anchor has more contexts than a lot should hold, its windows are compared
+array says which shard's row stands at each place of the merged transform, and one stable
+sort by the preceding symbols (up to eight at a time) refines it from the order by k symbols
+to that by k + 8.  Borders that appear between rows are the ends of their common prefixes; rows alone
+between two borders leave, and blocks that are left at ``length`` symbols are the repeated
+intervals.  No suffix of the whole is sorted again.  Where one anchor has more contexts than a lot should hold, its windows are compared
 by their 128-bit hashes instead, in an aggregation that spreads over all tasks.
 
 A byte goes if a repeated window covers it; windows are judged on the input.  Texts under
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from signalloom.llm.common import chunks, mix, text_bytes
 from signalloom.session import written
 
-_GRAM, _LOT, _SHARD, _CROWD = 24, 1 << 20, 1 << 18, 4096
+_GRAM, _LOT, _SHARD, _CROWD = 24, 1 << 18, 1 << 16, 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CODES = np.random.RandomState(20260102).randint(0, 2**63, (2, 256), dtype=np.int64).astype(np.uint64) | np.uint64(1)
@@ -94,87 +94,117 @@ def _contexts(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
 
 
 # ---- transforms ------------------------------------------------------------------------
-def _sorted_suffixes(symbols: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-    """Suffixes of the strings in order of at least ``length`` symbols; ``symbols`` has a 0 at every string's end.
+def _sorted_suffixes(symbols: np.ndarray, length: int) -> np.ndarray:
+    """Rotations of the symbols in order of at least ``length`` of them.
 
     Seven symbols make a first key; known ranks double it until it is long enough.
     """
     n = len(symbols)
-    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # symbols before the end
-    padded = np.append(symbols, np.zeros(8, symbols.dtype)).astype(np.int64)
+    round_ = np.resize(symbols, n + 7).astype(np.int64)
     key = np.zeros(n, np.int64)
     for j in range(7):
-        key = (key << 9) | np.where(left >= j, padded[j : j + n], 0)
+        key = (key << 9) | round_[j : j + n]
     order = np.argsort(key, kind="stable")
     change = np.append(True, np.diff(key[order]) != 0)
     rank = np.empty(n, np.int64)
     rank[order] = np.flatnonzero(change)[np.cumsum(change) - 1]
     known = 7
     while known < length:
-        alone = np.append(change[1:], True) & change
-        todo = np.flatnonzero(~alone)  # places in the order whose rank is shared
+        todo = np.flatnonzero(~(np.append(change[1:], True) & change))  # places in the order whose rank is shared
         if not len(todo):
             break
         at = order[todo]
-        after = np.where(left[at] >= known, rank[np.minimum(at + known, n - 1)], -1)
-        group = rank[at]
+        after, group = rank[(at + known) % n], rank[at]
         again = np.lexsort((after, group))
         order[todo] = at[again]
         fresh = np.append(True, (np.diff(group[again]) != 0) | (np.diff(after[again]) != 0))
         change[todo] = fresh
         # a rank is the place of its group's first member
-        start = todo[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        rank[order[todo]] = start
+        rank[order[todo]] = todo[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
         known *= 2
     return order
 
 
-def _merge(transforms: list[np.ndarray], strings: list[int], steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' rows and the blocks of rows that agree in ``steps`` symbols."""
-    every = np.concatenate(transforms)
-    ends = sum(strings)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
-    first = np.repeat(np.arange(len(strings), dtype=np.uint16), strings)  # the rows that start with an end, in order of strings
-    block = np.zeros(len(every), np.int32)
-    merged = np.empty(len(every), every.dtype)
-    for _ in range(steps):
-        merged[np.argsort(shard, kind="stable")] = every
-        order = np.argsort(merged, kind="stable")
-        shard, block, symbol = shard[order], block[order], merged[order]
-        shard[:ends], block[:ends] = first, 0
-        change = np.append(False, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1]))
-        if change[1:].all():
-            return shard, np.cumsum(change, dtype=np.int32)
-        block = np.cumsum(change, dtype=np.int32)
-    return shard, block
+def _grams(symbols: np.ndarray, step: int) -> np.ndarray:
+    """The ``step`` symbols from each place on, round the end, as one number."""
+    n = len(symbols)
+    round_ = np.resize(symbols, n + step).astype(np.uint64)
+    out = np.zeros(n, np.uint64)
+    for j in range(step):
+        out = out * np.uint64(256) + round_[j : j + n]
+    return out
+
+
+def _steps(shards: list[np.ndarray], length: int, largest_symbol: int) -> tuple[int, list[np.ndarray]]:
+    """How many symbols a round can take so that their combinations fit 16 bits, and their numbers by place."""
+    for step in (8, 4, 2):
+        if length % step == 0 and largest_symbol < 256:
+            values, code = np.unique(np.concatenate([_grams(x, step) for x in shards]), return_inverse=True)
+            if len(values) <= 1 << 16:
+                return step, np.split(code.astype(np.uint16), np.cumsum([len(x) for x in shards])[:-1])
+    return 1, [x.astype(np.uint16) for x in shards]
+
+
+def _transform(symbols: np.ndarray, codes: np.ndarray, length: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's sorted rotations, the ``step`` symbols before each row, and the row that begins with them."""
+    order = _sorted_suffixes(symbols, length)
+    row = np.empty(len(order), np.int32)
+    row[order] = np.arange(len(order), dtype=np.int32)
+    return order, codes[order - step], row[order - step]
+
+
+def _merge(transforms: list[tuple[np.ndarray, np.ndarray, np.ndarray]], step: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (numbered shard by shard) that agree with another one in ``length`` symbols, and their blocks.
+
+    ``row`` is the interleave: rows of all shards in merged order.  A round puts the rows that
+    begin one step earlier in stable order of that step's symbols; rows alone in their block
+    stay alone however the string goes on to the left, and leave.
+    """
+    base = np.append(0, np.cumsum([len(t[0]) for t in transforms]))
+    before = np.concatenate([t[1] for t in transforms])
+    earlier = np.concatenate([t[2].astype(np.int64) + b for t, b in zip(transforms, base)]).astype(np.int32)
+    row, block = np.arange(base[-1], dtype=np.int32), np.zeros(base[-1], np.int32)
+    for _ in range(length // step):
+        if not len(row):
+            break
+        symbol = before[row]
+        order = np.argsort(symbol, kind="stable")
+        row, block, symbol = earlier[row[order]], block[order], symbol[order]
+        change = np.append(True, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1]))
+        together = ~(change & np.append(change[1:], True))
+        row, block = row[together], np.cumsum(change, dtype=np.int32)[together]
+    return row, block
 
 
 def repeated_windows(strings: list[bytes], windows: np.ndarray, weights: np.ndarray, length: int, shard_bytes: int = _SHARD) -> list[np.ndarray]:
     """Which of each string's first ``windows`` windows occur twice or more; a string stands for ``weights`` equal ones."""
-    transforms, counts, suffixes, at = [], [], [], 0
     sizes = np.array([len(s) for s in strings])
     base = np.append(0, np.cumsum(sizes + 1))
+    data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+    inside = np.ones(len(data), bool)
+    inside[base[1:] - 1] = False
+    used = np.unique(data[inside])  # symbols are places among the bytes that occur; 0 ends a string
+    place = np.zeros(256, np.uint16)
+    place[used] = np.arange(1, len(used) + 1)
+    symbols = np.where(inside, place[data], 0).astype(np.uint16)
+    shards, begins, at = [], [], 0
     while at < len(strings):
         upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), shard_bytes, side="right")))
-        part = strings[at:upto]
-        symbols = np.zeros(int(base[min(upto, len(strings))] - base[at]), np.uint16)
-        ends = base[at + 1 : at + 1 + len(part)] - base[at] - 1
-        inside = np.ones(len(symbols), bool)
-        inside[ends] = False
-        symbols[inside] = np.frombuffer(b"".join(part), np.uint8).astype(np.uint16) + 1
-        order = _sorted_suffixes(symbols, ends, length)
-        before = symbols[order - 1]
-        before[np.isin(order, np.append(0, ends[:-1] + 1))] = 0
-        transforms.append(before), counts.append(len(part)), suffixes.append(order + base[at])
+        shards.append(symbols[base[at] : base[min(upto, len(strings))]])
+        begins.append(base[at])
         at = upto
-    shard, block = _merge(transforms, counts, length)
-    rows = np.argsort(shard, kind="stable")  # rows by shard, in each shard's own order
-    of = np.empty(int(base[-1]), np.int64)
-    of[np.concatenate(suffixes)] = block[rows]
-    owner = np.repeat(np.arange(len(strings)), sizes + 1)
-    own = np.arange(len(of)) - base[owner] < windows[owner]  # each window belongs to one context only
-    total = np.bincount(of[own], weights=weights[owner[own]], minlength=int(of.max()) + 1 if len(of) else 1)
-    again = total[of] >= 2
+    step, codes = _steps(shards, length, len(used))
+    transforms = [_transform(x, c, length, step) for x, c in zip(shards, codes)]
+    suffixes = [t[0] + b for t, b in zip(transforms, begins)]
+    row, block = _merge(transforms, step, length)
+    start = np.concatenate(suffixes)[row]
+    owner = np.searchsorted(base, start, side="right") - 1
+    own = start - base[owner] < windows[owner]  # each window belongs to one context only
+    start, owner, block = start[own], owner[own], block[own]
+    total = np.bincount(block, weights=weights[owner]) if len(block) else np.zeros(0)
+    again = np.zeros(int(base[-1]), bool)
+    again[start[total[block] >= 2]] = True
+    again |= np.repeat(weights >= 2, sizes + 1)
     return [again[base[i] : base[i] + windows[i]] for i in range(len(strings))]
 
 
@@ -303,9 +333,9 @@ def _remove(length: int):
 def repeats(docs: DataFrame, length: int = 200, crowd: int = _CROWD, lot_bytes: int = _LOT, shard_bytes: int = _SHARD) -> DataFrame:
     """Documents that lose bytes: ``doc_id, th`` (a hash of the text), ``n_removed, n_spans, kept`` (the remaining bytes)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").where("text IS NOT NULL")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").where(F.octet_length("text") >= length)
     key = f"doc_id {kind}, th long"
-    rows = written(texts.where(F.octet_length("text") >= length).mapInArrow(_find_contexts(length), f"{key}, start int, count int, anchor long, whole long"), "bwt-contexts")
+    rows = written(texts.mapInArrow(_find_contexts(length), f"{key}, start int, count int, anchor long, whole long"), "bwt-contexts")
     again = rows.groupBy("anchor").agg(F.count("*").alias("times"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("times > 1")
     kept = written(rows.join(again.select("anchor", (F.col("low") < F.col("high")).alias("mixed")), "anchor"), "bwt-anchored")
 
@@ -316,9 +346,8 @@ def repeats(docs: DataFrame, length: int = 200, crowd: int = _CROWD, lot_bytes:
     asked = contexts.join(open_.select("anchor", (F.col("size") > crowd).alias("crowded")), "anchor").groupBy(*_KEY).agg(
         F.collect_list(F.struct("anchor", "start", "count", "n", "crowded")).alias("asked")
     )
-    concerned = kept.select(*_KEY).distinct()
     same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in _KEY]
-    texts = written(texts.join(concerned, same(texts, concerned), "left_semi").dropDuplicates([*_KEY]), "bwt-texts")
+    # a text's row may be repeated: contexts that stand for one row only come from rows that are not
     cut = texts.join(asked, same(texts, asked)).select(*(texts[c] for c in _KEY), "text", "asked")
     cut = written(cut.mapInArrow(_cut(length), f"{key}, anchor long, start int, count int, n long, crowded boolean, bytes binary"), "bwt-cut")
     lots = cut.where("NOT crowded").repartition("anchor").sortWithinPartitions("anchor")
@@ -337,7 +366,8 @@ def repeats(docs: DataFrame, length: int = 200, crowd: int = _CROWD, lot_bytes:
 
 def digests(docs: DataFrame, length: int = 200, **options) -> DataFrame:
     """Per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
-    lost = written(repeats(docs, length, **options).withColumn("sha", F.sha2("kept", 256)).drop("kept"), "bwt-removed")
+    lost = repeats(docs, length, **options).withColumn("sha", F.sha2("kept", 256)).drop("kept")
+    lost = written(lost.dropDuplicates([*_KEY]), "bwt-removed")  # repeated rows have the same result
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("doc_id", F.xxhash64("text").alias("th"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("own"))
     return own.join(lost, [own[c].eqNullSafe(lost[c]) for c in _KEY], "left").select(
