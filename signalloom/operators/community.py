@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from signalloom import fixed_values as V
 from signalloom.functions.numbers import clamp, round_half_up
 from signalloom.functions.text import token_set
-from signalloom.operators.classify import classify_topics
+from signalloom.operators.classify import classify_topics, is_release_discussion, match_models
 from signalloom.operators.scoring import (
     comment_completeness, comment_relevance, community_recency, theme_specificity,
 )
@@ -189,6 +189,43 @@ def representative_comments(
     return comments.join(F.broadcast(chosen), [by, key])
 
 
+def release_talk(comments: DataFrame, text: str, matchers: dict, context: str, topics, release: str) -> DataFrame:
+    """Comments validly about a model that talk about a release, with up to two topics."""
+    found = match_models(comments, text, matchers, context).where(is_release_discussion(F.col(text), release))
+    return with_topics(found, text, topics)
+
+
+def community_record(
+    validated: DataFrame, models: list[str], as_of, posts: DataFrame | None = None, board: DataFrame | None = None,
+    k: int = 4, first_party: int = 2, key: str = "comment_id", by: str = "model", text: str = "text", when: str = "published_at",
+) -> tuple[DataFrame, DataFrame]:
+    """The record of all models: ``(themes, voices)``.
+
+    ``validated`` comes from :func:`release_talk`; ``posts`` (with ``topic_id``) and ``board`` are
+    first-party voices with ``topics``.  Themes are counted over all three.  Voices are up
+    to ``k`` comments by relevance, then up to ``first_party`` posts and board threads by
+    date, each unlike what its model shows already; posts come one per topic.  They are
+    merged turn by turn, first-party sources first.  Texts are matched once: the narrow
+    rows are written and read by all parts.
+    """
+    narrow = written(validated.select(key, by, "match_confidence", "topics", text, when), "validated")
+    spark = narrow.sparkSession
+    kind = dict(narrow.dtypes)[key]
+    picked = {"comments": pick_distinct(score_comments(narrow, as_of, key, by, text, when), k, by, key, text, F.col("relevance"), models)}
+    shown, themes = list(picked["comments"]), narrow.select(by, "topics")
+    for name, source, unique in (("forum", posts, "topic_id"), ("board", board, None)):
+        if source is not None:
+            themes = themes.unionByName(source.select(by, "topics"))
+            told = source.where(F.size("topics") > 0)
+            picked[name] = pick_distinct(
+                told, first_party, by, key, text, F.unix_micros(when).cast("double"), models, chosen=shown, unique=unique
+            )
+            shown = shown + list(picked[name])
+    rows = [(m, name, i, n + 1) for name, picks in picked.items() for m, i, _, n in picks]
+    voices = spark.createDataFrame(rows, f"{by} string, source string, {key} {kind}, rank int")
+    return theme_counts(themes, by), interleave(voices, by, "source", "rank", ["forum", "board", "comments"])
+
+
 def newest_per_topic(
     posts: DataFrame, models: list[str], chosen: list, k: int = 2, key: str = "post_id", by: str = "model",
     text: str = "text", topic: str = "topic_id", when: str = "published_at",

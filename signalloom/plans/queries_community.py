@@ -99,6 +99,31 @@ def representative_comments(spark, d):
     return K.representative_comments(_scored(spark, d), MODELS).select("model", "rank", "comment_id")
 
 
+def _record(spark, d):
+    """User turns are comments, assistant turns forum posts of their thread, system turns a board."""
+    turns = T.comments(spark, d).select("comment_id", "conv_id", "role", "text", "published_at")
+    model = F.element_at(F.array(*[F.lit(m) for m in MODELS]), (F.pmod("conv_id", F.lit(len(MODELS))) + 1).cast("int")).alias("model")
+    first_party = K.with_topics(turns.select("*", model, F.col("conv_id").alias("topic_id")), "text", L.TOPICS)
+    validated = K.release_talk(turns.where("role = 'user'"), "text", L.MATCHERS, L.CONTEXT, L.TOPICS, L.RELEASE_TALK)
+    return K.community_record(validated, MODELS, L.AS_OF, first_party.where("role = 'assistant'"), first_party.where("role = 'system'"))
+
+
+@query("community_voices")
+def community_voices(spark, d):
+    return _record(spark, d)[1].select("model", "position", "source", "comment_id")
+
+
+_TOPICS = ", ".join(f"CASE WHEN {has('text', r)} THEN {lit(t)} END" for t, _, r in L.TOPICS)
+_TOPIC_LIST = f"list_slice(list_filter([{_TOPICS}], lambda x: x IS NOT NULL), 1, 2)"
+
+
+@query("community_themes", f"""WITH {MENTIONS} SELECT model, theme, count(*) AS n FROM (
+    SELECT model, unnest(topics) AS theme FROM valid WHERE role = 'user' AND {has("text", L.RELEASE_TALK)}
+    UNION ALL SELECT [{", ".join(map(lit, MODELS))}][conv_id % {len(MODELS)} + 1], unnest({_TOPIC_LIST}) FROM comments WHERE role IN ('assistant', 'system')) GROUP BY ALL""")
+def community_themes(spark, d):
+    return _record(spark, d)[0]
+
+
 # ---- counts and coverage ----------------------------------------------------
 SOURCES = """src AS (SELECT *, fetched_count * (1 + source) AS raw_hits, fetched_count AS sample_size FROM (SELECT role AS model, conv_id % 3 AS source,
     count(*) AS fetched_count, count(*) FILTER (length(text) > 300) AS validated_count FROM conversations GROUP BY ALL)),

@@ -17,12 +17,21 @@ def con():
     return con
 
 
+def kind(name):
+    """Spark's and DuckDB's names of a type under one name."""
+    name = str(name).lower()
+    names = {"long": "bigint", "integer": "int", "varchar": "string", "bool": "boolean"}
+    return next((to for of, to in names.items() if name.startswith(of)), name.split("(")[0])
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     df = entry.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
     quoted = ", ".join(f'"{c}"' for c in columns)
-    want = con.sql(f"SELECT {quoted} FROM ({entry.oracle_sql()[name]})").fetchall()
+    sql = con.sql(f"SELECT {quoted} FROM ({entry.oracle_sql()[name]})")
+    types, want = [kind(t) for t in sql.types], sql.fetchall()
+    assert [kind(dict(df.dtypes)[c]) for c in columns] == types
 
     def key(row):
         return tuple((v is None, str(v)) for v in row)

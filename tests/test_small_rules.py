@@ -92,3 +92,21 @@ def test_at_most_days(spark, monkeypatch):
     rows = spark.createDataFrame([(datetime(2026, 7, d).date(),) for d in (1, 2)], "collected_on date")
     with pytest.raises(ValueError):
         tables.touched_days(rows)
+
+
+def test_community_record_merges_unlike_voices(spark):
+    at = lambda d: datetime(2026, 7, d)
+    shape = "comment_id long, model string, match_confidence double, topics array<string>, text string, published_at timestamp"
+    comments = [(i, "a", 0.5 + i / 10, ["speed"], f"talk{i} about release{i} number{i}", at(5)) for i in range(5)] + [(9, "a", 0.9, [], "nothing here", at(5))]
+    posts = [(20, "a", 1, ["price"], "talk4 about release4 number4", at(9)), (21, "a", 1, ["price"], "newest post alpha", at(8)),
+             (22, "a", 1, ["price"], "other post beta", at(7)), (23, "a", 2, ["price"], "second topic gamma", at(6)), (24, "a", 3, [], "without theme", at(9))]
+    board = [(30, "a", ["price"], "second topic gamma", at(9)), (31, "a", ["price"], "board thread delta", at(8))]
+    themes, voices = K.community_record(
+        spark.createDataFrame(comments, shape), ["a", "b"], "2026-07-10 00:00:00",
+        spark.createDataFrame(posts, "comment_id long, model string, topic_id long, topics array<string>, text string, published_at timestamp"),
+        spark.createDataFrame(board, "comment_id long, model string, topics array<string>, text string, published_at timestamp"),
+    )
+    assert {tuple(r) for r in themes.collect()} == {("a", "speed", 5), ("a", "price", 6)}
+    shown = [(r["source"], r["comment_id"]) for r in sorted(voices.collect(), key=lambda r: r["position"])]
+    # post 20 repeats a chosen comment, 22 stands in the topic of 21, thread 30 repeats post 23
+    assert shown == [("forum", 21), ("board", 31), ("comments", 4), ("forum", 23), ("comments", 3), ("comments", 2), ("comments", 1)]
