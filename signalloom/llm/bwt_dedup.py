@@ -31,33 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import chunks, mix, text_bytes
+from signalloom.llm.common import chunks, mix, power, text_bytes
 from signalloom.session import written
 
 _GRAM, _LOT, _SHARD, _CROWD = 24, 1 << 18, 1 << 16, 4096
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CODES = np.random.RandomState(20260102).randint(0, 2**63, (2, 256), dtype=np.int64).astype(np.uint64) | np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(which: int, n: int) -> np.ndarray:
-    if len(_powers[which]) < n:
-        p = np.full(max(n, 1 << 16), _BACK if which else _BASE, np.uint64)
-        p[0] = 1
-        _powers[which] = np.multiply.accumulate(p)
-    return _powers[which][:n]
-
 
 def _sums(raw: np.ndarray, which: int = 0) -> np.ndarray:
     """Running sums from which the hash of any stretch is a difference."""
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_CODES[which][raw] * _power(0, len(raw)), out=out[1:])
+    np.cumsum(_CODES[which][raw] * power(False, len(raw)), out=out[1:])
     return out
 
 
 def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((sums[end] - sums[start]) * _power(1, len(sums))[start])
+    return mix((sums[end] - sums[start]) * power(True, len(sums))[start])
 
 
 def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:

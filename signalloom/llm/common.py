@@ -76,37 +76,44 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_LOWER_CODE = _BYTE_CODE[_LOWER_BYTE]
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def power(back: bool, n: int) -> np.ndarray:
+    """The first n powers of an odd number, or of its inverse modulo 2**64."""
+    if len(_powers[back]) < n:
+        p = np.full(max(n, 1 << 16), _BACK if back else _BASE, np.uint64)
+        p[0] = 1
+        _powers[back] = np.multiply.accumulate(p)
+    return _powers[back][:n]
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all lower-cased (A-Z) words in text order, and the n + 1
     places where each text's words begin.
 
     A word's hash sums its bytes' codes times powers of an odd number, so that it
-    comes out of two running sums; equal words have equal hashes, and different
+    is a difference of running sums; equal words have equal hashes, and different
     words meet with probability about 2**-64.
     """
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = ~_IS_SPACE[raw]
-    first = inside.copy()
+    first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
     edges = offsets[(offsets > 0) & (offsets < n)]
     first[edges] = inside[edges]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    # the hash runs over each word from its start: position inside the word
-    word = np.cumsum(first, dtype=np.int64) - 1
-    at = np.flatnonzero(inside)
-    place = at - starts[word[at]]
-    powers = np.ones(int(place.max()) + 1, np.uint64)
-    if len(powers) > 1:
-        powers[1:] = np.uint64(6364136223846793005)
-        powers = np.multiply.accumulate(powers)
-    codes = _BYTE_CODE[_LOWER_BYTE[raw[at]]] * powers[place]
-    begin = np.searchsorted(at, starts)
-    hashes = mix(np.add.reduceat(codes, begin))
-    return hashes, np.searchsorted(starts, offsets)
+    last[edges - 1] = inside[edges - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sums = np.zeros(n + 1, np.uint64)
+    np.multiply(_LOWER_CODE[raw], power(False, n), out=sums[1:])
+    np.cumsum(sums, out=sums)
+    return mix((sums[ends] - sums[starts]) * power(True, n)[starts]), np.searchsorted(starts, offsets)
 
 
 def shingle_hashes(words: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
