@@ -22,7 +22,7 @@ def _first_filled(*values: Column) -> Column:
 
 def parse_feed(
     documents: DataFrame, as_of, xml: str = "xml", desc_limit: int = 400,
-    suffix: Column | bool = False, carry: tuple[str, ...] = ("source_name",),
+    carry: tuple[str, ...] = ("source_name",),
 ) -> DataFrame:
     """Items of RSS or Atom documents.
 
