@@ -5,7 +5,8 @@ the leftmost on ties.  Equal windows have equal anchors at equal places, so anch
 once in all documents rule their windows out.  Windows that follow each other with the same
 anchor make one context, a stretch of under two lengths.  Contexts that are equal as a
 whole are repeated as a whole.  What is left are different contexts with a common anchor,
-where only some windows may be repeated.
+where only some windows may be repeated; contexts that share neither half a window to the
+left nor to the right of their anchor with another one hold none.
 
 Those contexts, in bounded lots, are cut into shards; each shard's suffixes are sorted on their
 own into a Burrows-Wheeler transform.  The transforms are merged by interleave refinement: an
@@ -24,6 +25,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,11 +61,11 @@ def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def _contexts(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Per context: text, first window, windows, the anchor's hash and the context's."""
+    """Per context: text, first window, windows, the anchor's place, its hash and the context's."""
     sizes = np.diff(offsets)
     texts = np.flatnonzero(sizes >= length)
     if not len(texts):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     sums = _sums(raw)
     grams = np.arange(len(raw) - _GRAM + 1)
     hashes = _hash(sums, grams, grams + _GRAM)
@@ -78,7 +80,7 @@ def _contexts(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     start, place = at[first], anchor[first]
     whole = _hash(sums, start, start + count + length - 1)
     whole = mix(whole + (place - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + count.astype(np.uint64))
-    return text[first], start - offsets[text[first]], count, hashes[place], whole
+    return text[first], start - offsets[text[first]], count, place - start, hashes[place], whole
 
 
 # ---- transforms ------------------------------------------------------------------------
@@ -209,11 +211,11 @@ def _spans(flags: np.ndarray, start: int) -> list[dict]:
 def _find_contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in chunks(b)):
-            text, start, count, anchor, whole = _contexts(*text_bytes(part.column("text")), length)
+            text, start, count, place, anchor, whole = _contexts(*text_bytes(part.column("text")), length)
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c).take(pa.array(text)) for c in _KEY), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)),
-                 pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))],
-                names=[*_KEY, "start", "count", "anchor", "whole"],
+                 pa.array(place.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))],
+                names=[*_KEY, "start", "count", "place", "anchor", "whole"],
             )
 
     return run
@@ -224,20 +226,20 @@ def _cut(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in chunks(b)):
-            out: dict[str, list] = {c: [] for c in ("anchor", "start", "count", "n", "crowded", "row")}
+            out: dict[str, list] = {c: [] for c in ("anchor", "start", "count", "place", "n", "crowded", "row")}
             data = []
             for i, (text, asked) in enumerate(zip(part.column("text").to_pylist(), part.column("asked").to_pylist())):
                 raw = text.encode("utf-8", "surrogatepass")
                 for c in asked:
                     data.append(raw[c["start"] : c["start"] + c["count"] + length - 1])
                     out["row"].append(i)
-                    for k in ("anchor", "start", "count", "n", "crowded"):
+                    for k in ("anchor", "start", "count", "place", "n", "crowded"):
                         out[k].append(c[k])
             rows = pa.array(out["row"], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(c).take(rows) for c in _KEY), pa.array(out["anchor"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["count"], pa.int32()),
+                [*(part.column(c).take(rows) for c in _KEY), pa.array(out["anchor"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["count"], pa.int32()), pa.array(out["place"], pa.int32()),
                  pa.array(out["n"], pa.int64()), pa.array(out["crowded"], pa.bool_()), pa.array(data, pa.binary())],
-                names=[*_KEY, "anchor", "start", "count", "n", "crowded", "bytes"],
+                names=[*_KEY, "anchor", "start", "count", "place", "n", "crowded", "bytes"],
             )
 
     return run
@@ -246,7 +248,23 @@ def _cut(length: int):
 def _merge_lots(length: int, lot_bytes: int, shard_bytes: int):
     """Contexts sorted by anchor to the repeated windows of those that occur once."""
 
+    half = (length - _GRAM) // 2
+
+    def sides(r: dict) -> list[tuple]:
+        """Half a window on either side of the anchor, where the context reaches that far: equal windows agree on one."""
+        data, at = r["bytes"], r["place"]
+        left = [(r["anchor"], 0, data[at - half : at])] if at >= half else []
+        return left + ([(r["anchor"], 1, data[at + _GRAM : at + _GRAM + half])] if len(data) >= at + _GRAM + half else [])
+
     def solve(rows: list[dict]) -> Iterator[dict]:
+        halves = [sides(r) for r in rows]
+        times = Counter()
+        for r, keys in zip(rows, halves):
+            for key in keys:
+                times[key] += r["n"]
+        rows = [r for r, keys in zip(rows, halves) if any(times[key] > 1 for key in keys)]
+        if not any(r["n"] == 1 for r in rows):
+            return
         found = repeated_windows(
             [r["bytes"] for r in rows], np.array([r["count"] for r in rows]), np.array([r["n"] for r in rows], np.float64), length, shard_bytes
         )
@@ -323,21 +341,23 @@ def repeats(docs: DataFrame, length: int = 200, crowd: int = _CROWD, lot_bytes:
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").where(F.octet_length("text") >= length)
     key = f"doc_id {kind}, th long"
-    rows = written(texts.mapInArrow(_find_contexts(length), f"{key}, start int, count int, anchor long, whole long"), "bwt-contexts")
+    rows = written(texts.mapInArrow(_find_contexts(length), f"{key}, start int, count int, place int, anchor long, whole long"), "bwt-contexts")
     again = rows.groupBy("anchor").agg(F.count("*").alias("times"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("times > 1")
-    kept = written(rows.join(again.select("anchor", (F.col("low") < F.col("high")).alias("mixed")), "anchor"), "bwt-anchored")
+    # written first: then both sides of the join are plain, and a part with a very common anchor can be split
+    again = written(again.select("anchor", (F.col("low") < F.col("high")).alias("mixed")), "bwt-repeated")
+    kept = written(rows.join(again, "anchor"), "bwt-anchored")
 
-    one = F.min(F.struct(*_KEY, "start", "count")).alias("at")
+    one = F.min(F.struct(*_KEY, "start", "count", "place")).alias("at")
     contexts = kept.where("mixed").groupBy("anchor", "whole").agg(F.count("*").alias("n"), one).select("anchor", "whole", "n", "at.*")
     contexts = written(contexts, "bwt-distinct")
     open_ = contexts.groupBy("anchor").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("least = 1")
     asked = contexts.join(open_.select("anchor", (F.col("size") > crowd).alias("crowded")), "anchor").groupBy(*_KEY).agg(
-        F.collect_list(F.struct("anchor", "start", "count", "n", "crowded")).alias("asked")
+        F.collect_list(F.struct("anchor", "start", "count", "place", "n", "crowded")).alias("asked")
     )
     same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in _KEY]
     # a text's row may be repeated: contexts that stand for one row only come from rows that are not
     cut = texts.join(asked, same(texts, asked)).select(*(texts[c] for c in _KEY), "text", "asked")
-    cut = written(cut.mapInArrow(_cut(length), f"{key}, anchor long, start int, count int, n long, crowded boolean, bytes binary"), "bwt-cut")
+    cut = written(cut.mapInArrow(_cut(length), f"{key}, anchor long, start int, count int, place int, n long, crowded boolean, bytes binary"), "bwt-cut")
     lots = cut.where("NOT crowded").repartition("anchor").sortWithinPartitions("anchor")
     partly = lots.mapInArrow(_merge_lots(length, lot_bytes, shard_bytes), f"{key}, ranges {_RANGES}")
     each = written(cut.where("crowded").mapInArrow(_window_hashes(length), f"{key}, at int, n long, one long, two long"), "bwt-crowded")
