@@ -7,6 +7,9 @@ columns of ``documents``; the last adds each document's shard.
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +25,15 @@ SHARE = 0.9
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return rule_ledger.keep_good(docs)
+    """Documents that the rules reject go; the marks of toxic texts are learnt from ``labels``, if that table is there."""
+    try:
+        labels = table(spark, sf_dir, "labels")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        warnings.warn("no table of labels: quality_rules goes by the list of words alone")
+        return rule_ledger.keep_good(docs)
+    return rule_ledger.keep_good(docs, "v2", rule_ledger.learn(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.apply_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op7_learnt_ledger")
+def op7_learnt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rule_ledger.apply_rules(docs, "v2", rule_ledger.learn(docs, table(spark, sf_dir, "labels")))
+
+
 _CONTROL = r"[<\[]\\*(?:\||/?s>|/?INST\]|<SYS>>|</SYS>>)"
 CHAT_SQL = f"""
 WITH t AS (

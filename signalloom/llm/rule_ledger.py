@@ -8,17 +8,23 @@ and never look at a text again.
 Nulls are empty texts: they have no words, fail ``few_words`` only, and keep their
 row.  An empty table gives an empty ledger.  Repeated rows are separate rows.
 Columns of the input are only carried along when asked for, so names cannot clash.
+
+The abuse rule is a list of English words.  The toxic rule reads marks that
+:func:`learn` takes from labels, per language; without learnt marks it never fails.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.functions.text import add_once
 from signalloom.llm.common import text_of, words_of
+from signalloom.session import written
 
 SYMBOLS = "#*$%&|<>"
 #: Words that attack a person; a parameter of the ledger.
@@ -57,13 +63,97 @@ def _repeated_words(grams: Column) -> Column:
     return covered.cast("long")
 
 
-def measure(docs: DataFrame, abuse: tuple[str, ...] = ABUSE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+_RUNS = (3, 4, 5, 6, 7, 8)  # lengths of leading character runs
+_PARTS = 4  # of the sample's texts one part in so many is held out for the thresholds
+
+
+class Marks(NamedTuple):
+    """One language's marks of toxic texts: (run, whole word or leading run, weight), and the score above which a text is toxic."""
+
+    weights: tuple[tuple[str, bool, float], ...]
+    threshold: float
+
+
+def _lang(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+
+
+def _score(text: Column, n_words: Column, weights: tuple[tuple[str, bool, float], ...]) -> Column:
+    """Weights of the text's marked words, each by its heaviest mark, over its words and 20 more."""
+    firsts = "".join(sorted({run[0] for run, _, _ in weights}))
+    marks = "|".join(run + (r"(?!\p{L})" if whole else r"\p{L}*+") for run, whole, _ in sorted(weights, key=lambda m: (m[1], m[0])))
+    hits = F.regexp_extract_all(F.lower(text), F.lit(rf"(?=[{firsts}])(?<!\p{{L}})(?:{marks})"), F.lit(0))
+    known = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(w).alias("whole"), F.lit(x).alias("weight")) for r, w, x in weights])
+    heaviest = lambda hit: F.array_max(
+        F.transform(F.filter(known, lambda m: F.when(m["whole"], hit == m["run"]).otherwise(F.startswith(hit, m["run"]))), lambda m: m["weight"])
+    )
+    return F.aggregate(hits, F.lit(0.0), lambda acc, hit: acc + heaviest(hit)) / (n_words + 20)
+
+
+def learn(
+    docs: DataFrame, labels: DataFrame, most: int = 1_000, least: int = 20, surprise: float = 4.0, clean_lost: float = 0.01,
+) -> dict[str, Marks]:
+    """Marks of toxic texts by language, from ``doc_id, text, lang`` and ``doc_id, toxic``.
+
+    The sample: of each language about ``most`` toxic and ``most`` clean labelled rows, chosen by hash; labels that
+    contradict each other count as toxic, rows without label are not read.  A feature is a word or a leading run of
+    3 to 8 letters; its weight is the log of how much oftener toxic texts hold it, per word of text, on three parts in
+    four of the sample (equal texts share a part).  It stays if that log is ``surprise`` standard errors or more, and
+    if no shorter run weighs about as much.  On the fourth part the threshold is set, so that ``clean_lost`` of the
+    clean rows score above it.  A language with fewer than ``least`` toxic rows to learn from or clean rows held out
+    has no marks.
+    """
+    toxic = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
+    labelled = docs.select("doc_id", _lang(docs).alias("lang")).join(toxic, "doc_id")
+    sizes = labelled.groupBy("lang", "toxic").agg(F.count("*").alias("n"))
+    chosen = labelled.distinct().join(F.broadcast(sizes), ["lang", "toxic"]).where(place * F.col("n") < F.lit(most << 30)).select("doc_id", "toxic")
+    texts = docs.select("doc_id", _lang(docs).alias("lang"), text_of().alias("text")).join(F.broadcast(chosen.distinct()), "doc_id")
+    sample = written(
+        texts.select("lang", "toxic", "text", F.size(words_of(F.col("text"))).alias("n_words"), F.pmod(F.xxhash64("text"), F.lit(_PARTS)).alias("part")), "toxic-sample"
+    )
+    train, held = sample.where("part > 0"), sample.where("part = 0 AND toxic = 0")
+    in_class = lambda value, t: F.sum(F.when(F.col("toxic") == t, value).otherwise(0))
+    totals = train.groupBy("lang").agg(
+        in_class(F.lit(1), 1).alias("toxic_rows"), in_class(F.col("n_words"), 1).alias("toxic_words"), in_class(F.col("n_words"), 0).alias("clean_words"),
+    ).join(held.groupBy("lang").agg(F.count("*").alias("held")), "lang")
+    totals = totals.where((F.col("toxic_rows") >= least) & (F.col("held") >= least) & (F.col("clean_words") > 0))
+    words = train.select("lang", "toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("words"))
+    runs = lambda k: F.transform(F.filter("words", lambda w: F.char_length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+    features = F.concat(F.col("words"), *[F.array_distinct(runs(k)) for k in _RUNS])
+    counted = words.select("lang", "toxic", F.explode(features).alias("feature")).groupBy("lang", "feature")
+    counted = counted.agg(in_class(F.lit(1), 1).alias("t"), in_class(F.lit(1), 0).alias("c")).where("t >= 3").join(F.broadcast(totals), "lang")
+    weight = F.log((F.col("t") + 0.5) / F.col("toxic_words")) - F.log((F.col("c") + 0.5) / F.col("clean_words"))
+    sure = weight / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)) >= surprise
+    kept: dict[str, dict[tuple[str, bool], float]] = {}
+    for r in sorted(counted.where(sure).select("lang", "feature", weight.alias("weight")).collect(), key=lambda r: (len(r["feature"].rstrip("*")), r["feature"][-1] != "*", r["feature"])):
+        run, mine = r["feature"].rstrip("*"), kept.setdefault(r["lang"], {})
+        if all(mine.get((run[:k], False), -math.inf) < r["weight"] - math.log(2) for k in range(_RUNS[0], len(run) + 1)):
+            mine[run, not r["feature"].endswith("*")] = r["weight"]
+    weights = {lang: tuple((run, whole, x) for (run, whole), x in marks.items()) for lang, marks in sorted(kept.items())}
+    if not weights:
+        return {}
+    scored = held.select("lang", _by_lang(F.col("lang"), weights, lambda w: _score(F.col("text"), F.col("n_words"), w)).alias("score")).where("score IS NOT NULL")
+    limits = scored.groupBy("lang").agg(F.percentile("score", F.lit(1 - clean_lost)).alias("limit")).collect()
+    return {r["lang"]: Marks(weights[r["lang"]], r["limit"]) for r in limits}
+
+
+def _by_lang(lang: Column, values: dict, column) -> Column:
+    """``column(value)`` of the row's language; null for other languages."""
+    return F.coalesce(*[F.when(lang == name, column(v)) for name, v in values.items()])
+
+
+def measure(
+    docs: DataFrame, abuse: tuple[str, ...] = ABUSE, keep: tuple[str, ...] = ("doc_id",), marks: dict[str, Marks] | None = None,
+) -> DataFrame:
     """``keep`` columns and the measurements all rules read, in one pass over the texts.
 
+    With ``marks`` also ``toxicity``: the toxic score less the threshold of the row's language, null without marks for it.
+
     Repeated windows are found among sorted 64-bit numbers first; only those whose
     hash has company are compared as text, so the count is exact.
     """
-    text = add_once(docs.select(*keep, text_of().alias("_text")), {"_words": words_of(F.col("_text"))})
+    text = add_once(docs.select(*keep, text_of().alias("_text"), _lang(docs).alias("_lang")), {"_words": words_of(F.col("_text"))})
     word = lambda i: F.get("_words", i)
     packed = F.transform(
         F.slice("_words", 1, F.greatest(F.size("_words") - 2, F.lit(0))),
@@ -76,6 +166,8 @@ def measure(docs: DataFrame, abuse: tuple[str, ...] = ABUSE, keep: tuple[str, ..
     )
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     attack = rf"(?i)(?<![a-z])(?=[{''.join(sorted({w[0] for w in abuse}))}])(?:{'|'.join(abuse)})(?![a-z])" if abuse else None
+    above = lambda m: _score(F.col("_text"), F.size("_words"), m.weights) - m.threshold
+    toxicity = [] if marks is None else [(_by_lang(F.col("_lang"), marks, above) if marks else F.lit(None).cast("double")).alias("toxicity")]
     return add_once(hashed, {"_grams": F.sort_array(windows), "_lines": lines}).select(
         *keep,
         F.size("_words").cast("long").alias("n_words"),
@@ -85,6 +177,7 @@ def measure(docs: DataFrame, abuse: tuple[str, ...] = ABUSE, keep: tuple[str, ..
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _repeated_words(F.col("_grams")).alias("n_repeat_words"),
         (F.regexp_count("_text", F.lit(attack)) if abuse else F.lit(0)).cast("long").alias("n_abuse"),
+        *toxicity,
     )
 
 
@@ -97,14 +190,16 @@ def rules() -> dict[str, Column]:
         "repeated_lines": 100 * c("n_dup_lines") > 40 * c("n_lines"),
         "word_length": (c("word_chars") < 2 * n) | (c("word_chars") > 15 * n),
         "abuse": (c("n_abuse") >= 2) & (250 * c("n_abuse") > n),
+        "toxic": F.coalesce(c("toxicity") > 0, F.lit(False)),
     }
 
 
-RULE_NAMES = ("few_words", "repeated_words", "symbols", "repeated_lines", "word_length", "abuse")
+RULE_NAMES = ("few_words", "repeated_words", "symbols", "repeated_lines", "word_length", "abuse", "toxic")
 #: Policies by version: the rules whose failure rejects a document.
 POLICIES = {
     "base": ("few_words", "repeated_words"),
-    "v1": RULE_NAMES,
+    "v1": RULE_NAMES[:6],
+    "v2": RULE_NAMES,  # reads learnt marks
 }
 
 
@@ -114,8 +209,9 @@ def mask(policy: str | tuple[str, ...]) -> int:
 
 
 def ledger(measured: DataFrame) -> DataFrame:
-    """The measurements and ``failed``, one bit per failed rule."""
-    bits = [F.when(failed, F.lit(1 << RULE_NAMES.index(name)).cast("long")).otherwise(F.lit(0).cast("long")) for name, failed in rules().items()]
+    """The measurements and ``failed``, one bit per failed rule; without ``toxicity`` among them its rule does not fail."""
+    known = [(name, failed) for name, failed in rules().items() if name != "toxic" or "toxicity" in measured.columns]
+    bits = [F.when(failed, F.lit(1 << RULE_NAMES.index(name)).cast("long")).otherwise(F.lit(0).cast("long")) for name, failed in known]
     return measured.withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits))
 
 
@@ -142,15 +238,15 @@ def ablations(kept_ledger: DataFrame, policy: str | tuple[str, ...]) -> DataFram
     )
 
 
-def apply_rules(docs: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFrame:
+def apply_rules(docs: DataFrame, policy: str | tuple[str, ...] = "v1", marks: dict[str, Marks] | None = None) -> DataFrame:
     """One row per document: measurements, failure bits, ``base_failed`` and ``kept`` under the policy."""
-    marked = ledger(measure(docs))
+    marked = ledger(measure(docs, marks=marks))
     return marked.withColumn("base_failed", rejected("base")).withColumn("kept", ~rejected("base") & ~rejected(policy))
 
 
-def keep_good(docs: DataFrame, policy: str | tuple[str, ...] = "v1") -> DataFrame:
+def keep_good(docs: DataFrame, policy: str | tuple[str, ...] = "v1", marks: dict[str, Marks] | None = None) -> DataFrame:
     """The documents the policy keeps, with all their columns, without a join."""
     columns = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "text")
-    judged = ledger(measure(row, keep=("_row",)))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "text", _lang(docs).alias("lang"))
+    judged = ledger(measure(row, keep=("_row",), marks=marks))
     return judged.where(~rejected("base") & ~rejected(policy)).select("_row.*")

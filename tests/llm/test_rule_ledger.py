@@ -47,3 +47,27 @@ def test_kept_documents_keep_their_columns(spark):
     assert out.columns == given.columns
     assert sorted(r["doc_id"] for r in out.collect()) == [8, 9, 12]
     assert R.apply_rules(given.limit(0)).count() == 0 and R.keep_good(given.where(F.lit(False))).count() == 0
+
+
+def test_learnt_marks_find_toxic_texts_by_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    unseen = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(5)) == 0  # copies of a text fall on one side
+    marks = R.learn(docs.where(~unseen), labels)
+    judged = R.apply_rules(docs.where(unseen), "v2", marks).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    failed = F.col("failed").bitwiseAND(F.lit(R.mask(("toxic",)))) != 0
+    got = {(r["lang"], r["toxic"]): (r["n"], r["hit"]) for r in judged.groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.sum(failed.cast("int")).alias("hit")).collect()}
+    print(got)
+    for lang in ("en", "de", "fr", "es"):
+        n, hit = got[lang, 1]
+        assert n >= 3 and hit >= 0.75 * n, (lang, got)
+        n, hit = got[lang, 0]
+        assert hit <= 0.05 * n, (lang, got)
+
+
+def test_no_marks_without_labels(spark):
+    docs = spark.createDataFrame([(i, t, "r", 1, "n") for i, t in enumerate(texts())], SCHEMA)
+    none = R.learn(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert none == {}
+    rows = R.apply_rules(docs, "v2", none).collect()
+    assert all(r["failed"] & R.mask(("toxic",)) == 0 for r in rows) and sum(r["kept"] for r in rows) == 3
