@@ -50,6 +50,51 @@ def test_finds_planted_items_and_nothing_else(spark):
     assert D.leaks(docs.limit(0), bench).count() == 0 and D.leaks(docs, bench.limit(0)).count() == 0
 
 
+def diluted():
+    """Leaks with words put in between or with a third of their words missing, among texts without any; what a search over all windows finds."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [say(n) for n in (20, 24, 30, 40, 60, 60, 100, 100, 160)]
+    docs = [say(rng.randint(20, 300)) for _ in range(120)]
+    for k in range(54):
+        i = k % len(items)
+        if k % 3 == 0:  # a filler after each word
+            piece = [w for x in items[i] for w in (x, rng.choice(words))]
+        elif k % 3 == 1:  # two thirds of the words, the answer among them, spread over 5/4 of the length
+            cut = len(items[i]) // 4
+            body = sorted(rng.sample(range(len(items[i]) - cut), -(-2 * len(items[i]) // 3) - cut))
+            piece = [items[i][j] for j in body] + items[i][-cut:]
+            for _ in range(5 * len(items[i]) // 4 - len(piece)):
+                piece.insert(rng.randint(0, len(piece)), rng.choice(words))
+        else:
+            piece = [w for j, x in enumerate(items[i]) for w in ([x, rng.choice(words)] if j % 2 else [x])]
+        at = rng.randint(0, len(docs[k]))
+        docs[k][at:at] = piece
+    want = set()
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            tail = max(3, len(item) // 4)
+            for low in range(0, max(1, len(doc) - 2 * len(item)) + 12, 12):
+                near = doc[low : low + 2 * len(item) + 12]
+                if len(set(near) & set(item)) < 0.5 * len(item):
+                    continue
+                common = longest_common(item, near) / len(item)
+                if common >= 0.8 or common >= 0.6 and longest_common(item[-tail:], near) >= 0.6 * tail:
+                    want.add((d, i))
+    return [" ".join(d) for d in docs], [" ".join(i) for i in items], want
+
+
+def test_recall_with_words_put_in_between(spark):
+    texts, items, want = diluted()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for rows in (20_000, 40):  # the latent space of all rows, and of a third
+        found = {(r["doc_id"], r["item_id"]) for r in D.leaks(docs, bench, fit_rows=rows).collect()}
+        print(rows, len(want), len(found & want), len(found - want), sorted(want - found))
+        assert len(want) >= 50 and len(found & want) >= 0.95 * len(want)
+
+
 def test_common_subsequence_in_bits():
     import numpy as np
 
