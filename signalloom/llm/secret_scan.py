@@ -1,10 +1,11 @@
 """Secret scans: patterns, and novelty under dictionary-primed zstandard.
 
-Three base patterns give fixed spans.  A long mixed string near a sensitive word is a
-candidate for more: its marginal bytes are what a zstandard frame of its surroundings
-grows by when it is put in, with the corpus's most frequent identifiers as dictionary.
-What compresses like code or like known names is no secret; what costs close to its
-entropy is reported as ``novel``.
+Three base patterns give fixed spans.  A long mixed string that begins or ends within 48
+characters of a sensitive word, on either side, is a candidate for more (of a string with such
+a word inside, what follows and what precedes the word): its marginal bytes are what a zstandard
+frame of its surroundings grows by when it is put in, with the corpus's most frequent identifiers
+as dictionary.  What compresses like code or like known names is no secret; what costs close to
+its entropy is reported as ``novel``.
 
 Spans are code points, end exclusive.  Null and empty texts have none.  Texts are read
 whole.  Rows are independent of each other, repeated rows give repeated results; only
@@ -15,6 +16,7 @@ that is a parameter.  An empty table gives no rows and an empty dictionary.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,7 +37,7 @@ _NEAR = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credent
 _SENSITIVE = re.compile("|".join(_NEAR), re.IGNORECASE | re.ASCII)
 _STRING = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,}")
-_REACH, _AROUND = 48, 160
+_REACH, _AROUND, _LEAST = 48, 160, 16
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -50,6 +52,24 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
+def near_strings(text: str) -> set[tuple[int, int]]:
+    """Long strings, whole, that begin or end within reach of a sensitive word."""
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    if not words:
+        return set()
+    starts, ends = [s for s, _ in words], [e for _, e in words]
+    out = set()
+    for m in _STRING.finditer(text):
+        start, end = m.span()
+        after = bisect_right(ends, start)  # words before the string; the last is the nearest
+        before = bisect_left(starts, end)  # the first word after it
+        if after and start - ends[after - 1] <= _REACH or before < len(words) and starts[before] - end <= _REACH:
+            out.add((start, end))
+        for s, e in words[after:before]:  # words inside or across a border
+            out |= {(a, b) for a, b in ((e, end), (start, s)) if b - a >= _LEAST}
+    return out
+
+
 class Novelty:
     """Marginal compressed bytes under a dictionary of identifiers."""
 
@@ -66,16 +86,14 @@ class Novelty:
 
     def spans(self, text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
         found = set()
-        for near in _SENSITIVE.finditer(text):
-            for m in _STRING.finditer(text, near.end(), min(len(text), near.end() + _REACH)):
-                end = _STRING.match(text, m.start()).end()  # whole, also beyond the reach
-                word = text[m.start() : end]
-                if not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)):
-                    continue
-                if any(s < end and m.start() < e for s, _, e in base):
-                    continue
-                if 8 * self.marginal(text, m.start(), end) >= self.least * len(word):
-                    found.add((m.start(), "novel", end))
+        for start, end in near_strings(text):
+            word = text[start:end]
+            if not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)):
+                continue
+            if any(s < end and start < e for s, _, e in base):
+                continue
+            if 8 * self.marginal(text, start, end) >= self.least * len(word):
+                found.add((start, "novel", end))
         return sorted(found)
 
 

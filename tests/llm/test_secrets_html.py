@@ -38,6 +38,20 @@ def test_novel_strings_in_sensitive_context():
     assert novelty.spans("nothing near Zk9QwX72LmPf04TyBvRe8sHd", []) == []
 
 
+def test_strings_within_reach_on_either_side():
+    novelty, secret = S.Novelty([], 3.5), "Zk9QwX72LmPf04TyBvRe8sHd"
+    found = lambda text: [text[a:b] for a, _, b in novelty.spans(text, S.base_spans(text))]
+    for gap in (1, 32, 33, 47, 48):
+        assert found("credential" + " " * gap + secret + " end") == [secret], gap
+        assert found("it is " + secret + " " * gap + "credential") == [secret], gap
+    assert found("credential" + " " * 49 + secret) == found(secret + " " * 49 + "credential") == []
+    assert found(f"| {secret} | session |") == [secret]
+    assert found("'key': {'type': 'string', 'value': '" + secret + "'}") == [secret]
+    whole = "".join(random.Random(4).choices("ABCDEFGHJLMNPQRSTUVWXYZabcdefghjlmnpqrstuvwxyz23456789", k=100))
+    assert found("credential" + " " * 40 + whole) == [whole]  # to its end, beyond the reach
+    assert found(f"auth/{secret}") == ["/" + secret] and found(f"{secret}/auth") == [secret + "/"]
+
+
 PAGE = "<html><body><nav><a>Home of the very best things ever</a></nav>{main}<div>Follow us on every network you can think of today</div><footer>bye</footer></body></html>"
 
 
