@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import bwt_dedup, chat_format, decontaminate, html_extract, jaccard_join, mixture, rule_ledger, secret_scan, sharding, tree_weighting
+from signalloom.llm import (
+    bwt_dedup, chat_format, decontaminate, html_extract, jaccard_join, mixture, multi_index, rule_ledger, secret_scan, sharding, tree_weighting, whitening,
+)
 from signalloom.llm.common import table
 
 QUERIES: dict = {}
@@ -242,3 +244,31 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_bwt_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+EMBEDDINGS_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+w AS (
+  SELECT * FROM e
+  WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(x, lambda c: c <> 0)) > 0),
+l AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM w a JOIN w b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+c AS (SELECT vec_id, vec_id AS root FROM e UNION SELECT l.v, c.root FROM c JOIN l ON l.u = c.vec_id AND l.v > c.root),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u),
+m AS (SELECT vec_id, min(root) AS component_id FROM c GROUP BY vec_id)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM e JOIN m USING (vec_id) LEFT JOIN n ON n.u = e.vec_id
+"""
+
+
+@query("op11_multi_index", EMBEDDINGS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.link(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
