@@ -91,9 +91,9 @@ def power(back: bool, n: int) -> np.ndarray:
     return _powers[back][:n]
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all lower-cased (A-Z) words in text order, and the n + 1
-    places where each text's words begin.
+    places where each text's words begin; ``outside`` marks the bytes that part words.
 
     A word's hash sums its bytes' codes times powers of an odd number, so that it
     is a difference of running sums; equal words have equal hashes, and different
@@ -102,7 +102,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~_IS_SPACE[raw]
+    inside = ~outside[raw]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.llm import (
-    bwt_dedup, chat_format, decontaminate, html_extract, jaccard_join, mixture, multi_index, rule_ledger, secret_scan, sharding, tree_weighting, whitening,
+    bwt_dedup, chat_format, decontaminate, html_extract, jaccard_join, mixture, multi_index, pair_maxscore, rule_ledger, secret_scan, sharding, tree_weighting, whitening,
 )
 from signalloom.llm.common import table
 
@@ -269,6 +269,28 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.link(table(spark, sf_dir, "embeddings"))
 
 
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT count(*) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM d WHERE len(terms) > 0),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+w AS (SELECT item_id, term, CAST(floor(1000 * ln((2 * s.n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM q JOIN f USING (term) CROSS JOIN s),
+m AS (SELECT r, doc_id, 10 + (90 * len(terms) * s.n) // s.l AS m FROM d CROSS JOIN s WHERE len(terms) > 0),
+g AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM w JOIN t USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS place, doc_id, score FROM g WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM k WHERE place <= 10
+"""
+
+
+@query("op12_pair_maxscore", SEARCH_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_maxscore.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
