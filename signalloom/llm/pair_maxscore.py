@@ -40,7 +40,8 @@ from signalloom.session import discard, written
 
 _BITS = 1 << 22  # places of the bitmap of terms
 _BLOCK_TERMS, _BLOCK_ITEMS = 1 << 17, 1024  # of a block of items (one item at least)
-_PART_ROWS, _PART_POSTINGS = 4096, 1 << 22  # of a part of the index
+_PART_ROWS, _PART_POSTINGS = 2048, 1 << 18  # of a part of the index; documents are numbered with 16 bits
+_MEETINGS = 1 << 20  # pairs of terms looked up at a time
 _RARE = 64  # a pair is listed where its rarer term is in no more than a part of so many of the documents
 
 #: Bytes that part terms: ASCII but digits and letters.
@@ -155,11 +156,15 @@ def _inverted(block: Block):
         # pairs: every document of a rare term against the terms it meets in an item
         rare = np.flatnonzero(block.rare[place])
         many = partner_at[place[rare] + 1] - partner_at[place[rare]]
-        left, right = np.repeat(rare, many), partner[_spans(partner_at[place[rare]], many)]
-        wanted = owner[left] * size + right
-        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-        both = keys[at] == wanted if len(keys) else np.zeros(0, bool)
-        left, right, at = left[both], right[both], at[both]
+        cuts = np.unique(np.append(np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()), _MEETINGS)), len(rare)))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            left, right = np.repeat(rare[s:e], many[s:e]), partner[_spans(partner_at[place[rare[s:e]]], many[s:e])]
+            wanted = owner[left] * size + right
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            both = keys[at] == wanted
+            found.append((left[both], right[both], at[both]))
+        left, right, at = map(np.concatenate, zip(*found))
         order = np.lexsort((owner[left], right, place[left]))
         left, right, at = left[order], right[order], at[order]
         pair = place[left] * size + right
@@ -168,8 +173,8 @@ def _inverted(block: Block):
         lists = np.searchsorted(place[by_term], np.arange(size + 1))
         there = np.flatnonzero(np.diff(lists) > 0)
         values = [
-            there.astype("<i4"), np.append(lists[there], len(by_term)).astype("<i4"), owner[by_term].astype("<i4"), impact[by_term].astype("<i8"),
-            place[left[first]].astype("<i4"), right[first].astype("<i4"), np.append(first, len(pair)).astype("<i4"), owner[left].astype("<i4"),
+            there.astype("<i4"), np.append(lists[there], len(by_term)).astype("<i4"), owner[by_term].astype("<u2"), impact[by_term].astype("<i8"),
+            place[left[first]].astype("<i4"), right[first].astype("<i4"), np.append(first, len(pair)).astype("<i4"), owner[left].astype("<u2"),
             (impact[left] + impact[at]).astype("<i8"),
         ]
         docs = pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column("doc_id").combine_chunks())
@@ -200,9 +205,9 @@ class Part:
         def numbers(name: str, kind: str) -> np.ndarray:
             return np.frombuffer(batch.column(name)[i].as_buffer(), kind)
 
-        self.terms, self.at, self.rows, self.impacts = numbers("terms", "<i4"), numbers("at", "<i4"), numbers("rows", "<i4"), numbers("impacts", "<i8")
+        self.terms, self.at, self.rows, self.impacts = numbers("terms", "<i4"), numbers("at", "<i4"), numbers("rows", "<u2"), numbers("impacts", "<i8")
         self.a, self.b, self.pair_at = numbers("a", "<i4"), numbers("b", "<i4"), numbers("pair_at", "<i4")
-        self.pair_rows, self.pair_sums = numbers("pair_rows", "<i4"), numbers("pair_sums", "<i8")
+        self.pair_rows, self.pair_sums = numbers("pair_rows", "<u2"), numbers("pair_sums", "<i8")
         self.docs = batch.column("docs")[i].values
         self.most = np.maximum.reduceat(self.impacts, self.at[:-1]) if len(self.terms) else np.zeros(0, np.int64)
         self.pair_most = np.maximum.reduceat(self.pair_sums, self.pair_at[:-1]) if len(self.a) else np.zeros(0, np.int64)
