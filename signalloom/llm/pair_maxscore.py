@@ -41,7 +41,7 @@ from signalloom.session import discard, written
 _BITS = 1 << 22  # places of the bitmap of terms
 _BLOCK_TERMS, _BLOCK_ITEMS = 1 << 17, 1024  # of a block of items (one item at least)
 _PART_ROWS, _PART_POSTINGS = 2048, 1 << 18  # of a part of the index; documents are numbered with 16 bits
-_MEETINGS = 1 << 20  # pairs of terms looked up at a time
+_MEETINGS = 1 << 18  # pairs of terms looked up at a time
 _RARE = 64  # a pair is listed where its rarer term is in no more than a part of so many of the documents
 
 #: Bytes that part terms: ASCII but digits and letters.
@@ -62,7 +62,7 @@ def _counted(bitmap: np.ndarray):
     """Texts to their length in terms and the counts of terms that the bitmap lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in chunks(whole)):
+        for batch in (part for whole in batches for part in chunks(whole, limit=1 << 20)):
             found, begins = _terms(batch.column("text"))
             owner = np.repeat(np.arange(batch.num_rows), np.diff(begins))
             some = np.flatnonzero(bitmap[found & (_BITS - 1)])
