@@ -13,13 +13,16 @@ Inside a tile classes are sorted by size and compared in blocks with the blocks
 sizes can reach the threshold.  A signature holds the parity of the shingles per hashed bit,
 so the bits in which two signatures differ are at most the shingles in which the sets
 differ, which bounds the overlap from above.  Pairs within the bound go to the exact
-intersection of sorted arrays.  Nothing emits all pairs of a group: first every class
-only proposes its nearest earlier neighbours, then only pairs whose components are still
-apart are proposed, all of them.  Tiles above a size are cut into blocks of classes.
+intersection of sorted arrays.  Tiles above a size are cut into pairs of blocks of classes.
 
-Null and empty texts have no shingles and are linked with nothing.  Fewer words than
-k are one shingle.  Repeated rows share a class.  Rows without doc_id keep their row and
-do not name a component.  An empty table gives no rows.
+No step emits all pairs of a group.  First every class proposes its nearest earlier neighbours.  Then, in tiles whose
+classes are not yet of one component, a class that still has a pair within the bound asks for its
+set: a row per class, where ranges make several tiles of a pair only in the first of them.  The sets come to the tile, which decides its pairs itself
+and returns a spanning forest of the links, at most a link less than it has classes.
+
+Rows are told apart by doc_id and text, so a repeated doc_id with another text is another row.  Null and empty texts
+have no shingles and are linked with nothing.  Fewer words than k are one shingle.  Repeated rows share a class.  Rows without
+doc_id are compared as any others, but never name a component.  Other columns, whatever their names, are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,11 +36,12 @@ from pyspark.sql import functions as F
 
 from signalloom.llm.common import chunks, mix, shingle_hashes, text_bytes, word_hashes
 from signalloom.llm.components import components
-from signalloom.session import written
+from signalloom.session import discard, written
 
 _RANGES, _SMALL, _BLOCK, _NEAREST = 24, 100, 4096, 2
 _EDGES = (np.arange(_RANGES, dtype=np.float64) / _RANGES * 2.0**64).astype(np.uint64)
-_SETS = "doc_id {id}, n long, node long, keys array<long>, bits binary, fine binary"
+_SETS = "doc_id {id}, th long, n long, node long, keys array<long>, bits binary, fine binary"
+_BLOCK_SHINGLES = 1 << 21  # of a side of a tile whose sets are at hand
 _COARSE_BITS, _FINE_BITS = 8, 32  # signature bits per shingle in which linked sets can differ
 
 
@@ -73,6 +77,14 @@ def _tile_keys(u: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def _node(u: np.ndarray) -> int | None:
+    """The class of a set."""
+    if not len(u):
+        return None
+    with np.errstate(over="ignore"):
+        return int(_signed(mix(np.array([mix(u).sum() + np.uint64(len(u))], np.uint64)))[0])
+
+
 def _document_sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
     raw, offsets = text_bytes(batch.column("text"))
     hashed, owner = shingle_hashes(*word_hashes(raw, offsets), k)
@@ -89,15 +101,13 @@ def _describe(k: int, percent: int):
             ns, nodes, keys, bits, fine = [], [], [], [], []
             for u in _document_sets(batch, k):
                 ns.append(len(u))
-                with np.errstate(over="ignore"):
-                    node = mix(np.array([mix(u).sum() + np.uint64(len(u))], np.uint64)) if len(u) else None
-                nodes.append(int(_signed(node)[0]) if len(u) else None)
+                nodes.append(_node(u))
                 keys.append(_signed(_tile_keys(u, percent)) if len(u) else [])
                 bits.append(_signature(u, percent, _COARSE_BITS) if len(u) else b"")
                 fine.append(_signature(u, percent, _FINE_BITS) if len(u) else b"")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())],
-                names=["doc_id", "n", "node", "keys", "bits", "fine"],
+                [batch.column("doc_id"), batch.column("th"), pa.array(ns, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(fine, pa.binary())],
+                names=["doc_id", "th", "n", "node", "keys", "bits", "fine"],
             )
 
     return run
@@ -144,50 +154,19 @@ def _close(n: np.ndarray, bits: list[bytes], percent: int, step: int = 256) -> I
                 yield i + a, j + b, differ[i, j]
 
 
-def _propose(percent: int, nearest: int | None):
-    """Sorted tile rows to candidate pairs; ``nearest``: only so many earlier neighbours each."""
-
-    def tile(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.lexsort((rows["node"], rows["n"]))
-        n, node, comp, side = (rows[c][order] for c in ("n", "node", "comp", "side"))
-        bits = [rows["bits"][i] for i in order]
-        out_i, out_j, out_d = [], [], []
-        for i, j, d in _close(n, bits, percent):
-            apart = (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
-            out_i.append(i[apart]), out_j.append(j[apart]), out_d.append(d[apart])
-        if not out_i:
-            return tuple(np.zeros(0, np.int64) for _ in range(3))
-        i, j, d = map(np.concatenate, (out_i, out_j, out_d))
-        if nearest is not None:
-            best = np.lexsort((j, d, i))
-            i, j, d = i[best], j[best], d[best]
-            rank = np.arange(len(i)) - np.searchsorted(i, i)
-            i, j, d = i[rank < nearest], j[rank < nearest], d[rank < nearest]
-        return node[i], node[j], d
+def _by_tile(decide, names: list[str]):
+    """Rows sorted by ``tile`` to what ``decide`` makes of every tile: equally long lists, one per name, or none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        seen: set[tuple[int, int]] = set()
 
-        def finish(table: pa.Table) -> pa.RecordBatch | None:
+        def finish(table: pa.Table) -> Iterator[pa.RecordBatch]:
             table = table.combine_chunks()
             part = table.column("tile").to_numpy()
             edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            us, vs, ds = [], [], []
-            columns = {c: table.column(c).to_numpy() for c in ("n", "node", "comp", "side")}
-            bits = table.column("bits")
             for s, e in zip(edges, np.append(edges[1:], len(part))):
-                if e - s < 2:
-                    continue
-                rows = {c: x[s:e] for c, x in columns.items()} | {"bits": bits.slice(s, e - s).to_pylist()}
-                for u, v, d in zip(*(x.tolist() for x in tile(rows))):
-                    pair = (u, v) if nearest is not None or u < v else (v, u)
-                    if pair not in seen:
-                        seen.add(pair)
-                        us.append(pair[0]), vs.append(pair[1]), ds.append(d)
-            if len(seen) > 1_000_000:  # only saves repeated proposals; they are made distinct later anyway
-                seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (us, vs, ds)], names=["u", "v", "d"]) if us else None
+                if e - s > 1 and (out := decide(table.slice(s, e - s))) is not None:
+                    yield pa.RecordBatch.from_arrays(out, names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -195,42 +174,132 @@ def _propose(percent: int, nearest: int | None):
             tiles = batch.column("tile").to_numpy()
             last = int(np.flatnonzero(tiles != tiles[-1])[-1]) + 1 if (tiles != tiles[-1]).any() else 0
             if held and (last or held[-1].column("tile")[-1].as_py() != tiles[-1]):
-                out = finish(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                yield from finish(pa.Table.from_batches([*held, batch.slice(0, last)]))
                 held = [batch.slice(last)]
             elif not held and last:
-                out, held = finish(pa.Table.from_batches([batch.slice(0, last)])), [batch.slice(last)]
+                yield from finish(pa.Table.from_batches([batch.slice(0, last)]))
+                held = [batch.slice(last)]
             else:
-                out = None
                 held.append(batch)
-            if out is not None:
-                yield out
-        if held and (out := finish(pa.Table.from_batches(held))) is not None:
-            yield out
+        if held:
+            yield from finish(pa.Table.from_batches(held))
 
     return run
 
 
-def _candidates(members: DataFrame, percent: int, nearest: int | None) -> DataFrame:
-    """``key, node, n, comp, bits`` (tiles with company only) and their ``size`` to distinct pairs."""
-    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    if nearest is not None:  # neighbours are looked for in a class's own block
-        placed = members.select("*", F.xxhash64("key", own).alias("tile"), F.lit(2).alias("side"))
-    else:  # every pair of blocks meets once; side tells the two blocks of a tile apart, 2: a block with itself
-        other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-        placed = members.select("*", own.alias("own"), other).select(
-            "*", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
-            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
-    rows = placed.select("tile", "node", "n", "comp", "side", "bits").repartition("tile").sortWithinPartitions("tile")
+def _sorted_tile(table: pa.Table, *columns: str) -> tuple[list[np.ndarray], list[bytes], np.ndarray]:
+    order = np.lexsort((table.column("node").to_numpy(), table.column("n").to_numpy()))
+    bits = table.column("bits").to_pylist()
+    return [table.column(c).to_numpy()[order] for c in columns], [bits[i] for i in order], order
+
+
+def _propose(percent: int, nearest: int):
+    """A tile to pairs: every class with its nearest earlier neighbours within the bound."""
+
+    def decide(table: pa.Table):
+        (n, node), bits, _ = _sorted_tile(table, "n", "node")
+        found = list(_close(n, bits, percent))
+        if not found:
+            return None
+        i, j, d = map(np.concatenate, zip(*found))
+        best = np.lexsort((j, d, i))
+        i, j, d = i[best], j[best], d[best]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < nearest
+        return [pa.array(x, pa.int64()) for x in (node[i][first], node[j][first], d[first])]
+
+    return _by_tile(decide, ["u", "v", "d"])
+
+
+def _apart(i, j, comp, side) -> np.ndarray:
+    """Pairs of different components; in a tile of two blocks only those between them."""
+    return (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
+
+
+def _asking(percent: int):
+    """A tile to the classes that have a pair within the bound, of different components, which no earlier range has in common."""
+
+    def decide(table: pa.Table):
+        (n, node, comp, side, key), bits, order = _sorted_tile(table, "n", "node", "comp", "side", "key")
+        ranges, long = np.zeros((len(n), _RANGES), np.int64), np.zeros(len(n), bool)
+        for row, at in enumerate(order):  # with as many keys as ranges, each is a range's least hash
+            keys = table.column("keys")[int(at)].as_py()
+            if len(keys) == _RANGES:
+                ranges[row], long[row] = keys, True
+        wanted = np.zeros(len(n), bool)
+        for i, j, _ in _close(n, bits, percent):
+            far = _apart(i, j, comp, side)
+            i, j = i[far], j[far]
+            for s in range(0, len(i), 65_536):
+                a, b = i[s : s + 65_536], j[s : s + 65_536]
+                common = ranges[a] == ranges[b]
+                first = ranges[a, common.argmax(1)]
+                here = ~(long[a] & long[b] & common.any(1)) | (first == key[a])
+                wanted[a[here]] = True
+                wanted[b[here]] = True
+        if not wanted.any():
+            return None
+        kept = pa.array(order[wanted])
+        return [table.column(c).combine_chunks().take(kept) for c in ("tile", "node", "n", "comp", "side", "bits")]
+
+    return _by_tile(decide, ["tile", "node", "n", "comp", "side", "bits"])
+
+
+def _decided(percent: int):
+    """A tile with its sets to a spanning forest of its links."""
+
+    def decide(table: pa.Table):
+        (n, node, comp, side), bits, order = _sorted_tile(table, "n", "node", "comp", "side")
+        sets = [np.frombuffer(table.column("shingles")[int(r)].as_buffer(), np.uint64) for r in order]
+        names, root = np.unique(comp, return_inverse=True)
+        parent, us, vs = list(range(len(names))), [], []
+        for i, j, _ in _close(n, bits, percent):
+            far = _apart(i, j, comp, side)
+            for a, b in zip(i[far].tolist(), j[far].tolist()):
+                x, y = int(root[a]), int(root[b])
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                while parent[y] != y:
+                    parent[y] = y = parent[parent[y]]
+                if x == y:
+                    continue
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    parent[x] = y
+                    us.append(int(node[a])), vs.append(int(node[b]))
+        return [pa.array(us, pa.int64()), pa.array(vs, pa.int64())] if us else None
+
+    return _by_tile(decide, ["u", "v"])
+
+
+def _nearest(members: DataFrame, percent: int, nearest: int) -> DataFrame:
+    """``key, node, n, bits`` (tiles with company only) and their ``size`` to distinct pairs of near classes."""
+    own = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / _BLOCK).cast("int"))  # neighbours are looked for in a class's own block
+    rows = members.select(F.xxhash64("key", own).alias("tile"), "node", "n", "bits").repartition("tile").sortWithinPartitions("tile")
     found = rows.mapInArrow(_propose(percent, nearest), "u long, v long, d long")
-    if nearest is None:
-        return found.select("u", "v").distinct()
     # of all its tiles' proposals a class keeps the nearest; at most ``nearest`` came out of each of its tiles
     best = found.groupBy("u").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "v"))), 1, nearest).alias("best"))
     return best.select("u", F.explode("best.v").alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _rest(members: DataFrame, sets, percent: int) -> DataFrame:
+    """``key, node, n, bits, keys, comp``, the ``size`` of the tile and its ``shingles`` in all, to the links between components.
+
+    ``sets`` makes ``node, shingles`` of nodes.
+    """
+    blocks = F.greatest(F.ceil(F.col("size") / _BLOCK), F.ceil(F.col("all") / _BLOCK_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    # every pair of blocks meets once; side tells the two blocks of a tile apart, 2: a block with itself
+    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    placed = members.select("*", own.alias("own"), other).select(
+        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"), "key", "node", "n", "comp",
+        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("long").alias("side"), "bits", "keys",
+    )
+    columns = "tile long, node long, n long, comp long, side long, bits binary"
+    asking = written(placed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_asking(percent), columns), "jaccard-asking")
+    filled = asking.join(sets(asking.select("node").distinct()), "node")
+    return filled.repartition("tile").sortWithinPartitions("tile").mapInArrow(_decided(percent), "u long, v long")
+
+
 def _within(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
     """The pairs that the longer signatures still allow."""
     side = lambda c: fine.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"f{c}"))
@@ -247,13 +316,25 @@ def _within(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "nv", "fu", "fv").mapInArrow(run, "u long, v long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+def _fetch(docs: DataFrame, classes: DataFrame, k: int):
+    """A function from ``node`` to ``node, shingles``: a class's set is made again from the text of the row that stands for it."""
+    loose = docs.where("doc_id IS NULL").dropDuplicates(["th"])
+    rows = docs.where("doc_id IS NOT NULL").unionByName(loose)
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        asked = classes.join(wanted, "node", "left_semi").select(F.col("node").alias("class"), F.col("doc_id").alias("id"), F.col("th").alias("text_hash"))
+        texts = rows.join(asked, (F.col("th") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("id")))
+        made = texts.select(F.col("class").alias("node"), "text").mapInArrow(_sets(k), "node long, shingles binary")
+        return written(made.dropDuplicates(["node"]), "jaccard-sets")
+
+    return sets
+
+
+def _verified(pairs: DataFrame, sets, percent: int) -> DataFrame:
     """The pairs whose sets reach the threshold, by intersecting sorted arrays."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = classes.select("node", "doc_id").join(wanted, "node", "left_semi").join(docs, "doc_id")
-    sets = written(texts.select("node", "text").mapInArrow(_sets(k), "node long, shingles binary").dropDuplicates(["node"]), "jaccard-sets")
-    left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    held = sets(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct())
+    left = held.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    right = held.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,39 +348,50 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(linked, "u long, v long")
 
 
-def link(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """``doc_id, text`` to ``doc_id, n_shingles, component_id``, one row per document."""
+def members(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """``doc_id, text`` to ``doc_id, th, n_shingles, component, component_id``, one row per document.
+
+    ``th`` is the hash of the text, ``component`` a number of the group (null without shingles) that does not depend on ids.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     described = written(docs.mapInArrow(_describe(k, percent), _SETS.format(id=kind)), "jaccard-described")
-    named = described.where("node IS NOT NULL AND doc_id IS NOT NULL")
-    classes = written(named.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
-    own = named.join(classes, ["node", "doc_id"]).select("node", "n", "keys", "bits")
+    named = described.where("node IS NOT NULL")
+    standing = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("row")
+    classes = written(named.groupBy("node").agg(standing).select("node", "row.doc_id", "row.th"), "jaccard-classes")
+    stands = classes.select(F.col("node").alias("class"), F.col("doc_id").alias("id"), F.col("th").alias("text_hash"))
+    same = (F.col("node") == F.col("class")) & (F.col("th") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    own = named.join(stands, same, "left_semi").select("node", "n", "keys", "bits")
     postings = written(own.select("node", "n", F.explode("keys").alias("key")).distinct(), "jaccard-postings")
-    met = postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    met = postings.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("all")).where("size > 1")
     shared = written(postings.join(met, "key"), "jaccard-shared")
-    bits = own.select("node", "bits").dropDuplicates(["node"])
+    bits = own.select("node", "bits", "keys").dropDuplicates(["node"])
+    sets = _fetch(docs, classes, k)
 
-    near = written(shared.join(bits, "node").withColumn("comp", F.col("node")), "jaccard-members")
+    near = written(shared.join(bits, "node"), "jaccard-members")
     company = shared.select("node").distinct()
     fine = written(described.select("node", "n", "fine").join(company, "node", "left_semi").dropDuplicates(["node"]), "jaccard-signatures")
-    first = written(_candidates(near, percent, _NEAREST), "jaccard-nearest")
+    first = written(_nearest(near, percent, _NEAREST), "jaccard-nearest")
     allowed = written(_within(first, fine, percent), "jaccard-allowed")
-    links = written(_verified(allowed, docs, classes, k, percent), "jaccard-links")
+    links = written(_verified(allowed, sets, percent), "jaccard-links")
     found = written(components(links), "jaccard-components")
 
     comp = F.coalesce("component", "node").alias("comp")
-    placed = near.drop("comp").join(found, "node", "left").select("key", "node", "n", "bits", comp)
-    apart = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high")
-    rest = _candidates(placed.join(apart.select("key", "size"), "key"), percent, None).join(first, ["u", "v"], "left_anti")
-    rest = written(_within(written(rest, "jaccard-rest"), fine, percent), "jaccard-allowed")
-    more = _verified(rest, docs, classes, k, percent)
+    placed = near.join(found, "node", "left").select("key", "node", "n", "size", "all", "bits", "keys", comp)
+    apart = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    more = written(_rest(placed.join(apart, "key", "left_semi"), sets, percent), "jaccard-links")
     final = written(components(links.union(more)), "jaccard-components")
+    discard(near, shared, postings)
 
     label = classes.join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     label = written(label, "jaccard-labels")
     names = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    answer = label.select("node", "component").join(names, "component").select("node", "component_id")
-    return described.select("doc_id", "node", F.col("n").alias("n_shingles")).join(answer, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    answer = label.select("node", "component").join(names, "component")
+    return described.select("doc_id", "th", "node", F.col("n").alias("n_shingles")).join(answer, "node", "left").select(
+        "doc_id", "th", "n_shingles", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def link(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """``doc_id, text`` to ``doc_id, n_shingles, component_id``, one row per document."""
+    return members(docs, k, percent).select("doc_id", "n_shingles", "component_id")

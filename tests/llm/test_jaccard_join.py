@@ -63,6 +63,47 @@ def test_rows_without_id_and_empty_tables(spark):
     out = J.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, out), key=str) == sorted([(None, 2, 2), (3, 2, 2), (None, 2, None), (2, 2, 2)], key=str)
     assert J.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    # linked by a row without an id only
+    rows = [(1, "a b c d e f g h i j k l m n o p q r s t u v"), (None, "a b c d e f g h i j k l m n o p q r s t u v w"), (2, "a b c d e f g h i j k l m n o p q r s t u v w x"), (None, None)]
+    out = J.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 90).collect()
+    assert sorted(map(tuple, out), key=str) == brute(rows, 4, 90)
+
+
+def test_texts_under_one_id_are_told_apart(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, "other words " * 5), (2, text + " z"), (3, "other words " * 5 + "other z")]
+    out = J.link(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, component int"), 4, 70).collect()
+    assert sorted(map(tuple, out), key=str) == brute(rows, 4, 70)
+    long = [(1, "x " + text), (1, "q w e r t y u i o p a s d f g h"), (2, "x " + text), (3, "q w e r t y u i o p a s d f g h j")]
+    out = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in J.link(spark.createDataFrame(long, "doc_id long, text string"), 4, 85).collect()}
+    assert out == {(1, 38): 1, (1, 13): 1, (2, 38): 1, (3, 14): 1}
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_near_copies_below_the_threshold_emit_rows_in_proportion(spark, monkeypatch, block):
+    """All pairs of a group come near the threshold and fail: a class asks once a tile, no pairs are written."""
+    monkeypatch.setattr(J, "_BLOCK", block)
+    sizes = {}
+    real = J.written
+
+    def counting(df, label):
+        out = real(df, label)
+        sizes.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(J, "written", counting)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for n in range(120):
+        text = list(base)
+        for at in rng.sample(range(0, 300, 5), 7):  # seven of sixty places: two texts differ in about twelve of 297 shingles a place
+            text[at] = f"x{n}-{at}"
+        rows.append((n, " ".join(text)))
+    out = J.link(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert sorted(map(tuple, out), key=str) == brute(rows, 4, 80)
+    tiles = max(1, -(-120 // block))
+    assert max(sizes["jaccard-asking"]) <= 24 * 120 * tiles and max(sizes["jaccard-links"]) < 24 * 120 * tiles
 
 
 def test_signature_bounds_the_difference():
