@@ -10,12 +10,14 @@ the placeholder expands to.
 
 Control strings inside a text get a backslash after their first character (and lose
 it again on reading), so no text can open or close a turn, and every text comes back
-as it was.  Loss spans are zero-based, end-exclusive code points of the content of
+as it was.  Neighbouring texts of a turn are joined before they are escaped, so that they cannot make a control
+string together.  Loss spans are zero-based, end-exclusive code points of the content of
 trained roles.
 
 Null texts, roles and part lists are empty.  Turns come in the order of turn, role
 and content; repeated rows stay repeated.  A null conv_id is a conversation of its
 own.  An unknown kind of part is kept as a placeholder of that name with no tokens.
+Texts of any length are formatted whole.  Other columns, whatever their names, are not read.
 An empty table gives no rows.  A conversation is one result row, so its turns meet in
 one group; nothing else is grouped.
 """
@@ -58,10 +60,17 @@ def _kind(part: Column) -> Column:
     return F.coalesce(part["kind"], F.lit("text"))
 
 
-def _render(part: Column) -> Column:
-    """A part inside the formatted text."""
-    name = F.regexp_replace(_kind(part), "[^A-Za-z0-9_]", "_")
-    return F.when(_kind(part) == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), name, F.lit("|>")))
+def _rendered(parts: Column) -> Column:
+    """The parts inside the formatted text: runs of neighbouring texts are joined, then escaped; others are placeholders."""
+
+    def visit(state: Column, part: Column) -> Column:
+        name = F.regexp_replace(_kind(part), "[^A-Za-z0-9_]", "_")
+        text = F.struct(state["done"].alias("done"), F.concat(state["open"], F.coalesce(part["text"], F.lit(""))).alias("open"))
+        other = F.struct(F.concat(state["done"], escape(state["open"]), F.lit("<|"), name, F.lit("|>")).alias("done"), F.lit("").alias("open"))
+        return F.when(_kind(part) == "text", text).otherwise(other)
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+    return F.aggregate(parts, start, visit, lambda state: F.concat(state["done"], escape(state["open"])))
 
 
 def _tokens(part: Column) -> Column:
@@ -87,7 +96,7 @@ def format_chat(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) ->
     parts = F.coalesce("parts", F.array().cast(f"array<{PART}>"))
     shown = turns.select(
         "conv_id", "turn", role.alias("role"),
-        F.array_join(F.transform(parts, _render), "").alias("content"),
+        _rendered(parts).alias("content"),
         F.filter(
             F.transform(parts, lambda p, i: F.struct(i.alias("part"), _kind(p).alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens"))),
             lambda a: a["kind"] != "text",
