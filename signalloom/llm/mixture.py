@@ -12,8 +12,8 @@ one the longest prefix of its seeded order that fits the rest of the budget.  Th
 of the prefix is found by radix descent over the order's hash: each pass sums one
 level of 256 slices per leaf, so no leaf, however large, is sorted in one task.
 
-Null level values count as the empty name, null texts as no tokens.  Documents without
-tokens follow the order and cost nothing.  Repeated rows are separate documents with the
+Null level values count as the empty name, null texts as no tokens; texts of any length are counted whole.  Documents without
+tokens follow the order and cost nothing, and are read no more often than others.  Repeated rows are separate documents with the
 same place in the order: those on the edge of the prefix are all in or all out.  An empty
 table gives an empty result.  Names the operator adds start with an underscore.
 """
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from signalloom.session import written
 
 _BITS, _STEP, _EDGE_ROWS = 60, 8, 64
+_MOST_LEAVES, _SALTS = 100_000, 64
 
 
 def count_words(text: str = "text") -> Column:
@@ -96,10 +97,11 @@ def plan_leaves(
         F.lit(0).cast("long").alias("_prefix"),
     )
     leaf = written(leaf, "mixture-shares")
+    spread = _spread(leaf, levels)
     most = leaves.agg(F.max("_rows")).first()[0] or 1
     passes = min(_BITS // _STEP, max(1, math.ceil(math.log(max(1.0, most / _EDGE_ROWS), 1 << _STEP))))
     for k in range(1, passes + 1):
-        inside = narrow.join(leaf, list(levels)).withColumn("_place", place_in_order(seed, F.col("_epochs"), F.col("_key")))
+        inside = spread(narrow, leaf).withColumn("_place", place_in_order(seed, F.col("_epochs"), F.col("_key")))
         slices = (
             inside.where(F.shiftright("_place", _BITS - _STEP * (k - 1)) == F.col("_prefix"))
             .groupBy(*levels, "_epochs", "_rest", F.shiftright("_place", _BITS - _STEP * k).alias("_slice"))
@@ -114,16 +116,32 @@ def plan_leaves(
             ),
             f"mixture-edge-{k}",
         )
-    # the rows of the edge slice, a bounded number per leaf
-    inside = narrow.join(leaf, list(levels)).withColumn("_place", place_in_order(seed, F.col("_epochs"), F.col("_key")))
+    # the edge slice holds a bounded number of places per leaf; rows of one place come as one
+    inside = spread(narrow, leaf).withColumn("_place", place_in_order(seed, F.col("_epochs"), F.col("_key")))
     at = F.shiftright("_place", _BITS - _STEP * passes)
-    edge = inside.where(at == F.col("_prefix")).withColumn(
-        "_sum", F.sum("_tokens").over(Window.partitionBy(*levels).orderBy("_place", "_key"))
-    )
+    places = inside.where(at == F.col("_prefix")).groupBy(*levels, "_rest", "_place", "_key").agg(F.sum("_tokens").alias("_tokens"))
+    edge = places.withColumn("_sum", F.sum("_tokens").over(Window.partitionBy(*levels).orderBy("_place", "_key")))
     last = edge.groupBy(*levels).agg(F.max(F.when(F.col("_sum") <= F.col("_rest"), F.struct("_place", "_key"))).alias("_last"))
     return leaf.join(last, list(levels), "left").select(*levels, "_epochs", "_prefix", "_last", F.lit(_BITS - _STEP * passes).alias("_shift"))
 
 
+def _spread(plan: DataFrame, levels: Sequence[str]):
+    """A join of rows with a written table of one row per leaf, by the levels, that does not gather a leaf's rows in one task.
+
+    Up to :data:`_MOST_LEAVES` leaves every task holds the table; beyond them rows are salted.
+    """
+    few = plan.count() <= _MOST_LEAVES
+
+    def join(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+        if few:
+            return rows.join(F.broadcast(leaves), list(levels))
+        salt = F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int").alias("_salt")  # any salt finds its leaf
+        copies = leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        return rows.select("*", salt).join(copies, [*levels, "_salt"]).drop("_salt")
+
+    return join
+
+
 def mix(
     docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, float]], tokens: Column | None = None,
     share: float = 0.6, epochs: int = 2, seed: int = 7, key: str = "doc_id",
@@ -131,30 +149,35 @@ def mix(
     """All documents' ``key``, levels, ``n_tokens`` and ``copies`` (how often the mixture reads them; 0: not at all)."""
     named = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()]
     narrow = written(docs.select(F.col(key), *named, (count_words() if tokens is None else tokens).alias("_tokens")), "mixture-documents")
-    plan = plan_leaves(narrow, list(levels), weights, share, epochs, seed, key)
-    return narrow.join(plan, list(levels)).select(key, *levels, F.col("_tokens").alias("n_tokens"), _copies(seed, F.col(key)).alias("copies"))
+    plan = written(plan_leaves(narrow, list(levels), weights, share, epochs, seed, key), "mixture-plan")
+    told = _spread(plan, list(levels))(narrow, plan)
+    return told.select(key, *levels, F.col("_tokens").alias("n_tokens"), _copies(seed, F.col(key), epochs).alias("copies"))
 
 
-def _copies(seed: int, key: Column) -> Column:
+def _copies(seed: int, key: Column, most: int) -> Column:
+    """Whole epochs, and one more inside the prefix of the last; never more than the epochs allowed."""
     place = place_in_order(seed, F.col("_epochs"), key)
     at = F.call_function("shiftright", place, F.col("_shift"))
     on_edge = (at == F.col("_prefix")) & F.coalesce(F.struct(place.alias("_place"), key.alias("_key")) <= F.col("_last"), F.lit(False))
     chosen = (at < F.col("_prefix")) | on_edge
-    return F.col("_epochs") + F.when(chosen, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    return F.least(F.col("_epochs") + F.when(chosen, F.lit(1)).otherwise(F.lit(0)), F.lit(most)).cast("long")
 
 
 def take(
     docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, float]],
     share: float = 0.6, epochs: int = 1, seed: int = 7, key: str = "doc_id",
 ) -> DataFrame:
-    """The mixture itself: the documents' rows, each as often as it is read.  Texts are not shuffled."""
+    """The mixture itself: the documents' rows, each as often as it is read.
+
+    The plan has one row per leaf; rows are not shuffled for it, up to :data:`_MOST_LEAVES` leaves.
+    """
     names = [f"_level{i}" for i in range(len(levels))]
     named = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values())]
     given = dict(zip(names, [weights.get(n, {}) for n in levels]))
     narrow = written(docs.select(F.col(key), *named, count_words().alias("_tokens")), "mixture-documents")
-    plan = plan_leaves(narrow, names, given, share, epochs, seed, key)
+    plan = written(plan_leaves(narrow, names, given, share, epochs, seed, key), "mixture-plan")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_id"), *named)
-    chosen = row.join(plan, names).select("_row", _copies(seed, F.col("_id")).alias("_copies")).where("_copies > 0")
+    chosen = _spread(plan, names)(row, plan).select("_row", _copies(seed, F.col("_id"), epochs).alias("_copies")).where("_copies > 0")
     if epochs > 1:
         chosen = chosen.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"))
     return chosen.select("_row.*")

@@ -160,8 +160,8 @@ o AS (
   SELECT d.*, epochs, got - epochs * supply AS rest,
     CAST('0x' || substr(md5('{MIX_SEED}:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place
   FROM d JOIN q USING (domain, lang, source))
-SELECT doc_id, domain, lang, source, n_tokens, epochs + CASE
-    WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id) <= rest THEN 1 ELSE 0 END AS copies
+SELECT doc_id, domain, lang, source, n_tokens, least(CAST({MIX_EPOCHS} AS BIGINT), epochs + CASE
+    WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id) <= rest THEN 1 ELSE 0 END) AS copies
 FROM o
 """
 

@@ -51,6 +51,24 @@ def test_prefix_of_the_seeded_order(spark, monkeypatch):
     assert M.take(docs.limit(0), {"lang": F.col("lang")}, {}).count() == 0
 
 
+def test_no_document_is_read_more_often_than_allowed(spark, monkeypatch):
+    rows = [(i, "w " * (i % 3), "en") for i in range(60)]
+    docs = spark.createDataFrame([(*r, 5, "x") for r in rows], "doc_id long, text string, lang string, n_tokens int, copies string")
+    for most in (100_000, 0):  # with the plan in every task, and salted
+        monkeypatch.setattr(M, "_MOST_LEAVES", most)
+        out = M.mix(docs, {"lang": F.col("lang")}, {}, share=2.0, epochs=2).collect()
+        assert {r["copies"] for r in out} == {2}
+        assert M.take(docs, {"lang": F.col("lang")}, {}, share=2.0, epochs=2).count() == 120
+        half = {r["doc_id"]: r["copies"] for r in M.mix(docs, {"lang": F.col("lang")}, {}, share=0.5, epochs=2).collect()}
+        assert len(half) == 60 and set(half.values()) <= {0, 1}
+
+
+def test_rows_of_a_leaf_are_not_gathered(spark):
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), (F.col("id") % 3).cast("string").alias("lang"))
+    plan = M.take(docs, {"lang": F.col("lang")}, {}, share=0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_only_large_buckets_split(spark):
     rows = [(i, "x" * (i % 50), "old") for i in range(500)] + [(1000, "y" * 900, "old"), (None, None, "old")] + [(2000, "z" * 200, "old")] * 5
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
