@@ -1,14 +1,14 @@
 """Secret scans: patterns, and novelty under dictionary-primed zstandard.
 
 Three base patterns give fixed spans.  A long mixed string that begins or ends within 48
-characters of a sensitive word, on either side, is a candidate for more (of a string with such
-a word inside, what follows and what precedes the word): its marginal bytes are what a zstandard
-frame of its surroundings grows by when it is put in, with the corpus's most frequent identifiers
+characters of a sensitive word, on either side, is a candidate for more (of a string that only has such
+words inside, the pieces between them): its marginal bytes are what a zstandard
+frame of its surroundings grows by when it is put in, with the pieces of the corpus's most frequent identifiers
 as dictionary.  What compresses like code or like known names is no secret; what costs close to
 its entropy is reported as ``novel``.
 
 Spans are code points, end exclusive.  Null and empty texts have none.  Texts are read
-whole.  Rows are independent of each other, repeated rows give repeated results; only
+whole; the work on a long string grows with its length.  Other columns, whatever their names, are not read.  Rows are independent of each other, repeated rows give repeated results; only
 the identifier dictionary is common, counted over all texts and cut to a number of names
 that is a parameter.  An empty table gives no rows and an empty dictionary.
 """
@@ -36,7 +36,7 @@ _HEX = re.compile("[0-9a-f]{16,}")  # a run of 16 or more: what the open pattern
 _NEAR = ("password", "passwd", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "private", "signature", "session")
 _SENSITIVE = re.compile("|".join(_NEAR), re.IGNORECASE | re.ASCII)
 _STRING = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,}")
+_NAME = re.compile(r"[A-Za-z_]{4,}")
 _REACH, _AROUND, _LEAST = 48, 160, 16
 
 
@@ -52,21 +52,28 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def near_strings(text: str) -> set[tuple[int, int]]:
-    """Long strings, whole, that begin or end within reach of a sensitive word."""
+def near_strings(text: str) -> list[tuple[int, int]]:
+    """Long strings within reach of a sensitive word, none over another: a string that begins or ends within reach of a word
+    outside it comes whole, one that only has such words inside as the pieces between them."""
     words = [m.span() for m in _SENSITIVE.finditer(text)]
     if not words:
-        return set()
+        return []
     starts, ends = [s for s, _ in words], [e for _, e in words]
-    out = set()
+    out = []
     for m in _STRING.finditer(text):
         start, end = m.span()
         after = bisect_right(ends, start)  # words before the string; the last is the nearest
         before = bisect_left(starts, end)  # the first word after it
         if after and start - ends[after - 1] <= _REACH or before < len(words) and starts[before] - end <= _REACH:
-            out.add((start, end))
+            out.append((start, end))
+            continue
+        at = start
         for s, e in words[after:before]:  # words inside or across a border
-            out |= {(a, b) for a, b in ((e, end), (start, s)) if b - a >= _LEAST}
+            if s - at >= _LEAST:
+                out.append((at, s))
+            at = max(at, e)
+        if before > after and end - at >= _LEAST:
+            out.append((at, end))
     return out
 
 
@@ -97,8 +104,12 @@ class Novelty:
         return sorted(found)
 
 
-def identifiers(docs: DataFrame, most: int = 4096) -> list[str]:
-    """The ``most`` identifiers that save most bytes: by count times length, counted over all texts."""
+def identifiers(docs: DataFrame, most: int = 4096, documents: int = 8) -> list[str]:
+    """The ``most`` pieces of identifiers that save most bytes: by count of documents times length, counted over all texts.
+
+    Pieces are runs of letters and underscores, without digits, in at least so many ``documents``: a secret mixes
+    digits and letters, so it is no piece, and one that leaks into a few documents does not become a known name.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -111,13 +122,13 @@ def identifiers(docs: DataFrame, most: int = 4096) -> list[str]:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 if text:
-                    seen.update(_NAME.findall(text))
+                    seen.update(set(_NAME.findall(text)))
             if len(seen) > 500_000:
                 yield flush()
         yield flush()
 
     counted = docs.select("text").mapInArrow(count, "name string, n long").groupBy("name").agg(F.sum("n").alias("n"))
-    best = counted.where("n > 1").orderBy((F.col("n") * F.length("name")).desc(), "name").limit(most)
+    best = counted.where(F.col("n") >= documents).orderBy((F.col("n") * F.length("name")).desc(), "name").limit(most)
     return [r["name"] for r in best.select("name").collect()]
 
 
