@@ -1,18 +1,21 @@
-"""Main text of web pages, with boilerplate found in host suffix arrays.
+"""Main text of web pages, with boilerplate found as runs that a host's pages repeat.
 
 A page is read once into blocks.  Marked structure decides what it can: an article's (or
 main's) blocks are the text, menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments are not, wherever they stand.  What stands outside the article, or on a page
+reader comments are not, wherever they stand.  Marks are names of elements and of classes, outside articles
+also parts of them and of ids; inside an article only whole names of classes and roles.  What stands outside the article, or on a page
 without one, has no mark to go by.  The token streams of these blocks are concatenated
-per host, and their suffixes, by their first tokens, are grouped into the intervals of the
-host's suffix array whose common prefix is long enough.  A token is boilerplate when an
-interval that covers it reaches distinct pages.  A block without a mark stays if it has
-unique runs outside such intervals; on a page with an article it is not part of the text.
+per host.  Every place of a stream is known by the hash of its first six tokens in place of its suffix, so
+equal places are found by grouping instead of sorting: a longer run that repeats is a chain of
+such places, and no order or common-prefix length is needed.  A place that enough of the host's distinct pages share,
+by number and by share, is boilerplate with its six tokens.  On a page without an article the covered tokens go
+and the unique ones stay; on a page with one, open blocks are not part of the text, and their covered tokens are counted only.
+A text inside an article is never dropped because it repeats elsewhere.
 
 Pages with the same stream are one page to this count, so that copies of a page do not
 erase each other.  Null html is empty and gives an empty text; a null url is a host of its
 own.  Repeated rows and page ids are separate pages.  Very long pages are read whole.
-An empty table gives no rows.
+Other columns, whatever their names, are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,13 +59,13 @@ _MARKS = {
 _TALK = {"comment", "comments", "respond", "reply", "replies", "disqus"}
 
 
-def _marked(tag: str, rest: str) -> bool:
-    """Whether an element's attributes say that it is not text of the page."""
+def _marked(tag: str, rest: str, inside: bool) -> bool:
+    """Whether an element's attributes say that it is not text of the page; ``inside`` an article only whole names of classes and roles do."""
     marks = _TALK if tag in _MAIN else _MARKS
     for name, value in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id", "role"):
-            if any(w in marks for w in re.split(r"[^a-z0-9]+", value)):
+        if name in ("class", "role") or name == "id" and not inside:
+            if any(w in marks for w in (value.split() if inside else re.split(r"[^a-z0-9]+", value))):
                 return True
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -121,7 +124,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
                     if tag == "hr":
                         end_block()
                 continue
-            marked = tag in _CHROME or zone != "chrome" and _marked(tag, rest) and tag not in ("body", "html")
+            marked = tag in _CHROME or zone != "chrome" and _marked(tag, rest, zone == "main") and tag not in ("body", "html")
             if tag in _INLINE and not marked:
                 words.append(" " if tag in ("td", "th") else "")
                 continue
@@ -154,15 +157,15 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(length: int):
-    """Per page, its stream's suffixes as one number each: the host and their first ``length`` tokens (shorter blocks: the whole block)."""
+    """Per page, its stream's places as one number each: the host and their first ``length`` tokens (shorter blocks: the whole block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uids, pages, keys, ats = [], [], [], []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("uid", "page", "host", "stream")))
-            for uid, page, host, texts in rows:
-                texts = pa.array(texts, pa.string())
-                hashed, begin = word_hashes(*text_bytes(texts))
+            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("uid", "page", "host", "stream", "n_open")))
+            for uid, page, host, texts, n_open in rows:
+                # blocks have single spaces between words, so words and the places counted here agree
+                hashed, begin = word_hashes(*text_bytes(pa.array(texts, pa.string())))
                 salt = np.array([host], np.int64).view(np.uint64)
                 for i in range(len(texts)):  # runs do not cross blocks
                     h = hashed[begin[i] : begin[i + 1]]
@@ -172,56 +175,61 @@ def _suffixes(length: int):
                     key = np.repeat(mix(salt + np.uint64(step)), len(h) - step + 1)
                     for j in range(step):
                         key = mix(key + h[j : len(h) - step + 1 + j])
-                    uids.append(np.full(len(key), uid)), pages.append(np.full(len(key), page))
-                    keys.append(key.view(np.int64)), ats.append(np.arange(len(key)) + begin[i])
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (uids, pages, keys)] + [pa.array(np.concatenate(ats).astype(np.int32))], names=["uid", "page", "key", "at"]
-                )
+                    n = len(key)
+                    found = (np.full(n, uid), np.full(n, page), np.full(n, host), key.view(np.int64), (np.arange(n) + begin[i]).astype(np.int32), np.full(n, i < n_open))
+                    for column, values in zip(columns, found):
+                        column.append(values)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["uid", "page", "host", "key", "at", "is_open"])
 
     return run
 
 
-def extract(pages: DataFrame, length: int = 6, covered: float = 0.8) -> DataFrame:
+def extract(pages: DataFrame, length: int = 6, least: int = 3, share: float = 0.2) -> DataFrame:
     """``page_id, url, html`` to ``page_id, url, text, n_chars, n_boilerplate`` (words of unmarked blocks that repeated runs cover).
 
-    Only pages without an article meet their intervals again; texts of articles are not shuffled.
+    A run is boilerplate on ``least`` distinct pages of a host, and on that ``share`` of them.
+    Texts of articles are not shuffled.
     """
     ids, urls = (pages.schema[c].dataType.simpleString() for c in ("page_id", "url"))
     given = pages.select(F.monotonically_increasing_id().alias("uid"), "page_id", "url", "html")
     parsed = written(given.mapInArrow(_parse, f"uid long, page_id {ids}, url {urls}, main string, open array<string>, chrome array<string>"), "pages-parsed")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
     stream = F.concat("open", "chrome")  # open blocks first: their tokens have the low places
-    streams = parsed.select("uid", F.xxhash64(host).alias("host"), stream.alias("stream"), F.xxhash64(F.array_join(stream, "\n"), "main").alias("page"))
-    placed = written(streams.mapInArrow(_suffixes(length), "uid long, page long, key long, at int"), "pages-suffixes")
-    intervals = placed.groupBy("key").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low < high").select("key")
-    bare = parsed.where("main = ''")
-    asked = placed.join(bare.select("uid"), "uid", "left_semi").select("uid", "key", "at")
-    hit = asked.join(intervals, "key").groupBy("uid").agg(F.array_sort(F.collect_set("at")).alias("hits"))
+    streams = parsed.select("uid", F.xxhash64(host).alias("host"), stream.alias("stream"), F.size("open").alias("n_open"), F.xxhash64(F.array_join(stream, "\n"), "main").alias("page"))
+    placed = written(streams.mapInArrow(_suffixes(length), "uid long, page long, host long, key long, at int, is_open boolean"), "pages-suffixes")
+    sizes = placed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n_pages"))
+    spread = placed.select("host", "key", "page").distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    intervals = spread.join(sizes, "host").where(F.col("n") >= share * F.col("n_pages")).select("key")
+    hit = placed.where("is_open").select("uid", "key", "at").join(intervals, "key").groupBy("uid").agg(F.array_sort(F.collect_set("at")).alias("hits"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            for opened, hits in zip(batch.column("open").to_pylist(), batch.column("hits").to_pylist()):
-                hashed, begin = word_hashes(*text_bytes(pa.array(opened, pa.string())))
+            for main, opened, hits in zip(*(batch.column(c).to_pylist() for c in ("main", "open", "hits"))):
+                sizes = [len(t.split()) for t in opened]
+                begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
                 hits = np.array(hits or [], np.int64)
-                cover = np.zeros(len(hashed) + 1, np.int64)
-                for i in range(len(opened)):
-                    size = int(begin[i + 1] - begin[i])
+                cover = np.zeros(begin[-1] + 1, np.int64)
+                for i, size in enumerate(sizes):
                     for at in hits[np.searchsorted(hits, begin[i]) : np.searchsorted(hits, begin[i + 1])]:
                         cover[at] += 1
                         cover[at + min(length, size)] -= 1
                 cover = np.cumsum(cover[:-1]) > 0
-                # a block stays if enough of it lies outside the repeated runs
-                kept = [t for i, t in enumerate(opened) if not len(c := cover[begin[i] : begin[i + 1]]) or c.mean() < covered]
-                texts.append("\n".join(kept))
                 counts.append(int(cover.sum()))
+                if main:
+                    texts.append(main)
+                    continue
+                kept = [" ".join(w for w, c in zip(t.split(), cover[begin[i] : begin[i + 1]]) if not c) for i, t in enumerate(opened)]
+                texts.append("\n".join(t for t in kept if t))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())],
                 names=["page_id", "url", "text", "n_boilerplate"],
             )
 
-    marked = parsed.where("main <> ''").select("page_id", "url", F.col("main").alias("text"), F.lit(0).cast("long").alias("n_boilerplate"))
-    decided = bare.join(hit, "uid", "left").select("page_id", "url", "open", "hits")
-    out = marked.unionByName(decided.mapInArrow(assemble, f"page_id {ids}, url {urls}, text string, n_boilerplate long"))
+    columns = f"page_id {ids}, url {urls}, text string, n_boilerplate long"
+    # pages without open blocks, or without a repeated run in them, need no places: their rows stay where they are
+    bare = parsed.where("size(open) = 0").select("page_id", "url", F.col("main").alias("text"), F.lit(0).cast("long").alias("n_boilerplate"))
+    decided = parsed.where("size(open) > 0").join(hit, "uid", "left").select("page_id", "url", "main", "open", "hits")
+    out = bare.unionByName(decided.mapInArrow(assemble, columns))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_boilerplate")
