@@ -10,19 +10,22 @@ decision; contexts that training never saw end the path, and the weights along w
 seen are scaled to one.  Code length per byte is -score * log2(10) / bytes.
 
 Counts come from all training texts: only runs of depth + 1 symbols are counted, and every
-shallower node is a sum of deeper ones.  The model is then cut to a documented number of
-nodes (the most frequent), which bounds what tasks hold; words likewise: the most frequent
-are looked up in the task, all others by a join.
+shallower node is a sum of deeper ones.  The whole tree is written.  Tasks hold its most frequent nodes, a
+documented number of them: a decision whose path ends inside those is scored in the task.  Runs with any other decision
+are looked up in the written tree by joins, depth by depth, so the scores do not depend on what tasks hold.  Words
+likewise: the most frequent are looked up in the task, all others by a join.
 
 Null texts are empty: they have an end only.  Rows without doc_id train as an empty name.
 Repeated rows count repeatedly.  Without training rows every decision has probability 1/2.
-Very long texts are read in chunks of rows, one row at least.  An empty table gives no rows.
+Very long texts are read in chunks of rows, one row at least.  Other columns, whatever their names, are not read.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -105,13 +108,9 @@ def _log_kt(zeros: Column, ones: Column) -> Column:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def tree(runs: DataFrame, depth: int) -> list[DataFrame]:
-    """``key, n`` of counted runs to ``node, n, p`` by depth: the probability of a one at every node.
-
-    A node's number is its context's symbols times 256 plus the decision.
-    """
-    symbol = F.col("key").bitwiseAND(F.lit(511).cast("long"))
-    context = F.shiftright("key", _SYMBOL)
+def _decisions(key: Column) -> Column:
+    """The decisions of a run's last symbol, as ``t`` (which one) and ``bit``."""
+    symbol = key.bitwiseAND(F.lit(511).cast("long"))
     ended = F.array(F.struct(F.lit(0).cast("long").alias("t"), (symbol == END).cast("long").alias("bit")))
     bits = F.transform(
         F.sequence(F.lit(0), F.lit(7)),
@@ -120,8 +119,15 @@ def tree(runs: DataFrame, depth: int) -> list[DataFrame]:
             F.call_function("shiftright", symbol, F.lit(7) - k).bitwiseAND(F.lit(1).cast("long")).alias("bit"),
         ),
     )
-    decisions = F.inline(F.when(symbol == END, ended).otherwise(F.concat(ended, bits)))
-    each = runs.select(context.alias("context"), "n", decisions)
+    return F.when(symbol == END, ended).otherwise(F.concat(ended, bits))
+
+
+def tree(runs: DataFrame, depth: int) -> list[DataFrame]:
+    """``key, n`` of counted runs to ``node, n, p, ends`` by depth: the probability of a one at every node, and whether its path ends there.
+
+    A node's number is its context's symbols times 256 plus the decision.
+    """
+    each = runs.select(F.shiftright("key", _SYMBOL).alias("context"), "n", F.inline(_decisions(F.col("key"))))
     level = each.groupBy((F.shiftleft("context", 8) + F.col("t")).alias("node")).agg(
         F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("zeros"),
         F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).cast("double").alias("ones"),
@@ -155,10 +161,25 @@ def tree(runs: DataFrame, depth: int) -> list[DataFrame]:
         p = F.when(left < 1 - 1e-9, mixed / (1 - left)).otherwise(F.col("kt1"))
         path = written(now.select("node", "n", mixed.alias("m"), left.alias("l"), p.alias("p")), f"tree-path-{d}")
         above = path.where("l > 0").select(F.col("node").alias("parent"), "m", "l")
-        out.append(path.select("node", "n", "p"))
+        out.append(path.select("node", "n", "p", (F.col("l") <= 0).alias("ends")))
     return out
 
 
+def run_values(keys: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``key, value``: the log10 probability of each run's last symbol, looked up in the written tree from the deepest context up."""
+    open_ = keys.select("key", F.shiftright("key", _SYMBOL).alias("context"), F.inline(_decisions(F.col("key"))))
+    found = []
+    for d in range(len(levels) - 1, -1, -1):
+        node = F.shiftleft(F.col("context").bitwiseAND(F.lit((1 << _SYMBOL * d) - 1).cast("long")), 8) + F.col("t")
+        told = open_.withColumn("node", node).join(levels[d].select("node", "p"), "node", "left").drop("node")
+        told = written(told, f"tree-asked-{d}")
+        found.append(told.where("p IS NOT NULL").select("key", "bit", "p"))
+        open_ = told.where("p IS NULL").drop("p")
+    found.append(open_.select("key", "bit", F.lit(0.5).alias("p")))  # a decision that training never had to make
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy("key").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("value"))
+
+
 def _frequent(most: int, *counted: DataFrame) -> list[DataFrame]:
     """Of all tables together the rows with the largest ``n``: those from the least power of two on that leaves at most ``most``."""
     sizes: dict[int, int] = {}
@@ -219,15 +240,18 @@ class _Lookup:
 
 
 class Model:
-    """The cut tree as arrays, with the code length of the most frequent runs worked out."""
+    """The most frequent nodes as arrays, with the code length of the most frequent runs worked out."""
 
-    def __init__(self, depth: int, nodes: list[tuple[np.ndarray, np.ndarray]], frequent: np.ndarray):
-        self.depth, self.nodes = depth, [_Lookup(k, p) for k, p in nodes]
-        self.runs = _Lookup(frequent, self._work_out(frequent))
+    def __init__(self, depth: int, nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], frequent: np.ndarray):
+        # a value below zero: the path goes on below the node, maybe to a node that is not held
+        self.depth, self.nodes = depth, [_Lookup(k, np.where(ends, p, -p)) for k, p, ends in nodes]
+        value, sure = self._work_out(frequent)
+        self.runs = _Lookup(frequent[sure], value[sure])
 
-    def _work_out(self, codes: np.ndarray) -> np.ndarray:
+    def _work_out(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code lengths, and which of them are sure: every decision's path ends at a node that is held."""
         symbol, context = codes & 511, codes >> _SYMBOL
-        total = np.zeros(len(codes))
+        total, sure = np.zeros(len(codes)), np.ones(len(codes), bool)
         for k in range(-1, 8):
             t, bit = (np.zeros_like(symbol), symbol == END) if k < 0 else ((symbol + 256) >> (8 - k), (symbol >> (7 - k)) & 1 == 1)
             p, open_ = np.full(len(codes), 0.5), np.ones(len(codes), bool)
@@ -237,17 +261,29 @@ class Model:
             for d in range(self.depth, -1, -1):
                 rest = np.flatnonzero(open_)
                 found, value = self.nodes[d].find(((context[rest] & ((1 << _SYMBOL * d) - 1)) << 8) + t[rest])
-                p[rest[found]] = value[found]
-                open_[rest[found]] = False
+                hit = rest[found]
+                p[hit] = np.abs(value[found])
+                sure[hit[value[found] < 0]] = False
+                open_[hit] = False
+            sure &= ~open_
             total += np.where(asked, np.log10(np.where(bit, p, 1 - p)), 0.0)
-        return total
+        return total, sure
+
+    def score(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sure, value = self.runs.find(codes)
+        if not sure.all():
+            rest = ~sure
+            rare, at = np.unique(codes[rest], return_inverse=True)
+            worked, known = self._work_out(rare)
+            value[rest], sure[rest] = worked[at], known[at]
+        return value, sure
+
 
-    def score(self, codes: np.ndarray) -> np.ndarray:
-        found, value = self.runs.find(codes)
-        if not found.all():
-            rare, at = np.unique(codes[~found], return_inverse=True)
-            value[~found] = self._work_out(rare)[at]
-        return value
+def _by_row(owner: np.ndarray, keys: np.ndarray, rows: int) -> pa.Array:
+    """Distinct keys of every row with their number, as lists."""
+    pairs, times = np.unique(np.stack([owner, keys]), axis=1, return_counts=True) if len(keys) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+    edges = np.searchsorted(pairs[0], np.arange(rows + 1))
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([pa.array(pairs[1]), pa.array(times.astype(np.int64))], names=["key", "times"]))
 
 
 def _arrays(df: DataFrame, *columns: str) -> list[np.ndarray]:
@@ -258,7 +294,7 @@ def _arrays(df: DataFrame, *columns: str) -> list[np.ndarray]:
 def score(docs: DataFrame, train: Column, depth: int = 4, nodes: int = 1 << 20, frequent: int = 1 << 19) -> DataFrame:
     """``doc_id, text`` to ``doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes``.
 
-    ``train`` tells the rows to learn from; ``nodes`` and ``frequent`` bound the model and the tables tasks hold.
+    ``train`` tells the rows to learn from; ``nodes`` and ``frequent`` bound the tables tasks hold, and change no result.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
@@ -268,7 +304,8 @@ def score(docs: DataFrame, train: Column, depth: int = 4, nodes: int = 1 << 20,
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     per = total + 0.5 * (distinct + 1)
 
-    levels = [tuple(_arrays(level, "node", "p")) for level in _frequent(nodes, *tree(runs, depth))]
+    whole = tree(runs, depth)
+    levels = [tuple(_arrays(level, "node", "p", "ends")) for level in _frequent(nodes, *whole)]
     model = Model(depth, levels, _arrays(_frequent(frequent, runs)[0], "key")[0])
     known = written(_frequent(frequent, words)[0], "tree-words")
     common = _Lookup(*_arrays(known, "key", "n"))
@@ -282,7 +319,10 @@ def score(docs: DataFrame, train: Column, depth: int = 4, nodes: int = 1 << 20,
             for part in chunks(batch, limit=_CHUNK):
                 raw, offsets = text_bytes(part.column("text"))
                 codes, begin = _runs(raw, offsets, depth)
-                scores = np.add.reduceat(model.score(codes), begin[:-1])
+                value, sure = model.score(codes)
+                scores = np.add.reduceat(np.where(sure, value, 0.0), begin[:-1])
+                text = np.repeat(np.arange(part.num_rows), np.diff(begin))
+                runs = _by_row(text[~sure], codes[~sure], part.num_rows)
                 words, at = word_hashes(raw, offsets)
                 words = np.insert(words.view(np.int64), at[1:], _WORD_END)
                 at = at + np.arange(len(at))
@@ -290,22 +330,24 @@ def score(docs: DataFrame, train: Column, depth: int = 4, nodes: int = 1 << 20,
                 owner = np.repeat(np.arange(part.num_rows), np.diff(at))
                 gained = np.bincount(owner, weights=np.where(found, np.log10((n + 0.5) / per), 0.0), minlength=part.num_rows)
                 hits = np.bincount(owner[found], minlength=part.num_rows)
-                pairs, times = np.unique(np.stack([owner[~found], words[~found]]), axis=1, return_counts=True) if not found.all() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-                edges = np.searchsorted(pairs[0], np.arange(part.num_rows + 1))
-                rest = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([pa.array(pairs[1]), pa.array(times.astype(np.int64))], names=["key", "times"]))
+                rest = _by_row(owner[~found], words[~found], part.num_rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(at)), pa.array(hits.astype(np.int64)), pa.array(gained), pa.array(scores), pa.array(np.diff(offsets)), rest],
-                    names=["doc_id", "n_tokens", "hits", "gained", "score", "n_bytes", "rest"],
+                    [part.column("doc_id"), pa.array(np.diff(at)), pa.array(hits.astype(np.int64)), pa.array(gained), pa.array(scores), pa.array(np.diff(offsets)), rest, runs],
+                    names=["doc_id", "n_tokens", "hits", "gained", "score", "n_bytes", "rest", "runs"],
                 )
 
-    scored = texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, hits long, gained double, score double, n_bytes long, rest {rare}")
+    scored = texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, hits long, gained double, score double, n_bytes long, rest {rare}, runs {rare}")
     scored = written(scored.withColumn("uid", F.monotonically_increasing_id()), "tree-scored")
     others = words.join(known.select("key"), "key", "left_anti")
     asked = scored.select("uid", F.inline("rest")).join(others, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     more = asked.groupBy("uid").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_hits"), F.sum(F.col("times") * F.log10((F.col("n") + 0.5) / per)).alias("more")
     )
-    return scored.drop("rest").join(more, "uid", "left").select(
+    unsure = scored.select("uid", F.inline("runs"))
+    values = written(run_values(unsure.select("key").distinct(), whole), "tree-values")
+    deeper = unsure.join(values, "key").groupBy("uid").agg(F.sum(F.col("times") * F.col("value")).alias("deeper"))
+    return scored.drop("rest", "runs").join(more, "uid", "left").join(deeper, "uid", "left").select(
         "doc_id", "n_tokens", (F.col("hits") + F.coalesce("more_hits", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("gained") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", "n_bytes",
+        (F.col("gained") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("deeper", F.lit(0.0))).alias("score"), "n_bytes",
     )
