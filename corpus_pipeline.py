@@ -37,18 +37,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays.
+    """Of each group of linked documents the one with the least doc_id stays, whatever else has its doc_id.
 
-    Rows that repeat a doc_id and its text leave one; rows without doc_id stay.
+    Rows that repeat a doc_id and its text leave one; so do rows without doc_id that share a text with words.
     """
-    groups = jaccard_join.link(docs, WORDS, PERCENT)
-    others = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-near")
-    first = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    row = first.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("th"))
-    twice = row.where("doc_id IS NOT NULL").groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th")
-    twice = written(twice, "pipeline-twice")
-    single = row.join(twice, ["doc_id", "th"], "left_anti").select("row.*")
-    repeated = row.join(twice, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"]).select("row.*")
+    groups = written(jaccard_join.members(docs, WORDS, PERCENT).select("doc_id", "th", "component"), "pipeline-groups")
+    linked = groups.where("component IS NOT NULL")
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("row"))
+    stay = first.select("row.doc_id", "row.th")
+    texts = groups.where("doc_id IS NOT NULL OR component IS NOT NULL").groupBy("doc_id", "th").agg(F.count("*").alias("n"), F.bool_or(F.col("component").isNotNull()).alias("linked"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "th")]
+    gone = texts.where("linked").alias("a").join(stay.alias("b"), same, "left_anti").select("doc_id", "th", F.lit("gone").alias("mark"))
+    twice = texts.where("n > 1").alias("a").join(gone.alias("b"), same, "left_anti").select("doc_id", "th", F.lit("one").alias("mark"))
+    marks = written(gone.unionByName(twice), "pipeline-near")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("th"))
+    told = rows.alias("a").join(marks.alias("b"), same, "left").select("row", "a.doc_id", "a.th", "mark")
+    single = told.where("mark IS NULL").select("row.*")
+    repeated = told.where("mark = 'one'").dropDuplicates(["doc_id", "th"]).select("row.*")
     return single.unionByName(repeated)
 
 
