@@ -77,15 +77,16 @@ def pattern(regex: str, ignore_case: bool = True) -> str:
     return ("(?i)" if ignore_case else "") + java
 
 
-def matches(text: Column, regex: str, ignore_case: bool = True) -> Column:
+def matches(text: Column, regex: str, ignore_case: bool = True, lower: Column | None = None) -> Column:
     """Whether the pattern occurs.  A plain substring search goes first where the
-    pattern has to start with one of a few words; it is many times cheaper."""
+    pattern has to start with one of a few words; it is many times cheaper.
+    ``lower`` is the text in lower case, where a caller has it already (see :func:`with_headline`)."""
     text = F.coalesce(text, F.lit(""))
     found = text.rlike(pattern(regex, ignore_case))
     words = _leading_words(regex) if ignore_case else None
     if not words or len(set(words)) > 12:
         return found
-    lower = F.lower(text)
+    lower = F.lower(text) if lower is None else lower
     possible = F.contains(lower, F.lit(words[0]))
     for word in sorted(set(words[1:])):
         possible = possible | F.contains(lower, F.lit(word))
@@ -112,6 +113,12 @@ def add_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def with_headline(df: DataFrame, title: str = "title", desc: str = "desc") -> DataFrame:
+    """Add ``_text``, title and description as one, and ``_lower``: made once per row, for any number of patterns."""
+    text = headline_text(F.col(title), F.col(desc))
+    return add_once(add_once(df, {"_text": text}), {"_lower": F.lower(F.col("_text"))})
+
+
 def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+\\z", "")
 

@@ -11,22 +11,22 @@ from pyspark.sql import functions as F
 
 from signalloom import fixed_values as V
 from signalloom.functions.numbers import clamp, round_half_up
-from signalloom.functions.text import add_once, find_nouns, headline_text, let, matches, name_phrases, pattern
+from signalloom.functions.text import add_once, find_nouns, headline_text, let, matches, name_phrases, pattern, with_headline
 
 
-def first_match(text: Column, rules) -> Column:
+def first_match(text: Column, rules, lower: Column | None = None) -> Column:
     """Label of the first rule whose pattern occurs, else null."""
     out = F.lit(None).cast("string")
     for label, regex in reversed(list(rules)):
-        out = F.when(matches(text, regex), F.lit(label)).otherwise(out)
+        out = F.when(matches(text, regex, lower=lower), F.lit(label)).otherwise(out)
     return out
 
 
-def rule_total(text: Column, rules) -> Column:
+def rule_total(text: Column, rules, lower: Column | None = None) -> Column:
     """Sum of the weights of all matching rules."""
     total = F.lit(0.0)
     for regex, weight in rules:
-        total = total + F.when(matches(text, regex), F.lit(float(weight))).otherwise(F.lit(0.0))
+        total = total + F.when(matches(text, regex, lower=lower), F.lit(float(weight))).otherwise(F.lit(0.0))
     return total
 
 
@@ -40,7 +40,7 @@ def categorize(
     desc: str = "desc",
 ) -> DataFrame:
     """Add ``category`` and ``cat_confidence`` (dominance over the runner-up)."""
-    text = headline_text(F.col(title), F.col(desc))
+    text, lower = F.col("_text"), F.col("_lower")
     names = list(rules)
 
     def judged(totals: Column) -> Column:
@@ -54,9 +54,9 @@ def categorize(
             F.when(top < minimum, F.lit(fallback_confidence)).otherwise(sure).alias("cat_confidence"),
         )
 
-    verdict = let(F.array(*[rule_total(text, rules[n]) for n in names]), judged)
-    once = add_once(df, {"_v": verdict})
-    return once.drop("category", "cat_confidence").select("*", "_v.*").drop("_v")
+    verdict = let(F.array(*[rule_total(text, rules[n], lower) for n in names]), judged)
+    once = add_once(with_headline(df, title, desc), {"_v": verdict})
+    return once.drop("category", "cat_confidence", "_text", "_lower").select("*", "_v.*").drop("_v")
 
 
 def _lookup(key: Column, table: dict, default) -> Column:
@@ -81,8 +81,8 @@ def extract_action(text: Column, rules=V.ACTION_RULES) -> Column:
     return first_match(text, rules)
 
 
-def detect_lab(text: Column, rules=V.LAB_RULES) -> Column:
-    return first_match(text, rules)
+def detect_lab(text: Column, rules=V.LAB_RULES, lower: Column | None = None) -> Column:
+    return first_match(text, rules, lower)
 
 
 def infer_field(text: Column, rules=V.FIELD_RULES, default: str = V.DEFAULT_FIELD) -> Column:
@@ -193,19 +193,19 @@ def apply_integrity_caps(
     df: DataFrame, cap: int = V.GENERAL_SIGNIFICANCE_CAP, job: str = V.JOB_POSTING, speculative: str = V.SPECULATIVE
 ) -> DataFrame:
     """Cap weakly sourced commentary; adds ``impact``, ``capped``, ``cap_reason``."""
-    text = headline_text(F.col("title"), F.col("desc"))
+    text, lower = F.col("_text"), F.col("_lower")
     strong = (F.col("verification") == "official") | (F.coalesce(F.col("source_count"), F.lit(1)) >= 2)
     weak_general = F.col("category").isin(V.COMMENTARY_CATEGORIES) & ~F.coalesce(strong, F.lit(False))
     over = weak_general & (F.col("significance") > cap)
     capped = add_once(
-        df,
+        with_headline(df),
         {
             "_general": weak_general,
             "_over": over,
-            "_soft": matches(text, job) | matches(text, speculative),
+            "_soft": matches(text, job, lower=lower) | matches(text, speculative, lower=lower),
             "significance": F.when(over, F.lit(cap)).otherwise(F.col("significance")).cast("int"),
         },
-    ).withColumn("_raw", classify_impact(F.col("significance")))
+    ).drop("_text", "_lower").withColumn("_raw", classify_impact(F.col("significance")))
     high = F.col("_raw") == "high"
     reason = (
         F.when(F.col("_over"), F.lit("single-source-general"))

@@ -5,43 +5,40 @@ representative scores best against it (first group on ties) if the score reaches
 the threshold, else it founds a group; a joining item dated strictly earlier
 becomes the representative.
 
-That reads sequentially, but item *i*'s choice depends only on the choices of
-items before it, so the assignment is the one fixed point of "choose again given
-everybody's choice".  It is computed from scored pairs:
-
-* blocking keys provably cover every pair that can reach the threshold;
-* keys of few items give all their pairs at once.  For a hot key an item is only
-  compared with representatives that are *current* at its position, so a million
-  copies cost a million comparisons, not their square.  Hot keys are salted;
-* who is current comes from the last assignment - at first a guess that chains
-  items of equal or near-equal wording within bounded windows.  When an
-  assignment makes other representatives current, their pairs are added and the
-  pairs solved again, until no pair is missing.  The guess decides how many
-  rounds that takes, never the result;
-* the pairs fall into connected components.  Components of bounded size are
-  walked in order inside a task; larger ones are solved by repeated distributed
-  choice.  Nothing is capped, sampled or gathered whole.
+Scoring is the work, and it is distributed: postings of an item carry, beside the key, its weight,
+the weight that follows it in the text, and what the structure of a pair needs, so that a pair that
+cannot reach the threshold is dropped where its two postings meet.  What is left is scored in full.
+
+The reading itself is sequential: whether an item is still a representative depends on all choices
+before it, and those choices on others before them.  So the pool is read in slices.  A slice's items meet each
+other and the representatives that the slices before left, in parallel; the scored pairs of a slice fall into
+connected components, which are read in order, one task a component.  The work of a slice is bounded by its
+rows and by the representatives that share a key with them; pairs of items in different slices, of which one no longer
+represents anything, are never looked at.  A third of all rows being copies costs linear work
+for that reason.  There are as many rounds as slices.  Nothing is capped or sampled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil, sqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalloom import fixed_values as V
 from signalloom.functions.text import headline_text, name_phrases
 from signalloom.operators.classify import distinctive_objects, extract_action
 from signalloom.operators.entities import match_entities
-from signalloom.operators.similarity import finish_score, hopeful_pairs, tagged_weight, token_weights
-from signalloom.session import written
+from signalloom.operators.ordering import with_positions
+from signalloom.operators.similarity import COMPARED, amplified, code_weight, nearness, pair_score, token_weights
+from signalloom.session import discard, written
 
-ROWS_PER_SALT = 50_000
-GUESS_WINDOW = 65_536
-HOT_KEY = 512
-COMPONENT_PAIRS = 200_000
 TIMED = 72 * 3_600_000_000  # microseconds within which a forced merge can happen
+ROWS_PER_SALT = 4096  # postings of a key that one task gets of one side
+SLICE_ROWS = 1024  # a slice has so many rows at least
+SLICE_MEETINGS = 1 << 16  # and, beyond them, about so many meetings of its own postings
+COMPONENT_PAIRS = 200_000  # a slice with more scored pairs is cut into components
 
 
 @dataclass
@@ -55,34 +52,15 @@ class Clustering:
     rounds: int
 
 
-def with_positions(df: DataFrame, *order: Column, name: str = "pos") -> DataFrame:
-    """Dense 0-based positions in a global order, without a single-task sort."""
-    numbered = written(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()), "ordered")
-    part = F.shiftright("_mid", 33)
-    # one row per sorted partition
-    sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return (
-        numbered.withColumn("_part", part)
-        .join(offsets, "_part")
-        .withColumn(name, F.col("_offset") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_mid", "_part", "_offset")
-    )
-
-
 def item_features(items: DataFrame, entities, n_items: int, actions=V.ACTION_RULES, strong: str = V.STRONG_OBJECTS) -> DataFrame:
     """What a pair comparison needs, one row per item keyed by ``pos``."""
     weights = token_weights(items, "pos", {"title": "title", "desc": "desc"}, n_items)
 
     def field(name: str, column: str) -> Column:
-        return F.first(F.when(F.col("field") == name, F.col(column)), ignorenulls=True)
+        return F.first(F.when(F.col("field") == name, F.col(column)), ignorenulls=True).alias(f"{name}_{column}")
 
-    per_item = weights.groupBy("pos").agg(
-        field("title", "tokens").alias("title_tokens"), field("title", "total").alias("title_total"),
-        field("desc", "tokens").alias("desc_tokens"), field("desc", "total").alias("desc_total"),
-    )
-    empty = F.array().cast("array<string>")
+    columns = [field(name, column) for name in ("title", "desc") for column in ("tokens", "rests", "total")]
+    per_item = weights.groupBy("pos").agg(*columns)
     title, desc = F.col("title"), F.col("desc")
     described = match_entities(items, entities).select(
         "pos", "published_at", "category", "entity_ids",
@@ -90,191 +68,121 @@ def item_features(items: DataFrame, entities, n_items: int, actions=V.ACTION_RUL
         distinctive_objects(title, desc, strong).alias("objects"),
         name_phrases(title).alias("phrases"),
     )
+    blank = {"tokens": F.array().cast("array<bigint>"), "rests": F.array().cast("array<double>"), "total": F.lit(0.0)}
     return described.join(per_item, "pos", "left").withColumns(
-        {
-            "title_tokens": F.coalesce("title_tokens", empty), "title_total": F.coalesce("title_total", F.lit(0.0)),
-            "desc_tokens": F.coalesce("desc_tokens", empty), "desc_total": F.coalesce("desc_total", F.lit(0.0)),
-        }
+        {f"{name}_{column}": F.coalesce(f"{name}_{column}", empty) for name in ("title", "desc") for column, empty in blank.items()}
     )
 
 
-def _rare_prefix(tokens: Column, total: Column, least: float, n_items: int) -> Column:
-    """Rarest tokens until the rest weighs less than ``least`` of the total: two
-    sets whose weighted Jaccard reaches ``least`` share one of these."""
-    floor = total * F.lit(least * (1 - 1e-9))
-    state = F.struct(total.alias("rest"), F.lit(0).alias("n"))
-
-    def take(s: Column, e: Column) -> Column:
-        more = s["rest"] >= floor
-        return F.struct(
-            F.when(more, s["rest"] - tagged_weight(e, n_items)).otherwise(s["rest"]).alias("rest"),
-            F.when(more, s["n"] + 1).otherwise(s["n"]).alias("n"),
-        )
-
-    return F.slice(tokens, 1, F.aggregate(tokens, state, take, lambda s: s["n"]))
+#: Kinds of keys.
+TITLE, DESC, PHRASE, ACTED, LINKED = range(5)
 
 
-def blocking_keys(features: DataFrame, threshold: float, n_items: int, title_floor: float | None = None, hot: int = HOT_KEY) -> DataFrame:
-    """``(pos, ts, key, timed, salts, hot)``: pairs that can reach the threshold share a key.
+def postings(features: DataFrame, threshold: float, n_items: int) -> DataFrame:
+    """One row per item and key; two items that can reach the threshold share a key at which they pass :func:`_hopeful`.
 
-    Structure multiplies content by at most 2.4, so content >= threshold / 2.4.
-    Without a shared phrase that needs title similarity >= ``title_floor`` or a
-    description similarity making up the rest.  The forced merge needs a shared
-    object with a shared action or entity, within 72 hours (``timed`` keys).
+    A pair's structure multiplies its content by at most 2.4, by 1.84 where the item has no entity.  So content has to
+    reach a least value, from a shared phrase, from the title, or from the description; what the description gives is
+    bounded by ``desc_floor`` unless the descriptions are that similar.  Two sets whose weighted Jaccard reaches a floor
+    share one of the rarest tokens that precede the point from which on the rest weighs less than
+    the floor's part of the whole.  A forced merge needs a shared object with a shared action or entity, within 72 hours.
     """
-    content = threshold / 2.4
-    # a low floor costs little on short titles and spares common words of descriptions
-    title_floor = content / 3 if title_floor is None else title_floor
-    desc_floor = (content - 0.5 * title_floor) / 0.2
-
-    def tag(kind: str, values: Column, timed: bool) -> Column:
-        return F.transform(
-            values,
-            lambda v: F.struct(F.xxhash64(F.lit(kind), v).alias("key"), F.lit(timed).alias("timed")),
-        )
-
-    keys = [
-        tag("title", _rare_prefix(F.col("title_tokens"), F.col("title_total"), title_floor, n_items), False),
-        tag("phrase", F.col("phrases"), False),
-    ]
-    if desc_floor <= 1:
-        keys.append(
-            tag("desc", _rare_prefix(F.col("desc_tokens"), F.col("desc_total"), desc_floor, n_items), False)
-        )
+    desc_floor = min(0.6, 4 * threshold / 2.4)
+    reach = F.when(F.size("entity_ids") > 0, F.lit(2.4)).otherwise(F.lit(1.84))
+    title_floor = (F.lit(threshold) / reach - 0.2 * desc_floor) / 0.5
+    nothing = F.lit(0.0)
+
+    def prefix(kind: int, field: str, floor: Column) -> Column:
+        tokens, rests, total = (F.col(f"{field}_{c}") for c in ("tokens", "rests", "total"))
+        long = F.size(F.filter(rests, lambda r: r >= total * floor * (1 - 1e-9)))
+        entries = F.arrays_zip(F.slice(tokens, 1, long).alias("code"), F.slice(rests, 1, long).alias("rest"))
+
+        def entry(e: Column) -> Column:
+            weight = code_weight(e["code"], n_items)
+            return F.struct(
+                F.xxhash64(F.lit(field), e["code"]).alias("key"), F.lit(kind).alias("kind"), weight.alias("weight"),
+                (e["rest"] - weight).alias("rest"), total.alias("total"),
+            )
+
+        return F.transform(entries, entry)
+
+    def plain(kind: int, values: Column) -> Column:
+        def entry(v: Column) -> Column:
+            return F.struct(
+                F.xxhash64(F.lit(kind), v).alias("key"), F.lit(kind).alias("kind"), nothing.alias("weight"), nothing.alias("rest"), nothing.alias("total")
+            )
+
+        return F.transform(F.array_distinct(values), entry)
+
+    keys = [prefix(TITLE, "title", title_floor), prefix(DESC, "desc", F.lit(desc_floor)), plain(PHRASE, F.col("phrases"))]
     if threshold <= 0.55:
         acted = F.when(F.col("action").isNotNull(), F.transform("objects", lambda o: F.concat_ws("|", F.col("action"), o)))
-        linked = F.flatten(
-            F.transform("objects", lambda o: F.transform("entity_ids", lambda e: F.concat_ws("|", e, o)))
-        )
-        keys.append(tag("acted", F.coalesce(acted, F.array().cast("array<string>")), True))
-        keys.append(tag("linked", linked, True))
+        linked = F.flatten(F.transform("objects", lambda o: F.transform("entity_ids", lambda e: F.concat_ws("|", e, o))))
+        keys += [plain(ACTED, F.coalesce(acted, F.array().cast("array<string>"))), plain(LINKED, linked)]
+    # sixty-two bits tell whether two items can have an entity in common
+    bits = F.aggregate("entity_ids", F.lit(0).cast("bigint"), lambda a, e: a.bitwiseOR(F.pow(F.lit(2.0), F.pmod(F.xxhash64(e), F.lit(62))).cast("bigint")))
     rows = features.select(
-        "pos", F.unix_micros("published_at").alias("ts"), F.inline(F.array_distinct(F.concat(*keys)))
-    )
-    size = rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
-    salts = F.ceil(F.col("_n") / ROWS_PER_SALT).cast("int")
-    return rows.join(size, "key").select(
-        "pos", "ts", "key", "timed", salts.alias("salts"), (F.col("_n") > hot).alias("hot")
+        "pos", F.unix_micros("published_at").alias("ts"), F.xxhash64("category").alias("cat"), F.col("category").isNotNull().alias("has_cat"),
+        bits.alias("ents"), F.size("entity_ids").alias("n_ents"), F.col("desc_total"), title_floor.alias("title_floor"),
+        F.inline(F.concat(*keys)),
     )
-
-
-def _first_guess(features: DataFrame) -> DataFrame:
-    """Chain each item to the latest one before it that looks alike: it agrees in
-    the smallest token hash under one of four seeds.
-
-    Windows are cut every ``GUESS_WINDOW`` positions, so their size is bounded.
-    """
-    tokens = F.array_union("title_tokens", "desc_tokens")
-    seeds = range(4)
-    bare = features.select(
-        "pos", F.unix_micros("published_at").alias("ts"),
-        F.floor(F.col("pos") / GUESS_WINDOW).alias("_slice"),
-        *[
-            F.array_min(F.transform(tokens, lambda t, k=k: F.xxhash64(F.lit(k), t))).alias(f"_h{k}")
-            for k in seeds
-        ],
+    cell = F.when(F.col("kind") >= ACTED, F.floor(F.col("ts") / TIMED)).otherwise(F.lit(0)).cast("bigint")
+    placed = rows.withColumn("cell", cell)
+    size = placed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
+    return placed.join(size, "key").withColumn("salts", F.ceil(F.col("_n") / ROWS_PER_SALT).cast("int")).drop("_n")
+
+
+def _hopeful(threshold: float) -> Column:
+    """Can the postings ``x`` and ``y`` be the first that a pair above the threshold has in common?"""
+    def both(name: str) -> tuple[Column, Column]:
+        return F.col(f"x.{name}"), F.col(f"y.{name}")
+
+    apart = F.abs(F.col("x.ts") - F.col("y.ts"))
+    n, m = both("n_ents")
+    shared = (F.col("x.ents").bitwiseAND(F.col("y.ents")) != 0) & (n > 0) & (m > 0)
+    entity = F.when(shared, F.least(n, m) / F.greatest(n, m)).otherwise(0.0)
+    one_category = F.col("x.has_cat") & F.col("y.has_cat") & (F.col("x.cat") == F.col("y.cat"))
+    structure = F.lit(0.4) * entity + F.lit(0.35) * nearness(apart / 3_600_000_000) + F.lit(0.25) * one_category.cast("double")
+    # no token before these is shared, so this one and the lighter rest are the most that can be
+    overlap = F.col("x.weight") + F.least(*both("rest"))
+    similar = F.coalesce(F.try_divide(overlap, F.col("x.total") + F.col("y.total") - overlap), F.lit(0.0))
+    alike = F.coalesce(F.try_divide(F.least(*both("desc_total")), F.greatest(*both("desc_total"))), F.lit(0.0))
+    # pairs that share a token of their titles' prefixes are told there, pairs that share none have less than the floor
+    floor = F.greatest(*both("title_floor"), F.lit(0.0))
+    content = F.when(F.col("x.kind") == TITLE, 0.5 * similar + 0.2 * alike).otherwise(0.5 * F.least(floor, F.lit(1.0)) + 0.2 * similar)
+    enough = amplified(content, structure) >= threshold * (1 - 1e-9)
+    timed = F.col("x.kind") >= ACTED
+    return F.when(timed, apart <= TIMED).otherwise((F.col("x.kind") == PHRASE) | enough)
+
+
+def candidate_pairs(fresh: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Distinct ``(i, j)``, ``i > j``, of items of ``fresh`` and ``held`` postings; common keys are salted."""
+    attributes = F.struct(*[c for c in fresh.columns if c not in ("key", "cell", "salts")])
+    left = fresh.select("key", "cell", F.pmod(F.xxhash64("pos"), F.col("salts")).cast("int").alias("salt"), attributes.alias("x"))
+    around = F.when(F.col("kind") >= ACTED, F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).otherwise(F.array("cell"))
+    right = held.select("key", F.explode(around).alias("cell"), "salts", attributes.alias("y")).select(
+        "key", "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "y"
     )
-    for k in seeds:
-        alike = Window.partitionBy(f"_h{k}", "_slice").orderBy("pos")
-        before = F.lag(F.struct("pos", "ts")).over(alike)
-        bare = bare.withColumn(f"_p{k}", F.when(F.col(f"_h{k}").isNotNull(), before))
-    latest = F.greatest(*[F.col(f"_p{k}") for k in seeds])
-    return bare.select("pos", "ts", latest["pos"].alias("choice"), latest["ts"].alias("choice_ts"))
-
-
-def _representatives(state: DataFrame) -> DataFrame:
-    """``(pos, until)``: founders and takers-over, and the position of the item
-    that takes over from them (null while they stay)."""
-    takes_over = F.col("ts") < F.col("choice_ts")
-    until = state.where(takes_over).groupBy(F.col("choice").alias("pos")).agg(F.min("pos").alias("until"))
-    reps = state.where(F.col("choice").isNull() | takes_over).select("pos")
-    return reps.join(until, "pos", "left")
-
-
-def _near(timed: Column, a: Column, b: Column) -> Column:
-    return ~timed | (F.abs(a - b) <= TIMED)
+    met = left.join(right, ["key", "cell", "salt"]).where((F.col("x.pos") > F.col("y.pos")) & _hopeful(threshold))
+    pairs = met.select(F.col("x.pos").alias("i"), F.col("y.pos").alias("j"))
+    # pairs are dealt out by i once: made distinct, and joined with the features of i, where they are
+    parts = int(fresh.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(parts, "i").distinct()
 
 
-def _cold_pairs(keys: DataFrame) -> DataFrame:
-    """All distinct ``(i, j)`` with ``i > j`` that share a key of few items."""
-    cold = keys.where("not hot").select("pos", "ts", "key", "timed")
-    # timed keys meet in their own and the neighbouring cells of 72 hours only
-    cell = F.when(F.col("timed"), F.floor(F.col("ts") / TIMED)).otherwise(F.lit(0)).cast("bigint")
-    around = F.when(F.col("timed"), F.array(cell - 1, cell, cell + 1)).otherwise(F.array(cell))
-    left = cold.select("key", "timed", cell.alias("cell"), F.col("pos").alias("i"), F.col("ts").alias("i_ts"))
-    right = cold.select("key", F.explode(around).alias("cell"), F.col("pos").alias("j"), F.col("ts").alias("j_ts"))
-    near = _near(F.col("timed"), F.col("i_ts"), F.col("j_ts"))
-    return left.join(right, ["key", "cell"]).where((F.col("i") > F.col("j")) & near).select("i", "j").distinct()
-
-
-def _current_pairs(keys: DataFrame, reps: DataFrame) -> DataFrame:
-    """Distinct ``(i, j)``: representative ``j`` is current at ``i`` and they share a key.
-
-    A finite interval lies on at most two cells of a grid whose width is the next
-    power of four; an open one on the single top cell.  So the join is an
-    equi-join on key, grid and cell.
-    """
-    span = F.col("until") - F.col("pos")
-    grid = F.when(F.col("until").isNull(), F.lit(-1)).otherwise(
-        F.ceil(F.log2(span.cast("double")) / 2).cast("int")
-    )
-    gridded = written(reps.withColumn("grid", grid), "reps")
-    grids = sorted(r["grid"] for r in gridded.select("grid").distinct().collect())  # a few small ints
-    width = F.pow(F.lit(4.0), F.col("grid")).cast("bigint")
-    cells = F.when(F.col("grid") == -1, F.array(F.lit(0).cast("bigint"))).otherwise(
-        F.sequence(
-            F.floor((F.col("pos") + 1) / width).cast("bigint"), F.floor(F.col("until") / width).cast("bigint")
-        )
-    )
-    right = keys.join(gridded.withColumn("cell", F.explode(cells)), "pos").select(
-        F.col("pos").alias("j"), F.col("ts").alias("j_ts"), "until", "key", "grid", "cell",
-        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-    )
-    left = (
-        keys.withColumn("grid", F.explode(F.array(*[F.lit(g) for g in grids])))
-        .withColumn("cell", F.when(F.col("grid") == -1, F.lit(0)).otherwise(F.floor(F.col("pos") / width)).cast("bigint"))
-        .select(F.col("pos").alias("i"), F.col("ts").alias("i_ts"), "timed", "key", "grid", "cell",
-                F.pmod(F.xxhash64("pos"), F.col("salts")).cast("int").alias("salt"))
-    )
-    near = _near(F.col("timed"), F.col("i_ts"), F.col("j_ts"))
-    current = (F.col("i") > F.col("j")) & (F.col("until").isNull() | (F.col("i") <= F.col("until")))
-    return left.join(right, ["key", "grid", "cell", "salt"]).where(near & current).select("i", "j").distinct()
-
+def scored_pairs(pairs: DataFrame, features: DataFrame, threshold: float, n_items: int) -> DataFrame:
+    """``(i, j, score, i_ts, j_ts)`` of the pairs that reach the threshold."""
+    def side(end: str, name: str) -> DataFrame:
+        return features.select(F.col("pos").alias(end), F.struct(*COMPARED).alias(name), F.unix_micros("published_at").alias(f"{end}_ts"))
 
-def _founders(state: DataFrame) -> DataFrame:
-    """``(pos, cluster)`` by doubling the step along the chain of choices."""
-    chain = written(state.select("pos", F.coalesce("choice", "pos").alias("cluster")), "chain")
-    while True:
-        ahead = chain.select(F.col("pos").alias("_p"), F.col("cluster").alias("_next"))
-        stepped = written(
-            chain.join(ahead, F.col("cluster") == F.col("_p"))
-            .select("pos", F.col("_next").alias("cluster"), (F.col("_next") != F.col("cluster")).alias("_moved")),
-            "chain",
-        )
-        moved = stepped.where("_moved").limit(1).count()
-        chain = stepped.select("pos", "cluster")
-        if not moved:
-            return chain
+    both = pairs.join(side("i", "x"), "i").join(side("j", "y"), "j")
+    return pair_score(both, n_items).where(F.col("score") >= threshold).select("i", "j", "score", "i_ts", "j_ts")
 
 
-def _scored(pairs: DataFrame, features: DataFrame, threshold: float, n_items: int) -> DataFrame:
-    """``(i, j, score, i_ts, j_ts)`` of the pairs that reach the threshold."""
-    def side(columns: list[str], end: str, name: str) -> DataFrame:
-        return features.select(F.col("pos").alias(end), F.struct(*columns).alias(name))
-
-    # Descriptions are by far the widest part: they only travel with the pairs that
-    # could still reach the threshold without them being compared.
-    narrow = [c for c in features.columns if c not in ("pos", "desc_tokens")]
-    # few bytes but much work per row, so the spread must not follow the size
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = pairs.repartition(parts, "i", "j").join(side(narrow, "i", "x"), "i").join(side(narrow, "j", "y"), "j")
-    hopeful = hopeful_pairs(both, n_items, threshold).select(
-        "i", "j", "_pair",
-        F.unix_micros("x.published_at").alias("i_ts"), F.unix_micros("y.published_at").alias("j_ts"),
-    )
-    wide = ["desc_tokens", "desc_total"]
-    told = hopeful.join(side(wide, "i", "x"), "i").join(side(wide, "j", "y"), "j")
-    return finish_score(told, n_items).where(F.col("score") >= threshold).select("i", "j", "score", "i_ts", "j_ts")
+def near_dup_pairs(features: DataFrame, threshold: float, n_items: int) -> DataFrame:
+    """All pairs ``(i, j, score)``, ``i > j``, of items that score at least ``threshold``."""
+    posted = written(postings(features, threshold, n_items), "postings")
+    return scored_pairs(candidate_pairs(posted, posted, threshold), features, threshold, n_items).select("i", "j", "score")
 
 
 def _components(pairs: DataFrame) -> DataFrame:
@@ -305,80 +213,50 @@ def _components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def _walker():
-    """The component walk as a closure, so that workers need not import this module."""
+def _walker(first: int):
+    """The reading of one component of a slice that begins at ``first``, as a closure, so that workers need not import this module."""
 
     def walk(pairs):
-        """Choices inside one component, in position order (pandas in and out)."""
+        """Choices in position order (pandas in and out)."""
         import pandas as pd
 
         current: dict[int, int] = {}  # representative -> founder of its group
-        visited = set(pairs["i"])
-        for j in set(pairs["j"]) - visited:
-            current[j] = j
+        seen: set[int] = set()
         rows = []
-        for i, near in pairs.sort_values("i").groupby("i", sort=False):
-            open_ = [(s, -current[j], j, t) for s, j, t in zip(near["score"], near["j"], near["j_ts"]) if j in current]
-            if not open_:
+        ordered = pairs.sort_values(["i", "j"])
+        at, to, score, founders, i_ts, j_ts = (ordered[c].tolist() for c in ("i", "j", "score", "founder", "i_ts", "j_ts"))
+        k, n = 0, len(at)
+        while k < n:
+            i, best = at[k], None
+            while k < n and at[k] == i:
+                j = to[k]
+                if j not in seen:  # left by earlier slices, or the founder of a group of its own
+                    seen.add(j)
+                    current[j] = j if j >= first else int(founders[k])
+                if j in current:
+                    offer = (score[k], -current[j], j, k)
+                    best = offer if best is None or offer > best else best
+                k += 1
+            seen.add(i)
+            if best is None:
                 current[i] = i
                 continue
-            _, founder, j, j_ts = max(open_)
-            rows.append((i, j, j_ts))
-            if near["i_ts"].iloc[0] < j_ts:
+            j, founder = best[2], -best[1]
+            takes_over = i_ts[best[3]] < j_ts[best[3]]
+            rows.append((i, j, founder, takes_over))
+            if takes_over:
                 del current[j]
-                current[i] = -founder
-        return pd.DataFrame(rows, columns=["i", "choice", "choice_ts"]).astype("int64")
+                current[i] = founder
+        return pd.DataFrame(rows, columns=["pos", "choice", "cluster", "takes_over"]).astype({"pos": "int64", "choice": "int64", "cluster": "int64", "takes_over": "bool"})
 
     return walk
 
 
-def _solve(state: DataFrame, pairs: DataFrame, component_pairs: int) -> DataFrame:
-    """The assignment that follows from ``pairs``."""
-    component = _components(pairs)
-    held = pairs.join(component.withColumnRenamed("pos", "i"), "i")
-    sizes = held.groupBy("component").agg(F.count("*").alias("_n"))
-    sized = written(held.join(sizes, "component"), "sized")
-    small = sized.where(F.col("_n") <= component_pairs).select("component", "i", "j", "score", "i_ts", "j_ts")
-    chosen = small.groupBy("component").applyInPandas(
-        _walker(), "i bigint, choice bigint, choice_ts bigint"
-    )
-    bare = state.select("pos", "ts")
-    solved = written(bare.join(chosen.withColumnRenamed("i", "pos"), "pos", "left"), "state")
-    large = sized.where(F.col("_n") > component_pairs).select("i", "j", "score", "j_ts")
-    if not large.limit(1).count():
-        return solved
-    inside = written(large.select(F.col("i").alias("pos")).union(large.select("j")).distinct(), "inside")
-    rest = solved.join(inside, "pos", "left_anti")
-    part = written(state.join(inside, "pos", "left_semi"), "state")
-    while True:  # each round settles at least the first open position
-        new = written(_choose_again(part, large), "state")
-        old = part.select("pos", F.col("choice").alias("_old"))
-        changed = new.join(old, "pos").where(~F.col("choice").eqNullSafe(F.col("_old"))).limit(1).count()
-        part = new
-        if not changed:
-            return written(rest.unionByName(part), "state")
-
-
-def _choose_again(state: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Everybody's best current representative, given the last choices."""
-    reps = _representatives(state).withColumnRenamed("pos", "j")
-    still = F.col("until").isNull() | (F.col("i") <= F.col("until"))
-    offers = written(pairs.join(reps, "j").where(still), "offers")
-    target = F.struct("j", "j_ts")
-    best = offers.groupBy("i").agg(
-        F.max_by(target, F.struct("score", -F.col("j"))).alias("b"),
-        F.max_by(F.col("j"), F.struct("score", "j")).alias("_last"),
-    )
-    if best.where(F.col("b.j") != F.col("_last")).limit(1).count():
-        # equal scores: the group founded first wins
-        founded = _founders(state).select(F.col("pos").alias("j"), "cluster")
-        best = offers.join(founded, "j").groupBy("i").agg(
-            F.max_by(target, F.struct("score", -F.col("cluster"), -F.col("j"))).alias("b")
-        )
-    return state.select("pos", "ts").join(
-        best.select(F.col("i").alias("pos"), F.col("b.j").alias("choice"), F.col("b.j_ts").alias("choice_ts")),
-        "pos", "left",
-    )
+def _slice_rows(posted: DataFrame, n_items: int) -> int:
+    """So many rows that a slice's own postings meet about SLICE_MEETINGS times, if the keys are spread evenly over the pool."""
+    sizes = posted.groupBy("key", "cell").agg(F.count("*").cast("double").alias("n"))
+    meetings = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0
+    return max(SLICE_ROWS, ceil(n_items / max(1, ceil(sqrt(meetings / SLICE_MEETINGS)))))
 
 
 def event_clusters(
@@ -388,8 +266,7 @@ def event_clusters(
     order: tuple[Column, ...] | None = None,
     actions=V.ACTION_RULES,
     strong: str = V.STRONG_OBJECTS,
-    title_floor: float | None = None,
-    hot_key: int = HOT_KEY,
+    slice_rows: int | None = None,
     component_pairs: int = COMPONENT_PAIRS,
 ) -> Clustering:
     """Group ``items(title, desc, published_at, link, source_name, category, ...)``.
@@ -398,29 +275,49 @@ def event_clusters(
     """
     order = order or (F.col("published_at").desc(), F.col("link"))
     placed = written(with_positions(items, *order), "items")
+    spark = placed.sparkSession
     n_items = placed.count()
     features = written(item_features(placed, entities, n_items, actions, strong), "features")
-    keys = written(blocking_keys(features, threshold, n_items, title_floor, hot_key), "keys")
-    state = written(_first_guess(features), "state")
-    pairs = written(_scored(_cold_pairs(keys), features, threshold, n_items), "pairs")
-    any_hot = keys.where("hot").limit(1).count() > 0
-    rounds = 0
-    while True:
-        rounds += 1
-        if any_hot:
-            current = _current_pairs(keys.where("hot"), _representatives(state))
-            unseen = current.join(pairs, ["i", "j"], "left_anti")
-            added = written(_scored(unseen, features, threshold, n_items), "added")
-            if rounds > 1 and not added.limit(1).count():
-                break
-            pairs = written(pairs.unionByName(added), "pairs")
-        state = _solve(state, pairs, component_pairs)
-        if not any_hot:
-            break
-
-    assigned = written(placed.join(_founders(state), "pos"), "assigned")
-    last = _representatives(state).where(F.col("until").isNull()).select("pos")
-    return Clustering(assigned, *_cluster_tables(assigned, last), rounds)
+    posted = written(postings(features, threshold, n_items), "postings")
+    rows = slice_rows or _slice_rows(posted, n_items)
+
+    reps, chosen = None, []
+    for first in range(0, n_items, rows):
+        inside = F.col("pos").between(first, first + rows - 1)
+        fresh = held = posted.where(inside)
+        if reps is not None:
+            held = fresh.unionByName(posted.where(F.col("pos") < first).join(reps.select("pos"), "pos", "left_semi"))
+        scored = written(scored_pairs(candidate_pairs(fresh, held, threshold), features, threshold, n_items), "scored")
+        if reps is None:
+            told = scored.withColumn("founder", F.lit(None).cast("bigint"))
+        else:
+            told = scored.join(reps.select(F.col("pos").alias("j"), F.col("cluster").alias("founder")), "j", "left")
+        told = told.withColumn("founder", F.coalesce("founder", "j"))
+        if scored.count() > component_pairs:
+            told = told.join(_components(scored).withColumnRenamed("pos", "i"), "i")
+        else:
+            told = told.withColumn("component", F.lit(0).cast("bigint"))
+        walked = told.groupBy("component").applyInPandas(_walker(first), "pos bigint, choice bigint, cluster bigint, takes_over boolean")
+        choice = written(walked, "chosen")
+        chosen.append(choice)
+        before, reps = reps, written(_representatives(spark, reps, choice, first, min(first + rows, n_items)), "representatives")
+        discard(scored, *([before] if before is not None else []))
+
+    if not chosen:
+        return Clustering(placed.withColumn("cluster", F.col("pos")), *_cluster_tables(placed.withColumn("cluster", F.col("pos")), placed.select("pos")), 0)
+    choices = spark.read.schema(chosen[0].schema).parquet(*[c._written_to for c in chosen]).select("pos", "cluster")
+    assigned = written(placed.join(choices, "pos", "left").withColumn("cluster", F.coalesce("cluster", "pos")), "assigned")
+    discard(posted, features, *chosen)
+    return Clustering(assigned, *_cluster_tables(assigned, reps.select("pos")), len(chosen))
+
+
+def _representatives(spark, before: DataFrame | None, choice: DataFrame, first: int, end: int) -> DataFrame:
+    """``(pos, cluster)`` of the groups' representatives after a slice: the ones before, founders and takers-over, but those taken over."""
+    told = spark.range(first, end).withColumnRenamed("id", "pos").join(choice, "pos", "left")
+    new = told.where(F.col("choice").isNull() | F.col("takes_over")).select("pos", F.coalesce("cluster", "pos").alias("cluster"))
+    taken = choice.where("takes_over").select(F.col("choice").alias("pos"))
+    every = new if before is None else before.unionByName(new)
+    return every.join(taken, "pos", "left_anti")
 
 
 def _cluster_tables(assigned: DataFrame, last: DataFrame) -> tuple[DataFrame, DataFrame]:

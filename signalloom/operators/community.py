@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom import fixed_values as V
 from signalloom.functions.numbers import clamp, round_half_up
-from signalloom.functions.text import token_set
+from signalloom.functions.text import add_once, token_set
 from signalloom.operators.classify import classify_topics, is_release_discussion, match_models
+from signalloom.operators.ordering import grouped_rank
 from signalloom.operators.scoring import (
     comment_completeness, comment_relevance, community_recency, theme_specificity,
 )
-from signalloom.operators.similarity import jaccard
 from signalloom.session import written
 
 
@@ -108,80 +110,81 @@ def score_comments(
     )
 
 
+def _leaders(ready: DataFrame, models: list[str], by: str, key: str, depth: int, copies: Column, most: int) -> DataFrame:
+    """Per model the ``depth`` first rows and one more, numbered by ``_at``; ``copies``, ``most`` at most: so many rows of one wording are enough."""
+    first = [F.desc("_rank"), F.desc(key)]
+    alike = Window.partitionBy(by, "_topic", "_wording").orderBy(*first)
+    # the literal bound is what Spark can apply per task, before the shuffle
+    different = ready.withColumn("_n", F.row_number().over(alike)).where((F.col("_n") <= most) & (F.col("_n") <= copies)).drop("_n")
+    if depth < 1000:  # Spark keeps the first rows of a group per task, before the shuffle
+        return different.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy(*first))).where(F.col("_at") <= depth + 1)
+    tops = [different.where(F.col(by) == m).orderBy(*first).limit(depth + 1) for m in models]
+    return reduce(DataFrame.unionByName, tops).withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy(*first)))
+
+
 def pick_distinct(
     rows: DataFrame, k: int, by: str, key: str, text: str, order: Column,
     models: list[str], limit_similarity: float = V.NEAR_DUPLICATE_SIMILARITY,
-    chosen: list | None = None, unique: str | None = None,
+    chosen: list | None = None, unique: str | None = None, depth: int = 64,
 ) -> list:
     """Best rows per model that differ from each other and from what is chosen.
 
     Greedy by ``order``: a row too similar to an earlier pick is passed over, and
-    a comment goes to the first model in ``models`` that picks it.  Each of the
-    ``k`` rounds is one distributed maximum per model over all open rows; only
-    the picks, at most ``k`` per model, reach the driver.  Later models choose
-    again until no comment is shared, which settles because the first model's
-    picks never change, then the second's, and so on.
+    a comment goes to the first model in ``models`` that picks it.
+
+    One pass over the rows keeps each model's ``depth`` first ones; the driver gets those, models x depth
+    rows, and picks from them.  Rows of equal wording block each other, so that of each wording only as many are kept
+    as models may take them.  The picks are certain where a model got its ``k``, or where nothing was left
+    behind.  Models of which neither holds, and those after them, are asked again, eight times as deep; what was picked so far stays.
     """
-    spark = rows.sparkSession
-    extra = [unique] if unique else []
-    ready = written(
-        rows.select(by, key, *extra, token_set(F.col(text)).alias("_tokens"), order.alias("_rank")), "open"
-    )
-    schema = f"{by} string, _id string, _tokens array<string>"
-    rank_of = {m: i for i, m in enumerate(models)}
-    held = [(m, None, t) for m, _, t, *_ in chosen or []]
-    best = F.struct(F.col("_rank"), F.col(key))
-
-    def run(taken: dict) -> dict:
-        """Picks per model, given comments taken by earlier models."""
-        picks = {m: [] for m in models}
-        used_rows = [(m, i) for m, ids in taken.items() for i in ids]
-        blocked = ready
-        if used_rows:
-            used = spark.createDataFrame(used_rows, f"{by} string, {key} {dict(ready.dtypes)[key]}")
-            blocked = ready.join(F.broadcast(used), [by, key], "left_anti")
-        topics_seen: dict = {m: [] for m in models}
-        for _ in range(k):
-            texts = held + [(m, str(i), t) for m, p in picks.items() for i, t in p]
-            open_rows = blocked
-            if texts:
-                seen = spark.createDataFrame(texts, schema).groupBy(by).agg(
-                    F.collect_list("_tokens").alias("_seen"), F.collect_set("_id").alias("_ids")
-                )
-                far = ~F.exists("_seen", lambda s: jaccard(s, F.col("_tokens")) > limit_similarity)
-                fresh = F.col("_seen").isNull() | (far & ~F.array_contains("_ids", F.col(key).cast("string")))
-                open_rows = blocked.join(F.broadcast(seen), by, "left").where(fresh)
-            if unique and any(topics_seen.values()):
-                spent = spark.createDataFrame(
-                    [(m, u) for m, us in topics_seen.items() for u in us], f"{by} string, {unique} {dict(ready.dtypes)[unique]}"
-                )
-                open_rows = open_rows.join(F.broadcast(spent), [by, unique], "left_anti")
-            columns = [key, "_tokens", *extra]
-            found = open_rows.groupBy(by).agg(F.max_by(F.struct(*columns), best).alias("_pick")).collect()
-            if not found:
-                break
-            for row in found:
-                picks[row[by]].append((row["_pick"][key], row["_pick"]["_tokens"]))
-                if unique:
-                    topics_seen[row[by]].append(row["_pick"][unique])
-        return picks
-
-    taken: dict = {m: [] for m in models}
-    while True:
-        picks = run(taken)
-        now = {
-            m: sorted({i for n in models if rank_of[n] < rank_of[m] for i, _ in picks[n]}) for m in models
-        }
-        if now == taken:
-            return [(m, i, t, n) for m in models for n, (i, t) in enumerate(picks[m])]
-        taken = now
+    topic = F.col(unique).cast("string") if unique else F.lit("")
+    told = add_once(rows.select(by, key, F.col(text).alias("_text"), topic.alias("_topic"), order.alias("_rank")), {"_tokens": token_set(F.col("_text"))}).drop("_text")
+    ready = told.withColumn("_wording", F.xxhash64(F.array_sort("_tokens")))
+    held = {m: [] for m in models}
+    for m, _, t, *_ in chosen or []:
+        held.setdefault(m, []).append(frozenset(t))
+    # texts without words are like no other, themselves included
+    single = F.lit(False) if limit_similarity >= 1 else F.size("_tokens") > 0
+    copies = F.when(single, F.lit(len(models))).otherwise(F.lit(len(models) * k))
+    picks: list = []
+    taken: set = set()
+    open_models = list(models)
+    while open_models:
+        found = _leaders(ready.where(F.col(by).isin(open_models)), open_models, by, key, depth, copies, len(models) * k).collect()
+        by_model: dict = {m: [] for m in open_models}
+        for row in sorted(found, key=lambda r: r["_at"]):
+            by_model[row[by]].append(row)
+        for m in list(open_models):
+            mine, seen, topics = [], list(held[m]), set()
+            for row in by_model[m]:
+                if len(mine) == k or row["_at"] > depth:
+                    break
+                words = frozenset(row["_tokens"])
+                near = any(_jaccard(words, s) > limit_similarity for s in seen)
+                if row[key] in taken or near or row["_topic"] in topics or any(row[key] == i for _, i, _, _ in mine):
+                    continue
+                mine.append((m, row[key], row["_tokens"], len(mine)))
+                seen.append(words)
+                if unique and row["_topic"] is not None:
+                    topics.add(row["_topic"])
+            if len(mine) < k and len(by_model[m]) > depth:
+                break  # rows behind the leaders may still be picked
+            picks += mine
+            taken |= {i for _, i, _, _ in mine}
+            open_models.remove(m)
+        depth *= 8
+    return picks
+
+
+def _jaccard(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b) if a and b else 0.0
 
 
 def representative_comments(
     comments: DataFrame, models: list[str], k: int = 4, key: str = "comment_id", by: str = "model", text: str = "text",
 ) -> DataFrame:
-    """The ``k`` most relevant, mutually different comments per model, ranked."""
-    picks = pick_distinct(comments, k, by, key, text, F.col("relevance"), models)
+    """The ``k`` most relevant, mutually different comments per model, ranked; relevance counts to nine decimals."""
+    picks = pick_distinct(comments, k, by, key, text, F.round("relevance", 9), models)
     spark = comments.sparkSession
     chosen = spark.createDataFrame(
         [(m, i, n + 1) for m, i, _, n in picks], f"{by} string, {key} {dict(comments.dtypes)[key]}, rank int"
@@ -211,7 +214,7 @@ def community_record(
     narrow = written(validated.select(key, by, "match_confidence", "topics", text, when), "validated")
     spark = narrow.sparkSession
     kind = dict(narrow.dtypes)[key]
-    picked = {"comments": pick_distinct(score_comments(narrow, as_of, key, by, text, when), k, by, key, text, F.col("relevance"), models)}
+    picked = {"comments": pick_distinct(score_comments(narrow, as_of, key, by, text, when), k, by, key, text, F.round("relevance", 9), models)}
     shown, themes = list(picked["comments"]), narrow.select(by, "topics")
     for name, source, unique in (("forum", posts, "topic_id"), ("board", board, None)):
         if source is not None:
@@ -236,10 +239,13 @@ def newest_per_topic(
 
 
 def interleave(rows: DataFrame, by: str, source: str, rank: str, priority: list[str]) -> DataFrame:
-    """Round-robin over ranked lists: all firsts in source order, then all seconds."""
+    """Round-robin over ranked lists: all firsts in source order, then all seconds.
+
+    A model may hold most rows, so positions come from one sort across all tasks.
+    """
     turn = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col(source))
-    w = Window.partitionBy(by).orderBy(rank, turn)
-    return rows.withColumn("position", F.row_number().over(w))
+    placed = grouped_rank(rows.withColumn("_turn", turn), [by], F.col(rank), F.col("_turn"), name="position")
+    return placed.withColumn("position", F.col("position").cast("int")).drop("_turn")
 
 
 def unused(rows: DataFrame, used: DataFrame, key: str) -> DataFrame:

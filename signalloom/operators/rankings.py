@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom.functions.numbers import clamp, round_half_up
+from signalloom.operators.ordering import fill_forward
 
 
 def rank_with_ties(rows: DataFrame, view: str = "view", show_index: bool = False) -> DataFrame:
@@ -46,13 +47,24 @@ def cumulative_share(shares: DataFrame, order: str, pct: str = "pct", by: str =
 
 
 def segment_at_pct(segments: DataFrame, points: DataFrame, by: str = "view", order: str = "ord") -> DataFrame:
-    """The share each percentage falls in; past the end, the last share."""
-    last = segments.groupBy(by).agg(F.max(order).alias("_last"))
-    spans = segments.join(last, by)
-    inside = (F.col("point") < F.col("end")) & (F.col("point") >= F.col("start"))
-    beyond = (F.col(order) == F.col("_last")) & (F.col("point") >= F.col("end"))
-    before = (F.col(order) == 0) & (F.col("point") < F.col("start"))
-    return points.join(spans, by).where(inside | beyond | before).drop("_last")
+    """The share each percentage falls in; past the end, the last share.
+
+    A point belongs to the first share that ends beyond it.  Shares and points are sorted
+    together, from the greatest down, and every point takes the last share before it: one
+    scan of the points, no join of a view's points with its shares.  A view's shares are a
+    dimension (see :func:`cumulative_share`); its points may be any number.
+    """
+    last = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order))) == 1
+    kept = [c for c in segments.columns if c != by]
+    ends = segments.select(
+        F.col(by), F.when(last, F.lit(float("inf"))).otherwise(F.col("end").cast("double")).alias("_at"),
+        F.struct(*kept).alias("_segment"), F.lit(None).cast(points.schema["point"].dataType).alias("point"),
+    )
+    asked = points.where(F.col("point").isNotNull()).select(F.col(by), F.col("point").cast("double").alias("_at"), F.lit(None).cast(ends.schema["_segment"].dataType).alias("_segment"), "point")
+    # a share that ends at a point does not hold it: of equal places points come first
+    down = [F.desc("_at"), F.col("_segment").isNotNull(), F.desc(f"_segment.{order}")]
+    found = fill_forward(ends.unionByName(asked), [by], down, "_segment", "_found")
+    return found.where("point IS NOT NULL AND _found IS NOT NULL").select(by, "point", "_found.*")
 
 
 def scale_to_max(df: DataFrame, value: str, by: list[str], name: str = "scaled", root: bool = False) -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from signalloom import fixed_values as V
 from signalloom.functions.dates import HOUR, moment, seconds_between
-from signalloom.functions.text import add_once, headline_text, truncate
+from signalloom.functions.text import add_once, headline_text, truncate, with_headline
 from signalloom.operators.classify import (
     detect_lab, detect_license, infer_field, is_product_release, wave_family, why_it_matters,
 )
+from signalloom.operators.ordering import grouped_rank
 from signalloom.operators.rankings import top_k
 
 
@@ -19,7 +20,7 @@ def section_routing(
     question: str = V.QUESTION_HEADLINE,
 ) -> DataFrame:
     """Every story goes to one section: release, opensource, research or wire."""
-    lab = detect_lab(headline_text(F.col("title"), F.col("desc")), labs)
+    lab = detect_lab(F.col("_text"), labs, F.col("_lower"))
     release = F.col("lab").isin(release_labs) & is_product_release(F.col("title"), F.col("desc"), shipping, question)
     section = (
         F.when(F.coalesce(release, F.lit(False)), F.lit("release"))
@@ -27,7 +28,8 @@ def section_routing(
         .when(F.col("category") == "research", F.lit("research"))
         .otherwise(F.lit("wire"))
     )
-    return add_once(add_once(stories, {"lab": lab}), {"section": section})
+    told = add_once(with_headline(stories), {"lab": lab}).drop("_text", "_lower")
+    return add_once(told, {"section": section})
 
 
 def releases_per_lab(routed: DataFrame, labs: DataFrame, k: int = 5, tie: str = "link") -> DataFrame:
@@ -112,16 +114,11 @@ def family_groups(signals: DataFrame, as_of, hours: int = 24, when: str = "publi
 def ranked_families(signals: DataFrame, as_of, hours: int = 24, when: str = "published_at", tie: str = "id") -> DataFrame:
     """:func:`family_groups` with ``rank``, the 1-based place inside the family.
 
-    Families are few and may be large, so places are not counted in one task each:
-    rows are first counted per family and significance, and only rows of equal
-    significance are numbered among themselves.
+    Families are few and may hold all rows, so places come from one sort across all tasks.
     """
-    grouped = family_groups(signals, as_of, hours, when, tie).withColumn("_s", F.coalesce("significance", F.lit(0)))
-    sizes = grouped.groupBy("family", "_s").agg(F.count("*").alias("_n"))
-    above = Window.partitionBy("family").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("family", "_s", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
-    among = F.row_number().over(Window.partitionBy("family", "_s").orderBy(tie))
-    return grouped.join(offsets, ["family", "_s"]).withColumn("rank", (F.col("_above") + among).cast("int")).drop("_s", "_above")
+    grouped = family_groups(signals, as_of, hours, when, tie)
+    ranked = grouped_rank(grouped, ["family"], F.desc(F.coalesce("significance", F.lit(0))), F.col(tie))
+    return ranked.withColumn("rank", F.col("rank").cast("int"))
 
 
 def latest_previews(signals: DataFrame, waves: DataFrame, ticker: int = 12, lead: int = 3, newest: int = 3, tie: str = "id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom import fixed_values as V
@@ -10,6 +10,13 @@ from signalloom.functions.dates import hours_between
 from signalloom.functions.numbers import clamp
 from signalloom.functions.text import add_once, headline_text, let, name_phrases, token_set
 from signalloom.operators.classify import distinctive_objects, extract_action
+from signalloom.operators.ordering import with_positions
+from signalloom.session import written
+
+#: Bits of a token's code below its document frequency: how many different tokens there can be.
+CODE_BITS = 36
+#: Words in so many texts are frequent; so many of them are held by every task.
+FREQUENT, MOST_FREQUENT = 4096, 65_536
 
 
 def doc_freq(df: DataFrame, *texts: str) -> DataFrame:
@@ -46,39 +53,57 @@ def phrase_overlap(a: Column, b: Column) -> Column:
     return let(sets, lambda s: overlap_coefficient(s["a"], s["b"]))
 
 
+def token_codes(rows: DataFrame) -> DataFrame:
+    """``(token, df, code)`` of rows with ``token``: numbers that sort by document frequency, rarest first.
+
+    The code holds the frequency above :data:`CODE_BITS` bits of a dense number, so a code carries its weight.
+    """
+    counts = rows.groupBy("token").agg(F.count("*").alias("df"))
+    dense = with_positions(counts, F.col("df"), F.col("token"), name="_place")
+    return dense.select("token", "df", (F.shiftleft("df", CODE_BITS) + F.col("_place")).alias("code"))
+
+
+def coded(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Rows with ``token`` and their ``code``; a very common word stays spread over all tasks.
+
+    The most frequent words, at most :data:`MOST_FREQUENT`, are one small table that every task
+    holds; what remains meets its code by key, and no key has more rows than the least frequent of those.
+    """
+    top = codes.where(F.col("df") >= FREQUENT).orderBy(F.desc("df"), "token").limit(MOST_FREQUENT)
+    head = written(top.select("token", "code"), "frequent")
+    told = rows.join(F.broadcast(head), "token", "left")
+    rest = told.where("code IS NULL").drop("code").join(codes.join(head, "token", "left_anti").select("token", "code"), "token")
+    return told.where("code IS NOT NULL").select(*rows.columns, "code").unionByName(rest.select(*rows.columns, "code"))
+
+
 def token_weights(df: DataFrame, key: str, texts: dict[str, str], n_items: int) -> DataFrame:
-    """Per text the tokens tagged with their document frequency, rarest first.
+    """Per text its tokens as codes (see :func:`token_codes`), rarest first, with the weight from each one on.
 
-    ``texts`` maps a field name to a column.  Returns ``key``, ``field``,
-    ``tokens`` (array of ``"df:token"``) and ``total`` (sum of idf).  The tag
-    makes an element carry its weight, so two arrays intersect as plain strings.
+    ``texts`` maps a field name to a column.  Returns ``key``, ``field``, ``tokens`` (codes), ``rests``
+    (of each token and all after it, the sum of idf) and ``total`` (of all).
     """
     fields = F.array(
         *[F.struct(F.lit(f).alias("field"), token_set(F.col(c)).alias("t")) for f, c in texts.items()]
     )
-    rows = df.select(key, F.inline(fields)).select(key, "field", F.explode("t").alias("token"))
-    counts = rows.groupBy("token").agg(F.count("*").alias("df"))
-    tagged = rows.join(counts, "token").select(
-        key, "field", F.struct("df", "token").alias("e"), idf(F.col("df"), F.lit(n_items)).alias("w")
-    )
-    return tagged.groupBy(key, "field").agg(F.sort_array(F.collect_list("e")).alias("es")).select(
-        key,
-        "field",
-        F.transform("es", lambda e: F.concat_ws(":", e["df"].cast("string"), e["token"])).alias("tokens"),
-        F.aggregate(
-            "es", F.lit(0.0), lambda acc, e: acc + idf(e["df"], F.lit(n_items))
-        ).alias("total"),
+    rows = written(df.select(key, F.inline(fields)).select(key, "field", F.explode("t").alias("token")), "tokens")
+    codes = written(token_codes(rows), "codes")
+    # one text's tokens: a window as large as the text
+    from_last = Window.partitionBy(key, "field").orderBy(F.desc("code")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = coded(rows, codes).select(key, "field", "code", F.sum(code_weight(F.col("code"), n_items)).over(from_last).alias("rest"))
+    listed = summed.groupBy(key, "field").agg(F.sort_array(F.collect_list(F.struct("code", "rest"))).alias("es"))
+    return listed.select(
+        key, "field", F.col("es.code").alias("tokens"), F.col("es.rest").alias("rests"), F.element_at("es.rest", 1).alias("total")
     )
 
 
-def tagged_weight(element: Column, n_items: int) -> Column:
-    return idf(F.substring_index(element, ":", 1).cast("bigint"), F.lit(n_items))
+def code_weight(code: Column, n_items: int) -> Column:
+    return idf(F.shiftright(code, CODE_BITS), F.lit(n_items))
 
 
 def weighted_jaccard(a: Column, a_total: Column, b: Column, b_total: Column, n_items: int) -> Column:
-    """idf-weighted Jaccard of two tagged token arrays."""
+    """idf-weighted Jaccard of two arrays of token codes."""
     shared = F.aggregate(
-        F.array_intersect(a, b), F.lit(0.0), lambda acc, e: acc + tagged_weight(e, n_items)
+        F.array_intersect(a, b), F.lit(0.0), lambda acc, e: acc + code_weight(e, n_items)
     )
     score = let(shared, lambda s: F.coalesce(F.try_divide(s, a_total + b_total - s), F.lit(0.0)))
     return F.when((F.size(a) <= 0) | (F.size(b) <= 0), F.lit(0.0)).otherwise(score)
@@ -111,38 +136,48 @@ def event_relation(pairs: DataFrame, a: str = "a", b: str = "b", actions=V.ACTIO
     )
 
 
-def _text_similarity(x: str, y: str, field: str, n_items: int) -> Column:
-    a, b = (F.col(f"{side}.{field}_tokens") for side in (x, y))
-    return weighted_jaccard(a, F.col(f"{x}.{field}_total"), b, F.col(f"{y}.{field}_total"), n_items)
+#: The fields of an item that a score compares.
+COMPARED = [
+    "published_at", "category", "entity_ids", "action", "objects", "phrases", "title_tokens", "title_total", "desc_tokens", "desc_total",
+]
 
 
-def _amplified(content: Column) -> Column:
-    return content + F.col("_pair.structure") * F.least(content, F.lit(0.5)) * 1.4
+def _of(side: str, field: str) -> Column:
+    return F.col(f"_{side}_{field}")
 
 
-def _without_descriptions(pairs: DataFrame, n_items: int, x: str, y: str) -> DataFrame:
-    """Add ``_pair``: all of a pair's score that needs no description."""
+def _text_similarity(field: str, n_items: int) -> Column:
+    a, b = (_of(side, f"{field}_tokens") for side in "xy")
+    return weighted_jaccard(a, _of("x", f"{field}_total"), b, _of("y", f"{field}_total"), n_items)
 
-    def f(side: str, field: str) -> Column:
-        return F.col(f"{side}.{field}")
 
-    both_act = f(x, "action").isNotNull() & f(y, "action").isNotNull()
-    same_act = F.coalesce(both_act & (f(x, "action") == f(y, "action")), F.lit(False))
-    one_category = F.coalesce(f(x, "category") == f(y, "category"), F.lit(False))
+def amplified(content: Column, structure: Column) -> Column:
+    return content + structure * F.least(content, F.lit(0.5)) * 1.4
+
+
+def nearness(hours: Column) -> Column:
+    return clamp(F.lit(1.0) - hours / 48.0, 0.0, 1.0)
+
+
+def _without_descriptions(pairs: DataFrame, n_items: int) -> DataFrame:
+    """Add ``_pair``: all of a pair's score that needs no description."""
+    both_act = _of("x", "action").isNotNull() & _of("y", "action").isNotNull()
+    same_act = F.coalesce(both_act & (_of("x", "action") == _of("y", "action")), F.lit(False))
+    one_category = F.coalesce(_of("x", "category") == _of("y", "category"), F.lit(False))
     basics = add_once(
         pairs,
         {
-            "_title": F.lit(0.5) * _text_similarity(x, y, "title", n_items)
-            + F.lit(0.3) * overlap_coefficient(f(x, "phrases"), f(y, "phrases")),
-            "_objects": overlap_coefficient(f(x, "objects"), f(y, "objects")),
-            "_entity": jaccard(f(x, "entity_ids"), f(y, "entity_ids")),
-            "_hours": hours_between(f(x, "published_at"), f(y, "published_at")),
+            "_title": F.lit(0.5) * _text_similarity("title", n_items)
+            + F.lit(0.3) * overlap_coefficient(_of("x", "phrases"), _of("y", "phrases")),
+            "_objects": overlap_coefficient(_of("x", "objects"), _of("y", "objects")),
+            "_entity": jaccard(_of("x", "entity_ids"), _of("y", "entity_ids")),
+            "_hours": hours_between(_of("x", "published_at"), _of("y", "published_at")),
             "_same": same_act,
             "_clash": both_act & ~same_act,
         },
     )
     objects, entity = F.col("_objects"), F.col("_entity")
-    near = clamp(F.lit(1.0) - F.col("_hours") / 48.0, 0.0, 1.0)
+    near = nearness(F.col("_hours"))
     agreed = (F.col("_same") & (objects > 0)) | ((objects >= 0.5) & (entity > 0))
     summary = F.struct(
         F.col("_title").alias("title"),
@@ -153,36 +188,22 @@ def _without_descriptions(pairs: DataFrame, n_items: int, x: str, y: str) -> Dat
     return add_once(basics, {"_pair": summary}).drop("_title", "_objects", "_entity", "_hours", "_same", "_clash")
 
 
-def hopeful_pairs(pairs: DataFrame, n_items: int, at_least: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Pairs whose score can reach ``at_least``; needs no ``desc_tokens`` yet.
-
-    Two sets overlap by no more than the lighter one's share of the heavier.
-    """
-    totals = F.col(f"{x}.desc_total"), F.col(f"{y}.desc_total")
-    bound = F.coalesce(F.try_divide(F.least(*totals), F.greatest(*totals)), F.lit(0.0))
-    best = _amplified(F.col("_pair.title") + F.lit(0.2) * bound)
-    possible = F.col("_pair.forced") | (best >= at_least * (1 - 1e-9))
-    return _without_descriptions(pairs, n_items, x, y).where(possible)
-
-
-def finish_score(pairs: DataFrame, n_items: int, x: str = "x", y: str = "y", name: str = "score") -> DataFrame:
-    """The score of pairs that carry ``_pair`` and both descriptions."""
-    content = F.col("_content")
-    score = (
-        F.when(F.col("_pair.clash"), F.least(content, F.lit(0.15)))
-        .when(F.col("_pair.forced"), F.greatest(content, F.lit(0.55)))
-        .when(content < 0.02, content)
-        .otherwise(_amplified(content))
-    )
-    compared = F.col("_pair.title") + F.lit(0.2) * _text_similarity(x, y, "desc", n_items)
-    return add_once(pairs, {"_content": compared}).withColumn(name, score).drop("_content", "_pair")
-
-
 def pair_score(pairs: DataFrame, n_items: int, x: str = "x", y: str = "y", name: str = "score") -> DataFrame:
-    """Same-event score of two feature structs (see ``clusters.item_features``).
+    """Same-event score of two feature structs (see ``clusters.item_features``), to nine decimals.
 
     Agreement in entity, time and category only amplifies shared wording; a
     clash of actions blocks a merge and a shared action on a shared object
-    forces one.
+    forces one.  Scores are rounded, so that equal wording ties whatever the order its weights were added in.
     """
-    return finish_score(_without_descriptions(pairs, n_items, x, y), n_items, x, y, name)
+    def score(content: Column) -> Column:
+        return (
+            F.when(F.col("_pair.clash"), F.least(content, F.lit(0.15)))
+            .when(F.col("_pair.forced"), F.greatest(content, F.lit(0.55)))
+            .when(content < 0.02, content)
+            .otherwise(amplified(content, F.col("_pair.structure")))
+        )
+
+    fields = {f"_{to}_{f}": F.col(f"{side}.{f}") for side, to in ((x, "x"), (y, "y")) for f in COMPARED}
+    told = _without_descriptions(pairs.select("*", *[c.alias(n) for n, c in fields.items()]), n_items)
+    compared = F.col("_pair.title") + F.lit(0.2) * _text_similarity("desc", n_items)
+    return told.withColumn(name, F.round(let(compared, score), 9)).drop("_pair", *fields)

@@ -11,7 +11,7 @@ from signalloom.operators import videos as Vd
 from signalloom.operators.rankings import scale_to_max, top_k
 from signalloom.plans import sample as L
 from signalloom.plans import tables as T
-from signalloom.plans.registry import COMMENTS, clamp01, half_up, has, lit, query
+from signalloom.plans.registry import COMMENTS, clamp01, half_up, has, lit, query, tokens
 from signalloom.sources import feeds, forums, media
 
 MODELS = list(L.MATCHERS)
@@ -94,7 +94,31 @@ def comment_relevance(spark, d):
     return _scored(spark, d).select("comment_id", "model", round_half_up(F.col("relevance"), 5).alias("relevance"))
 
 
-@query("representative_comments")
+_ORDER = f"list_position([{', '.join(map(lit, MODELS))}], model)"
+_ALIKE = "len(list_intersect(s.t, l.words)) / CAST(len(s.t) + len(l.words) - len(list_intersect(s.t, l.words)) AS DOUBLE)"
+# line by line, best first: ``seen`` holds what a model shows already, ``used`` comments and ``topics`` that are taken
+GREEDY = f"""walk AS (
+    SELECT CAST(0 AS BIGINT) AS pos, CAST(NULL AS INTEGER) AS phase, CAST(NULL AS VARCHAR) AS model, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS n, false AS ok,
+      CAST([] AS STRUCT(m VARCHAR, t VARCHAR[])[]) AS seen, CAST([] AS BIGINT[]) AS used, CAST([] AS VARCHAR[]) AS topics
+    UNION ALL
+    SELECT pos, phase, model, id, CAST(n0 + CASE WHEN good THEN 1 ELSE 0 END AS BIGINT), good,
+      CASE WHEN good THEN list_append(seen, struct_pack(m := model, t := words)) ELSE seen END, CASE WHEN good THEN list_append(used, id) ELSE used END,
+      CASE WHEN good AND topic IS NOT NULL THEN list_append(topics, topic) ELSE topics END
+    FROM (SELECT *, n0 < k AND NOT list_contains(used, id) AND NOT coalesce(list_contains(topics, topic), false) AND near = 0 AS good
+      FROM (SELECT l.*, w.seen, w.used, w.topics, CASE WHEN w.phase = l.phase AND w.model = l.model THEN w.n ELSE 0 END AS n0,
+          len(list_filter(w.seen, lambda s: s.m = l.model AND len(s.t) > 0 AND len(l.words) > 0 AND {_ALIKE} > 0.6)) AS near
+        FROM walk w JOIN line l ON l.pos = w.pos + 1) a) b)"""
+
+
+def _relevance(valid, spec):
+    """Validated rows with a topic and their relevance, to nine decimals."""
+    return f"""SELECT model, comment_id AS id, {tokens('text')} AS words, round(0.40 * match_confidence + 0.25 * specificity + 0.20 * {COMPLETE} + 0.15 * {RECENCY}, 9) AS merit, published_at
+  FROM {valid} JOIN {spec} USING (comment_id, model)"""
+
+
+@query("representative_comments", f"""WITH RECURSIVE {SPEC}, ranked AS ({_relevance('valid', 'spec')}),
+  line AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {_ORDER}, merit DESC, id DESC) AS pos, 1 AS phase, model, id, words, CAST(NULL AS VARCHAR) AS topic, 4 AS k FROM ranked),
+  {GREEDY} SELECT model, CAST(n AS INTEGER) AS rank, id AS comment_id FROM walk WHERE ok""")
 def representative_comments(spark, d):
     return K.representative_comments(_scored(spark, d), MODELS).select("model", "rank", "comment_id")
 
@@ -108,13 +132,24 @@ def _record(spark, d):
     return K.community_record(validated, MODELS, L.AS_OF, first_party.where("role = 'assistant'"), first_party.where("role = 'system'"))
 
 
-@query("community_voices")
-def community_voices(spark, d):
-    return _record(spark, d)[1].select("model", "position", "source", "comment_id")
-
-
 _TOPICS = ", ".join(f"CASE WHEN {has('text', r)} THEN {lit(t)} END" for t, _, r in L.TOPICS)
 _TOPIC_LIST = f"list_slice(list_filter([{_TOPICS}], lambda x: x IS NOT NULL), 1, 2)"
+_OWN_MODEL = f"[{', '.join(map(lit, MODELS))}][conv_id % {len(MODELS)} + 1]"
+
+
+@query("community_voices", f"""WITH RECURSIVE {MENTIONS}, rv AS (SELECT * FROM valid WHERE role = 'user' AND {has("text", L.RELEASE_TALK)}),
+  rthemes AS (SELECT model, theme, count(*) AS n FROM (SELECT model, unnest(topics) AS theme FROM rv) GROUP BY ALL), rtotals AS (SELECT model, count(*) AS total FROM rv GROUP BY ALL),
+  rspec AS (SELECT comment_id, model, avg({clamp01("1.0 - n / CAST(total AS DOUBLE)")}) AS specificity
+    FROM (SELECT comment_id, model, unnest(topics) AS theme FROM rv) JOIN rthemes USING (model, theme) JOIN rtotals USING (model) GROUP BY ALL),
+  ranked AS ({_relevance('rv', 'rspec')}),
+  own AS (SELECT {_OWN_MODEL} AS model, comment_id AS id, {tokens('text')} AS words, epoch_us(published_at) AS merit, conv_id, role FROM comments WHERE role <> 'user' AND len({_TOPIC_LIST}) > 0),
+  line AS MATERIALIZED (SELECT row_number() OVER (ORDER BY phase, {_ORDER}, merit DESC, id DESC) AS pos, * EXCLUDE (merit) FROM (
+    SELECT 1 AS phase, model, id, words, CAST(merit AS DOUBLE) AS merit, CAST(NULL AS VARCHAR) AS topic, 4 AS k FROM ranked
+    UNION ALL SELECT CASE WHEN role = 'assistant' THEN 2 ELSE 3 END, model, id, words, CAST(merit AS DOUBLE), CASE WHEN role = 'assistant' THEN model || '|' || conv_id END, 2 FROM own)),
+  {GREEDY}, voices AS (SELECT model, ['comments', 'forum', 'board'][phase] AS source, n, id AS comment_id FROM walk WHERE ok)
+  SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY n, list_position(['forum', 'board', 'comments'], source)) AS INTEGER) AS position, source, comment_id FROM voices""")
+def community_voices(spark, d):
+    return _record(spark, d)[1].select("model", "position", "source", "comment_id")
 
 
 @query("community_themes", f"""WITH {MENTIONS} SELECT model, theme, count(*) AS n FROM (

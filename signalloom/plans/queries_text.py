@@ -11,6 +11,7 @@ from signalloom.operators import entities as E
 from signalloom.operators import scoring as S
 from signalloom.operators import sections as P
 from signalloom.operators import similarity as Y
+from signalloom import fixed_values as V
 from signalloom.plans import sample as L
 from signalloom.plans import tables as T
 from signalloom.plans.registry import COMMENTS, ITEMS, clamp01, first_match, half_up, has, lit, nouns, phrases, query, tokens
@@ -360,18 +361,23 @@ def cluster_score(spark, d):
 # ---- scores, verification, caps, sections -----------------------------------
 _WEIGHTS = "CASE category WHEN 'policy' THEN 0.9 WHEN 'capital' THEN 0.8 WHEN 'compute' THEN 0.8 WHEN 'research' THEN 0.75 WHEN 'market' THEN 0.7 WHEN 'orggov' THEN 0.65 WHEN 'product' THEN 0.65 WHEN 'adoption' THEN 0.6 WHEN 'opensource' THEN 0.7 WHEN 'analysis' THEN 0.4 WHEN 'general' THEN 0.35 ELSE 0.6 END::DOUBLE"
 _REC = clamp01(f"1.0 - (epoch_us({AS_OF}) - epoch_us(published_at)) / 1000000.0 / 3600.0 / 72.0")
-SIGNALS = f"""{CATEGORISED}, sc AS (SELECT *, CAST(1 + doc_id % 3 AS BIGINT) AS source_count, {IMPORTANCE} AS importance, {_REC} AS recency, {_WEIGHTS} AS weight FROM cat),
-  sg AS (SELECT *, CAST(floor({clamp01("(0.35::DOUBLE * recency + 0.25::DOUBLE * (least(source_count, 4) / 4.0::DOUBLE) + 0.25::DOUBLE * (importance / 100.0::DOUBLE) + 0.15::DOUBLE * weight) * (CASE WHEN cat_confidence < 0.45 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END)")} * 100 + 0.5) AS INTEGER) AS raw,
-    CASE WHEN category = 'analysis' THEN 'analysis' WHEN source_name IN ('src0', 'src7') THEN 'official' WHEN {has("btxt", L.HEDGING)} THEN 'uncertain'
+def _signal_steps(official, hedging, job, speculative):
+    """Significance, verification and caps of ``sc``, as CTEs that end in ``signals``."""
+    return f"""sg AS (SELECT *, CAST(floor({clamp01("(0.35::DOUBLE * recency + 0.25::DOUBLE * (least(source_count, 4) / 4.0::DOUBLE) + 0.25::DOUBLE * (importance / 100.0::DOUBLE) + 0.15::DOUBLE * weight) * (CASE WHEN cat_confidence < 0.45 THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END)")} * 100 + 0.5) AS INTEGER) AS raw,
+    CASE WHEN category = 'analysis' THEN 'analysis' WHEN {official} THEN 'official' WHEN {has("btxt", hedging)} THEN 'uncertain'
       WHEN source_count >= 2 THEN 'corroborated' ELSE 'single' END AS verification FROM sc),
   cp AS (SELECT *, (category IN ('general', 'analysis') AND NOT (verification = 'official' OR source_count >= 2)) AS weak,
-    {has("btxt", L.JOB)} OR {has("btxt", L.SPECULATIVE)} AS soft FROM sg),
+    {has("btxt", job)} OR {has("btxt", speculative)} AS soft FROM sg),
   cq AS (SELECT *, CASE WHEN weak AND raw > 55 THEN 55 ELSE raw END AS significance FROM cp),
   signals AS (SELECT *, CASE WHEN significance >= 70 AND NOT weak AND NOT soft THEN 'high' WHEN significance >= 45 THEN 'notable' ELSE 'emerging' END AS impact,
     CASE WHEN weak AND raw > 55 THEN 'single-source-general' WHEN weak AND significance >= 70 THEN 'general-without-evidence'
       WHEN soft AND significance >= 70 THEN 'job-or-speculative' END AS cap_reason, {FAMILY} AS family FROM cq)"""
 
 
+SIGNALS = f"""{CATEGORISED}, sc AS (SELECT *, CAST(1 + doc_id % 3 AS BIGINT) AS source_count, {IMPORTANCE} AS importance, {_REC} AS recency, {_WEIGHTS} AS weight FROM cat),
+  {_signal_steps("source_name IN ('src0', 'src7')", L.HEDGING, L.JOB, L.SPECULATIVE)}"""
+
+
 def scored(spark, d):
     base = E.match_entities(categorised(spark, d), L.ENTITIES).withColumns(
         {"source_count": (F.pmod("doc_id", F.lit(3)) + 1), "cluster": F.col("doc_id")}
@@ -421,8 +427,6 @@ def integrity_caps(spark, d):
   CASE verification WHEN 'official' THEN 'Official' WHEN 'corroborated' THEN 'Corroborated' WHEN 'single' THEN 'Single report' WHEN 'analysis' THEN 'Analysis' ELSE 'Uncertain' END AS verification,
   count(*) AS n FROM signals GROUP BY ALL""")
 def impact_labels(spark, d):
-    from signalloom import fixed_values as V
-
     named = signals(spark, d).select(
         C.label_of(F.col("impact"), V.IMPACT_LABEL).alias("impact"),
         C.label_of(F.col("verification"), V.VERIFICATION_LABEL).alias("verification"),
@@ -559,16 +563,85 @@ def summary_usable(spark, d):
 
 @query("feed_health", """SELECT (SELECT count(*) FROM (SELECT source FROM documents GROUP BY ALL HAVING min(n_chars) > 20)) AS feeds_succeeded, (SELECT count(DISTINCT source) FROM documents) AS feeds_configured,
   (SELECT count(DISTINCT lang) FROM documents) AS models_available, (SELECT count(*) FROM (SELECT lang FROM documents GROUP BY ALL HAVING count(*) < 300)) AS estimated_datasets,
-  (SELECT count(*) FROM nation) AS nodes_available, 30.0::DOUBLE AS history_depth_days""")
+  (SELECT count(*) FROM nation) AS nodes_available,
+  (SELECT floor((epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(CAST(CAST(min(ts) AS DATE) AS TIMESTAMP))) / 86400000000.0 * 10 + 0.5) / 10 FROM events) AS history_depth_days""")
 def feed_health(spark, d):
     docs = T.table(spark, d, "documents")
     feeds = docs.groupBy(F.col("source").alias("name")).agg((F.min("n_chars") > 20).alias("ok"))
     models = docs.groupBy(F.col("lang").alias("model")).agg((F.count("*") < 300).alias("is_estimated"))
-    return P.feed_health(feeds, models, T.table(spark, d, "nation"), 30.0)
+    from signalloom.operators.history import history_depth
+
+    depth = history_depth(T.events(spark, d), L.AS_OF).first()["history_depth_days"]
+    return P.feed_health(feeds, models, T.table(spark, d, "nation"), depth)
 
 
 # ---- the whole pipeline -----------------------------------------------------
-@query("event_clusters")
+_STABLE = """lower(to_base(list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(string_split(link, ''), lambda c: CAST(unicode(c) AS HUGEINT))),
+   lambda h, u: (xor(h, u) * 16777619) & 4294967295)::BIGINT, 36))"""
+
+
+def _ratio(kind, a, b):
+    return (JACCARD if kind == "jaccard" else OVERLAP).replace("(a)", f"({a})").replace("(b)", f"({b})").replace("(a, b)", f"({a}, {b})")
+
+
+# all pairs of the pool: wording by shared tokens, structure by comparing everything with everything
+SCORED_PAIRS = f"""{CATEGORISED},
+  pool AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY published_at DESC, link) - 1 AS pos FROM cat),
+  ft AS MATERIALIZED (SELECT pos, doc_id, published_at, category, {first_match('btxt', L.ACTIONS)} AS act, {phrases('title')} AS ph,
+    list_distinct(list_concat({phrases('title')}, {nouns('btxt', L.STRONG)})) AS ob, {HITS} AS en FROM pool),
+  tk AS MATERIALIZED (SELECT pos, 't' AS f, unnest({tokens('title')}) AS tok FROM pool UNION ALL SELECT pos, 'd', unnest({tokens('descr')}) FROM pool),
+  idfs AS (SELECT tok, ln((n + 1) / (count(*) + 0.5)) + 1 AS w FROM tk, (SELECT count(*) AS n FROM pool) GROUP BY tok, n),
+  tw AS MATERIALIZED (SELECT tk.*, w FROM tk JOIN idfs USING (tok)),
+  whole AS MATERIALIZED (SELECT pos, f, sum(w) AS s FROM tw GROUP BY ALL),
+  common AS (SELECT x.pos AS i, y.pos AS j, x.f, sum(x.w) AS s FROM tw x JOIN tw y ON x.tok = y.tok AND x.f = y.f AND x.pos > y.pos GROUP BY ALL),
+  sims AS MATERIALIZED (SELECT i, j, c.f, c.s / (a.s + b.s - c.s) AS sim FROM common c JOIN whole a ON a.pos = i AND a.f = c.f JOIN whole b ON b.pos = j AND b.f = c.f),
+  versus AS (SELECT x.pos AS i, y.pos AS j, x.published_at AS i_at, y.published_at AS j_at, x.doc_id AS i_doc, y.doc_id AS j_doc,
+      x.act AS xa, y.act AS ya, {_ratio("overlap", "x.ob", "y.ob")} AS ov, {_ratio("jaccard", "x.en", "y.en")} AS ent,
+      abs(epoch_us(x.published_at) - epoch_us(y.published_at)) / 3600000000.0 AS hours, coalesce(x.category = y.category, false) AS one,
+      0.5 * coalesce(t.sim, 0) + 0.3 * {_ratio("overlap", "x.ph", "y.ph")} + 0.2 * coalesce(d.sim, 0) AS content
+    FROM ft x JOIN ft y ON x.pos > y.pos LEFT JOIN sims t ON t.i = x.pos AND t.j = y.pos AND t.f = 't' LEFT JOIN sims d ON d.i = x.pos AND d.j = y.pos AND d.f = 'd'),
+  scored AS MATERIALIZED (SELECT *, round(CASE WHEN coalesce(xa <> ya AND ov < 0.6, false) THEN least(content, 0.15)
+      WHEN hours <= 72 AND (coalesce(xa = ya AND ov > 0, false) OR (ov >= 0.5 AND ent > 0)) THEN greatest(content, 0.55) WHEN content < 0.02 THEN content
+      ELSE content + (0.4 * ent + 0.35 * greatest(0, least(1, 1 - hours / 48)) + 0.25 * (CASE WHEN one THEN 1 ELSE 0 END)) * least(content, 0.5) * 1.4 END, 9) AS score
+    FROM versus)"""
+# the pool is read item by item; ``reps`` maps current representatives to the founders of their groups
+CLUSTERED = f"""{SCORED_PAIRS},
+  offers AS (SELECT i, list(struct_pack(score := score, j := j, newer := i_at < j_at)) AS c FROM scored WHERE score >= 0.34 GROUP BY i),
+  line AS MATERIALIZED (SELECT pos, coalesce(c, []) AS c FROM ft LEFT JOIN offers ON i = pos),
+  walk AS (
+    SELECT CAST(-1 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS cluster, CAST(MAP {{}} AS MAP(BIGINT, BIGINT)) AS reps
+    UNION ALL
+    SELECT pos, coalesce(-best.nf, pos),
+      CASE WHEN best IS NULL THEN map_concat(reps, MAP {{pos: pos}})
+        WHEN best.newer THEN map_concat(map_from_entries(list_filter(map_entries(reps), lambda e: e.key <> best.j)), MAP {{pos: -best.nf}}) ELSE reps END
+    FROM (SELECT l.pos, w.reps, list_sort(list_transform(list_filter(l.c, lambda x: map_contains(w.reps, x.j)),
+        lambda x: struct_pack(score := x.score, nf := -map_extract_value(w.reps, x.j), j := x.j, newer := x.newer)), 'DESC')[1] AS best
+      FROM walk w JOIN line l ON l.pos = w.pos + 1) s),
+  grouped AS MATERIALIZED (SELECT w.pos, w.cluster FROM walk w WHERE w.pos >= 0),
+  lasting AS (SELECT unnest(map_keys(reps)) AS pos FROM (SELECT reps FROM walk ORDER BY pos DESC LIMIT 1))"""
+
+
+def _pool(spark, d):
+    """Categorised items with their features; ``pos`` is the document."""
+    from signalloom.operators.clusters import item_features
+    from signalloom.session import written
+
+    pool = written(categorised(spark, d).withColumn("pos", F.col("doc_id")), "pool")
+    n_items = pool.count()
+    return written(item_features(pool, L.ENTITIES, n_items, L.ACTIONS, L.STRONG), "features"), n_items
+
+
+@query("near_dup_pair_join", f"""WITH {SCORED_PAIRS} SELECT greatest(i_doc, j_doc) AS doc_id, least(i_doc, j_doc) AS other_id, {half_up('score', 6)} AS score
+  FROM scored WHERE score >= 0.34""")
+def near_dup_pair_join(spark, d):
+    from signalloom.operators.clusters import near_dup_pairs
+
+    features, n_items = _pool(spark, d)
+    pairs = near_dup_pairs(features, 0.34, n_items)
+    return pairs.select(F.col("i").alias("doc_id"), F.col("j").alias("other_id"), round_half_up(F.col("score"), 6).alias("score"))
+
+
+@query("event_clusters", f"WITH RECURSIVE {CLUSTERED} SELECT doc_id, pos, cluster FROM grouped JOIN pool USING (pos)")
 def event_clusters(spark, d):
     from signalloom.operators.clusters import event_clusters as cluster
 
@@ -576,13 +649,33 @@ def event_clusters(spark, d):
     return groups.items.select("doc_id", "pos", "cluster")
 
 
-@query("build_signals")
-def build_signals(spark, d):
+def _built(spark, d):
     from signalloom.plans.signals import Lexicon, build_signals as build
 
     lexicon = Lexicon(L.CATEGORIES, L.ACTIONS, L.STRONG, L.OFFICIAL)
-    found, _ = build(T.items(spark, d), L.ENTITIES, L.AS_OF, lexicon)
-    return found.select("cluster_id", "cluster", "title", "category", "family", "significance", "impact", "verification", "source_count")
+    return build(T.items(spark, d), L.ENTITIES, L.AS_OF, lexicon)[0]
+
+
+BUILT = f"""{CLUSTERED},
+  merged AS (SELECT cluster, count(DISTINCT link) AS source_count, bool_or(source_name IN ('src0', 'src7')) AS official FROM grouped JOIN pool USING (pos) GROUP BY ALL),
+  sc AS (SELECT pool.*, cluster, source_count, official, {IMPORTANCE} AS importance, {HITS} AS hits, {_REC} AS recency, {_WEIGHTS} AS weight
+    FROM lasting JOIN grouped USING (pos) JOIN pool USING (pos) JOIN merged USING (cluster)),
+  {_signal_steps("official", V.HEDGING, V.JOB_POSTING, V.SPECULATIVE)}"""
+
+
+@query("build_signals", f"WITH RECURSIVE {BUILT} SELECT {_STABLE} AS cluster_id, cluster, title, category, family, significance, impact, verification, source_count FROM signals")
+def build_signals(spark, d):
+    return _built(spark, d).select("cluster_id", "cluster", "title", "category", "family", "significance", "impact", "verification", "source_count")
+
+
+@query("project_signal", f"""WITH RECURSIVE {BUILT} SELECT link AS id, {_STABLE} AS cluster_id, cluster, descr AS "desc", link, published_at, {half_up("cat_confidence", 6)} AS cat_confidence,
+  cap_reason IS NOT NULL AS capped, coalesce(cap_reason, '') AS cap_reason, source_name, array_to_string(hits, ',') AS entity_ids FROM signals""")
+def project_signal(spark, d):
+    """What :func:`build_signals` publishes beside the columns of its own query."""
+    return _built(spark, d).select(
+        "id", "cluster_id", "cluster", "desc", "link", "published_at", round_half_up(F.col("cat_confidence"), 6).alias("cat_confidence"), "capped",
+        F.coalesce("cap_reason", F.lit("")).alias("cap_reason"), "source_name", F.array_join("entity_ids", ",").alias("entity_ids"),
+    )
 
 
 # ---- merged stories by a given grouping: documents of one length class ------
@@ -624,8 +717,6 @@ def video_attachment(spark, d):
 
 @query("exclude_commentary", f"WITH {CATEGORISED} SELECT doc_id, category FROM cat WHERE category NOT IN ('analysis', 'general')")
 def exclude_commentary(spark, d):
-    from signalloom import fixed_values as V
-
     kept = categorised(spark, d).where(~F.col("category").isin(V.COMMENTARY_CATEGORIES))
     return kept.select("doc_id", "category")
 

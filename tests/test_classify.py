@@ -93,7 +93,8 @@ def test_consequences(spark):
     )
     why = [r["why_it_matters"] for r in C.why_it_matters(df).collect()]
     assert why[0] == V.CONSEQUENCE_BY_ACTION["launch"]
-    assert why[1].startswith("If it holds up, fresh capital")
+    held = V.CONSEQUENCE_BY_ACTION["raise"]
+    assert why[1] == V.WEAK_PREFIX + held[0].lower() + held[1:]
     assert why[2] == V.CONSEQUENCE_BY_CATEGORY["general"]  # already conditional
 
 

@@ -84,9 +84,9 @@ def _random_rows(seed, n, copies):
 
 @pytest.mark.parametrize("seed, options", [
     (1, {}),
-    (2, {"hot_key": 3}),  # nearly every key takes the path of hot keys
-    (3, {"component_pairs": 5}),  # nearly every component takes the distributed path
-    (4, {"hot_key": 3, "component_pairs": 5, "title_floor": 0.1}),
+    (2, {"slice_rows": 7}),  # representatives are carried over many slices
+    (3, {"component_pairs": 5}),  # slices are cut into components
+    (4, {"slice_rows": 20, "component_pairs": 5}),
 ])
 def test_equals_sequential_reading(spark, seed, options):
     rows = _random_rows(seed, 90, copies=0.3)
@@ -109,21 +109,64 @@ def test_a_third_are_copies_and_pairs_stay_linear(spark):
     from signalloom.operators import clusters as K
 
     seen = []
-    real = K._scored
+    real = K.scored_pairs
 
     def counting(pairs, *rest):
         seen.append(pairs.count())
         return real(pairs, *rest)
 
-    K._scored = counting
+    K.scored_pairs = counting
     try:
-        founder, _, _ = run(spark, rows, hot_key=20)
+        founder, _, _ = run(spark, rows, slice_rows=30)
     finally:
-        K._scored = real
+        K.scored_pairs = real
     assert founder == expect(rows)[0]
     assert sum(seen) < 1500  # 100 copies have 4,950 pairs
 
 
+def test_common_keys_are_salted(spark, monkeypatch):
+    from signalloom.operators import clusters as K
+
+    monkeypatch.setattr(K, "ROWS_PER_SALT", 4)
+    rows = _random_rows(6, 60, copies=0.6)
+    rows.sort(key=lambda r: r[2], reverse=True)
+    assert run(spark, rows, entities=FIRMS, slice_rows=25)[0] == expect(rows, entities=FIRMS)[0]
+
+
+@pytest.mark.parametrize("threshold", [0.12, 0.34, 0.6])
+def test_near_dup_pairs_are_all_pairs_above_the_threshold(spark, threshold):
+    """Against every pair scored, and with few candidates that are not above it."""
+    from signalloom.operators import clusters as K
+
+    rows = _random_rows(8, 120, copies=0.2)
+    items = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], SCHEMA).select("*", F.col("n").cast("bigint").alias("pos"))
+    features = K.written(K.item_features(items, FIRMS, len(rows)), "features")
+    every = spark.range(len(rows)).toDF("i").join(spark.range(len(rows)).toDF("j"), F.col("i") > F.col("j"))
+    every = K.scored_pairs(every, features, threshold, len(rows))
+    want = {(r["i"], r["j"]): r["score"] for r in every.select("i", "j", "score").collect()}
+    got = {(r["i"], r["j"]): r["score"] for r in K.near_dup_pairs(features, threshold, len(rows)).collect()}
+    assert got == want and want
+
+
+def test_one_exchange_of_pairs_by_each_end(spark):
+    """Candidates are dealt out by i, where they are made distinct and meet i's features, and then by j."""
+    from signalloom.operators import clusters as K
+
+    rows = _random_rows(8, 40, copies=0.2)
+    items = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], SCHEMA).select("*", F.col("n").cast("bigint").alias("pos"))
+    features = K.written(K.item_features(items, FIRMS, len(rows)), "features")
+    pairs = K.written(spark.range(50).selectExpr("id + 1 AS i", "id AS j").repartition(3), "pairs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = K.scored_pairs(pairs.repartition(8, "i").distinct(), features, 0.3, 40)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line and "ReusedExchange" not in line]
+    assert len(exchanges) == 3  # the pairs by i, the features once for both ends, the pairs by j
+
+
 def test_input_partitioning_does_not_matter(spark):
     rows = _random_rows(9, 60, copies=0.2)
     items = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], SCHEMA)
