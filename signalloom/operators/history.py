@@ -62,6 +62,12 @@ def history_depth(events: DataFrame, as_of, day: str = "collected_on") -> DataFr
     )
 
 
+def measured_depth(events: DataFrame, as_of, day: str = "collected_on") -> float:
+    """Hours since collection began, 0 without history; one number from a one-row aggregate."""
+    hours = seconds_between(moment(as_of), F.min(day).cast("timestamp")) / HOUR
+    return float(events.agg(F.coalesce(hours, F.lit(0.0))).first()[0])
+
+
 def _ranges(ranges: dict[str, int]) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("range"), F.lit(h).alias("hours")) for k, h in ranges.items()])
 
@@ -153,13 +159,15 @@ def counts_as_map(counts: DataFrame, by: str, key: str, value: str = "n") -> Dat
 
 
 def ranges_document(
-    events: DataFrame, entities: DataFrame, as_of, depth_hours: float, ranges: dict[str, int] = V.RANGE_HOURS,
+    events: DataFrame, entities: DataFrame, as_of, depth_hours: float | None = None, ranges: dict[str, int] = V.RANGE_HOURS,
     ids: str = "entity_ids", when: str = "published_at", collected: str = "collected_on", k: int = 8,
 ) -> DataFrame:
     """The published document, one row per range: totals, entities, categories, the busiest, and the daily series.
 
     Lists are as long as the dimension, the categories or the days; events are only counted.
+    The depth of the history is measured unless it is given.
     """
+    depth_hours = measured_depth(events, as_of, collected) if depth_hours is None else depth_hours
     per = entity_range(events, entities, as_of, depth_hours, ranges, ids, when)
     listed = lambda *columns: F.sort_array(F.collect_list(F.struct(*columns)))
     by_entity = per.groupBy("range").agg(listed("id", "n", "previous", "delta").alias("entities"))

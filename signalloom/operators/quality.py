@@ -15,6 +15,7 @@ from signalloom.functions.dates import parse_instant
 from signalloom.functions.numbers import is_finite
 
 COLUMNS = ["rule", "dataset", "row_key", "detail"]
+VIOLATION = "rule string, dataset string, row_key string, detail string"
 
 
 @dataclass
@@ -179,7 +180,7 @@ def required_columns(df: DataFrame, dataset: str, types: dict[str, str]) -> Data
         for c, kind in types.items()
         if not have.get(c, "").startswith(kind)
     ]
-    return df.sparkSession.createDataFrame(bad, "rule string, dataset string, row_key string, detail string")
+    return df.sparkSession.createDataFrame(bad, VIOLATION)
 
 
 def union_violations(*parts: DataFrame) -> DataFrame:
@@ -187,3 +188,36 @@ def union_violations(*parts: DataFrame) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part.select(*COLUMNS))
     return out
+
+
+def stored_as_declared(spark, path: str, declared, dataset: str) -> DataFrame:
+    """Violations of an optional Parquet dataset: none where it is absent; where it is there, every file has to be
+    readable and every declared column stored with its type.
+
+    Meant for published datasets: their files are read in tasks, one at a time.
+    """
+    from pyspark.errors import AnalysisException
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from signalloom.sources.readers import stored_schemas
+
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], VIOLATION)
+    wanted = [(f.name, str(f.type)) for f in to_arrow_schema(declared)]
+    expected = spark.createDataFrame(wanted, "name string, want string")
+    schemas = stored_schemas(files.where(~F.element_at(F.split("path", "/"), -1).rlike("^[_.]")))
+    found = schemas.where("readable").select("path", F.explode("columns").alias("c")).select("path", "c.name", F.col("c.type").alias("kind"))
+    sound = schemas.where("readable").select("path")
+    held = sound.join(F.broadcast(expected)).join(found, ["path", "name"], "left")
+    wrong = held.where("kind IS NULL OR kind <> want").select(
+        F.lit("stored_schema").alias("rule"), F.col("name").alias("row_key"),
+        F.when(F.col("kind").isNull(), F.lit("missing")).otherwise(F.concat(F.col("kind"), F.lit(" for "), F.col("want"))).alias("detail"),
+    ).distinct()
+    unreadable = schemas.where("NOT readable").agg(F.count("*").alias("n")).where("n > 0").select(
+        F.lit("stored_schema").alias("rule"), F.lit("files").alias("row_key"), F.concat(F.lit("unreadable="), F.col("n").cast("string")).alias("detail")
+    )
+    return wrong.unionByName(unreadable).select("rule", F.lit(dataset).alias("dataset"), "row_key", "detail")

@@ -123,25 +123,91 @@ def write_documents(spark, d):
     return back[0].unionByName(back[1]).select("dataset", "name", "n")
 
 
-@query("load_dims", """SELECT n_name AS id, n_nationkey % 4 AS layer, 10 * n_regionkey AS importance, lower(n_name) AS term, r_name AS dst
-  FROM nation JOIN region ON r_regionkey = n_regionkey""")
-def load_dims(spark, d):
-    """Nations as entities and their regions as edges, landed as one document and loaded back."""
+def _landed(documents, name):
+    """JSON documents, one a line, in a folder of the shared place."""
     import uuid
 
     from signalloom.session import shared_folder
+
+    path = f"{shared_folder(documents.sparkSession)}/signalloom/{name}-{uuid.uuid4().hex}"
+    documents.write.text(path)
+    return path
+
+
+def _customer_documents(spark, d):
+    """Customers as entities of their nation, a hundred to a document; every seventh document breaks off in the middle."""
+    customer, nation = T.table(spark, d, "customer"), T.table(spark, d, "nation")
+    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    node = F.struct(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), (F.col("c_nationkey") % 4).cast("int").alias("layer"),
+                    (F.col("c_custkey") % 100).cast("int").alias("importance"), F.array(F.lower("c_name")).alias("match"))
+    edge = F.struct(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("from"), F.col("n_name").alias("to"), F.lit("in").alias("type"))
+    number = F.floor(F.col("c_custkey") / 100).alias("doc")
+    grouped = rows.groupBy(number).agg(F.collect_list(node).alias("nodes"), F.collect_list(edge).alias("connections"))
+    told = grouped.select("doc", F.to_json(F.struct("doc", "nodes", "connections")).alias("value"))
+    cut = F.substring("value", 1, (F.length("value") / 2).cast("int"))
+    return told.select(F.when(F.col("doc") % 7 == 3, cut).otherwise(F.col("value")).alias("value"))
+
+
+@query("load_dims", """SELECT 'c' || c_custkey AS id, CAST(c_nationkey % 4 AS INTEGER) AS layer, CAST(c_custkey % 100 AS INTEGER) AS importance, lower(c_name) AS term, n_name AS dst
+  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE (c_custkey // 100) % 7 <> 3""")
+def load_dims(spark, d):
+    """Entities and edges landed as many documents and loaded back, spread over tasks; broken ones are left out."""
     from signalloom.sources import readers
 
-    path = f"{shared_folder(spark)}/signalloom/entities-{uuid.uuid4().hex}"
-    rows = T.table(spark, d, "nation").join(T.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    node = F.struct(F.col("n_name").alias("id"), (F.col("n_nationkey") % 4).cast("int").alias("layer"),
-                    (F.col("n_regionkey") * 10).cast("int").alias("importance"), F.array(F.lower("n_name")).alias("match"))
-    edge = F.struct(F.col("n_name").alias("from"), F.col("r_name").alias("to"), F.lit("in").alias("type"))
-    rows.agg(F.collect_list(node).alias("nodes"), F.collect_list(edge).alias("connections")).write.json(path)
-    nodes, edges = readers.load_entities(spark, path), readers.load_edges(spark, path)
+    path = _landed(_customer_documents(spark, d), "entities")
+    nodes, edges = readers.load_entities(spark, path, lines=True), readers.load_edges(spark, path, lines=True)
     return nodes.join(edges, F.col("id") == F.col("src")).select("id", "layer", "importance", F.element_at("match", 1).alias("term"), "dst")
 
 
+@query("broken_dims", "SELECT DISTINCT CAST(c_custkey // 100 AS BIGINT) AS doc FROM customer WHERE (c_custkey // 100) % 7 = 3")
+def broken_dims(spark, d):
+    from signalloom.sources import readers
+
+    path = _landed(_customer_documents(spark, d), "entities")
+    documents = readers.load_documents(spark, path, True, nodes=readers.ENTITY_SCHEMA, connections=readers.EDGE_SCHEMA)
+    return readers.broken_documents(documents).select(F.regexp_extract("document", r'"doc":(\d+)', 1).cast("bigint").alias("doc"))
+
+
+@query("load_registry", """SELECT s_suppkey AS suppkey, 'm' || s_suppkey AS key, s_name AS name, n_name AS org, coalesce(l.n, 0) AS n
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL) l ON l_suppkey = s_suppkey""")
+def load_registry(spark, d):
+    """Suppliers as tracked models, landed, loaded, and looked up by the line items' entity ids."""
+    from signalloom.sources import readers
+
+    supplier, nation = T.table(spark, d, "supplier"), T.table(spark, d, "nation")
+    rows = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    key = F.col("s_suppkey").cast("string")
+    model = F.struct(F.concat(F.lit("m"), key).alias("key"), F.col("s_name").alias("name"), F.col("n_name").alias("org"),
+                     F.concat(F.lit("e"), key).alias("entity_id"), F.create_map(F.lit("forum"), F.col("s_name")).alias("queries"))
+    documents = rows.groupBy((F.col("s_suppkey") % 10).alias("doc")).agg(F.collect_list(model).alias("models"))
+    registry = readers.load_registry(spark, _landed(documents.select(F.to_json(F.struct("models")).alias("value")), "registry"), lines=True)
+    counts = T.table(spark, d, "lineitem").groupBy(F.concat(F.lit("e"), F.col("l_suppkey").cast("string")).alias("entity_id")).agg(F.count("*").alias("n"))
+    ids = registry.select("entity_id").join(counts, "entity_id", "left")
+    found = readers.model_lookup(ids, registry)
+    return found.select(F.substring("key", 2, 20).cast("bigint").alias("suppkey"), "key", F.element_at("queries", "forum").alias("name"), "org", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("load_views", """WITH r AS (SELECT p_brand AS view, p_type AS item, CAST(max(p_size) AS DOUBLE) AS score FROM part GROUP BY ALL),
+  k AS (SELECT *, rank() OVER (PARTITION BY view ORDER BY score DESC) AS rk, row_number() OVER (PARTITION BY view ORDER BY score DESC, item) - 1 AS ord FROM r),
+  l AS (SELECT *, count(*) OVER (PARTITION BY view, rk) AS same FROM k)
+  SELECT view, CAST(ord AS INTEGER) AS ord, item, CASE WHEN same > 1 THEN 'T-' ELSE '' END || CASE WHEN rk < 10 THEN '0' ELSE '' END || rk AS rank_label FROM l""")
+def load_views(spark, d):
+    """Brands as curated rankings of part types: landed, loaded, and labelled by :func:`rankings.rank_with_ties`."""
+    from pyspark.sql import Window
+
+    from signalloom.operators.rankings import rank_with_ties
+    from signalloom.sources import readers
+
+    scores = T.table(spark, d, "part").groupBy(F.col("p_brand").alias("view"), F.col("p_type").alias("item")).agg(F.max("p_size").cast("double").alias("score"))
+    ranked = scores.withColumn("rank", F.rank().over(Window.partitionBy("view").orderBy(F.desc("score"))))
+    row = F.struct(F.col("rank").alias("_r"), "item", "rank", "score")
+    rows = F.transform(F.array_sort(F.collect_list(row)), lambda r: F.struct(r["rank"].alias("rank"), r["item"].alias("item"), r["score"].alias("score")))
+    views = ranked.groupBy("view").agg(rows.alias("rows"))
+    documents = views.select(F.to_json(F.struct(F.array(F.struct("view", "rows")).alias("views"))).alias("value"))
+    loaded = readers.load_views(spark, _landed(documents, "views"), lines=True)
+    return rank_with_ties(loaded.withColumn("w", F.lit(None).cast("double"))).select("view", "ord", "item", "rank_label")
+
+
 @query("days_ago", f"SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY")
 def days_ago(spark, d):
     from signalloom.functions.dates import days_ago as ago
@@ -151,18 +217,19 @@ def days_ago(spark, d):
 
 DOCUMENT = f"""{ENTITY_RANGE},
   t AS (SELECT "range", id, n, row_number() OVER (PARTITION BY "range" ORDER BY n DESC, id) AS rank FROM per WHERE n > 0),
-  s AS (SELECT day, category, count(*) AS n FROM ev GROUP BY ALL)
-  SELECT r."range", (SELECT count(*) FROM ev WHERE age >= 0 AND age < hours) AS event_count, 720 >= 2 * hours AS previous_complete, 30.0::DOUBLE AS history_depth_days,
+  s AS (SELECT day, category, count(*) AS n FROM ev GROUP BY ALL),
+  dp AS (SELECT (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(CAST(min(day) AS TIMESTAMP))) / 3600000000.0 AS hours_held FROM ev)
+  SELECT r."range", (SELECT count(*) FROM ev WHERE age >= 0 AND age < hours) AS event_count, hours_held >= 2 * hours AS previous_complete, floor(hours_held / 24.0 * 10 + 0.5) / 10 AS history_depth_days,
     (SELECT string_agg(id || ':' || n || ':' || previous, ',' ORDER BY id) FROM per p WHERE p."range" = r."range") AS entities,
     (SELECT string_agg(category || ':' || n, ',' ORDER BY category) FROM (SELECT category, count(*) AS n FROM ev WHERE age >= 0 AND age < hours GROUP BY ALL)) AS categories,
     (SELECT string_agg(rank || ':' || id, ',' ORDER BY rank) FROM t WHERE t."range" = r."range" AND rank <= 8) AS top,
     (SELECT string_agg(CAST(day AS VARCHAR) || ':' || category || ':' || n, ',' ORDER BY day, category) FROM s) AS daily
-  FROM ranges r"""
+  FROM ranges r CROSS JOIN dp"""
 
 
 @query("ranges_document", f"WITH {DOCUMENT}")
 def ranges_document(spark, d):
-    doc = H.ranges_document(T.events(spark, d), T.entity_groups(spark, d), AS_OF, 720)
+    doc = H.ranges_document(T.events(spark, d), T.entity_groups(spark, d), AS_OF)
     told = lambda c, *fields: F.array_join(F.transform(c, lambda e: F.concat_ws(":", *[e[f].cast("string") for f in fields])), ",").alias(c)
     return doc.select(
         "range", "event_count", "previous_complete", "history_depth_days", told("entities", "id", "n", "previous"),

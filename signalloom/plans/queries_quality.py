@@ -122,15 +122,25 @@ def dq_collections(spark, d):
 
 
 @query("dq_optional_dataset", """SELECT 'unique' AS rule, 'labels' AS dataset, source || '|' || toxic AS row_key, 'n=' || count(*) AS detail
-  FROM labels JOIN documents USING (doc_id) GROUP BY source, toxic HAVING count(*) > 1""")
+  FROM labels JOIN documents USING (doc_id) GROUP BY source, toxic HAVING count(*) > 1
+  UNION ALL SELECT 'stored_schema', 'malformed', * FROM (VALUES ('quality', 'missing'), ('toxic', 'string for int32'), ('files', 'unreadable=1')) v""")
 def dq_optional(spark, d):
-    """Rules over an optional dataset's rows: where it is absent they find nothing, where it is there they read it."""
+    """An optional dataset: absent, it violates nothing; sound, its rows are checked; malformed, what is stored is held against what is declared."""
+    import uuid
+
+    from signalloom.session import shared_folder
     from signalloom.sources.readers import optional_source
 
-    schema = T.table(spark, d, "labels").schema
-    labels = optional_source(spark, f"{d}/labels.parquet", schema, "parquet").unionByName(optional_source(spark, f"{d}/no_such_table.parquet", schema, "parquet"))
+    given = T.table(spark, d, "labels")
+    schema = given.schema
+    place = f"{shared_folder(spark)}/signalloom/labels-{uuid.uuid4().hex}"
+    given.write.parquet(f"{place}/sound")
+    given.select("doc_id", F.col("toxic").cast("string").alias("toxic")).write.parquet(f"{place}/malformed/a")
+    spark.range(1).select(F.lit("no table at all").alias("value")).write.text(f"{place}/malformed/b")
+    labels = optional_source(spark, f"{place}/sound", schema, "parquet").unionByName(optional_source(spark, f"{place}/absent", schema, "parquet"))
     joined = labels.join(T.table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return Q.unique(joined, "labels", "source", "toxic")
+    stored = [Q.stored_as_declared(spark, f"{place}/{name}", schema, name) for name in ("absent", "sound", "malformed")]
+    return Q.union_violations(Q.unique(joined, "labels", "source", "toxic"), *stored)
 
 
 @query("dq_all_rules", " UNION ALL ".join([

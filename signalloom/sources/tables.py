@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from signalloom import fixed_values as V
+from signalloom.functions.dates import moment
 from signalloom.operators.history import merge_today
-from signalloom.session import discard, remove_path, written
+from signalloom.session import discard, folder_names, remove_path, written
 
 
 #: Days one upsert may touch; more than a lifetime of daily partitions is a mistake in the input.
@@ -56,17 +59,26 @@ def write_today(fresh: DataFrame, path: str, day: str, key: str = "cluster_id")
 
 def expired_days(events: DataFrame, as_of, days: int = V.RETENTION_DAYS) -> DataFrame:
     """Day partitions outside the retention, for the table service to drop."""
-    from signalloom.functions.dates import moment
-
     limit = moment(as_of) - F.expr(f"INTERVAL {days} DAYS")
     return events.select("collected_on").distinct().where(F.col("collected_on").cast("timestamp") < limit)
 
 
 def drop_expired(spark: SparkSession, path: str, as_of, days: int = V.RETENTION_DAYS) -> list:
-    """Delete the day partitions outside the retention; returns the days."""
-    gone = sorted(r[0] for r in expired_days(spark.read.parquet(path), as_of, days).limit(MOST_DAYS).collect())
-    for day in gone:
-        remove_path(spark, f"{path}/collected_on={day}")
+    """Delete all day partitions outside the retention; returns the days.
+
+    What is stored is read from the folder's listing, a name a day; no data is read.
+    """
+    limit = spark.range(1).select(moment(as_of) - F.expr(f"INTERVAL {days} DAYS")).first()[0]
+    gone = []
+    for name in folder_names(spark, path):
+        column, _, value = name.partition("=")
+        try:
+            day = date.fromisoformat(value)
+        except ValueError:  # not a day
+            continue
+        if column == "collected_on" and datetime(day.year, day.month, day.day) < limit:
+            remove_path(spark, f"{path}/{name}")
+            gone.append(day)
     return gone
 
 

@@ -59,6 +59,66 @@ def test_documents_and_dimensions(spark, tmp_path):
         readers.entity_rules(nodes, at_most=0)
 
 
+def test_dimensions_from_many_documents(spark, tmp_path):
+    """One document a line, spread over tasks; what is no JSON, or of another type, is told."""
+    lines = ['{"nodes":[{"id":"n%d","importance":%d}]}' % (i, i) for i in range(200)] + ['{"nodes":[{"id":"cut"', '{"nodes":"none"}', ""]
+    spark.createDataFrame([(x,) for x in lines], "value string").repartition(6).write.text(str(tmp_path / "dims"))
+    path = str(tmp_path / "dims")
+    assert readers.load_entities(spark, path, lines=True).count() == 200
+    documents = readers.load_documents(spark, path, True, nodes=readers.ENTITY_SCHEMA)
+    assert sorted(r[0] for r in readers.broken_documents(documents).collect()) == ['{"nodes":"none"}', '{"nodes":[{"id":"cut"']
+    assert documents.rdd.getNumPartitions() > 1
+    (tmp_path / "r.json").write_text('{\n "models": [{"key": "a", "name": "A", "entity_id": "e", "queries": {"forum": "q"}}]\n}')
+    registry = readers.load_registry(spark, str(tmp_path / "r.json"))
+    found = readers.model_lookup(spark.createDataFrame([("e",), ("x",)], "entity_id string"), registry)
+    assert sorted((r["entity_id"], r["name"], (r["queries"] or {}).get("forum")) for r in found.collect()) == [("e", "A", "q"), ("x", None, None)]
+    (tmp_path / "v.json").write_text('{"views":[{"view":"v","snapshot":"2026-07-30","rows":[{"rank":1,"item":"a","score":61},{"rank":1,"item":"b","score":60.5}]},{"view":"w","rows":[]}]}')
+    views = [tuple(r)[:6] for r in readers.load_views(spark, str(tmp_path / "v.json")).orderBy("ord").collect()]
+    assert views == [("v", "2026-07-30", 0, 1, "a", None), ("v", "2026-07-30", 1, 1, "b", None)]
+
+
+def test_all_expired_days_go_without_reading(spark, tmp_path):
+    path = tmp_path / "events"
+    days = [f"2020-{m:02d}-{d:02d}" for m in range(1, 13) for d in range(1, 29)] + ["2026-07-01", "2026-07-02"]
+    for day in days:
+        (path / f"collected_on={day}").mkdir(parents=True)
+        (path / f"collected_on={day}" / "part.parquet").write_text("not read")
+    (path / "collected_on=__HIVE_DEFAULT_PARTITION__").mkdir()
+    (path / "_spark_metadata").mkdir()
+    gone = tables.drop_expired(spark, str(path), "2026-07-03 00:00:00", 1)
+    assert [str(d) for d in gone] == days[:-1]
+    assert sorted(p.name for p in path.iterdir()) == ["_spark_metadata", "collected_on=2026-07-02", "collected_on=__HIVE_DEFAULT_PARTITION__"]
+    assert tables.drop_expired(spark, str(tmp_path / "none"), "2026-07-03 00:00:00") == []
+
+
+def test_skipped_files_are_the_unreadable_ones(spark, tmp_path):
+    path = tmp_path / "events"
+    day = path / "collected_on=2026-07-02"
+    spark.range(3).write.parquet(str(day))
+    spark.range(0).write.mode("append").parquet(str(day))  # sound, without rows
+    (day / "z.parquet").write_text("no table")
+    found = [r["file"].rsplit("/", 1)[1] for r in readers.skipped_files(spark, str(path)).collect()]
+    assert found == ["z.parquet"]
+    assert readers.skipped_files(spark, str(path), "2026-07-03").count() == 0
+
+
+def test_optional_dataset_absent_sound_and_malformed(spark, tmp_path):
+    schema = spark.range(1).selectExpr("id", "'x' AS name", "1.5D AS score").schema
+    told = lambda name: sorted((r["row_key"], r["detail"]) for r in Q.stored_as_declared(spark, str(tmp_path / name), schema, name).collect())
+    assert told("absent") == []
+    spark.range(5).selectExpr("id", "'x' AS name", "1.5D AS score", "2 AS more").write.parquet(str(tmp_path / "sound"))
+    assert told("sound") == []
+    spark.range(5).selectExpr("CAST(id AS int) AS id", "'x' AS name").write.parquet(str(tmp_path / "bad"))
+    (tmp_path / "bad" / "x.parquet").write_text("PAR1")
+    assert told("bad") == [("files", "unreadable=1"), ("id", "int32 for int64"), ("score", "missing")]
+
+
+def test_depth_is_measured(spark):
+    df = spark.createDataFrame([("2026-07-01",), ("2026-07-09",)], "d string").select(F.to_date("d").alias("collected_on"))
+    assert H.measured_depth(df, "2026-07-10 12:00:00") == 9.5 * 24
+    assert H.measured_depth(df.limit(0), "2026-07-10 12:00:00") == 0.0
+
+
 def test_written_is_durable(spark):
     df = written(spark.range(5).withColumn("x", F.rand()), "t")
     assert df.collect() == df.collect()
