@@ -374,6 +374,26 @@ def parse_forum(spark, d):
     return posts.select("topic_id", "post_id", "username", "url")
 
 
+@query("parse_forum_topics", f"""WITH {COMMENTS} SELECT comment_id, conv_id AS topic_id, 'topic ' || turn AS title,
+  'https://f.example/t/' || CASE WHEN turn % 3 = 0 THEN '' ELSE 's' || turn || '/' END || conv_id AS url, CAST(CASE WHEN turn % 3 = 1 THEN 0 ELSE conv_id + turn END AS BIGINT) AS views,
+  published_at AS last_posted_at, turn % 2 = 0 AS more FROM comments WHERE published_at >= TIMESTAMP '2024-01-10 00:00:00' AND turn % 4 <> 3""")
+def parse_forum_topics(spark, d):
+    """A response per comment: topics without title drop out, view counts that are no numbers are 0, and whether there are more pages."""
+    rows = T.comments(spark, d)
+    at = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    title = F.when(F.pmod("turn", F.lit(4)) != 3, F.concat(F.lit("topic "), F.col("turn").cast("string")))
+    slug = F.when(F.pmod("turn", F.lit(3)) != 0, F.concat(F.lit("s"), F.col("turn").cast("string")))
+    views = F.when(F.pmod("turn", F.lit(3)) == 1, F.lit("many")).otherwise((F.col("conv_id") + F.col("turn")).cast("string"))
+    topic = F.struct(F.col("conv_id").alias("id"), title.alias("title"), slug.alias("slug"), at.alias("created_at"), views.alias("views"))
+    result = F.struct((F.pmod("turn", F.lit(2)) == 0).alias("more_full_page_results"))
+    doc = F.struct(F.array(topic).alias("topics"), F.when(F.pmod("turn", F.lit(2)) == 0, result).alias("grouped_search_result"))
+    bodies = rows.select(F.col("comment_id").cast("string").alias("model"), F.lit("https://f.example/").alias("base"), F.to_json(doc).alias("body"))
+    topics, _, more = forums.parse_forum(bodies, F.lit("2024-01-10 00:00:00").cast("timestamp"))
+    return topics.join(more.select("model", "more"), "model").select(
+        F.col("model").cast("bigint").alias("comment_id"), "topic_id", "title", "url", "views", "last_posted_at", "more"
+    )
+
+
 @query("parse_board_discussions", """SELECT conv_id, count(*) FILTER (turn % 5 <> 4) AS discussions, bool_and(turn % 5 <> 4) AS all_ok FROM conversations GROUP BY ALL""")
 def parse_board(spark, d):
     rows = T.comments(spark, d)
