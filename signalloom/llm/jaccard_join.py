@@ -38,7 +38,7 @@ from signalloom.llm.common import chunks, mix, shingle_hashes, text_bytes, word_
 from signalloom.llm.components import components
 from signalloom.session import discard, written
 
-_RANGES, _SMALL, _BLOCK, _NEAREST = 24, 100, 4096, 2
+_RANGES, _SMALL, _BLOCK, _NEAREST, _STEP = 24, 100, 4096, 2, 256
 _EDGES = (np.arange(_RANGES, dtype=np.float64) / _RANGES * 2.0**64).astype(np.uint64)
 _SETS = "doc_id {id}, th long, n long, node long, keys array<long>, bits binary, fine binary"
 _BLOCK_SHINGLES = 1 << 21  # of a side of a tile whose sets are at hand
@@ -133,7 +133,7 @@ def _folded(bits: list[bytes], words: int) -> np.ndarray:
     return out
 
 
-def _close(n: np.ndarray, bits: list[bytes], percent: int, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _close(n: np.ndarray, bits: list[bytes], percent: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places of pairs (later, earlier, differing bits) within the bound; ``n`` ascends."""
     for a in range(0, len(n), step):
         e = min(a + step, len(n))
@@ -196,16 +196,26 @@ def _sorted_tile(table: pa.Table, *columns: str) -> tuple[list[np.ndarray], list
 def _propose(percent: int, nearest: int):
     """A tile to pairs: every class with its nearest earlier neighbours within the bound."""
 
+    def first(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, d = map(np.concatenate, zip(*held))
+        best = np.lexsort((j, d, i))
+        i, j, d = i[best], j[best], d[best]
+        kept = np.arange(len(i)) - np.searchsorted(i, i) < nearest
+        return i[kept], j[kept], d[kept]
+
     def decide(table: pa.Table):
         (n, node), bits, _ = _sorted_tile(table, "n", "node")
-        found = list(_close(n, bits, percent))
-        if not found:
+        found, held, block = [], [], -1
+        for i, j, d in _close(n, bits, percent, _STEP):  # pairs of one block of later classes after another
+            if i[0] // _STEP != block and held:
+                found.append(first(held))
+                held = []
+            block = i[0] // _STEP
+            held.append((i, j, d))
+        if not held:
             return None
-        i, j, d = map(np.concatenate, zip(*found))
-        best = np.lexsort((j, d, i))
-        i, j, d = i[best], j[best], d[best]
-        first = np.arange(len(i)) - np.searchsorted(i, i) < nearest
-        return [pa.array(x, pa.int64()) for x in (node[i][first], node[j][first], d[first])]
+        i, j, d = map(np.concatenate, zip(*found, first(held)))
+        return [pa.array(x, pa.int64()) for x in (node[i], node[j], d)]
 
     return _by_tile(decide, ["u", "v", "d"])
 
@@ -226,7 +236,7 @@ def _asking(percent: int):
             if len(keys) == _RANGES:
                 ranges[row], long[row] = keys, True
         wanted = np.zeros(len(n), bool)
-        for i, j, _ in _close(n, bits, percent):
+        for i, j, _ in _close(n, bits, percent, _STEP):
             far = _apart(i, j, comp, side)
             i, j = i[far], j[far]
             for s in range(0, len(i), 65_536):
@@ -252,7 +262,7 @@ def _decided(percent: int):
         sets = [np.frombuffer(table.column("shingles")[int(r)].as_buffer(), np.uint64) for r in order]
         names, root = np.unique(comp, return_inverse=True)
         parent, us, vs = list(range(len(names))), [], []
-        for i, j, _ in _close(n, bits, percent):
+        for i, j, _ in _close(n, bits, percent, _STEP):
             far = _apart(i, j, comp, side)
             for a, b in zip(i[far].tolist(), j[far].tolist()):
                 x, y = int(root[a]), int(root[b])
