@@ -19,8 +19,8 @@ by their 128-bit hashes instead, in an aggregation that spreads over all tasks.
 
 A byte goes if a repeated window covers it; windows are judged on the input.  Texts under
 ``length`` bytes, empty and null ones lose nothing (null: no bytes).  Repeated rows repeat
-each other.  Gram and context hashes have 64 bits each and are only compared together.  An
-empty table gives no rows.
+each other.  Gram and context hashes have 64 bits each and are only compared together.  Texts of any length are
+judged whole.  Other columns, whatever their names, are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ number of versioned policies and all ablations are bit operations on the ledger
 and never look at a text again.
 
 Nulls are empty texts: they have no words, fail ``few_words`` only, and keep their
-row.  An empty table gives an empty ledger.  Repeated rows are separate rows.
-Columns of the input are only carried along when asked for, so names cannot clash.
+row.  An empty table gives an empty ledger.  Repeated rows are separate rows.  Texts of any length are
+measured whole.  Columns of the input are only carried along when asked for, so names cannot clash.
 
 The abuse rule is a list of English words.  The toxic rule reads marks that
 :func:`learn` takes from labels, per language; without learnt marks it never fails.

@@ -9,7 +9,8 @@ prefix that fits.  Cells that are still too large are counted again with more bi
 A shard is named by its hash prefix in bits ("" while nothing had to split).  Rows of the
 same key have the same hash and stay together; if they alone exceed the limit, or one
 document does, the shard cannot be split, keeps its 60 bits and is marked ``oversize``.
-Null texts have no bytes, null keys hash like an empty name.  An empty table gives no rows.
+Null texts have no bytes, null keys hash like an empty name; texts of any length count with all their bytes.  An empty
+table gives no rows.
 Names the operator adds to ``docs`` (``shard``, ``shard_bytes``, ``oversize``) replace columns
 of the same name.
 """

@@ -55,6 +55,13 @@ def test_rows_without_id_and_repeated_rows(spark):
     assert B.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(90))
+    rows = [(1, text, "x", 3, "y"), (2, "more " + text, "x", 3, "y")]
+    out = B.digests(spark.createDataFrame(rows, "doc_id long, text string, anchor string, n_bytes int, th string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in out) == [(1, len(text)), (2, len(text))]
+
+
 def test_merge_gives_common_prefixes():
     strings = [b"banana", b"ananas", b"bandana"]
     for shard in (1, 100):
