@@ -166,18 +166,25 @@ def tree(runs: DataFrame, depth: int) -> list[DataFrame]:
 
 
 def run_values(keys: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """``key, value``: the log10 probability of each run's last symbol, looked up in the written tree from the deepest context up."""
-    open_ = keys.select("key", F.shiftright("key", _SYMBOL).alias("context"), F.inline(_decisions(F.col("key"))))
-    found = []
+    """``key, value``: the log10 probability of each run's last symbol, looked up in the written tree from the deepest context up.
+
+    A run meets its context once a depth, with all nodes of that context (256 at most), and goes on with the decisions it has none for.
+    """
+    open_ = keys.select("key", F.shiftright("key", _SYMBOL).alias("context"), _decisions(F.col("key")).alias("open"), F.lit(0.0).alias("value"))
+    done = []
+    p = lambda x: F.try_element_at("held", x["t"])
     for d in range(len(levels) - 1, -1, -1):
-        node = F.shiftleft(F.col("context").bitwiseAND(F.lit((1 << _SYMBOL * d) - 1).cast("long")), 8) + F.col("t")
-        told = open_.withColumn("node", node).join(levels[d].select("node", "p"), "node", "left").drop("node")
-        told = written(told, f"tree-asked-{d}")
-        found.append(told.where("p IS NOT NULL").select("key", "bit", "p"))
-        open_ = told.where("p IS NULL").drop("p")
-    found.append(open_.select("key", "bit", F.lit(0.5).alias("p")))  # a decision that training never had to make
-    every = reduce(DataFrame.unionByName, found)
-    return every.groupBy("key").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))).alias("value"))
+        entry = F.struct(F.col("node").bitwiseAND(F.lit(255).cast("long")).alias("t"), "p")
+        held = levels[d].groupBy(F.shiftright("node", 8).alias("at")).agg(F.map_from_entries(F.collect_list(entry)).alias("held"))
+        at = F.col("context").bitwiseAND(F.lit((1 << _SYMBOL * d) - 1).cast("long"))
+        told = open_.withColumn("at", at).join(F.broadcast(held) if d < 2 else held, "at", "left")  # up to depth 1 there are 257 contexts at most
+        gained = F.aggregate("open", F.col("value"), lambda n, x: n + F.coalesce(F.log10(F.when(x["bit"] == 1, p(x)).otherwise(1 - p(x))), F.lit(0.0)))
+        told = written(told.select("key", "context", F.filter("open", lambda x: p(x).isNull()).alias("open"), gained.alias("value")), f"tree-asked-{d}")
+        done.append(told.where("size(open) = 0").select("key", "value"))
+        open_ = told.where("size(open) > 0")
+    # decisions that training never had to make
+    done.append(open_.select("key", (F.col("value") + F.size("open") * math.log10(0.5)).alias("value")))
+    return reduce(DataFrame.unionByName, done)
 
 
 def _frequent(most: int, *counted: DataFrame) -> list[DataFrame]:
