@@ -375,7 +375,7 @@ def members(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     postings = written(own.select("node", "n", F.explode("keys").alias("key")).distinct(), "jaccard-postings")
     met = postings.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("all")).where("size > 1")
     shared = written(postings.join(met, "key"), "jaccard-shared")
-    bits = own.select("node", "bits", "keys").dropDuplicates(["node"])
+    bits = own.select("node", "bits").dropDuplicates(["node"])
     sets = _fetch(docs, classes, k)
 
     near = written(shared.join(bits, "node"), "jaccard-members")
@@ -387,9 +387,10 @@ def members(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     found = written(components(links), "jaccard-components")
 
     comp = F.coalesce("component", "node").alias("comp")
-    placed = near.join(found, "node", "left").select("key", "node", "n", "size", "all", "bits", "keys", comp)
+    placed = near.join(found, "node", "left").select("key", "node", "n", "size", "all", "bits", comp)
     apart = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    more = written(_rest(placed.join(apart, "key", "left_semi"), sets, percent), "jaccard-links")
+    keys = own.select("node", "keys").dropDuplicates(["node"])  # only classes in tiles with several components need them again
+    more = written(_rest(placed.join(apart, "key", "left_semi").join(keys, "node"), sets, percent), "jaccard-links")
     final = written(components(links.union(more)), "jaccard-components")
     discard(near, shared, postings)
 
