@@ -327,17 +327,19 @@ def _within(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
 
 
 def _fetch(docs: DataFrame, classes: DataFrame, k: int):
-    """A function from ``node`` to ``node, shingles``: a class's set is made again from the text of the row that stands for it."""
+    """A function from ``node`` to ``node, shingles``, and the tables it has written: a class's set is made again from the text of the row that stands for it."""
+    made: list[DataFrame] = []
     loose = docs.where("doc_id IS NULL").dropDuplicates(["th"])
     rows = docs.where("doc_id IS NOT NULL").unionByName(loose)
 
     def sets(wanted: DataFrame) -> DataFrame:
         asked = classes.join(wanted, "node", "left_semi").select(F.col("node").alias("class"), F.col("doc_id").alias("id"), F.col("th").alias("text_hash"))
         texts = rows.join(asked, (F.col("th") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("id")))
-        made = texts.select(F.col("class").alias("node"), "text").mapInArrow(_sets(k), "node long, shingles binary")
-        return written(made.dropDuplicates(["node"]), "jaccard-sets")
+        found = texts.select(F.col("class").alias("node"), "text").mapInArrow(_sets(k), "node long, shingles binary")
+        made.append(written(found.dropDuplicates(["node"]), "jaccard-sets"))
+        return made[-1]
 
-    return sets
+    return sets, made
 
 
 def _verified(pairs: DataFrame, sets, percent: int) -> DataFrame:
@@ -376,7 +378,7 @@ def members(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     met = postings.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("all")).where("size > 1")
     shared = written(postings.join(met, "key"), "jaccard-shared")
     bits = own.select("node", "bits").dropDuplicates(["node"])
-    sets = _fetch(docs, classes, k)
+    sets, made = _fetch(docs, classes, k)
 
     near = written(shared.join(bits, "node"), "jaccard-members")
     company = shared.select("node").distinct()
@@ -384,6 +386,8 @@ def members(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     first = written(_nearest(near, percent, _NEAREST), "jaccard-nearest")
     allowed = written(_within(first, fine, percent), "jaccard-allowed")
     links = written(_verified(allowed, sets, percent), "jaccard-links")
+    discard(fine, first, *made)
+    made.clear()
     found = written(components(links), "jaccard-components")
 
     comp = F.coalesce("component", "node").alias("comp")
@@ -392,7 +396,7 @@ def members(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     keys = own.select("node", "keys").dropDuplicates(["node"])  # only classes in tiles with several components need them again
     more = written(_rest(placed.join(apart, "key", "left_semi").join(keys, "node"), sets, percent), "jaccard-links")
     final = written(components(links.union(more)), "jaccard-components")
-    discard(near, shared, postings)
+    discard(near, shared, postings, *made)
 
     label = classes.join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     label = written(label, "jaccard-labels")
