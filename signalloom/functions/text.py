@@ -123,15 +123,24 @@ def trim_all(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+\\z", "")
 
 
+def _without_apostrophes(text: Column) -> Column:
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    return F.replace(F.replace(lower, F.lit("'"), F.lit("")), F.lit("’"), F.lit(""))
+
+
 def normalize_title(text: Column) -> Column:
     """Lower-case ASCII letters and digits, everything else one space."""
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "['’]", "")
-    return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(_without_apostrophes(text), "[^a-z0-9]+", " "))
+
+
+def plain_words(text: Column, min_length: int = 1) -> Column:
+    """The words of :func:`normalize_title` in order, those of at least ``min_length`` letters; cut in one pass over the text."""
+    return F.filter(F.split(_without_apostrophes(text), "[^a-z0-9]+"), lambda w: F.length(w) >= max(min_length, 1))
 
 
 def token_set(text: Column, stop_words=V.STOP_WORDS, min_length: int = V.MIN_TOKEN_LENGTH) -> Column:
     """Distinct significant tokens in order of appearance."""
-    words = F.filter(F.split(normalize_title(text), " "), lambda w: F.length(w) >= min_length)
+    words = plain_words(text, min_length)
     return F.array_except(words, F.array(*[F.lit(w) for w in stop_words]))
 
 
@@ -217,11 +226,18 @@ def html_escape(text: Column) -> Column:
     return out
 
 
+# ``V.NAME_PHRASE`` for Java, whose groups recurse once a repetition unless they are possessive: a phrase of some thousand
+# words would overflow the stack.  ``_MORE`` takes words that the phrase may end in and that white space follows, with the
+# initials ("J.") before them, which it cannot end in; ``_LAST`` the word after them, as far as a boundary.
+_INITIALS = rf"\.*+{SPACE}++(?:[A-Z]\.++{SPACE}++)*+"
+_MORE = rf"(?:{_INITIALS}[A-Z](?:\.*+[a-zA-Z]++)++(?=\.*+{SPACE}))"
+_LAST = rf"{_INITIALS}[A-Z][a-zA-Z.]+{_EDGE}"
+_PHRASE = rf"(?<!\w)[A-Z](?=[a-zA-Z.])(?:\.*+[a-zA-Z]++)*+(?:{_MORE}++(?:{_LAST})?|{_LAST})"
+
+
 def name_phrases(title: Column) -> Column:
-    """Distinct capitalised multi-word phrases, lower-cased."""
-    found = F.regexp_extract_all(
-        F.coalesce(title, F.lit("")), F.lit(pattern(V.NAME_PHRASE, ignore_case=False)), F.lit(0)
-    )
+    """Distinct capitalised multi-word phrases (``V.NAME_PHRASE``), lower-cased."""
+    found = F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(_PHRASE), F.lit(0))
     return F.array_distinct(F.transform(found, F.lower))
 
 

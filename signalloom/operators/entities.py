@@ -11,7 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.functions.text import add_once, headline_text, literal_term_pattern, matches, normalize_title
+from signalloom.functions.text import add_once, headline_text, literal_term_pattern, matches, normalize_title, plain_words
+from signalloom.session import written
+
+
+#: So many first words of longer terms are looked up in each text; of more, every n-gram is made.
+FIRST_WORDS = 1024
 
 
 def entity_pattern(terms) -> str:
@@ -58,17 +63,20 @@ def link_terms(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFram
     and splits skewed words otherwise.  Words are compared after normalisation, so
     "gpt 5" also finds "gpt-5": unlike :func:`match_entities`, which looks at the text.
     """
-    words = F.split(normalize_title(F.col(text)), " ")
-    known = terms.select("id", normalize_title(F.col("term")).alias("_gram")).where("_gram <> ''").distinct()
-    sizes = known.agg(F.collect_set(F.size(F.split("_gram", " "))).alias("_sizes"))
+    # written, so that its size is known and small terms go to the words in place of all n-grams to the terms
+    known = written(terms.select("id", normalize_title(F.col("term")).alias("_gram")).where("_gram <> ''").distinct(), "terms")
+    parts = known.select(F.split("_gram", " ").alias("_parts"))
+    sizes = parts.agg(F.collect_set(F.size("_parts")).alias("_sizes"))
+    # n-grams are made where a longer term's first word stands, if those are few, and else everywhere
+    few = parts.where(F.size("_parts") > 1).select(F.get("_parts", F.lit(0)).alias("_first")).distinct().limit(FIRST_WORDS + 1)
+    firsts = few.agg(F.when(F.count("*") <= FIRST_WORDS, F.collect_set("_first")).alias("_firsts"))
     gram = "concat_ws(' ', slice(_w, p + 1, n))"
-    starts = "sequence(0, size(_w) - n)"
-    grams = F.expr(
-        "array_distinct(flatten(transform(filter(_sizes, n -> n <= size(_w)), "
-        f"n -> transform({starts}, p -> {gram}))))"
-    )
-    wordy = df.select(F.col(key), words.alias("_w")).join(F.broadcast(sizes))
-    exploded = wordy.select(key, F.explode(grams).alias("_gram"))
+    starts = "filter(sequence(0, size(_w) - n), p -> _begin IS NULL OR array_contains(_begin, _w[p]))"
+    longer = F.expr(f"flatten(transform(filter(_sizes, n -> n > 1 AND n <= size(_w)), n -> transform({starts}, p -> {gram})))")
+    single = F.when(F.array_contains("_sizes", 1), F.col("_w")).otherwise(F.array().cast("array<string>"))
+    wordy = add_once(df.select(F.col(key), F.col(text).alias("_t")), {"_w": plain_words(F.col("_t"))}).drop("_t")
+    told = add_once(wordy.join(F.broadcast(sizes)).join(F.broadcast(firsts)), {"_begin": F.array_intersect("_firsts", "_w")})
+    exploded = add_once(told, {"_grams": F.array_distinct(F.concat(single, longer))}).select(key, F.explode("_grams").alias("_gram"))
     return exploded.join(known, "_gram").select(key, "id").distinct()
 
 
