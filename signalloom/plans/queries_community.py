@@ -12,6 +12,7 @@ from signalloom.operators.rankings import scale_to_max, top_k
 from signalloom.plans import sample as L
 from signalloom.plans import tables as T
 from signalloom.plans.registry import COMMENTS, clamp01, half_up, has, lit, query, tokens
+from signalloom.session import written
 from signalloom.sources import feeds, forums, media
 
 MODELS = list(L.MATCHERS)
@@ -85,7 +86,9 @@ def comment_completeness(spark, d):
 
 
 def _scored(spark, d):
-    return K.score_comments(validated(spark, d), L.AS_OF)
+    """Texts are matched once: weights, scores and picks read the rows that were found."""
+    found = validated(spark, d).select("comment_id", "model", "match_confidence", "topics", "text", "published_at")
+    return K.score_comments(written(found, "validated"), L.AS_OF)
 
 
 @query("comment_relevance", f"""WITH {SPEC} SELECT comment_id, model, {half_up(f"0.40 * match_confidence + 0.25 * specificity + 0.20 * {COMPLETE} + 0.15 * {RECENCY}", 5)} AS relevance
