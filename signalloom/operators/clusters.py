@@ -31,7 +31,7 @@ from signalloom.functions.text import headline_text, name_phrases
 from signalloom.operators.classify import distinctive_objects, extract_action
 from signalloom.operators.entities import match_entities
 from signalloom.operators.ordering import with_positions
-from signalloom.operators.similarity import COMPARED, amplified, code_weight, nearness, pair_score, token_weights
+from signalloom.operators.similarity import COMPARED, amplified, code_weight, nearness, pair_score, token_totals, token_weights
 from signalloom.session import discard, written
 
 TIMED = 72 * 3_600_000_000  # microseconds within which a forced merge can happen
@@ -52,15 +52,20 @@ class Clustering:
     rounds: int
 
 
-def item_features(items: DataFrame, entities, n_items: int, actions=V.ACTION_RULES, strong: str = V.STRONG_OBJECTS) -> DataFrame:
-    """What a pair comparison needs, one row per item keyed by ``pos``."""
-    weights = token_weights(items, "pos", {"title": "title", "desc": "desc"}, n_items)
+def item_features(
+    items: DataFrame, entities, n_items: int, actions=V.ACTION_RULES, strong: str = V.STRONG_OBJECTS, rests: bool = True
+) -> DataFrame:
+    """What a pair comparison needs, one row per item keyed by ``pos``; ``rests`` are for :func:`postings` only."""
+    texts = {"title": "title", "desc": "desc"}
+    if rests:
+        weights = token_weights(items, "pos", texts, n_items)
 
-    def field(name: str, column: str) -> Column:
-        return F.first(F.when(F.col("field") == name, F.col(column)), ignorenulls=True).alias(f"{name}_{column}")
+        def field(name: str, column: str) -> Column:
+            return F.first(F.when(F.col("field") == name, F.col(column)), ignorenulls=True).alias(f"{name}_{column}")
 
-    columns = [field(name, column) for name in ("title", "desc") for column in ("tokens", "rests", "total")]
-    per_item = weights.groupBy("pos").agg(*columns)
+        per_item = weights.groupBy("pos").agg(*[field(name, column) for name in texts for column in ("tokens", "rests", "total")])
+    else:
+        per_item = token_totals(items, "pos", texts, n_items)
     title, desc = F.col("title"), F.col("desc")
     described = match_entities(items, entities).select(
         "pos", "published_at", "category", "entity_ids",
@@ -70,7 +75,7 @@ def item_features(items: DataFrame, entities, n_items: int, actions=V.ACTION_RUL
     )
     blank = {"tokens": F.array().cast("array<bigint>"), "rests": F.array().cast("array<double>"), "total": F.lit(0.0)}
     return described.join(per_item, "pos", "left").withColumns(
-        {f"{name}_{column}": F.coalesce(f"{name}_{column}", empty) for name in ("title", "desc") for column, empty in blank.items()}
+        {f"{name}_{column}": F.coalesce(f"{name}_{column}", empty) for name in texts for column, empty in blank.items() if rests or column != "rests"}
     )
 
 

@@ -88,13 +88,17 @@ def ticker_top(signals: DataFrame, k: int = 10, tie: str = "cluster") -> DataFra
     return top.withColumn("headline", F.upper(truncate(F.col("title"), 110)))
 
 
-def top_wave_per_family(signals: DataFrame, tie: str = "cluster", **wording) -> DataFrame:
+def leading_waves(signals: DataFrame, tie: str = "cluster") -> DataFrame:
     """Most significant development of each family, commentary left out."""
     eligible = signals.where(~F.col("category").isin(V.COMMENTARY_CATEGORIES)).withColumn(
         "family", wave_family(F.col("category"))
     )
-    best = top_k(eligible, 1, ["family"], F.desc("significance"), F.col(tie)).drop("rank")
-    return why_it_matters(best, **wording)
+    return top_k(eligible, 1, ["family"], F.desc("significance"), F.col(tie)).drop("rank")
+
+
+def top_wave_per_family(signals: DataFrame, tie: str = "cluster", **wording) -> DataFrame:
+    """The :func:`leading_waves` with the sentence why they matter."""
+    return why_it_matters(leading_waves(signals, tie), **wording)
 
 
 def family_groups(signals: DataFrame, as_of, hours: int = 24, when: str = "published_at", tie: str = "id") -> DataFrame:

@@ -76,17 +76,41 @@ def coded(rows: DataFrame, codes: DataFrame) -> DataFrame:
     return told.where("code IS NOT NULL").select(*rows.columns, "code").unionByName(rest.select(*rows.columns, "code"))
 
 
+def _token_rows(df: DataFrame, key: str, texts: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """``(key, field, token)`` of all texts, and their :func:`token_codes`.  Texts are cut once, into a row of sets that is written."""
+    fields = F.array(
+        *[F.struct(F.lit(f).alias("field"), token_set(F.col(c)).alias("t")) for f, c in texts.items()]
+    )
+    sets = written(df.select(key, F.inline(fields)), "tokens")
+    rows = sets.select(key, "field", F.explode("t").alias("token"))
+    return rows, written(token_codes(rows), "codes")
+
+
+def token_totals(df: DataFrame, key: str, texts: dict[str, str], n_items: int) -> DataFrame:
+    """Per row its texts' tokens as codes, rarest first, and the sum of their idf: ``key``, ``<field>_tokens``, ``<field>_total``.
+
+    Rows without any token are left out.
+    """
+    rows, codes = _token_rows(df, key, texts)
+    told = coded(rows, codes)
+
+    def of(field: str, column) -> Column:
+        return F.when(F.col("field") == field, column)
+
+    columns = []
+    for f in texts:
+        columns.append(F.sort_array(F.collect_list(of(f, F.col("code")))).alias(f"{f}_tokens"))
+        columns.append(F.coalesce(F.sum(of(f, code_weight(F.col("code"), n_items))), F.lit(0.0)).alias(f"{f}_total"))
+    return told.groupBy(key).agg(*columns)
+
+
 def token_weights(df: DataFrame, key: str, texts: dict[str, str], n_items: int) -> DataFrame:
     """Per text its tokens as codes (see :func:`token_codes`), rarest first, with the weight from each one on.
 
     ``texts`` maps a field name to a column.  Returns ``key``, ``field``, ``tokens`` (codes), ``rests``
     (of each token and all after it, the sum of idf) and ``total`` (of all).
     """
-    fields = F.array(
-        *[F.struct(F.lit(f).alias("field"), token_set(F.col(c)).alias("t")) for f, c in texts.items()]
-    )
-    rows = written(df.select(key, F.inline(fields)).select(key, "field", F.explode("t").alias("token")), "tokens")
-    codes = written(token_codes(rows), "codes")
+    rows, codes = _token_rows(df, key, texts)
     # one text's tokens: a window as large as the text
     from_last = Window.partitionBy(key, "field").orderBy(F.desc("code")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = coded(rows, codes).select(key, "field", "code", F.sum(code_weight(F.col("code"), n_items)).over(from_last).alias("rest"))
@@ -109,33 +133,32 @@ def weighted_jaccard(a: Column, a_total: Column, b: Column, b_total: Column, n_i
     return F.when((F.size(a) <= 0) | (F.size(b) <= 0), F.lit(0.0)).otherwise(score)
 
 
-def event_relation(pairs: DataFrame, a: str = "a", b: str = "b", actions=V.ACTION_RULES, strong: str = V.STRONG_OBJECTS) -> DataFrame:
-    """Add ``match``, ``conflict`` and ``object_overlap`` for pairs of structs
-    with ``title`` and ``desc``."""
+def event_side(title: Column, desc: Column, actions=V.ACTION_RULES, strong: str = V.STRONG_OBJECTS) -> Column:
+    """What :func:`related` compares of a report: struct of ``action`` and ``objects``."""
+    return F.struct(
+        extract_action(headline_text(title, desc), actions).alias("action"), distinctive_objects(title, desc, strong).alias("objects")
+    )
 
-    def side(c: str) -> Column:
-        title, desc = F.col(f"{c}.title"), F.col(f"{c}.desc")
-        return F.struct(
-            extract_action(headline_text(title, desc), actions).alias("action"),
-            distinctive_objects(title, desc, strong).alias("objects"),
-        )
 
-    prepared = add_once(pairs, {"_a": side(a), "_b": side(b)})
-    overlap = overlap_coefficient(F.col("_a.objects"), F.col("_b.objects"))
-    both = F.col("_a.action").isNotNull() & F.col("_b.action").isNotNull()
-    same = both & (F.col("_a.action") == F.col("_b.action"))
-    return (
-        prepared.withColumn("object_overlap", overlap)
-        .withColumns(
-            {
-                "match": F.coalesce(same & (F.col("object_overlap") > 0), F.lit(False)),
-                "conflict": F.coalesce(both & ~same & (F.col("object_overlap") < 0.6), F.lit(False)),
-            }
-        )
-        .drop("_a", "_b")
+def related(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Add ``match``, ``conflict`` and ``object_overlap`` for pairs of structs of :func:`event_side`."""
+    both = F.col(f"{a}.action").isNotNull() & F.col(f"{b}.action").isNotNull()
+    same = both & (F.col(f"{a}.action") == F.col(f"{b}.action"))
+    return pairs.withColumn("object_overlap", overlap_coefficient(F.col(f"{a}.objects"), F.col(f"{b}.objects"))).withColumns(
+        {
+            "match": F.coalesce(same & (F.col("object_overlap") > 0), F.lit(False)),
+            "conflict": F.coalesce(both & ~same & (F.col("object_overlap") < 0.6), F.lit(False)),
+        }
     )
 
 
+def event_relation(pairs: DataFrame, a: str = "a", b: str = "b", actions=V.ACTION_RULES, strong: str = V.STRONG_OBJECTS) -> DataFrame:
+    """Add ``match``, ``conflict`` and ``object_overlap`` for pairs of structs
+    with ``title`` and ``desc``."""
+    sides = {to: event_side(F.col(f"{c}.title"), F.col(f"{c}.desc"), actions, strong) for to, c in (("_a", a), ("_b", b))}
+    return related(add_once(pairs, sides), "_a", "_b").drop("_a", "_b")
+
+
 #: The fields of an item that a score compares.
 COMPARED = [
     "published_at", "category", "entity_ids", "action", "objects", "phrases", "title_tokens", "title_total", "desc_tokens", "desc_total",

@@ -14,6 +14,7 @@ from signalloom.operators import similarity as Y
 from signalloom import fixed_values as V
 from signalloom.plans import sample as L
 from signalloom.plans import tables as T
+from signalloom.session import written
 from signalloom.plans.registry import COMMENTS, ITEMS, clamp01, first_match, half_up, has, lit, nouns, phrases, query, tokens
 
 AS_OF = f"TIMESTAMP '{L.AS_OF}'"
@@ -269,9 +270,10 @@ def link_terms(spark, d):
 
 
 # ---- similarity of neighbouring documents -----------------------------------
-def _neighbours(spark, d):
-    keep = F.struct("title", "desc", "published_at", "category").alias("s")
-    items = categorised(spark, d).select("doc_id", keep)
+def _neighbours(spark, d, **made):
+    """What is ``made`` of a document beside the same of the document after it; it is made once a document, and no text is shuffled."""
+    once = X.add_once(T.items(spark, d), {"s": F.struct(*[c.alias(name) for name, c in made.items()])})
+    items = written(once.select("doc_id", "s"), "neighbours")
     return items.select("doc_id", F.col("s").alias("a")).join(
         items.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("b")), "doc_id"
     )
@@ -288,14 +290,14 @@ OVERLAP = "CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a,
 
 @query("jaccard_similarity", _pair(f"SELECT doc_id, {half_up(JACCARD, 6)} AS sim FROM (SELECT doc_id, {tokens('xd')} AS a, {tokens('yd')} AS b FROM p)").replace("{extra}", ""))
 def jaccard_similarity(spark, d):
-    sim = Y.similarity(F.col("a.desc"), F.col("b.desc"))
-    return _neighbours(spark, d).select("doc_id", round_half_up(sim, 6).alias("sim"))
+    sets = _neighbours(spark, d, words=X.token_set(F.col("desc")))
+    return sets.select("doc_id", round_half_up(Y.jaccard(F.col("a.words"), F.col("b.words")), 6).alias("sim"))
 
 
 @query("phrase_overlap", _pair(f"SELECT doc_id, {half_up(OVERLAP, 6)} AS overlap FROM (SELECT doc_id, {phrases('xd')} AS a, {phrases('yd')} AS b FROM p)").replace("{extra}", ""))
 def phrase_overlap(spark, d):
-    overlap = Y.phrase_overlap(F.col("a.desc"), F.col("b.desc"))
-    return _neighbours(spark, d).select("doc_id", round_half_up(overlap, 6).alias("overlap"))
+    sets = _neighbours(spark, d, phrases=X.name_phrases(F.col("desc")))
+    return sets.select("doc_id", round_half_up(Y.overlap_coefficient(F.col("a.phrases"), F.col("b.phrases")), 6).alias("overlap"))
 
 
 _EV = f"""e AS (SELECT *, {first_match('xb', L.ACTIONS)} AS xa, {first_match('yb', L.ACTIONS)} AS ya,
@@ -305,7 +307,8 @@ _EV = f"""e AS (SELECT *, {first_match('xb', L.ACTIONS)} AS xa, {first_match('yb
 
 @query("event_relation", _pair(f""", {_EV} SELECT doc_id, coalesce(xa = ya AND ov > 0, false) AS match, coalesce(xa <> ya AND ov < 0.6, false) AS conflict, {half_up('ov', 6)} AS object_overlap FROM o""").replace("{extra}", ""))
 def event_relation(spark, d):
-    pairs = Y.event_relation(_neighbours(spark, d), "a", "b", L.ACTIONS, L.STRONG)
+    side = Y.event_side(F.col("title"), F.col("desc"), L.ACTIONS, L.STRONG)
+    pairs = Y.related(_neighbours(spark, d, action=side["action"], objects=side["objects"]))
     return pairs.select("doc_id", "match", "conflict", round_half_up(F.col("object_overlap"), 6).alias("object_overlap"))
 
 
@@ -319,27 +322,33 @@ _W = f"""N AS (SELECT count(*) AS n FROM items),
 _SIM = "coalesce((SELECT sim FROM ws WHERE ws.doc_id = o.doc_id AND ws.f = '{f}'), 0)"
 
 
-def _featured(spark, d):
+def _features(spark, d, **options):
+    """Features of the categorised items, which are written, as the rules of all categories would run again for each use; ``pos`` is the document."""
     from signalloom.operators.clusters import item_features
 
-    items = categorised(spark, d).withColumn("pos", F.col("doc_id"))
-    n_items = items.count()
-    f = item_features(items, L.ENTITIES, n_items, L.ACTIONS, L.STRONG)
-    side = f.select("pos", F.struct(*[c for c in f.columns if c != "pos"]).alias("f"))
-    pairs = side.select(F.col("pos").alias("doc_id"), F.col("f").alias("x")).join(
+    pool = written(categorised(spark, d).withColumn("pos", F.col("doc_id")), "pool")
+    n_items = pool.count()
+    return item_features(pool, L.ENTITIES, n_items, L.ACTIONS, L.STRONG, **options), n_items
+
+
+def _beside(features):
+    """Features by ``pos`` beside those of the next, as structs ``x`` and ``y``; they are made once, for both sides."""
+    side = written(features.select("pos", F.struct(*[c for c in features.columns if c != "pos"]).alias("f")), "sides")
+    return side.select(F.col("pos").alias("doc_id"), F.col("f").alias("x")).join(
         side.select((F.col("pos") - 1).alias("doc_id"), F.col("f").alias("y")), "doc_id"
     )
-    return pairs, n_items
 
 
 @query("weighted_similarity", _pair(f"SELECT o.doc_id, {half_up(_SIM.format(f='t'), 6)} AS title_sim, {half_up(_SIM.format(f='d'), 6)} AS desc_sim FROM p o").replace("{extra}", _W))
 def weighted_similarity(spark, d):
-    pairs, n = _featured(spark, d)
+    n = T.table(spark, d, "documents").count()
+    items = T.items(spark, d).withColumn("pos", F.col("doc_id"))
+    weights = Y.token_totals(items, "pos", {"title": "title", "desc": "desc"}, n)
+    pairs = _beside(items.select("pos").join(weights, "pos", "left"))
 
     def sim(f):
-        return round_half_up(
-            Y.weighted_jaccard(F.col(f"x.{f}_tokens"), F.col(f"x.{f}_total"), F.col(f"y.{f}_tokens"), F.col(f"y.{f}_total"), n), 6
-        )
+        sides = [c for s in "xy" for c in (F.coalesce(f"{s}.{f}_tokens", F.array().cast("array<bigint>")), F.col(f"{s}.{f}_total"))]
+        return round_half_up(Y.weighted_jaccard(*sides, n), 6)
 
     return pairs.select("doc_id", sim("title").alias("title_sim"), sim("desc").alias("desc_sim"))
 
@@ -354,8 +363,8 @@ _ENTS = {s: "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {lit(e['id'])} END"
   "WHEN hours <= 72 AND (coalesce(xa = ya AND ov > 0, false) OR (ov >= 0.5 AND ent > 0)) THEN greatest(content, 0.55) WHEN content < 0.02 THEN content "
   "ELSE content + (0.4 * ent + 0.35 * greatest(0, least(1, 1 - hours / 48)) + 0.25 * (CASE WHEN xc = yc THEN 1 ELSE 0 END)) * least(content, 0.5) * 1.4 END", 6)} AS score FROM s""").replace("{extra}", _W))
 def cluster_score(spark, d):
-    pairs, n = _featured(spark, d)
-    return Y.pair_score(pairs, n).select("doc_id", round_half_up(F.col("score"), 6).alias("score"))
+    features, n = _features(spark, d, rests=False)
+    return Y.pair_score(_beside(features), n).select("doc_id", round_half_up(F.col("score"), 6).alias("score"))
 
 
 # ---- scores, verification, caps, sections -----------------------------------
@@ -529,8 +538,9 @@ def family_sorted(spark, d):
     UNION ALL SELECT 'river', row_number() OVER (ORDER BY published_at DESC, doc_id) AS rank, doc_id FROM signals QUALIFY rank <= 3)
   SELECT panel, CAST(rank AS INTEGER) AS rank, id FROM a""")
 def latest_previews(spark, d):
-    live = signals(spark, d)
-    return P.latest_previews(live, P.top_wave_per_family(live), tie="doc_id")
+    # three panels and their limits read the same few columns, made once
+    live = written(signals(spark, d).select("doc_id", "category", "significance", "published_at"), "previewed")
+    return P.latest_previews(live, P.leading_waves(live, tie="doc_id"), tie="doc_id")
 
 
 @query("family_counts", f"""WITH {SIGNALS}, g AS (SELECT family FROM signals WHERE category NOT IN ('analysis', 'general') AND published_at BETWEEN {AS_OF} - INTERVAL 24 HOUR AND {AS_OF})
@@ -621,22 +631,13 @@ CLUSTERED = f"""{SCORED_PAIRS},
   lasting AS (SELECT unnest(map_keys(reps)) AS pos FROM (SELECT reps FROM walk ORDER BY pos DESC LIMIT 1))"""
 
 
-def _pool(spark, d):
-    """Categorised items with their features; ``pos`` is the document."""
-    from signalloom.operators.clusters import item_features
-    from signalloom.session import written
-
-    pool = written(categorised(spark, d).withColumn("pos", F.col("doc_id")), "pool")
-    n_items = pool.count()
-    return written(item_features(pool, L.ENTITIES, n_items, L.ACTIONS, L.STRONG), "features"), n_items
-
-
 @query("near_dup_pair_join", f"""WITH {SCORED_PAIRS} SELECT greatest(i_doc, j_doc) AS doc_id, least(i_doc, j_doc) AS other_id, {half_up('score', 6)} AS score
   FROM scored WHERE score >= 0.34""")
 def near_dup_pair_join(spark, d):
     from signalloom.operators.clusters import near_dup_pairs
 
-    features, n_items = _pool(spark, d)
+    features, n_items = _features(spark, d)
+    features = written(features, "features")
     pairs = near_dup_pairs(features, 0.34, n_items)
     return pairs.select(F.col("i").alias("doc_id"), F.col("j").alias("other_id"), round_half_up(F.col("score"), 6).alias("score"))
 
@@ -731,6 +732,6 @@ def union_feeds(spark, d):
 
 @query("token_union_intersect", _pair(f"SELECT doc_id, len(list_intersect(a, b)) AS shared, len(a) + len(b) - len(list_intersect(a, b)) AS united FROM (SELECT doc_id, {tokens('xt')} AS a, {tokens('yt')} AS b FROM p)").replace("{extra}", ""))
 def token_union_intersect(spark, d):
-    sets = X.add_once(_neighbours(spark, d), {"x": X.token_set(F.col("a.title")), "y": X.token_set(F.col("b.title"))})
-    return sets.select("doc_id", F.size(F.array_intersect("x", "y")).cast("bigint").alias("shared"),
-                       F.size(F.array_union("x", "y")).cast("bigint").alias("united"))
+    sets = _neighbours(spark, d, words=X.token_set(F.col("title")))
+    return sets.select("doc_id", F.size(F.array_intersect("a.words", "b.words")).cast("bigint").alias("shared"),
+                       F.size(F.array_union("a.words", "b.words")).cast("bigint").alias("united"))
