@@ -6,8 +6,8 @@ Corpus counts come from it.  Items are taken in blocks of bounded size; per bloc
 the forward index becomes an inverted index, one row per some thousand documents, with
 
 * every term's list of documents and impacts, and its greatest impact;
-* for pairs of terms of one item whose rarer one is rare, the list of the documents that hold both, with the greatest
-  sum of both impacts.  Pairs that are rare and not listed have no common document.
+* for pairs of terms of one item whose rarer one is rare, the greatest sum of both impacts in a document, and the ``k`` documents
+  of the greatest sums.  Pairs that are rare and not listed have no common document.
 
 Thresholds first: in every part of the index the best documents of an item's pair lists are scored; the
 tenth best score over all parts is one that the answer's tenth reaches.  Then every part is searched:
@@ -40,7 +40,7 @@ from signalloom.session import discard, written
 
 _BITS = 1 << 22  # places of the bitmap of terms
 _BLOCK_TERMS, _BLOCK_ITEMS = 1 << 17, 1024  # of a block of items (one item at least)
-_PART_ROWS, _PART_POSTINGS = 2048, 1 << 18  # of a part of the index; documents are numbered with 16 bits
+_PART_ROWS, _PART_POSTINGS = 512, 1 << 16  # of a part of the index, a row of under 1 MB; documents are numbered with 16 bits
 _MEETINGS = 1 << 18  # pairs of terms looked up at a time
 _RARE = 64  # a pair is listed where its rarer term is in no more than a part of so many of the documents
 
@@ -50,7 +50,7 @@ for _low, _high in ((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)):
     _OUTSIDE[_low : _high + 1] = True
 
 _FORWARD = "doc_id {id}, n long, terms binary, counts binary"
-_INDEX = "docs array<{id}>, terms binary, at binary, rows binary, impacts binary, a binary, b binary, pair_at binary, pair_rows binary, pair_sums binary"
+_INDEX = "docs array<{id}>, terms binary, at binary, rows binary, impacts binary, a binary, b binary, pair_at binary, pair_rows binary, pair_most binary"
 
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +136,8 @@ def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
 
 
-def _inverted(block: Block):
-    """Rows of the forward index to parts of the inverted index."""
+def _inverted(block: Block, k: int = 10):
+    """Rows of the forward index to parts of the inverted index, with the ``k`` leading documents of every pair of terms."""
     partner, partner_at = block.partners()
     size = max(len(block.terms), 1)
 
@@ -165,20 +165,23 @@ def _inverted(block: Block):
             both = keys[at] == wanted
             found.append((left[both], right[both], at[both]))
         left, right, at = map(np.concatenate, zip(*found))
-        order = np.lexsort((owner[left], right, place[left]))
-        left, right, at = left[order], right[order], at[order]
+        sums = impact[left] + impact[at]
+        order = np.lexsort((owner[left], -sums, right, place[left]))
+        left, right, sums = left[order], right[order], sums[order]
         pair = place[left] * size + right
         first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, np.int64)
+        listed = np.diff(np.append(first, len(pair)))
+        leading = np.arange(len(pair)) - np.repeat(first, listed) < k  # what pairs tell of the others is their greatest sum
         by_term = np.lexsort((owner, place))
         lists = np.searchsorted(place[by_term], np.arange(size + 1))
         there = np.flatnonzero(np.diff(lists) > 0)
         values = [
             there.astype("<i4"), np.append(lists[there], len(by_term)).astype("<i4"), owner[by_term].astype("<u2"), impact[by_term].astype("<i8"),
-            place[left[first]].astype("<i4"), right[first].astype("<i4"), np.append(first, len(pair)).astype("<i4"), owner[left].astype("<u2"),
-            (impact[left] + impact[at]).astype("<i8"),
+            place[left[first]].astype("<i4"), right[first].astype("<i4"), np.append(0, np.cumsum(np.minimum(listed, k))).astype("<i4"),
+            owner[left[leading]].astype("<u2"), sums[first].astype("<i8"),
         ]
         docs = pa.ListArray.from_arrays(pa.array([0, table.num_rows], pa.int32()), table.column("doc_id").combine_chunks())
-        names = ["docs", "terms", "at", "rows", "impacts", "a", "b", "pair_at", "pair_rows", "pair_sums"]
+        names = ["docs", "terms", "at", "rows", "impacts", "a", "b", "pair_at", "pair_rows", "pair_most"]
         return pa.RecordBatch.from_arrays([docs, *(pa.array([v.tobytes()], pa.binary()) for v in values)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,10 +210,9 @@ class Part:
 
         self.terms, self.at, self.rows, self.impacts = numbers("terms", "<i4"), numbers("at", "<i4"), numbers("rows", "<u2"), numbers("impacts", "<i8")
         self.a, self.b, self.pair_at = numbers("a", "<i4"), numbers("b", "<i4"), numbers("pair_at", "<i4")
-        self.pair_rows, self.pair_sums = numbers("pair_rows", "<u2"), numbers("pair_sums", "<i8")
+        self.pair_rows, self.pair_most = numbers("pair_rows", "<u2"), numbers("pair_most", "<i8")
         self.docs = batch.column("docs")[i].values
         self.most = np.maximum.reduceat(self.impacts, self.at[:-1]) if len(self.terms) else np.zeros(0, np.int64)
-        self.pair_most = np.maximum.reduceat(self.pair_sums, self.pair_at[:-1]) if len(self.a) else np.zeros(0, np.int64)
         self.size = int(max(self.terms.max(initial=0), self.b.max(initial=0), self.a.max(initial=0))) + 1
         self.pairs = self.a.astype(np.int64) * self.size + self.b
         ids = self.docs.to_numpy(zero_copy_only=False) if self.docs.null_count == 0 and pa.types.is_integer(self.docs.type) else np.array(self.docs.to_pylist(), object)
@@ -274,7 +276,7 @@ def _thresholds(block: Block, k: int):
                         continue
                     # of so many of the lists of the greatest sums the leading documents
                     lead = found[np.argsort(-part.pair_most[found], kind="stable")[:k]]
-                    rows = [part.pair_rows[s:e][np.argsort(-part.pair_sums[s:e], kind="stable")[:k]] for s, e in zip(part.pair_at[lead], part.pair_at[lead + 1])]
+                    rows = [part.pair_rows[s:e] for s, e in zip(part.pair_at[lead], part.pair_at[lead + 1])]
                     rows = np.unique(np.concatenate(rows))
                     top = np.sort(part.scores(rows, lists))[::-1][:k]
                     items.append(np.full(len(top), item)), scores.append(top)
@@ -396,7 +398,7 @@ def rank(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     answers = []
     for rows in _item_blocks(asked):
         block = _block(spark, rows, frequency, documents, length)
-        index = written(forward.mapInArrow(_inverted(block), _INDEX.format(id=name)), "search-index")
+        index = written(forward.mapInArrow(_inverted(block, k), _INDEX.format(id=name)), "search-index")
         best = Window.partitionBy("item").orderBy(F.desc("score"))
         lead = index.mapInArrow(_thresholds(block, k), "item long, score long").withColumn("place", F.row_number().over(best))
         least = np.ones(len(block.items), np.int64)  # scores are above 0

@@ -111,3 +111,24 @@ def test_pairs_tighten_the_bounds():
         single = set().union(*[part.list(i)[0].tolist() for i in order[rest >= least]])
         with_pairs, without = with_pairs + len(kept), without + len(single)
     assert with_pairs < 0.5 * without
+
+
+def test_a_part_of_the_index_is_a_small_row():
+    """A pair keeps its leading documents and greatest sum, however many documents hold it; a part has 512 documents."""
+    docs = 3000
+    words = np.array([5, 9], "<i8")
+    forward = pa.record_batch(
+        [pa.array(range(docs), pa.int64()), pa.array([2 + i % 7 for i in range(docs)], pa.int64()),
+         pa.array([words.tobytes()] * docs, pa.binary()), pa.array([np.array([1 + i % 3, 1], "<i4").tobytes() for i in range(docs)], pa.binary())],
+        names=["doc_id", "n", "terms", "counts"],
+    )
+    block = P.Block([1], [np.arange(2)], words, np.array([700, 900]), np.ones(2, bool), docs, 5 * docs)
+    parts = list(P._inverted(block, 10)(iter([forward])))
+    assert sum(len(P.Part(p, 0).docs) for p in parts) == docs and len(parts) == 6
+    for p in parts:
+        part = P.Part(p, 0)
+        assert len(part.pair_rows) == 10 and part.pair_at.tolist() == [0, 10]
+        rows = np.arange(len(part.docs))
+        score = part.scores(rows, part.lists(np.arange(2)))
+        assert part.pair_most.tolist() == [score.max()]
+        assert part.pair_rows.tolist() == np.lexsort((rows, -score))[:10].tolist()
