@@ -5,15 +5,13 @@ representative scores best against it (first group on ties) if the score reaches
 the threshold, else it founds a group; a joining item dated strictly earlier
 becomes the representative.
 
-Scoring is the work, and it is distributed: postings of an item carry, beside the key, its weight,
-the weight that follows it in the text, and what the structure of a pair needs, so that a pair that
-cannot reach the threshold is dropped where its two postings meet.  What is left is scored in full.
+Scoring is the work, and it is distributed: blocks of items meet blocks of items, and no pair travels before its score is known (``tiles``).
 
 The reading itself is sequential: whether an item is still a representative depends on all choices
 before it, and those choices on others before them.  So the pool is read in slices.  A slice's items meet each
 other and the representatives that the slices before left, in parallel; the scored pairs of a slice fall into
 connected components, which are read in order, one task a component.  The work of a slice is bounded by its
-rows and by the representatives that share a key with them; pairs of items in different slices, of which one no longer
+rows times itself and the representatives; pairs of items in different slices, of which one no longer
 represents anything, are never looked at.  A third of all rows being copies costs linear work
 for that reason.  There are as many rounds as slices.  Nothing is capped or sampled.
 """
@@ -21,7 +19,7 @@ for that reason.  There are as many rounds as slices.  Nothing is capped or samp
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, sqrt
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,14 +29,13 @@ from signalloom.functions.text import headline_text, name_phrases
 from signalloom.operators.classify import distinctive_objects, extract_action
 from signalloom.operators.entities import match_entities
 from signalloom.operators.ordering import with_positions
-from signalloom.operators.similarity import COMPARED, amplified, code_weight, nearness, pair_score, token_totals, token_weights
+from signalloom.operators.similarity import COMPARED, pair_score, token_totals
+from signalloom.operators.tiles import packed, scores
 from signalloom.session import discard, written
 
-TIMED = 72 * 3_600_000_000  # microseconds within which a forced merge can happen
-ROWS_PER_SALT = 4096  # postings of a key that one task gets of one side
-SLICE_ROWS = 1024  # a slice has so many rows at least
-SLICE_MEETINGS = 1 << 16  # and, beyond them, about so many meetings of its own postings
-COMPONENT_PAIRS = 200_000  # a slice with more scored pairs is cut into components
+ROWS_PER_SALT = 4096  # rows that one task gets of one side at a time
+SLICE_ROWS = 4096  # of the pool, read against each other and the representatives
+COMPONENT_PAIRS = 4_000_000  # a slice with more scored pairs is cut into components
 
 
 @dataclass
@@ -52,20 +49,10 @@ class Clustering:
     rounds: int
 
 
-def item_features(
-    items: DataFrame, entities, n_items: int, actions=V.ACTION_RULES, strong: str = V.STRONG_OBJECTS, rests: bool = True
-) -> DataFrame:
-    """What a pair comparison needs, one row per item keyed by ``pos``; ``rests`` are for :func:`postings` only."""
+def item_features(items: DataFrame, entities, n_items: int, actions=V.ACTION_RULES, strong: str = V.STRONG_OBJECTS) -> DataFrame:
+    """What a pair comparison needs, one row per item keyed by ``pos``."""
     texts = {"title": "title", "desc": "desc"}
-    if rests:
-        weights = token_weights(items, "pos", texts, n_items)
-
-        def field(name: str, column: str) -> Column:
-            return F.first(F.when(F.col("field") == name, F.col(column)), ignorenulls=True).alias(f"{name}_{column}")
-
-        per_item = weights.groupBy("pos").agg(*[field(name, column) for name in texts for column in ("tokens", "rests", "total")])
-    else:
-        per_item = token_totals(items, "pos", texts, n_items)
+    per_item = token_totals(items, "pos", texts, n_items)
     title, desc = F.col("title"), F.col("desc")
     described = match_entities(items, entities).select(
         "pos", "published_at", "category", "entity_ids",
@@ -73,106 +60,10 @@ def item_features(
         distinctive_objects(title, desc, strong).alias("objects"),
         name_phrases(title).alias("phrases"),
     )
-    blank = {"tokens": F.array().cast("array<bigint>"), "rests": F.array().cast("array<double>"), "total": F.lit(0.0)}
+    blank = {"tokens": F.array().cast("array<bigint>"), "total": F.lit(0.0)}
     return described.join(per_item, "pos", "left").withColumns(
-        {f"{name}_{column}": F.coalesce(f"{name}_{column}", empty) for name in texts for column, empty in blank.items() if rests or column != "rests"}
-    )
-
-
-#: Kinds of keys.
-TITLE, DESC, PHRASE, ACTED, LINKED = range(5)
-
-
-def postings(features: DataFrame, threshold: float, n_items: int) -> DataFrame:
-    """One row per item and key; two items that can reach the threshold share a key at which they pass :func:`_hopeful`.
-
-    A pair's structure multiplies its content by at most 2.4, by 1.84 where the item has no entity.  So content has to
-    reach a least value, from a shared phrase, from the title, or from the description; what the description gives is
-    bounded by ``desc_floor`` unless the descriptions are that similar.  Two sets whose weighted Jaccard reaches a floor
-    share one of the rarest tokens that precede the point from which on the rest weighs less than
-    the floor's part of the whole.  A forced merge needs a shared object with a shared action or entity, within 72 hours.
-    """
-    desc_floor = min(0.6, 4 * threshold / 2.4)
-    reach = F.when(F.size("entity_ids") > 0, F.lit(2.4)).otherwise(F.lit(1.84))
-    title_floor = (F.lit(threshold) / reach - 0.2 * desc_floor) / 0.5
-    nothing = F.lit(0.0)
-
-    def prefix(kind: int, field: str, floor: Column) -> Column:
-        tokens, rests, total = (F.col(f"{field}_{c}") for c in ("tokens", "rests", "total"))
-        long = F.size(F.filter(rests, lambda r: r >= total * floor * (1 - 1e-9)))
-        entries = F.arrays_zip(F.slice(tokens, 1, long).alias("code"), F.slice(rests, 1, long).alias("rest"))
-
-        def entry(e: Column) -> Column:
-            weight = code_weight(e["code"], n_items)
-            return F.struct(
-                F.xxhash64(F.lit(field), e["code"]).alias("key"), F.lit(kind).alias("kind"), weight.alias("weight"),
-                (e["rest"] - weight).alias("rest"), total.alias("total"),
-            )
-
-        return F.transform(entries, entry)
-
-    def plain(kind: int, values: Column) -> Column:
-        def entry(v: Column) -> Column:
-            return F.struct(
-                F.xxhash64(F.lit(kind), v).alias("key"), F.lit(kind).alias("kind"), nothing.alias("weight"), nothing.alias("rest"), nothing.alias("total")
-            )
-
-        return F.transform(F.array_distinct(values), entry)
-
-    keys = [prefix(TITLE, "title", title_floor), prefix(DESC, "desc", F.lit(desc_floor)), plain(PHRASE, F.col("phrases"))]
-    if threshold <= 0.55:
-        acted = F.when(F.col("action").isNotNull(), F.transform("objects", lambda o: F.concat_ws("|", F.col("action"), o)))
-        linked = F.flatten(F.transform("objects", lambda o: F.transform("entity_ids", lambda e: F.concat_ws("|", e, o))))
-        keys += [plain(ACTED, F.coalesce(acted, F.array().cast("array<string>"))), plain(LINKED, linked)]
-    # sixty-two bits tell whether two items can have an entity in common
-    bits = F.aggregate("entity_ids", F.lit(0).cast("bigint"), lambda a, e: a.bitwiseOR(F.pow(F.lit(2.0), F.pmod(F.xxhash64(e), F.lit(62))).cast("bigint")))
-    rows = features.select(
-        "pos", F.unix_micros("published_at").alias("ts"), F.xxhash64("category").alias("cat"), F.col("category").isNotNull().alias("has_cat"),
-        bits.alias("ents"), F.size("entity_ids").alias("n_ents"), F.col("desc_total"), title_floor.alias("title_floor"),
-        F.inline(F.concat(*keys)),
-    )
-    cell = F.when(F.col("kind") >= ACTED, F.floor(F.col("ts") / TIMED)).otherwise(F.lit(0)).cast("bigint")
-    placed = rows.withColumn("cell", cell)
-    size = placed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
-    return placed.join(size, "key").withColumn("salts", F.ceil(F.col("_n") / ROWS_PER_SALT).cast("int")).drop("_n")
-
-
-def _hopeful(threshold: float) -> Column:
-    """Can the postings ``x`` and ``y`` be the first that a pair above the threshold has in common?"""
-    def both(name: str) -> tuple[Column, Column]:
-        return F.col(f"x.{name}"), F.col(f"y.{name}")
-
-    apart = F.abs(F.col("x.ts") - F.col("y.ts"))
-    n, m = both("n_ents")
-    shared = (F.col("x.ents").bitwiseAND(F.col("y.ents")) != 0) & (n > 0) & (m > 0)
-    entity = F.when(shared, F.least(n, m) / F.greatest(n, m)).otherwise(0.0)
-    one_category = F.col("x.has_cat") & F.col("y.has_cat") & (F.col("x.cat") == F.col("y.cat"))
-    structure = F.lit(0.4) * entity + F.lit(0.35) * nearness(apart / 3_600_000_000) + F.lit(0.25) * one_category.cast("double")
-    # no token before these is shared, so this one and the lighter rest are the most that can be
-    overlap = F.col("x.weight") + F.least(*both("rest"))
-    similar = F.coalesce(F.try_divide(overlap, F.col("x.total") + F.col("y.total") - overlap), F.lit(0.0))
-    alike = F.coalesce(F.try_divide(F.least(*both("desc_total")), F.greatest(*both("desc_total"))), F.lit(0.0))
-    # pairs that share a token of their titles' prefixes are told there, pairs that share none have less than the floor
-    floor = F.greatest(*both("title_floor"), F.lit(0.0))
-    content = F.when(F.col("x.kind") == TITLE, 0.5 * similar + 0.2 * alike).otherwise(0.5 * F.least(floor, F.lit(1.0)) + 0.2 * similar)
-    enough = amplified(content, structure) >= threshold * (1 - 1e-9)
-    timed = F.col("x.kind") >= ACTED
-    return F.when(timed, apart <= TIMED).otherwise((F.col("x.kind") == PHRASE) | enough)
-
-
-def candidate_pairs(fresh: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
-    """Distinct ``(i, j)``, ``i > j``, of items of ``fresh`` and ``held`` postings; common keys are salted."""
-    attributes = F.struct(*[c for c in fresh.columns if c not in ("key", "cell", "salts")])
-    left = fresh.select("key", "cell", F.pmod(F.xxhash64("pos"), F.col("salts")).cast("int").alias("salt"), attributes.alias("x"))
-    around = F.when(F.col("kind") >= ACTED, F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).otherwise(F.array("cell"))
-    right = held.select("key", F.explode(around).alias("cell"), "salts", attributes.alias("y")).select(
-        "key", "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "y"
+        {f"{name}_{column}": F.coalesce(f"{name}_{column}", empty) for name in texts for column, empty in blank.items()}
     )
-    met = left.join(right, ["key", "cell", "salt"]).where((F.col("x.pos") > F.col("y.pos")) & _hopeful(threshold))
-    pairs = met.select(F.col("x.pos").alias("i"), F.col("y.pos").alias("j"))
-    # pairs are dealt out by i once: made distinct, and joined with the features of i, where they are
-    parts = int(fresh.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartition(parts, "i").distinct()
 
 
 def scored_pairs(pairs: DataFrame, features: DataFrame, threshold: float, n_items: int) -> DataFrame:
@@ -186,8 +77,8 @@ def scored_pairs(pairs: DataFrame, features: DataFrame, threshold: float, n_item
 
 def near_dup_pairs(features: DataFrame, threshold: float, n_items: int) -> DataFrame:
     """All pairs ``(i, j, score)``, ``i > j``, of items that score at least ``threshold``."""
-    posted = written(postings(features, threshold, n_items), "postings")
-    return scored_pairs(candidate_pairs(posted, posted, threshold), features, threshold, n_items).select("i", "j", "score")
+    blocks = written(packed(features, ROWS_PER_SALT, n_items), "blocks")
+    return scores(blocks, blocks, threshold, n_items, once=True).select("i", "j", "score")
 
 
 def _components(pairs: DataFrame) -> DataFrame:
@@ -223,47 +114,37 @@ def _walker(first: int):
 
     def walk(pairs):
         """Choices in position order (pandas in and out)."""
+        import numpy as np
         import pandas as pd
 
-        current: dict[int, int] = {}  # representative -> founder of its group
-        seen: set[int] = set()
-        rows = []
         ordered = pairs.sort_values(["i", "j"])
-        at, to, score, founders, i_ts, j_ts = (ordered[c].tolist() for c in ("i", "j", "score", "founder", "i_ts", "j_ts"))
-        k, n = 0, len(at)
-        while k < n:
-            i, best = at[k], None
-            while k < n and at[k] == i:
-                j = to[k]
-                if j not in seen:  # left by earlier slices, or the founder of a group of its own
-                    seen.add(j)
-                    current[j] = j if j >= first else int(founders[k])
-                if j in current:
-                    offer = (score[k], -current[j], j, k)
-                    best = offer if best is None or offer > best else best
-                k += 1
-            seen.add(i)
-            if best is None:
-                current[i] = i
+        at, to, score, founders, i_ts, j_ts = (ordered[c].to_numpy() for c in ("i", "j", "score", "founder", "i_ts", "j_ts"))
+        ids = np.unique(np.concatenate([at, to]))
+        own, other = np.searchsorted(ids, at), np.searchsorted(ids, to)
+        group = np.full(len(ids), -1)  # of a representative: the founder of its group; -1: not a representative
+        group[other] = np.where(to < first, founders, to)  # left by earlier slices, or the founder of a group of its own,
+        group[own] = -1  # but what meets something before it is read in its turn
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        rows = []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(at)]):
+            offers = group[other[s:e]]
+            open_to = np.flatnonzero(offers >= 0)
+            if not len(open_to):
+                group[own[s]] = at[s]
                 continue
-            j, founder = best[2], -best[1]
-            takes_over = i_ts[best[3]] < j_ts[best[3]]
-            rows.append((i, j, founder, takes_over))
+            reached = score[s:e][open_to]
+            equal = open_to[reached == reached.max()]
+            k = int(equal[np.argmin(offers[equal])])
+            founder, takes_over = int(offers[k]), bool(i_ts[s + k] < j_ts[s + k])
+            rows.append((int(at[s]), int(to[s + k]), founder, takes_over))
             if takes_over:
-                del current[j]
-                current[i] = founder
+                group[other[s + k]] = -1
+                group[own[s]] = founder
         return pd.DataFrame(rows, columns=["pos", "choice", "cluster", "takes_over"]).astype({"pos": "int64", "choice": "int64", "cluster": "int64", "takes_over": "bool"})
 
     return walk
 
 
-def _slice_rows(posted: DataFrame, n_items: int) -> int:
-    """So many rows that a slice's own postings meet about SLICE_MEETINGS times, if the keys are spread evenly over the pool."""
-    sizes = posted.groupBy("key", "cell").agg(F.count("*").cast("double").alias("n"))
-    meetings = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0.0
-    return max(SLICE_ROWS, ceil(n_items / max(1, ceil(sqrt(meetings / SLICE_MEETINGS)))))
-
-
 def event_clusters(
     items: DataFrame,
     entities=(),
@@ -282,17 +163,20 @@ def event_clusters(
     placed = written(with_positions(items, *order), "items")
     spark = placed.sparkSession
     n_items = placed.count()
-    features = written(item_features(placed, entities, n_items, actions, strong), "features")
-    posted = written(postings(features, threshold, n_items), "postings")
-    rows = slice_rows or _slice_rows(posted, n_items)
+    rows = slice_rows or SLICE_ROWS
+    # slices are read one after the other: files in order, so that a slice's are few
+    features = written(item_features(placed, entities, n_items, actions, strong).repartitionByRange(max(1, ceil(n_items / rows)), "pos"), "features")
 
-    reps, chosen = None, []
+    reps, held, chosen = None, None, []
     for first in range(0, n_items, rows):
-        inside = F.col("pos").between(first, first + rows - 1)
-        fresh = held = posted.where(inside)
-        if reps is not None:
-            held = fresh.unionByName(posted.where(F.col("pos") < first).join(reps.select("pos"), "pos", "left_semi"))
-        scored = written(scored_pairs(candidate_pairs(fresh, held, threshold), features, threshold, n_items), "scored")
+        fresh = features.where(F.col("pos").between(first, first + rows - 1))
+        new = written(packed(fresh, ROWS_PER_SALT, rows), "fresh")
+        if reps is None:
+            scored = written(scores(new, new, threshold, n_items, once=True), "scored")
+        else:
+            stored = written(packed(held, ROWS_PER_SALT, held.count()), "stored")
+            scored = written(scores(new, stored.unionByName(new), threshold, n_items, once=False), "scored")
+            discard(stored)
         if reps is None:
             told = scored.withColumn("founder", F.lit(None).cast("bigint"))
         else:
@@ -306,13 +190,14 @@ def event_clusters(
         choice = written(walked, "chosen")
         chosen.append(choice)
         before, reps = reps, written(_representatives(spark, reps, choice, first, min(first + rows, n_items)), "representatives")
-        discard(scored, *([before] if before is not None else []))
+        past, held = held, written((fresh if held is None else held.unionByName(fresh)).join(reps.select("pos"), "pos", "left_semi"), "held")
+        discard(new, scored, *([] if before is None else [before, past]))
 
     if not chosen:
         return Clustering(placed.withColumn("cluster", F.col("pos")), *_cluster_tables(placed.withColumn("cluster", F.col("pos")), placed.select("pos")), 0)
     choices = spark.read.schema(chosen[0].schema).parquet(*[c._written_to for c in chosen]).select("pos", "cluster")
     assigned = written(placed.join(choices, "pos", "left").withColumn("cluster", F.coalesce("cluster", "pos")), "assigned")
-    discard(posted, features, *chosen)
+    discard(features, held, *chosen)
     return Clustering(assigned, *_cluster_tables(assigned, reps.select("pos")), len(chosen))
 
 

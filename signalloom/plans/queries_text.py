@@ -322,13 +322,13 @@ _W = f"""N AS (SELECT count(*) AS n FROM items),
 _SIM = "coalesce((SELECT sim FROM ws WHERE ws.doc_id = o.doc_id AND ws.f = '{f}'), 0)"
 
 
-def _features(spark, d, **options):
+def _features(spark, d):
     """Features of the categorised items, which are written, as the rules of all categories would run again for each use; ``pos`` is the document."""
     from signalloom.operators.clusters import item_features
 
     pool = written(categorised(spark, d).withColumn("pos", F.col("doc_id")), "pool")
     n_items = pool.count()
-    return item_features(pool, L.ENTITIES, n_items, L.ACTIONS, L.STRONG, **options), n_items
+    return item_features(pool, L.ENTITIES, n_items, L.ACTIONS, L.STRONG), n_items
 
 
 def _beside(features):
@@ -363,7 +363,7 @@ _ENTS = {s: "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {lit(e['id'])} END"
   "WHEN hours <= 72 AND (coalesce(xa = ya AND ov > 0, false) OR (ov >= 0.5 AND ent > 0)) THEN greatest(content, 0.55) WHEN content < 0.02 THEN content "
   "ELSE content + (0.4 * ent + 0.35 * greatest(0, least(1, 1 - hours / 48)) + 0.25 * (CASE WHEN xc = yc THEN 1 ELSE 0 END)) * least(content, 0.5) * 1.4 END", 6)} AS score FROM s""").replace("{extra}", _W))
 def cluster_score(spark, d):
-    features, n = _features(spark, d, rests=False)
+    features, n = _features(spark, d)
     return Y.pair_score(_beside(features), n).select("doc_id", round_half_up(F.col("score"), 6).alias("score"))
 
 
