@@ -148,3 +148,16 @@ def test_one_document_of_each_group_stays(spark):
     rows = [(4, " ".join(base)), (2, " ".join(near)), (9, " ".join(base)), (7, "all by itself here we go"), (7, "all by itself here we go"), (None, " ".join(base))]
     out = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(str(r["doc_id"]) for r in out) == ["2", "7"]
+
+
+def test_items_of_equal_reach_are_neighbours():
+    """So that the bound of many items is read as one piece of the counts, whatever the order they are given in."""
+    import numpy as np
+
+    from signalloom.llm import decontaminate as D
+
+    sizes = [90, 8, 40, 29, 60, 12, 35]
+    items = [D._Item(k, np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k, n in enumerate(sizes)]
+    searcher = D.Searcher(np.ones((D._TERMS, 2), np.float32), np.ones(D._TERMS, np.float32), items, [np.ones((-(-n // 12), 2), np.float32) for n in sizes], 0.3, 0.8, 0.6)
+    for _, chosen, _, _, held in searcher.groups:
+        assert held.tolist() == sorted(held.tolist()) == [sizes[k] for k in chosen]
