@@ -64,7 +64,9 @@ def _repeated_words(grams: Column) -> Column:
 
 
 _RUNS = (3, 4, 5, 6, 7, 8)  # lengths of leading character runs
-_PARTS = 4  # of the sample's texts one part in so many is held out for the thresholds
+_PARTS = 4  # each part of the labelled rows is scored by marks of the others
+_VOTE = 1 << 27  # a text's vote, shared by its copies; whole numbers, so that sums do not depend on their order
+_CELLS = 1024
 
 
 class Marks(NamedTuple):
@@ -90,52 +92,98 @@ def _score(text: Column, n_words: Column, weights: tuple[tuple[str, bool, float]
     return F.aggregate(hits, F.lit(0.0), lambda acc, hit: acc + heaviest(hit)) / (n_words + 20)
 
 
+def _votes(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``lang, toxic, text, n_words`` with ``part`` and ``vote``: all copies and near copies of a class share a part and one vote.
+
+    Near copies are rows with the same least hash of four words in a row, which two texts have as often as such runs are common to them.
+    """
+    word = lambda i: F.get("words", i)
+    runs = F.transform(F.slice("words", 1, F.greatest(F.size("words") - 3, F.lit(0))), lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2), word(i + 3)))
+    least = add_once(rows.withColumn("words", words_of(F.col("text"))), {"least": F.coalesce(F.array_min(runs), F.xxhash64("text"))})
+    told = written(
+        least.select(
+            "lang", "toxic", "text", F.size("words").alias("n_words"), F.pmod("least", F.lit(_PARTS)).cast("int").alias("part"),
+            F.xxhash64("least", "lang", "toxic").alias("copies"),
+        ), "toxic-labelled",
+    )
+    many = told.groupBy("copies").agg(F.count("*").alias("n")).where("n > 1")
+    return told.join(many, "copies", "left").drop("copies").withColumn("vote", (F.lit(_VOTE) / F.coalesce("n", F.lit(1))).cast("long")).drop("n")
+
+
+def _rank(scores: DataFrame, above: float) -> dict[str, float]:
+    """By language, the least ``score`` that ``above`` of the rows at most exceed: exact, by counting ever narrower ranges."""
+    told = scores.groupBy("lang").agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).collect()
+    place = {r["lang"]: (r["n"] - 1 - int(above * r["n"]), r["lo"], r["hi"]) for r in told}
+    while wide := {lang: x for lang, x in place.items() if x[1] < x[2]}:
+        inside = F.coalesce(*[F.when((F.col("lang") == lang) & F.col("score").between(lo, hi), (F.col("score") - lo) / F.lit(hi - lo)) for lang, (_, lo, hi) in wide.items()])
+        cells = scores.withColumn("inside", inside).where("inside IS NOT NULL").groupBy("lang", F.least(F.lit(_CELLS - 1), F.floor(F.col("inside") * _CELLS)).alias("cell"))
+        counts = cells.agg(F.count("*").alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).collect()
+        for lang, (left, _, _) in wide.items():
+            for r in sorted((r for r in counts if r["lang"] == lang), key=lambda r: r["cell"]):
+                if left < r["n"]:
+                    place[lang] = left, r["lo"], r["hi"]
+                    break
+                left -= r["n"]
+    return {lang: lo for lang, (_, lo, _) in place.items()}
+
+
 def learn(
-    docs: DataFrame, labels: DataFrame, most: int = 1_000, least: int = 20, surprise: float = 4.0, clean_lost: float = 0.01,
+    docs: DataFrame, labels: DataFrame, least: int = 20, surprise: float = 4.0, times: float = 2.0, clean_lost: float = 0.01,
 ) -> dict[str, Marks]:
     """Marks of toxic texts by language, from ``doc_id, text, lang`` and ``doc_id, toxic``.
 
-    The sample: of each language about ``most`` toxic and ``most`` clean labelled rows, chosen by hash; labels that
-    contradict each other count as toxic, rows without label are not read.  A feature is a word or a leading run of
-    3 to 8 letters; its weight is the log of how much oftener toxic texts hold it, per word of text, on three parts in
-    four of the sample (equal texts share a part).  It stays if that log is ``surprise`` standard errors or more, and
-    if no shorter run weighs about as much.  On the fourth part the threshold is set, so that ``clean_lost`` of the
-    clean rows score above it.  A language with fewer than ``least`` toxic rows to learn from or clean rows held out
-    has no marks.
+    All labelled rows are read; labels that contradict each other count as toxic, rows without label are not read.
+    A feature is a word or a leading run of 3 to 8 letters; its weight is the log of how much oftener toxic texts hold
+    such words (each different word of a text once), per word of text, where copies and near copies have one vote together.
+    It stays if that is ``times`` as often or more and
+    ``surprise`` standard errors from as often, and if no shorter run weighs about as much.  The threshold is the least score
+    that ``clean_lost`` of all clean rows at most exceed; each row is scored for it by marks of the other three parts in four
+    of the rows (copies share a part).  A language with fewer than ``least`` toxic or clean rows has no marks.
     """
     toxic = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
-    labelled = docs.select("doc_id", _lang(docs).alias("lang")).join(toxic, "doc_id")
-    sizes = labelled.groupBy("lang", "toxic").agg(F.count("*").alias("n"))
-    chosen = labelled.distinct().join(F.broadcast(sizes), ["lang", "toxic"]).where(place * F.col("n") < F.lit(most << 30)).select("doc_id", "toxic")
-    texts = docs.select("doc_id", _lang(docs).alias("lang"), text_of().alias("text")).join(F.broadcast(chosen.distinct()), "doc_id")
-    sample = written(
-        texts.select("lang", "toxic", "text", F.size(words_of(F.col("text"))).alias("n_words"), F.pmod(F.xxhash64("text"), F.lit(_PARTS)).alias("part")), "toxic-sample"
-    )
-    train, held = sample.where("part > 0"), sample.where("part = 0 AND toxic = 0")
-    in_class = lambda value, t: F.sum(F.when(F.col("toxic") == t, value).otherwise(0))
-    totals = train.groupBy("lang").agg(
-        in_class(F.lit(1), 1).alias("toxic_rows"), in_class(F.col("n_words"), 1).alias("toxic_words"), in_class(F.col("n_words"), 0).alias("clean_words"),
-    ).join(held.groupBy("lang").agg(F.count("*").alias("held")), "lang")
-    totals = totals.where((F.col("toxic_rows") >= least) & (F.col("held") >= least) & (F.col("clean_words") > 0))
-    words = train.select("lang", "toxic", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("words"))
-    runs = lambda k: F.transform(F.filter("words", lambda w: F.char_length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
-    features = F.concat(F.col("words"), *[F.array_distinct(runs(k)) for k in _RUNS])
-    counted = words.select("lang", "toxic", F.explode(features).alias("feature")).groupBy("lang", "feature")
-    counted = counted.agg(in_class(F.lit(1), 1).alias("t"), in_class(F.lit(1), 0).alias("c")).where("t >= 3").join(F.broadcast(totals), "lang")
-    weight = F.log((F.col("t") + 0.5) / F.col("toxic_words")) - F.log((F.col("c") + 0.5) / F.col("clean_words"))
-    sure = weight / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)) >= surprise
-    kept: dict[str, dict[tuple[str, bool], float]] = {}
-    for r in sorted(counted.where(sure).select("lang", "feature", weight.alias("weight")).collect(), key=lambda r: (len(r["feature"].rstrip("*")), r["feature"][-1] != "*", r["feature"])):
-        run, mine = r["feature"].rstrip("*"), kept.setdefault(r["lang"], {})
-        if all(mine.get((run[:k], False), -math.inf) < r["weight"] - math.log(2) for k in range(_RUNS[0], len(run) + 1)):
-            mine[run, not r["feature"].endswith("*")] = r["weight"]
-    weights = {lang: tuple((run, whole, x) for (run, whole), x in marks.items()) for lang, marks in sorted(kept.items())}
+    rows = written(_votes(docs.select("doc_id", _lang(docs).alias("lang"), text_of().alias("text")).join(toxic, "doc_id").select("lang", "toxic", "text")), "toxic-votes")
+    models = [None, *range(_PARTS)]  # of all rows, and of all but one part
+    of = lambda t, part: (F.col("toxic") == t) & (F.lit(True) if part is None else F.col("part") != part)
+    in_class = lambda value: [F.sum(F.when(of(t, m), value).otherwise(0)).alias(f"{'ct'[t]}{k}") for k, m in enumerate(models) for t in (0, 1)]
+    sums = rows.groupBy("lang").agg(F.sum(F.col("toxic")).alias("toxic_rows"), F.count("*").alias("rows"), *in_class(F.col("vote") * F.col("n_words")))
+    totals = {r["lang"]: r for r in sums.where((F.col("toxic_rows") >= least) & (F.col("rows") - F.col("toxic_rows") >= least)).collect()}
+    if not totals:
+        return {}
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    held = rows.where(F.col("lang").isin(*totals)).select("lang", "toxic", "part", "vote", F.explode(words).alias("word"))
+    held = held.groupBy("lang", "toxic", "part", "word").agg(F.sum("vote").alias("vote"))
+    runs = [F.when(F.char_length("word") >= k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in _RUNS]
+    each = held.select("lang", "toxic", "part", "vote", F.explode(F.array_compact(F.array("word", *runs))).alias("feature"))
+    counted = each.groupBy("lang", "feature").agg(*in_class(F.col("vote"))).where(F.col("t0") >= 3 * _VOTE)
+
+    def weighed(k: int) -> Column:
+        """The feature's weight in a model, null if it isn't sure."""
+        t, c = F.col(f"t{k}") / _VOTE + 0.5, F.col(f"c{k}") / _VOTE + 0.5
+        size = lambda x: F.coalesce(*[F.when(F.col("lang") == lang, F.lit(math.log(r[f"{x}{k}"] / _VOTE) if r[f"{x}{k}"] else None).cast("double")) for lang, r in totals.items()])
+        weight = F.log(t) - size("t") - F.log(c) + size("c")
+        return F.when((F.col(f"t{k}") >= 3 * _VOTE) & (weight >= F.greatest(F.lit(math.log(times)), surprise * F.sqrt(1 / t + 1 / c))), weight)
+
+    sure = counted.select("lang", "feature", *[weighed(k).alias(f"w{k}") for k in range(len(models))])
+    sure = sure.where(F.coalesce(*[F.col(f"w{k}") for k in range(len(models))]).isNotNull()).collect()
+    whole, *rest = [{lang: _marked({r["feature"]: r[f"w{k}"] for r in sure if r["lang"] == lang and r[f"w{k}"] is not None}) for lang in sorted(totals)} for k in range(len(models))]
+    weights = {lang: marks for lang, marks in whole.items() if marks}
     if not weights:
         return {}
-    scored = held.select("lang", _by_lang(F.col("lang"), weights, lambda w: _score(F.col("text"), F.col("n_words"), w)).alias("score")).where("score IS NOT NULL")
-    limits = scored.groupBy("lang").agg(F.percentile("score", F.lit(1 - clean_lost)).alias("limit")).collect()
-    return {r["lang"]: Marks(weights[r["lang"]], r["limit"]) for r in limits}
+    others = {(lang, part): marks[lang] for part, marks in enumerate(rest) for lang in weights if marks[lang]}
+    known = [F.when((F.col("lang") == lang) & (F.col("part") == part), _score(F.col("text"), F.col("n_words"), w)) for (lang, part), w in others.items()]
+    clean = rows.where((F.col("toxic") == 0) & F.col("lang").isin(*weights))
+    scores = written(clean.select("lang", F.coalesce(*known, F.lit(0.0)).alias("score")), "toxic-scores")
+    return {lang: Marks(weights[lang], limit) for lang, limit in _rank(scores, clean_lost).items()}
+
+
+def _marked(sure: dict[str, float]) -> tuple[tuple[str, bool, float], ...]:
+    """Marks of the features that add something to their leading runs."""
+    mine: dict[tuple[str, bool], float] = {}
+    for feature in sorted(sure, key=lambda f: (len(f.rstrip("*")), f[-1] != "*", f)):
+        run = feature.rstrip("*")
+        if all(mine.get((run[:k], False), -math.inf) < sure[feature] - math.log(2) for k in range(_RUNS[0], len(run) + 1)):
+            mine[run, not feature.endswith("*")] = sure[feature]
+    return tuple((run, whole, x) for (run, whole), x in mine.items())
 
 
 def _by_lang(lang: Column, values: dict, column) -> Column:

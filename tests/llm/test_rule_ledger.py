@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -71,3 +72,30 @@ def test_no_marks_without_labels(spark):
     assert none == {}
     rows = R.apply_rules(docs, "v2", none).collect()
     assert all(r["failed"] & R.mask(("toxic",)) == 0 for r in rows) and sum(r["kept"] for r in rows) == 3
+
+
+def test_marks_are_learnt_from_all_labelled_rows(spark):
+    rng = random.Random(4)
+    known = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    say = lambda *more: " ".join([*(rng.choice(known) for _ in range(30)), *more])
+    rows = [(say("zzwicked") if i % 40 == 0 else say("yyvile"), 1) for i in range(4000)]  # 100 of 4,000: too few in a sample of 1,000
+    rows += [(say("xxplain"), 0) for _ in range(4000)]
+    rows += [(f"{say()} zzwicked", 0)] * 6  # too few to move the threshold, one vote together
+    rows += [("wworphan " + " ".join(known[:40]), 1)] * 300 + [("wworphan " + " ".join(known[:40]) + f" n{i}", 1) for i in range(300)]  # copies and near copies
+    docs = spark.createDataFrame([(i, t, "en") for i, (t, _) in enumerate(rows)], "doc_id long, text string, lang string").repartition(5)
+    labels = spark.createDataFrame([(i, toxic) for i, (_, toxic) in enumerate(rows)], "doc_id long, toxic int")
+    marks = R.learn(docs, labels)
+    found = {run for run, _, _ in marks["en"].weights}
+    assert any("zzwicked".startswith(run) for run in found) and any("yyvile".startswith(run) for run in found), found
+    assert not any("wworphan".startswith(run) or "xxplain".startswith(run) for run in found), found
+    failed = F.col("failed").bitwiseAND(F.lit(R.mask(("toxic",)))) != 0
+    judged = R.apply_rules(docs, "v2", marks).where(failed).join(labels, "doc_id").groupBy("toxic").count().collect()
+    assert {r["toxic"]: r["count"] for r in judged}[1] == 4000 and {r["toxic"]: r["count"] for r in judged}.get(0, 0) <= 40
+
+
+def test_threshold_is_the_exact_score_of_its_place(spark):
+    rng = random.Random(5)
+    scores = {"en": [rng.random() ** 9 for _ in range(5000)] + [0.0] * 300, "de": [0.25] * 7, "fr": [1e-300, 0.5, 2.0], "es": [rng.choice((0.0, 0.1, 0.1 + 2**-56, 0.3)) for _ in range(400)]}
+    rows = spark.createDataFrame([(lang, x) for lang, values in scores.items() for x in values], "lang string, score double").repartition(4)
+    for above in (0.0, 0.01, 0.3):
+        assert R._rank(rows, above) == {lang: sorted(v)[len(v) - 1 - int(above * len(v))] for lang, v in scores.items()}
