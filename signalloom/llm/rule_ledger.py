@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from signalloom.functions.text import add_once
 from signalloom.llm.common import text_of, words_of
-from signalloom.session import written
+from signalloom.session import discard, written
 
 SYMBOLS = "#*$%&|<>"
 #: Words that attack a person; a parameter of the ledger.
@@ -67,6 +67,7 @@ _RUNS = (3, 4, 5, 6, 7, 8)  # lengths of leading character runs
 _PARTS = 4  # each part of the labelled rows is scored by marks of the others
 _VOTE = 1 << 27  # a text's vote, shared by its copies; whole numbers, so that sums do not depend on their order
 _CELLS = 1024
+_SALTS = 16
 
 
 class Marks(NamedTuple):
@@ -106,8 +107,13 @@ def _votes(rows: DataFrame) -> DataFrame:
             F.xxhash64("least", "lang", "toxic").alias("copies"),
         ), "toxic-labelled",
     )
-    many = told.groupBy("copies").agg(F.count("*").alias("n")).where("n > 1")
-    return told.join(many, "copies", "left").drop("copies").withColumn("vote", (F.lit(_VOTE) / F.coalesce("n", F.lit(1))).cast("long")).drop("n")
+    salts = F.explode(F.array(*[F.lit(i).cast("long") for i in range(_SALTS)]))  # many copies are dealt to several tasks
+    many = told.groupBy("copies").agg(F.count("*").alias("n")).where("n > 1").select("copies", "n", salts.alias("salt"))
+    voting = told.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS))).join(many, ["copies", "salt"], "left")
+    vote = (F.lit(_VOTE) / F.coalesce("n", F.lit(1))).cast("long")
+    out = written(voting.select("lang", "toxic", "text", "n_words", "part", vote.alias("vote")), "toxic-votes")
+    discard(told)
+    return out
 
 
 def _rank(scores: DataFrame, above: float) -> dict[str, float]:
@@ -141,7 +147,7 @@ def learn(
     of the rows (copies share a part).  A language with fewer than ``least`` toxic or clean rows has no marks.
     """
     toxic = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = written(_votes(docs.select("doc_id", _lang(docs).alias("lang"), text_of().alias("text")).join(toxic, "doc_id").select("lang", "toxic", "text")), "toxic-votes")
+    rows = _votes(docs.select("doc_id", _lang(docs).alias("lang"), text_of().alias("text")).join(toxic, "doc_id").select("lang", "toxic", "text"))
     models = [None, *range(_PARTS)]  # of all rows, and of all but one part
     of = lambda t, part: (F.col("toxic") == t) & (F.lit(True) if part is None else F.col("part") != part)
     in_class = lambda value: [F.sum(F.when(of(t, m), value).otherwise(0)).alias(f"{'ct'[t]}{k}") for k, m in enumerate(models) for t in (0, 1)]
@@ -173,6 +179,7 @@ def learn(
     known = [F.when((F.col("lang") == lang) & (F.col("part") == part), _score(F.col("text"), F.col("n_words"), w)) for (lang, part), w in others.items()]
     clean = rows.where((F.col("toxic") == 0) & F.col("lang").isin(*weights))
     scores = written(clean.select("lang", F.coalesce(*known, F.lit(0.0)).alias("score")), "toxic-scores")
+    discard(rows)
     return {lang: Marks(weights[lang], limit) for lang, limit in _rank(scores, clean_lost).items()}
 
 
