@@ -33,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from signalloom.llm.common import chunks, mix, shingle_hashes, text_bytes, word_hashes
+from signalloom.llm.common import chunks, hinted, hints_of, mix, shingle_hashes, text_bytes, word_hashes
 from signalloom.llm.components import components
 from signalloom.session import discard, written
 
@@ -114,10 +115,12 @@ def _describe(k: int, percent: int):
 
 
 def _sets(k: int):
+    """Rows with ``text`` to their other columns and ``shingles``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in chunks(whole)):
-            found = [u.tobytes() for u in _document_sets(batch, k)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "shingles"])
+            found = pa.array([u.tobytes() for u in _document_sets(batch, k)], pa.binary())
+            yield batch.drop_columns(["text"]).append_column("shingles", found)
 
     return run
 
@@ -294,7 +297,7 @@ def _nearest(members: DataFrame, percent: int, nearest: int) -> DataFrame:
 def _rest(members: DataFrame, sets, percent: int) -> DataFrame:
     """``key, node, n, bits, keys, comp``, the ``size`` of the tile and its ``shingles`` in all, to the links between components.
 
-    ``sets`` makes ``node, shingles`` of nodes.
+    ``sets`` adds ``shingles`` to rows of ``node``.
     """
     blocks = F.greatest(F.ceil(F.col("size") / _BLOCK), F.ceil(F.col("all") / _BLOCK_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -306,7 +309,10 @@ def _rest(members: DataFrame, sets, percent: int) -> DataFrame:
     )
     columns = "tile long, node long, n long, comp long, side long, bits binary"
     asking = written(placed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_asking(percent), columns), "jaccard-asking")
-    filled = asking.join(sets(asking.select("node").distinct()), "node")
+    # a class's set is made once and goes from there to all tiles that it asks in
+    tiles = F.collect_list(F.struct("tile", "comp", "side")).alias("tiles")
+    wanted = asking.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), tiles)
+    filled = sets(wanted).select("node", "n", "bits", "shingles", F.inline("tiles"))
     return filled.repartition("tile").sortWithinPartitions("tile").mapInArrow(_decided(percent), "u long, v long")
 
 
@@ -327,24 +333,23 @@ def _within(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
 
 
 def _fetch(docs: DataFrame, classes: DataFrame, k: int):
-    """A function from ``node`` to ``node, shingles``, and the tables it has written: a class's set is made again from the text of the row that stands for it."""
+    """A function that adds ``shingles`` to rows of ``node`` and others, and the tables it has written: a class's set is made again from the text of the row that stands for it."""
     made: list[DataFrame] = []
-    loose = docs.where("doc_id IS NULL").dropDuplicates(["th"])
-    rows = docs.where("doc_id IS NOT NULL").unionByName(loose)
 
     def sets(wanted: DataFrame) -> DataFrame:
-        asked = classes.join(wanted, "node", "left_semi").select(F.col("node").alias("class"), F.col("doc_id").alias("id"), F.col("th").alias("text_hash"))
-        texts = rows.join(asked, (F.col("th") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("id")))
-        found = texts.select(F.col("class").alias("node"), "text").mapInArrow(_sets(k), "node long, shingles binary")
-        made.append(written(found.dropDuplicates(["node"]), "jaccard-sets"))
-        return made[-1]
+        asked = written(wanted.join(classes, "node"), "jaccard-asked")
+        hints = hints_of(asked, "th", "idh")
+        made.extend([asked, hints.rows])
+        # repeated rows leave one, and are dealt as the join needs them
+        texts = hinted(docs.select("th", "idh", "text"), hints).dropDuplicates(["th", "idh"]).join(asked, ["th", "idh"]).drop("th", "idh")
+        fields = [f for f in texts.schema.fields if f.name != "text"]
+        return texts.mapInArrow(_sets(k), StructType([*fields, StructField("shingles", BinaryType())]))
 
     return sets, made
 
 
-def _verified(pairs: DataFrame, sets, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold, by intersecting sorted arrays."""
-    held = sets(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct())
+def _verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets, in ``held``, reach the threshold, by intersecting sorted arrays."""
     left = held.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     right = held.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
 
@@ -360,49 +365,59 @@ def _verified(pairs: DataFrame, sets, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(linked, "u long, v long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("node"))
+
+
 def members(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, text`` to ``doc_id, th, n_shingles, component, component_id``, one row per document.
 
     ``th`` is the hash of the text, ``component`` a number of the group (null without shingles) that does not depend on ids.
+    Wide columns (texts, sets, signatures, keys) are shuffled for those classes only that a step asks for.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    idh = F.xxhash64("doc_id").alias("idh")
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     described = written(docs.mapInArrow(_describe(k, percent), _SETS.format(id=kind)), "jaccard-described")
     named = described.where("node IS NOT NULL")
     standing = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("row")
     classes = written(named.groupBy("node").agg(standing).select("node", "row.doc_id", "row.th"), "jaccard-classes")
-    stands = classes.select(F.col("node").alias("class"), F.col("doc_id").alias("id"), F.col("th").alias("text_hash"))
-    same = (F.col("node") == F.col("class")) & (F.col("th") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("id"))
-    own = named.join(stands, same, "left_semi").select("node", "n", "keys", "bits")
-    postings = written(own.select("node", "n", F.explode("keys").alias("key")).distinct(), "jaccard-postings")
-    met = postings.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("all")).where("size > 1")
-    shared = written(postings.join(met, "key"), "jaccard-shared")
-    bits = own.select("node", "bits").dropDuplicates(["node"])
-    sets, made = _fetch(docs, classes, k)
-
-    near = written(shared.join(bits, "node"), "jaccard-members")
-    company = shared.select("node").distinct()
-    fine = written(described.select("node", "n", "fine").join(company, "node", "left_semi").dropDuplicates(["node"]), "jaccard-signatures")
-    first = written(_nearest(near, percent, _NEAREST), "jaccard-nearest")
+    stands = classes.select("node", "th", idh)
+    row = ["node", "th", "idh"]
+    own = written(named.select("node", "th", idh, "n", "keys", "bits").dropDuplicates(row).join(stands, row, "left_semi").select("node", "n", "keys", "bits"), "jaccard-own")
+    postings = own.select("node", "n", F.explode("keys").alias("key"))
+    met = written(postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-met")
+    crowded = hints_of(met, "key")
+    shared = written(hinted(postings, crowded).join(met, "key"), "jaccard-shared")
+    discard(met, crowded.rows)
+    sets, made = _fetch(docs.select("th", idh, "text"), stands, k)
+
+    first = written(_nearest(shared.join(own.select("node", "bits"), "node"), percent, _NEAREST), "jaccard-nearest")
+    paired = hints_of(_ends(first), "node")
+    fine = hinted(described.select("node", "n", "fine"), paired).dropDuplicates(["node"])
     allowed = written(_within(first, fine, percent), "jaccard-allowed")
-    links = written(_verified(allowed, sets, percent), "jaccard-links")
-    discard(fine, first, *made)
+    rows = written(described.select("doc_id", "th", "n", "node"), "jaccard-rows")
+    discard(described, first, paired.rows)
+    held = written(sets(_ends(allowed).distinct()), "jaccard-sets")
+    links = written(_verified(allowed, held, percent), "jaccard-links")
+    discard(held, allowed, *made)
     made.clear()
     found = written(components(links), "jaccard-components")
 
     comp = F.coalesce("component", "node").alias("comp")
-    placed = near.join(found, "node", "left").select("key", "node", "n", "size", "all", "bits", comp)
-    apart = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    keys = own.select("node", "keys").dropDuplicates(["node"])  # only classes in tiles with several components need them again
-    more = written(_rest(placed.join(apart, "key", "left_semi").join(keys, "node"), sets, percent), "jaccard-links")
+    placed = shared.join(found, "node", "left").select("key", "node", "n", "size", comp)
+    apart = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n").alias("all")).where("low < high").select("key", "all")
+    mixed = written(placed.join(apart, "key"), "jaccard-mixed")  # only classes in tiles with several components need keys and bits again
+    asking = hints_of(mixed, "node")
+    more = written(_rest(mixed.join(hinted(own.select("node", "keys", "bits"), asking), "node"), sets, percent), "jaccard-links")
     final = written(components(links.union(more)), "jaccard-components")
-    discard(near, shared, postings, *made)
+    discard(own, shared, mixed, asking.rows, *made)
 
     label = classes.join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     label = written(label, "jaccard-labels")
     names = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     answer = label.select("node", "component").join(names, "component")
-    return described.select("doc_id", "th", "node", F.col("n").alias("n_shingles")).join(answer, "node", "left").select(
+    return rows.select("doc_id", "th", "node", F.col("n").alias("n_shingles")).join(answer, "node", "left").select(
         "doc_id", "th", "n_shingles", "component", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
