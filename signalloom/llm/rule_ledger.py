@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.functions.text import add_once
-from signalloom.llm.common import text_of, words_of
+from signalloom.llm.common import hinted, hints_of, text_of, words_of
 from signalloom.session import discard, written
 
 SYMBOLS = "#*$%&|<>"
@@ -108,11 +108,14 @@ def _votes(rows: DataFrame) -> DataFrame:
         ), "toxic-labelled",
     )
     salts = F.explode(F.array(*[F.lit(i).cast("long") for i in range(_SALTS)]))  # many copies are dealt to several tasks
-    many = told.groupBy("copies").agg(F.count("*").alias("n")).where("n > 1").select("copies", "n", salts.alias("salt"))
-    voting = told.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS))).join(many, ["copies", "salt"], "left")
+    many = written(told.groupBy("copies").agg(F.count("*").alias("n")).where("n > 1"), "toxic-copies")
+    hints = hints_of(many, "copies")
+    voting = hinted(told, hints).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS))).join(many.select("copies", "n", salts.alias("salt")), ["copies", "salt"], "left")
     vote = (F.lit(_VOTE) / F.coalesce("n", F.lit(1))).cast("long")
-    out = written(voting.select("lang", "toxic", "text", "n_words", "part", vote.alias("vote")), "toxic-votes")
-    discard(told)
+    columns = ["lang", "toxic", "text", "n_words", "part"]
+    alone = hinted(told, hints, there=False).select(*columns, F.lit(_VOTE).cast("long").alias("vote"))
+    out = written(voting.select(*columns, vote.alias("vote")).unionByName(alone), "toxic-votes")
+    discard(told, many, hints.rows)
     return out
 
 
@@ -147,7 +150,12 @@ def learn(
     of the rows (copies share a part).  A language with fewer than ``least`` toxic or clean rows has no marks.
     """
     toxic = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = _votes(docs.select("doc_id", _lang(docs).alias("lang"), text_of().alias("text")).join(toxic, "doc_id").select("lang", "toxic", "text"))
+    told = F.col("doc_id").cast("string").alias("told")  # the two tables may hold ids of different types
+    toxic = written(toxic.select("doc_id", "toxic", told), "toxic-labels")
+    hints = hints_of(toxic, "told")
+    given = hinted(docs.select("doc_id", told, _lang(docs).alias("lang"), text_of().alias("text")), hints).drop("told")
+    rows = _votes(given.join(toxic, "doc_id").select("lang", "toxic", "text"))
+    discard(toxic, hints.rows)
     models = [None, *range(_PARTS)]  # of all rows, and of all but one part
     of = lambda t, part: (F.col("toxic") == t) & (F.lit(True) if part is None else F.col("part") != part)
     in_class = lambda value: [F.sum(F.when(of(t, m), value).otherwise(0)).alias(f"{'ct'[t]}{k}") for k, m in enumerate(models) for t in (0, 1)]

@@ -1,5 +1,6 @@
 import corpus_pipeline as P
 from signalloom.llm import jaccard_join as J
+from signalloom.llm import rule_ledger as R
 from signalloom.llm.common import hinted, hints_of
 from signalloom.session import written
 
@@ -40,3 +41,23 @@ def test_texts_without_company_are_not_dealt_out(spark, monkeypatch):
     out = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "").collect()
     assert sorted(r["doc_id"] for r in out) == list(range(400))
     assert let["J"] and let["P"] and all(n <= 60 for name in let for n in let[name])
+
+
+def test_texts_without_label_or_copy_are_not_dealt_out(spark, monkeypatch):
+    """Labels may have ids of another type; only labelled texts, and of those only copies, come to a shuffle."""
+    rows = [(i, "en", ("vile " if i % 10 == 0 else "good ") * 3 + " ".join(f"w{i}x{j}" for j in range(40))) for i in range(600)]
+    rows[7] = (7, "en", rows[1][2])
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 10 == 0) for i in range(300)], "doc_id int, toxic boolean")
+    let, real = [], R.hinted
+
+    def counting(df, hints, there=True):
+        out = real(df, hints, there)
+        if there:
+            let.append(out.count())
+        return out
+
+    monkeypatch.setattr(R, "hinted", counting)
+    marks = R.learn(docs, labels)
+    assert [w for w, _, _ in marks["en"].weights] == ["vil"]
+    assert 300 <= let[0] <= 340 and 2 <= let[1] <= 40
