@@ -338,8 +338,8 @@ def _fetch(docs: DataFrame, classes: DataFrame, k: int):
 
     def sets(wanted: DataFrame) -> DataFrame:
         asked = written(wanted.join(classes, "node"), "jaccard-asked")
+        made.append(asked)
         hints = hints_of(asked, "th", "idh")
-        made.extend([asked, hints.rows])
         # repeated rows leave one, and are dealt as the join needs them
         texts = hinted(docs.select("th", "idh", "text"), hints).dropDuplicates(["th", "idh"]).join(asked, ["th", "idh"]).drop("th", "idh")
         fields = [f for f in texts.schema.fields if f.name != "text"]
@@ -389,7 +389,7 @@ def members(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     met = written(postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-met")
     crowded = hints_of(met, "key")
     shared = written(hinted(postings, crowded).join(met, "key"), "jaccard-shared")
-    discard(met, crowded.rows)
+    discard(met)
     sets, made = _fetch(docs.select("th", idh, "text"), stands, k)
 
     first = written(_nearest(shared.join(own.select("node", "bits"), "node"), percent, _NEAREST), "jaccard-nearest")
@@ -397,7 +397,7 @@ def members(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     fine = hinted(described.select("node", "n", "fine"), paired).dropDuplicates(["node"])
     allowed = written(_within(first, fine, percent), "jaccard-allowed")
     rows = written(described.select("doc_id", "th", "n", "node"), "jaccard-rows")
-    discard(described, first, paired.rows)
+    discard(described, first)
     held = written(sets(_ends(allowed).distinct()), "jaccard-sets")
     links = written(_verified(allowed, held, percent), "jaccard-links")
     discard(held, allowed, *made)
@@ -410,8 +410,9 @@ def members(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     mixed = written(placed.join(apart, "key"), "jaccard-mixed")  # only classes in tiles with several components need keys and bits again
     asking = hints_of(mixed, "node")
     more = written(_rest(mixed.join(hinted(own.select("node", "keys", "bits"), asking), "node"), sets, percent), "jaccard-links")
-    final = written(components(links.union(more)), "jaccard-components")
-    discard(own, shared, mixed, asking.rows, *made)
+    stars = found.select(F.col("node").alias("u"), F.col("component").alias("v"))  # shorter chains than the links
+    final = written(components(stars.union(more)), "jaccard-components")
+    discard(own, shared, mixed, *made)
 
     label = classes.join(final, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     label = written(label, "jaccard-labels")

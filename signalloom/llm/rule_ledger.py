@@ -115,7 +115,7 @@ def _votes(rows: DataFrame) -> DataFrame:
     columns = ["lang", "toxic", "text", "n_words", "part"]
     alone = hinted(told, hints, there=False).select(*columns, F.lit(_VOTE).cast("long").alias("vote"))
     out = written(voting.select(*columns, vote.alias("vote")).unionByName(alone), "toxic-votes")
-    discard(told, many, hints.rows)
+    discard(told, many)
     return out
 
 
@@ -155,7 +155,7 @@ def learn(
     hints = hints_of(toxic, "told")
     given = hinted(docs.select("doc_id", told, _lang(docs).alias("lang"), text_of().alias("text")), hints).drop("told")
     rows = _votes(given.join(toxic, "doc_id").select("lang", "toxic", "text"))
-    discard(toxic, hints.rows)
+    discard(toxic)
     models = [None, *range(_PARTS)]  # of all rows, and of all but one part
     of = lambda t, part: (F.col("toxic") == t) & (F.lit(True) if part is None else F.col("part") != part)
     in_class = lambda value: [F.sum(F.when(of(t, m), value).otherwise(0)).alias(f"{'ct'[t]}{k}") for k, m in enumerate(models) for t in (0, 1)]
