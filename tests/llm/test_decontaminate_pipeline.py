@@ -108,6 +108,37 @@ def test_blocks_of_items_find_the_same(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_the_latent_space_is_that_of_all_rows(spark):
+    """More rows than were sampled before; the sums are those of a plain program over every word of every row."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, common = 30_000, "one two three"
+    docs = spark.range(n).select(F.when(F.col("id") % 1000 == 7, F.lit(None)).otherwise(F.concat(F.lit(common + " w"), F.col("id"), F.lit(" x"))).alias("text"))
+    corpus = D.counted(docs.repartition(5))
+    assert corpus.rows.count() == n
+    words, begin = D._words(pa.array([r["text"] for r in docs.collect()]))
+    starts, _ = D._blocks(begin)
+    signs = D._signs(words, starts).astype(int) * 2 - 1
+    want = np.zeros((D._TERMS, D._DIRECTIONS))
+    np.add.at(want, D._term(words), np.repeat(signs, np.diff(np.append(starts, len(words))), axis=0))
+    assert corpus.blocks == len(starts) == n - n // 1000
+    assert (corpus.signs == want).all()
+    held = np.unique(np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(words)))) * D._TERMS + D._term(words))
+    assert (corpus.counts == np.bincount(held % D._TERMS, minlength=D._TERMS)).all()
+
+
+def test_every_row_is_fitted_on_unless_asked_otherwise(spark, monkeypatch):
+    """A search with no options fits on the rows it searches, however many there are."""
+    texts, items, _ = corpus()
+    docs = spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(21_000)], "doc_id long, text string").repartition(4)
+    seen, real = [], D.fit
+    monkeypatch.setattr(D, "fit", lambda c, i: seen.append(c) or real(c, i))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    D.mark(docs, bench)
+    assert seen[0].rows.count() == 21_000
+
+
 def test_common_subsequence_in_bits():
     import numpy as np
 
