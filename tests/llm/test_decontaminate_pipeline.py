@@ -139,6 +139,16 @@ def test_every_row_is_fitted_on_unless_asked_otherwise(spark, monkeypatch):
     assert seen[0].rows.count() == 21_000
 
 
+def test_the_stage_fits_on_all_its_documents(spark, tmp_path, monkeypatch):
+    texts, items, _ = corpus()
+    docs = spark.range(21_000).select(F.concat(F.lit(texts[0][:40] + " w"), F.col("id")).alias("text"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen, real = [], D.fit
+    monkeypatch.setattr(D, "fit", lambda c, i: seen.append(c) or real(c, i))
+    P.decontamination(spark, docs, str(tmp_path))
+    assert seen[0].rows.count() == 21_000
+
+
 def test_common_subsequence_in_bits():
     import numpy as np
 
